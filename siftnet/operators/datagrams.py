@@ -603,3 +603,18 @@ def export_headers(framed_rows: DataFrame, decoded: DataFrame) -> DataFrame:
         .otherwise(F.col("event").isNull() & F.coalesce("_complete", F.lit(True)))
         .alias("countable"),
     )
+
+
+def idle_expiries(
+    touches: DataFrame,
+    *,
+    keys: list[str],
+    order: str = "set_order",
+    ts: str = "recv_ts",
+    idle_seconds: float = TEMPLATE_IDLE_SECONDS,
+    span: int = segments.SEGMENT_SPAN,
+) -> DataFrame:
+    """Touches (announcements or uses) that found their template expired: more than the idle time after the last."""
+    seen = segments.scan(touches, keys, order, prev={"_last": F.col(ts)}, span=span)
+    age = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_last"))
+    return segments.finish(seen.where(age > F.lit(int(idle_seconds * 1_000_000))).drop("_last"))

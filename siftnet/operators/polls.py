@@ -119,7 +119,7 @@ def readiness(probes: DataFrame, *, now: Column, interval_seconds: Column) -> Da
     """
     seconds = F.when(interval_seconds > 0, interval_seconds).otherwise(DEFAULT_HEARTBEAT_SECONDS)
     age = F.unix_micros(now) - F.unix_micros("last_heartbeat")
-    fresh = F.coalesce(age <= 2 * seconds * 1_000_000, F.lit(False))
+    fresh = F.coalesce(age <= seconds.cast("bigint") * 2_000_000, F.lit(False))
     listening = F.forall("enabled", lambda name: F.array_contains("bound", name))
     reason = (
         F.when(~F.col("approved"), "approved").when(~fresh, "heartbeat").when(~listening, "listeners").otherwise("")
