@@ -39,22 +39,20 @@ def datagrams_from_kafka(spark: SparkSession, options: dict[str, str]) -> DataFr
     )
 
 
-def valid_lines(rows: DataFrame) -> DataFrame:
-    """Non-empty lines below the size cap."""
-    return rows.where((F.length("line") > 0) & (F.octet_length("line") < syslog.MAX_LINE))
-
-
 def split_lines(chunks: DataFrame, *, text: str = "text") -> DataFrame:
-    """Received chunks to lines: split at line feeds, empty lines dropped, and an unterminated tail dropped only when
-    it reaches the size cap."""
+    """Received chunks to lines: split at line feeds, empty lines dropped, an unterminated tail dropped once it reaches
+    the size cap."""
     rows = chunks.select(
-        *[c for c in chunks.columns if c != text], F.posexplode(F.split(text, "\n")).alias("line_no", "line")
-    ).withColumn("line", F.rtrim("line", F.lit("\r")))
-    return valid_lines(rows)
+        *[c for c in chunks.columns if c != text],
+        F.size(F.split(text, "\n")).alias("_n"),
+        F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
+    )
+    runaway = (F.col("line_no") == F.col("_n") - 1) & (F.octet_length("line") >= syslog.MAX_LINE)
+    return rows.where((F.length("line") > 0) & ~runaway).drop("_n")
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    return valid_lines(spark.read.text(path).withColumnRenamed("value", "line"))
+    return spark.read.text(path).withColumnRenamed("value", "line").where(F.length("line") > 0)
 
 
 def walk(pdus: DataFrame) -> DataFrame:
