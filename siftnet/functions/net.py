@@ -13,6 +13,12 @@ IPV4_PATTERN = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4
 ALL_ONES = 0xFFFFFFFF
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once. Used where a long expression would otherwise be repeated inside
+    itself and the plan would grow with every repetition."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_ipv4(text: Column) -> Column:
     return text.rlike(IPV4_PATTERN)
 
@@ -38,8 +44,7 @@ def ipv4_from_bytes(data: Column, offset: int | Column = 0) -> Column:
 
 def _compress(groups: Column) -> Column:
     """``:g1:...:g8:`` to text with the first longest run of two or more zero groups shortened."""
-    plain = F.trim(F.lit(":"), groups)
-    result = plain
+    result = F.trim(groups, F.lit(":"))
     for run in range(2, 9):
         zeros = ":0" * run + ":"
         at = F.instr(groups, zeros)
@@ -49,50 +54,57 @@ def _compress(groups: Column) -> Column:
     return result
 
 
-def ipv6_from_bytes(data: Column) -> Column:
-    """16 bytes as text; an IPv4-mapped address prints as IPv4."""
-    digits = F.lower(F.hex(data))
-    groups = [F.regexp_replace(F.substring(digits, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
-    mapped = F.startswith(digits, F.lit("0" * 20 + "ffff"))
-    return F.when(
-        F.length(data) == 16,
-        F.when(mapped, ipv4_from_bytes(data, 12)).otherwise(
-            _compress(F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":")))
-        ),
+def _ipv6_digits_text(digits: Column) -> Column:
+    """32 lower-case hex digits as text; an IPv4-mapped address prints as IPv4."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.regexp_replace(F.substring(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""),
+    )
+    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
+    return F.when(digits.startswith("0" * 20 + "ffff"), ipv4_text(mapped)).otherwise(
+        let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), _compress)
     )
 
 
+def ipv6_from_bytes(data: Column) -> Column:
+    """16 bytes as text, null for any other length."""
+    return F.when(F.length(data) == 16, let(F.lower(F.hex(data)), _ipv6_digits_text))
+
+
 def ip_from_bytes(data: Column) -> Column:
     """4 or 16 bytes as text, null for any other length."""
     return F.when(F.length(data) == 4, ipv4_from_bytes(data)).otherwise(ipv6_from_bytes(data))
 
 
-def ipv6_bytes(text: Column) -> Column:
-    """IPv6 text as 16 bytes, null if it is none. A dotted-quad tail is accepted."""
+def _plain_ipv6(text: Column) -> Column:
+    """A dotted-quad tail rewritten as two hex groups."""
     tail = F.regexp_extract(text, r":([0-9.]+)$", 1)
-    number = ipv4_number(tail)
-    hexed = F.lower(F.lpad(F.hex(number), 8, "0"))
-    dotted = F.concat(
-        F.substring(text, F.lit(1), F.length(text) - F.length(tail)),
-        F.substring(hexed, 1, 4),
-        F.lit(":"),
-        F.substring(hexed, 5, 4),
-    )
-    plain = F.when(F.instr(text, ".") > 0, dotted).otherwise(text)
+    digits = F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0"))
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+    dotted = let(digits, lambda d: F.concat(head, F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))
+    return F.when(F.instr(text, ".") > 0, dotted).otherwise(text)
+
+
+def _ipv6_groups(plain: Column) -> Column:
+    """Eight groups of a plain IPv6 text, null if it is none."""
     halves = F.split(plain, "::", -1)
     left = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda g: g != "")
     right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
     missing = 8 - F.size(left) - F.size(right)
-    shortened = F.size(halves) == 2
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
     shape = r"^([0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*)?(::([0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*)?)?$"
-    valid = plain.rlike(shape) & F.when(shortened, missing >= 1).otherwise(missing == 0)
-    return F.when(valid, F.unhex(F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
+    valid = plain.rlike(shape) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
+    return F.when(valid, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+
+
+def ipv6_bytes(text: Column) -> Column:
+    """IPv6 text as 16 bytes, null if it is none. A dotted-quad tail is accepted."""
+    groups = F.when(text.contains(":"), let(_plain_ipv6(text), _ipv6_groups))
+    return F.unhex(F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
 
 
 def canonical_ip(text: Column) -> Column:
     """The one text form of an address, null if it is none."""
-    return F.when(is_ipv4(text), text).otherwise(ipv6_from_bytes(ipv6_bytes(text)))
+    return F.when(is_ipv4(text), text).otherwise(let(ipv6_bytes(text), ipv6_from_bytes))
 
 
 # ------------------------------------------------------------------------------------------------------------- MACs

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from siftnet.functions import net
 from siftnet.functions.binary import cut, low_bits, uint
-from siftnet.operators import segments
+from siftnet.operators import asof, segments
 from siftnet.operators.dedup import FLOW_SOURCE_IPFIX, FLOW_SOURCE_NETFLOW_V5, FLOW_SOURCE_NETFLOW_V9
 
 # Fixed values of the wire formats.
@@ -338,6 +338,39 @@ def capped_templates(announced: DataFrame, *, cap: int = MAX_TEMPLATES_PER_DOMAI
     return usable.join(admitted, ["exporter", "domain", "template_id"])
 
 
+def touch_gaps(
+    touches: DataFrame, *, keys: list[str], order: str = "set_order", ts: str = "recv_ts", idle_seconds: float, span: int
+) -> DataFrame:
+    """Touches more than the idle time after their key's previous one.
+
+    Touches are first reduced to the first and last of each idle-time bucket: a gap longer than the bucket never lies
+    inside one, so nothing is lost, and what remains no longer grows with the traffic.
+    """
+    idle = int(idle_seconds * 1_000_000)
+    bucket = F.expr(f"unix_micros({ts}) div {idle}")
+    ends = touches.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.min(F.struct(F.col(order).alias("o"), F.col(ts).alias("t"))).alias("_first"),
+        F.max(F.struct(F.col(order).alias("o"), F.col(ts).alias("t"))).alias("_last"),
+    )
+    ordered = ends.withColumn("_at", F.col("_first.o"))
+    before = segments.scan(ordered, keys, "_at", prev={"_before": F.col("_last.t")}, span=span)
+    gap = F.unix_micros(F.col("_first.t")) - F.unix_micros("_before")
+    return before.where(gap > idle).select(*keys, F.col("_first.o").alias(order), F.col("_first.t").alias(ts))
+
+
+def idle_expiries(
+    touches: DataFrame,
+    *,
+    keys: list[str],
+    order: str = "set_order",
+    ts: str = "recv_ts",
+    idle_seconds: float = TEMPLATE_IDLE_SECONDS,
+    span: int = segments.SEGMENT_SPAN,
+) -> DataFrame:
+    """Touches (announcements or uses) that found their template expired."""
+    return touch_gaps(touches, keys=keys, order=order, ts=ts, idle_seconds=idle_seconds, span=span)
+
+
 def with_templates(
     set_rows: DataFrame,
     announced: DataFrame,
@@ -349,41 +382,26 @@ def with_templates(
 
     Adds ``fields``, ``is_options`` and ``event`` (``data_before_template`` where there is none). A template that was
     neither announced nor used for more than ``idle_seconds`` is dead until it is announced again; a use refreshes it.
+
+    Announcements and expiries become one small table of changes; the set bodies are not shuffled.
     """
     keys = ["exporter", "domain", "template_id"]
-    known = announced.select(
-        *keys, "set_order", "recv_ts", F.struct("fields", "is_options").alias("_template"), F.lit(None).alias("_data")
-    )
-    data = set_rows.select(
-        "exporter",
-        "domain",
-        F.col("set_id").alias("template_id"),
-        "set_order",
-        "recv_ts",
-        F.lit(None).alias("_template"),
-        F.struct(*[c for c in set_rows.columns if c not in {"exporter", "domain", "set_order", "recv_ts"}]).alias("_data"),
-    )
-    timeline = known.unionByName(data)
-    seen = segments.scan(timeline, keys, "set_order", prev={"_last_touch": F.col("recv_ts")}, span=span)
-    idle = F.lit(False)
+    layout = F.struct("fields", "is_options")
+    facts = announced.select(*keys, "set_order", layout.alias("template"))
+    rows = set_rows.withColumnRenamed("set_id", "template_id")
     if idle_seconds is not None:
-        age = F.unix_micros("recv_ts") - F.unix_micros("_last_touch")
-        idle = F.coalesce(age > F.lit(int(idle_seconds * 1_000_000)), F.lit(False))
-    # an idle gap before a data set kills the template for it and everything up to the next announcement
-    state = F.when(F.col("_template").isNotNull(), F.struct(F.lit(True).alias("live"), "_template")).when(
-        idle, F.struct(F.lit(False).alias("live"), F.lit(None).cast(timeline.schema["_template"].dataType).alias("_template"))
-    )
-    matched = segments.scan(seen, keys, "set_order", last={"_state": state}, span=span).where("_data is not null")
-    live = F.coalesce(F.col("_state.live"), F.lit(False))
+        touches = announced.select(*keys, "set_order", "recv_ts").unionByName(rows.select(*keys, "set_order", "recv_ts"))
+        gaps = touch_gaps(touches, keys=keys, idle_seconds=idle_seconds, span=span)
+        # a gap that ends with an announcement revives the template at once
+        deaths = gaps.join(announced.select(*keys, "set_order"), [*keys, "set_order"], "left_anti")
+        gone = F.lit(None).cast(facts.schema["template"].dataType)
+        facts = facts.unionByName(deaths.select(*keys, "set_order", gone.alias("template")))
+    matched = asof.latest(rows, facts, keys=keys, order="set_order", value="template", span=span)
     return matched.select(
-        "exporter",
-        "domain",
-        "set_order",
-        "recv_ts",
-        "_data.*",
-        F.when(live, F.col("_state._template.fields")).alias("fields"),
-        F.coalesce(F.when(live, F.col("_state._template.is_options")), F.lit(False)).alias("is_options"),
-        F.when(~live, "data_before_template").alias("event"),
+        *rows.columns,
+        F.col("template.fields").alias("fields"),
+        F.coalesce("template.is_options", F.lit(False)).alias("is_options"),
+        F.when(F.col("template").isNull(), "data_before_template").alias("event"),
     )
 
 
@@ -603,18 +621,3 @@ def export_headers(framed_rows: DataFrame, decoded: DataFrame) -> DataFrame:
         .otherwise(F.col("event").isNull() & F.coalesce("_complete", F.lit(True)))
         .alias("countable"),
     )
-
-
-def idle_expiries(
-    touches: DataFrame,
-    *,
-    keys: list[str],
-    order: str = "set_order",
-    ts: str = "recv_ts",
-    idle_seconds: float = TEMPLATE_IDLE_SECONDS,
-    span: int = segments.SEGMENT_SPAN,
-) -> DataFrame:
-    """Touches (announcements or uses) that found their template expired: more than the idle time after the last."""
-    seen = segments.scan(touches, keys, order, prev={"_last": F.col(ts)}, span=span)
-    age = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_last"))
-    return segments.finish(seen.where(age > F.lit(int(idle_seconds * 1_000_000))).drop("_last"))

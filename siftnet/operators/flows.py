@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftnet.functions import net
 from siftnet.functions.binary import low_bits
-from siftnet.operators import datagrams, filters, segments
+from siftnet.operators import asof, datagrams, filters, lookups, segments
 from siftnet.schemas import conform
 
 # Fixed values.
@@ -36,17 +36,21 @@ def uptime_to_ms(export_ms: Column, uptime_ms: Column, stamp: Column) -> Column:
 
 def ntp_to_ms(value_hex: Column, export_ms: Column, *, micro: bool) -> Column:
     """64-bit NTP time, given as 16 hex digits, in the era nearest to the export time."""
-    seconds = F.conv(F.substring(value_hex, 1, 8), 16, 10).cast("bigint") - NTP_UNIX_OFFSET
+    raw = F.conv(F.substring(value_hex, 1, 8), 16, 10).cast("bigint") - NTP_UNIX_OFFSET
     fraction = F.conv(F.substring(value_hex, 9, 8), 16, 10).cast("bigint")
     if micro:
         fraction = fraction.bitwiseAND(F.lit(0xFFFFF800).cast("bigint"))
     export = F.floor(export_ms / 1000)
-    # an NTP value and a 32-bit export time are never more than two eras apart
-    for _ in range(2):
-        seconds = F.when(seconds < export - HALF_WRAP, seconds + WRAP).otherwise(seconds)
-    for _ in range(2):
-        seconds = F.when(seconds > export + HALF_WRAP, seconds - WRAP).otherwise(seconds)
-    return seconds * 1000 + F.shiftright(fraction * 1000, 32)
+
+    def in_era(seconds: Column) -> Column:
+        early, late = export - HALF_WRAP - seconds, seconds - export - HALF_WRAP
+        return (
+            F.when(early > 0, seconds + F.ceil(early / WRAP) * WRAP)
+            .when(late > 0, seconds - F.ceil(late / WRAP) * WRAP)
+            .otherwise(seconds)
+        )
+
+    return net.let(raw, in_era) * 1000 + F.shiftright(fraction * 1000, 32)
 
 
 def clamp_times(start_ms: Column, end_ms: Column, recv_ms: Column) -> Column:
@@ -62,8 +66,11 @@ def clamp_times(start_ms: Column, end_ms: Column, recv_ms: Column) -> Column:
     return F.struct(start.alias("start_ms"), end.alias("end_ms"))
 
 
-def record_times(recv_ms: Column) -> Column:
-    """Struct (start_ms, end_ms) from whichever time elements a record carries."""
+def with_record_times(rows: DataFrame, recv_ms: Column) -> DataFrame:
+    """Add ``_t``: struct (start_ms, end_ms) from whichever time elements a record carries.
+
+    The two sides are columns of their own first, so that the clamp reads them instead of repeating them.
+    """
     c = F.col
     export, uptime = c("export_ms"), c("uptime_ms")
 
@@ -88,9 +95,11 @@ def record_times(recv_ms: Column) -> Column:
         "start_delta_us",
         c("observed_ms") - c("duration_ms"),
     )
-    none = end.isNull() & start.isNull()
-    clamped = clamp_times(F.coalesce(start, end), F.coalesce(end, start), recv_ms)
-    return F.when(none, F.struct(recv_ms.alias("start_ms"), recv_ms.alias("end_ms"))).otherwise(clamped)
+    timed = rows.withColumns({"_start_ms": start, "_end_ms": end, "_recv_ms": recv_ms})
+    none = c("_end_ms").isNull() & c("_start_ms").isNull()
+    clamped = clamp_times(F.coalesce("_start_ms", "_end_ms"), F.coalesce("_end_ms", "_start_ms"), c("_recv_ms"))
+    arrival = F.struct(c("_recv_ms").alias("start_ms"), c("_recv_ms").alias("end_ms"))
+    return timed.withColumn("_t", F.when(none, arrival).otherwise(clamped)).drop("_start_ms", "_end_ms", "_recv_ms")
 
 
 def v5_times(recv_ms: Column) -> Column:
@@ -185,24 +194,39 @@ def with_sampling_rate(
 
     Order of preference: operator override of the exporter, latest rate of the record's sampler, latest rate of the
     domain, 1. Rates are learned in arrival order; element 34 in a data record teaches the domain before that record is
-    scaled. ``overrides``: ``exporter``, ``rate``. Segments count datagrams here, each holding some 30 records.
+    scaled. ``overrides``: ``exporter``, ``rate``. Only records that teach a rate are ordered, and of these only changes
+    are kept (see :mod:`siftnet.operators.asof`). Segments count datagrams here, each holding some 30 records.
     """
-    ordered = records.withColumn("_order", F.struct("set_order", "record_no"))
     learned = F.when(F.col("is_options"), options_rate())
     in_data = F.when(~F.col("is_options") & F.col("interval_34").between(1, MAX_RATE), F.col("interval_34"))
-    for_domain = F.coalesce(F.when(F.col("sampler_id").isNull(), learned), in_data)
-    for_sampler = F.when(F.col("sampler_id").isNotNull(), learned)
-    by_datagram = segments.with_segment(ordered, "arrival_no", span)
-    domain = segments.scan(by_datagram, ["exporter", "domain"], "_order", last={"_domain_rate": for_domain})
-    keyed = domain.withColumn("_sampler", F.coalesce("sampler_id", F.lit(-1)))
-    both = segments.scan(keyed, ["exporter", "domain", "_sampler"], "_order", last={"_sampler_rate": for_sampler})
-    rates = [F.when(F.col("sampler_id").isNotNull(), F.col("_sampler_rate")), F.col("_domain_rate"), F.lit(1)]
-    rows = both.where(~F.col("is_options"))
+    teaching = records.select(
+        "exporter",
+        "domain",
+        "sampler_id",
+        "arrival_no",
+        F.struct("set_order", "record_no").alias("_order"),
+        learned.alias("_learned"),
+        in_data.alias("_in_data"),
+    ).where("_learned is not null or _in_data is not null")
+    teaching = segments.with_segment(teaching, "arrival_no", span)
+    for_domain = F.coalesce(F.when(F.col("sampler_id").isNull(), F.col("_learned")), F.col("_in_data"))
+    domain_rates = teaching.withColumn("_domain_rate", for_domain).where("_domain_rate is not null")
+    sampler_rates = teaching.where("sampler_id is not null and _learned is not null").withColumn(
+        "_sampler_rate", F.col("_learned")
+    )
+    rows = records.where(~F.col("is_options")).withColumn("_order", F.struct("set_order", "record_no"))
+    rows = segments.with_segment(rows, "arrival_no", span)
+    rows = asof.latest(rows, domain_rates, keys=["exporter", "domain"], order="_order", value="_domain_rate")
+    rows = asof.latest(
+        rows, sampler_rates, keys=["exporter", "domain", "sampler_id"], order="_order", value="_sampler_rate"
+    )
+    rates = [F.col("_sampler_rate"), F.col("_domain_rate"), F.lit(1)]
     if overrides is not None:
-        rows = rows.join(F.broadcast(overrides.select("exporter", F.col("rate").alias("_override"))), "exporter", "left")
+        pinned = overrides.select("exporter", F.col("rate").alias("_override"))
+        rows = rows.join(lookups.small(pinned), "exporter", "left")
         rates.insert(0, F.col("_override"))
     rated = rows.withColumn("sampling_rate", F.coalesce(*rates).cast("bigint"))
-    return segments.finish(rated.drop("_order", "_domain_rate", "_sampler", "_sampler_rate", "_override"))
+    return segments.finish(rated.drop("_order", "_domain_rate", "_sampler_rate", "_override"))
 
 
 def live_rates(rates: DataFrame, templates: DataFrame) -> DataFrame:
@@ -290,7 +314,7 @@ def template_flows(records: DataFrame) -> DataFrame:
     """``flow_samples`` rows from rated v9/IPFIX records: the forward flow, and a mirrored one if the record also
     counted the reverse direction."""
     c = F.col
-    rows = emitted(records).withColumn("_t", record_times(receive_ms()))
+    rows = with_record_times(emitted(records), receive_ms())
     is_icmp, type_code = icmp(c("protocol"), c("dst_port"), c("icmp"), ICMP, ICMP6)
     port = {side: F.when(is_icmp, 0).otherwise(c(f"{side}_port")) for side in ("src", "dst")}
     zero = F.struct(F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("packets"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators import segments
@@ -28,16 +28,39 @@ def failure_streaks(
 
     Every outcome but ``ok`` lengthens the streak: a skipped poll counts as well.
     """
-    missed = F.when(F.col(outcome) != "ok", 1).otherwise(0)
-    counted = segments.scan(polls, [key], arrival, running_sum={"_missed": missed}, span=span)
-    at_success = F.when(F.col(outcome) == "ok", F.col("_missed"))
-    based = segments.scan(counted, [key], arrival, last={"_base": at_success}, last_before={"_base_before": at_success}, span=span)
-    before = F.col("_missed") - missed - F.coalesce("_base_before", F.lit(0))
-    return segments.finish(
-        based.withColumn("failures", F.col("_missed") - F.coalesce("_base", F.lit(0)))
-        .withColumn("expected_skip", (before >= BACKOFF_FAILURES) & (before % BACKOFF_EVERY != 0))
-        .drop("_missed", "_base", "_base_before")
+    ok = F.col(outcome) == "ok"
+    window = segments.inside([key], arrival)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    missed = F.sum(F.when(ok, 0).otherwise(1)).over(upto)
+    earlier = segments.across([key]).rowsBetween(Window.unboundedPreceding, -1)
+    # the count of misses never falls, so its value at the last success is its largest value at any success
+    rows = segments.two_level(
+        polls.withColumn("_ok", ok),
+        [key],
+        arrival,
+        local={"_missed": missed},
+        summary={
+            "_total": F.max("_missed"),
+            "_at_ok": F.max(F.when(F.col("_ok"), F.col("_missed"))),
+        },
+        carry=[
+            {"_before": F.coalesce(F.sum("_total").over(earlier), F.lit(0))},
+            {
+                "_carried": F.coalesce(F.sum("_total").over(earlier), F.lit(0)),
+                "_base": F.coalesce(F.max(F.col("_before") + F.col("_at_ok")).over(earlier), F.lit(0)),
+            },
+        ],
+        span=span,
+    )
+    total = F.col("_missed") + F.col("_carried")
+    base = F.greatest(F.max(F.when(F.col("_ok"), total)).over(upto), F.col("_base"))
+    # before a success the streak stood at the misses since the success before it
+    before_base = F.greatest(F.max(F.when(F.col("_ok"), total)).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.col("_base"))
+    before = total - F.when(F.col("_ok"), 0).otherwise(1) - before_base
+    judged = rows.withColumn("failures", total - base).withColumn(
+        "expected_skip", (before >= BACKOFF_FAILURES) & (before % BACKOFF_EVERY != 0)
     )
+    return segments.finish(judged.drop("_ok", "_missed", "_carried", "_base"))
 
 
 def due_polls(

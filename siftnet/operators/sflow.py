@@ -114,7 +114,9 @@ def _vlan_walk(header: Column) -> Column:
             tagged, F.struct(following.alias("ethertype"), (state["offset"] + 4).alias("offset"))
         ).otherwise(state)
 
-    return F.aggregate(tags, start, step)
+    # most frames carry no tag, and then nothing is walked
+    tagged = F.coalesce(uint(header, 12, 2).isin(VLAN_TYPES), F.lit(False))
+    return F.when(tagged, F.aggregate(tags, start, step)).otherwise(start)
 
 
 def _ipv6_walk(packet: Column) -> Column:
@@ -136,7 +138,9 @@ def _ipv6_walk(packet: Column) -> Column:
         stopped = F.struct(protocol.alias("protocol"), offset.alias("offset"), F.lit(True).alias("done"))
         return F.when(walkable, moved).otherwise(stopped)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSION_HEADERS)), start, step)
+    extended = uint(packet, 6, 1).isin(EXTENSION_HEADERS)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSION_HEADERS)), start, step)
+    return F.when(extended, walked).otherwise(start)
 
 
 def packet_columns(rows: DataFrame, header: str) -> DataFrame:
@@ -162,15 +166,18 @@ def packet_columns(rows: DataFrame, header: str) -> DataFrame:
     layered = walked.withColumn("protocol", protocol).withColumn("_l4", rest)
     tcp = (c("protocol") == TCP) & (F.length("_l4") >= 14)
     udp = (c("protocol") == UDP) & (F.length("_l4") >= 4)
-    return layered.select(
-        *rows.columns,
-        F.when(c("_v6"), net.ipv6_from_bytes(cut(c("_six"), 8, 16))).when(c("_v4"), net.ipv4_from_bytes(p, 12)).alias("src_addr"),
-        F.when(c("_v6"), net.ipv6_from_bytes(cut(c("_six"), 24, 16))).when(c("_v4"), net.ipv4_from_bytes(p, 16)).alias("dst_addr"),
-        "protocol",
+    source = F.when(c("_v6"), net.ipv6_from_bytes(cut(c("_six"), 8, 16))).when(c("_v4"), net.ipv4_from_bytes(p, 12))
+    target = F.when(c("_v6"), net.ipv6_from_bytes(cut(c("_six"), 24, 16))).when(c("_v4"), net.ipv4_from_bytes(p, 16))
+    decoded = F.struct(
+        source.alias("src_addr"),
+        target.alias("dst_addr"),
+        F.col("protocol"),
         F.when(tcp | udp, uint(c("_l4"), 0, 2)).alias("src_port"),
         F.when(tcp | udp, uint(c("_l4"), 2, 2)).alias("dst_port"),
         F.when(tcp, uint(c("_l4"), 13, 1)).alias("tcp_flags"),
     )
+    # a generator, so that later filters on the result are not rewritten into the whole decoding chain
+    return layered.select(*rows.columns, F.inline(F.array(decoded)))
 
 
 # ------------------------------------------------------------------------------------------------------- BGP records
@@ -211,14 +218,19 @@ def gateway_columns(record: Column) -> Column:
         )
         return F.when(active, moved).otherwise(state)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PATH_SEGMENTS)), start, segment)
-    path = F.when(walked["whole"] & (F.size(walked["path"]) > 0), walked["path"])
-    return F.struct(
-        net.ip_from_bytes(cut(record, 4, address)).alias("next_hop"),
-        src_as.alias("src_as"),
-        F.try_element_at(path, F.lit(-1)).alias("dst_as"),
-        F.array_join(F.transform(path, lambda v: v.cast("string")), " ").alias("as_path"),
-    )
+    numbers = F.sequence(F.lit(1), F.greatest(F.coalesce(count, F.lit(1)), F.lit(1)).cast("int"))
+    walked = F.aggregate(numbers, start, segment)
+
+    def with_path(state: Column) -> Column:
+        path = F.when(state["whole"] & (F.size(state["path"]) > 0), state["path"])
+        return F.struct(
+            net.ip_from_bytes(cut(record, 4, address)).alias("next_hop"),
+            src_as.alias("src_as"),
+            F.try_element_at(path, F.lit(-1)).alias("dst_as"),
+            F.array_join(F.transform(path, lambda v: v.cast("string")), " ").alias("as_path"),
+        )
+
+    return F.when(record.isNotNull(), net.let(walked, with_path))
 
 
 # ------------------------------------------------------------------------------------------------------ flow samples

@@ -14,13 +14,17 @@ FRESH_POLL_INTERVALS = 3
 
 
 def accepted_polls(samples: DataFrame, *, span: int = segments.SEGMENT_SPAN) -> DataFrame:
-    """One row per (device, poll) with ``accepted`` and, for accepted polls, the previous accepted poll time.
+    """One row per (device, poll) with ``accepted``, ``prev_poll_ts`` (newest accepted before) and ``newest_ts`` (newest
+    accepted so far, this poll included).
 
     ``samples`` has ``device_id``, ``poll_ts``, ``poll_arrival``. A poll whose time does not exceed the newest earlier
-    one of its device is ignored.
+    one of its device is ignored, so the newest accepted time is simply the largest time so far.
     """
     polls = samples.groupBy("device_id", "poll_arrival").agg(F.max("poll_ts").alias("poll_ts"))
-    seen = segments.scan(polls, ["device_id"], "poll_arrival", max_before={"prev_poll_ts": F.col("poll_ts")}, span=span)
+    time = F.col("poll_ts")
+    seen = segments.scan(
+        polls, ["device_id"], "poll_arrival", max_before={"prev_poll_ts": time}, running_max={"newest_ts": time}, span=span
+    )
     fresh = F.col("prev_poll_ts").isNull() | (F.col("poll_ts") > F.col("prev_poll_ts"))
     return segments.finish(seen.withColumn("accepted", fresh))
 
@@ -54,29 +58,23 @@ def device_throughput(samples: DataFrame, *, span: int = segments.SEGMENT_SPAN)
         usable = (F.col(now) >= F.col(then)) & (seconds > MIN_INTERVAL_SECONDS)
         return F.when(usable, (F.col(now) - F.col(then)).cast("double") * 8 / seconds / 1000).otherwise(F.lit(0.0))
 
-    totals = (
-        pairs.groupBy("device_id", "poll_arrival")
-        .agg(
-            F.sum(rate("in_bytes", "_in")).alias("_in_kbps"),
-            F.sum(rate("out_bytes", "_out")).alias("_out_kbps"),
-            (F.sum("high_speed").cast("double") * 1000).alias("_cap"),
-        )
+    totals = pairs.groupBy("device_id", F.col("poll_ts").alias("newest_ts")).agg(
+        F.sum(rate("in_bytes", "_in")).alias("_in_kbps"),
+        F.sum(rate("out_bytes", "_out")).alias("_out_kbps"),
+        (F.sum("high_speed").cast("double") * 1000).alias("_cap"),
     )
 
     def capped(total: str) -> Column:
         return F.when((F.col("_cap") > 0) & (F.col(total) > F.col("_cap")), 0.0).otherwise(F.coalesce(total, F.lit(0.0)))
 
-    rated = polls.join(totals, ["device_id", "poll_arrival"], "left").withColumn(
-        "_own", F.when(F.col("accepted"), F.struct(capped("_in_kbps").alias("i"), capped("_out_kbps").alias("o")))
-    )
-    known = segments.scan(rated, ["device_id"], "poll_arrival", last={"_known": F.col("_own")}, span=span)
-    return known.select(
+    # accepted times of a device are distinct, so an ignored poll finds the newest accepted one by its time
+    return polls.join(totals, ["device_id", "newest_ts"], "left").select(
         "device_id",
         "poll_arrival",
         "poll_ts",
         "accepted",
-        F.col("_known.i").alias("in_kbps"),
-        F.col("_known.o").alias("out_kbps"),
+        capped("_in_kbps").alias("in_kbps"),
+        capped("_out_kbps").alias("out_kbps"),
     )
 
 
@@ -97,16 +95,15 @@ def latest_fresh(
     newest earlier one of the key are ignored, as a late poll must not replace a newer value. Adds ``sample_ts`` and
     the value columns as ``latest_<name>``.
     """
-    sample = F.struct(F.col(ts).alias("sample_ts"), *[F.col(v) for v in values])
+    # accepted samples have ever larger times, so the latest is the largest by time; of equal times the first counts
+    sample = F.struct(F.col(ts).alias("sample_ts"), (-F.col(arrival)).alias("_first"), *[F.col(v) for v in values])
     facts = samples.select(*keys, ts, arrival, sample.alias("_sample"), F.lit(None).alias("_request"))
     payload = F.struct(*[F.col(c) for c in requests.columns if c not in {*keys, ts, arrival}] or [F.lit(1).alias("_one")])
     asks = requests.select(*keys, ts, arrival, F.lit(None).alias("_sample"), payload.alias("_request"))
     timeline = facts.unionByName(asks)
-    guarded = segments.scan(
-        timeline, keys, arrival, max_before={"_newest": F.when(F.col("_sample").isNotNull(), F.col(ts))}, span=span
+    looked = segments.scan(timeline, keys, arrival, running_max={"_latest": F.col("_sample")}, span=span).where(
+        "_request is not null"
     )
-    current = F.when(F.col("_newest").isNull() | (F.col(ts) > F.col("_newest")), F.col("_sample"))
-    looked = segments.scan(guarded, keys, arrival, last={"_latest": current}, span=span).where("_request is not null")
     age = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_latest.sample_ts"))
     fresh = age <= F.lit(int(fresh_seconds * 1_000_000))
     columns = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators import segments
@@ -29,15 +29,39 @@ def debounce(
     """One row per burst: ``fire_ts`` (gap after the last event), event count, first and last arrival.
 
     A burst ends when more than ``gap_seconds`` pass without an event; events exactly the gap apart stay together, as
-    ``session_window`` has it. Bursts are numbered by their first event with two ordered scans and then aggregated with
+    ``session_window`` has it. Bursts are numbered by their first event with an ordered scan and then aggregated with
     partial aggregation, so neither a hot key nor an endless burst ends up in one task. ``ts`` must not decrease with
     ``arrival``.
     """
     gap = F.lit(int(gap_seconds * 1_000_000))
-    lagged = segments.scan(events, keys, arrival, prev={"_prev_ts": F.col(ts)}, span=span)
-    quiet = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_prev_ts")) > gap
-    starts = F.when(F.col("_prev_ts").isNull() | quiet, F.col(arrival))
-    numbered = segments.scan(lagged, keys, arrival, last={"first_arrival": starts}, span=span)
+    clock = F.unix_micros(F.col(ts))
+    window = segments.inside(keys, arrival)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.lag(clock).over(window)
+    across = segments.across(keys)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    # inside a segment a burst starts after a long gap; whether the segment's first event starts one shows only in
+    # the last event of the segment before
+    local = {"_opens": F.when(clock - before > gap, F.col(arrival))}
+    opens_first = F.col("_head_ts") - F.lag("_tail_ts").over(across) > gap
+    rows = segments.two_level(
+        events,
+        keys,
+        arrival,
+        local=local,
+        summary={
+            "_head": F.min(arrival),
+            "_head_ts": F.min(clock),
+            "_tail_ts": F.max(clock),
+            "_last_open": F.max("_opens"),
+        },
+        carry=[
+            {"_head_open": F.when(F.coalesce(opens_first, F.lit(True)), F.col("_head"))},
+            {"_entering": F.coalesce("_head_open", F.max(F.coalesce("_last_open", "_head_open")).over(earlier))},
+        ],
+        span=span,
+    )
+    numbered = rows.withColumn("first_arrival", F.coalesce(F.max("_opens").over(upto), F.col("_entering")))
     return (
         numbered.groupBy(*keys, "first_arrival")
         .agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,15 +43,21 @@ def local_session(name: str = "siftnet", cores: int | str = "*", shuffle_partiti
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a session without the setting (a local test)
-    gets a folder of its own.
+    Only a session without that setting (a local test) gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="siftnet-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder, in one pass, and read it back."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftnet-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/siftnet-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
