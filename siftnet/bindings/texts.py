@@ -173,8 +173,8 @@ def bridge_names(spark, sf_dir):
 @query(
     "config_documents",
     """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN length(text) + 23 END AS xml_length, CASE doc_id % 4 WHEN 2 THEN 'no config in output' WHEN 3 THEN 'incomplete config' END AS xml_reason,
-  CASE WHEN doc_id % 4 = 0 THEN length(text) + 28 WHEN doc_id % 4 = 1 THEN length(text) + 17 END AS paloalto_length,
-  length(text) + 21 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 0 END AS trimmed_length FROM documents""",
+  CASE WHEN doc_id % 4 = 0 THEN length(text) + 27 WHEN doc_id % 4 = 1 THEN length(text) + 17 END AS paloalto_length,
+  length(text) + 21 AS trimmed_length FROM documents""",
 )
 def config_documents(spark, sf_dir):
     opening = F.expr("case doc_id % 4 when 2 then '<nothing>' else '<opnsense>' end")

@@ -81,7 +81,7 @@ def canonical_mac(text: Column) -> Column:
 
 def process_list(output: Column) -> Column:
     """Array of (name, pid, cpu, mem, command) from the lines after the summary line."""
-    trimmed = F.filter(F.transform(lines(output), F.trim), lambda line: line != "")
+    trimmed = F.filter(F.transform(lines(output), lambda line: F.trim(line)), lambda line: line != "")
     start = F.array_position(
         F.transform(
             trimmed, lambda line: line.contains("Run Time:") | (line.contains("U,") & line.contains("T,"))
@@ -389,7 +389,7 @@ def bridge_names(output: Column) -> Column:
 
 
 def freebsd_bridge_names(output: Column) -> Column:
-    names = F.filter(F.transform(lines(output, pager=False), F.trim), lambda n: n.rlike(SAFE_NAME))
+    names = F.filter(F.transform(lines(output, pager=False), lambda line: F.trim(line)), lambda n: n.rlike(SAFE_NAME))
     return F.slice(F.array_distinct(names), 1, MAX_BRIDGES)
 
 
