@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a table is a single small file, as the test tables are; a table of many files is left as it
+    is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if files < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as telemetry: device = user, arrival order = event id, times as instants."""
     rows = table(spark, sf_dir, "events")

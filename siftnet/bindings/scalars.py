@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftnet.bindings.registry import EVENTS_SQL, events, query, table
+from siftnet.bindings.registry import EVENTS_SQL, events, query, spread, table
 from siftnet.functions import net, text
 from siftnet.operators import dedup, filters, flows, lookups, snmp, syslog
 from siftnet.sources import readers, sinks
@@ -24,7 +24,7 @@ def ip_sql(key: str) -> str:
 
 def syslog_lines(spark, sf_dir):
     """One line per order, with the layouts, host names and defects the parser must tell apart."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     day = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss")
     return o.select(
         F.col("o_orderkey").alias("arrival_no"),

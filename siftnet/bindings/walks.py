@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftnet.bindings.registry import query, table
+from siftnet.bindings.registry import query, spread, table
 from siftnet.bindings.scalars import ip_expr, ip_sql
 from siftnet.operators import lookups, oids, snmp, topology, traps
 
@@ -34,7 +34,7 @@ def pdus(rows, columns: dict[str, str], cells: dict[str, tuple[str, str]], *, in
 
 
 def parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").withColumn("device_id", F.expr("p_partkey div 16"))
+    return spread(table(spark, sf_dir, "part")).withColumn("device_id", F.expr("p_partkey div 16"))
 
 
 def wide(df, *names):

@@ -13,6 +13,11 @@ IPV4_PATTERN = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4
 ALL_ONES = 0xFFFFFFFF
 
 
+def hex_digits(value: Column) -> Column:
+    """Lower-case hex digits, without the locale rules of ``lower``."""
+    return F.translate(F.hex(value), "ABCDEF", "abcdef")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once. Used where a long expression would otherwise be repeated inside
     itself and the plan would grow with every repetition."""
@@ -68,7 +73,29 @@ def _ipv6_digits_text(digits: Column) -> Column:
 
 def ipv6_from_bytes(data: Column) -> Column:
     """16 bytes as text, null for any other length."""
-    return F.when(F.length(data) == 16, let(F.lower(F.hex(data)), _ipv6_digits_text))
+    return F.when(F.length(data) == 16, let(hex_digits(data), _ipv6_digits_text))
+
+
+def ipv4_from_octets(array: Column, offset: int | Column) -> Column:
+    """Four octets of an array as text, null past its end."""
+    parts = [F.get(array, (offset if isinstance(offset, Column) else F.lit(offset)) + i) for i in range(4)]
+    return F.when(parts[3].isNotNull(), F.concat_ws(".", *[p.cast("string") for p in parts]))
+
+
+def ipv6_from_octets(array: Column, offset: int | Column) -> Column:
+    """Sixteen octets of an array as text, null past its end."""
+    start = offset if isinstance(offset, Column) else F.lit(offset)
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.get(array, start + i * 2).cast("int") * 256 + F.get(array, start + i * 2 + 1).cast("int"),
+    )
+
+    def written(groups: Column) -> Column:
+        mapped = (F.array_position(groups, 65535) == 6) & F.forall(F.slice(groups, 1, 5), lambda g: g == 0)
+        text = F.concat(F.lit(":"), F.array_join(F.transform(groups, lambda g: hex_digits(g)), ":"), F.lit(":"))
+        return F.when(mapped, ipv4_from_octets(array, start + 12)).otherwise(let(text, _compress))
+
+    return F.when(F.get(array, start + 15).isNotNull(), let(pairs, written))
 
 
 def ip_from_bytes(data: Column) -> Column:
@@ -79,7 +106,7 @@ def ip_from_bytes(data: Column) -> Column:
 def _plain_ipv6(text: Column) -> Column:
     """A dotted-quad tail rewritten as two hex groups."""
     tail = F.regexp_extract(text, r":([0-9.]+)$", 1)
-    digits = F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0"))
+    digits = F.lpad(hex_digits(ipv4_number(tail)), 8, "0")
     head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
     dotted = let(digits, lambda d: F.concat(head, F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))
     return F.when(F.instr(text, ".") > 0, dotted).otherwise(text)

@@ -111,43 +111,74 @@ def bucket_rows(clock: np.ndarray, cost: int, capacity: int, entering: int) -> n
 # ------------------------------------------------------------------------------------------------- shared replay
 
 
+def _per_group(rows: DataFrame, group: list[str], arrival: str, schema: T.StructType, work) -> DataFrame:
+    """``work(key, frame)`` for every group, its rows in arrival order.
+
+    Partitions are sorted and streamed; only the group at the end of a batch is held until it is complete. Many small
+    groups share a batch, which a grouped map would send one by one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            starts = _starts(frame, group)
+            held = frame.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield pd.concat([one(frame.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:])], ignore_index=True)
+        if held is not None and len(held):
+            yield one(held)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return work(tuple(frame[name].iloc[0] for name in group), frame)
+
+    placed = rows.repartition(*group).sortWithinPartitions(*group, arrival)
+    return placed.mapInPandas(run, schema)
+
+
+def _starts(frame: pd.DataFrame, group: list[str]) -> list[int]:
+    """Positions where a new group begins."""
+    changed = np.zeros(len(frame), dtype=bool)
+    changed[0] = True
+    for name in group:
+        values = frame[name].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(changed).tolist()
+
+
 def _replay(rows: DataFrame, keys: list[str], arrival: str, span: int, transition, apply, replay) -> DataFrame:
     """(keys, arrival) of the accepted rows. ``rows`` carries ``_clock`` (BIGINT)."""
     group = [*keys, segments.SEGMENT]
     narrow = segments.with_segment(rows, arrival, span).select(*group, arrival, "_clock")
     key_fields = [narrow.schema[k] for k in group]
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        clock = pdf.sort_values(arrival)["_clock"].to_numpy()
-        parts = [np.asarray(p, dtype=np.int64).tolist() for p in transition(clock)]
+    def summarise(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.asarray(p, dtype=np.int64).tolist() for p in transition(frame["_clock"].to_numpy())]
         return pd.DataFrame([[*key, parts]], columns=[*group, "_parts"])
 
     summary_type = T.StructType([*key_fields, T.StructField("_parts", T.ArrayType(T.ArrayType(T.LongType())))])
-    summaries = narrow.groupBy(*group).applyInPandas(summarise, summary_type)
+    summaries = _per_group(narrow, group, arrival, summary_type, summarise)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, NEVER
-        for pdf in batches:
+        for frame in batches:
             entering = []
-            for *key, parts in pdf[[*keys, "_parts"]].itertuples(index=False, name=None):
+            for *key, parts in frame[[*keys, "_parts"]].itertuples(index=False, name=None):
                 if key != current:
                     current, state = key, NEVER
                 entering.append(state)
                 state = apply(state, [np.asarray(p, dtype=np.int64) for p in parts])
-            yield pdf[group].assign(_entering=np.asarray(entering, dtype=np.int64))
+            yield frame[group].assign(_entering=np.asarray(entering, dtype=np.int64))
 
     entering_type = T.StructType([*key_fields, T.StructField("_entering", T.LongType())])
-    entering = (
-        summaries.repartition(*keys).sortWithinPartitions(*group).mapInPandas(chain, entering_type)
-    )
+    entering = summaries.repartition(*keys).sortWithinPartitions(*group).mapInPandas(chain, entering_type)
 
-    def accepted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(arrival)
-        keep = replay(pdf["_clock"].to_numpy(), int(pdf["_entering"].iloc[0]))
-        return pdf.loc[keep, [*keys, arrival]]
+    def accepted(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        keep = replay(frame["_clock"].to_numpy(), int(frame["_entering"].iloc[0]))
+        return frame.loc[keep, [*keys, arrival]]
 
     accepted_type = T.StructType([*(rows.schema[k] for k in keys), rows.schema[arrival]])
-    return narrow.join(entering, group).groupBy(*group).applyInPandas(accepted, accepted_type)
+    return _per_group(narrow.join(entering, group), group, arrival, accepted_type, accepted)
 
 
 def accept_spaced(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftnet.functions import net
-from siftnet.functions.binary import cut, low_bits, uint
+from siftnet.functions.binary import cut, low_bits, number, octet, octets, uint
 from siftnet.operators import filters
 from siftnet.operators.flows import scaled
 
@@ -101,80 +101,78 @@ def samples(datagrams: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------------------------------- packet headers
 
 
-def _vlan_walk(header: Column) -> Column:
+def _vlan_walk(o: Column) -> Column:
     """Struct (ethertype, offset) after all stacked tags; ethertype null if the header ends inside a tag."""
-    start = F.struct(uint(header, 12, 2).alias("ethertype"), F.lit(14).alias("offset"))
-    tags = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(header) / 4).cast("int")))
+    start = F.struct(number(o, 12, 2).alias("ethertype"), F.lit(14).alias("offset"))
+    tags = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(o) / 4).cast("int")))
 
     def step(state: Column, _: Column) -> Column:
         tagged = F.coalesce(state["ethertype"].isin(VLAN_TYPES), F.lit(False))
-        fits = state["offset"] + 4 <= F.length(header)
-        following = F.when(fits, uint(header, state["offset"] + 2, 2))
-        return F.when(
-            tagged, F.struct(following.alias("ethertype"), (state["offset"] + 4).alias("offset"))
-        ).otherwise(state)
+        following = number(o, state["offset"] + 2, 2)
+        moved = F.struct(following.alias("ethertype"), (state["offset"] + 4).alias("offset"))
+        return F.when(tagged, moved).otherwise(state)
 
     # most frames carry no tag, and then nothing is walked
-    tagged = F.coalesce(uint(header, 12, 2).isin(VLAN_TYPES), F.lit(False))
+    tagged = F.coalesce(number(o, 12, 2).isin(VLAN_TYPES), F.lit(False))
     return F.when(tagged, F.aggregate(tags, start, step)).otherwise(start)
 
 
-def _ipv6_walk(packet: Column) -> Column:
-    """Struct (protocol, offset) after at most eight extension headers."""
-    start = F.struct(uint(packet, 6, 1).alias("protocol"), F.lit(40).cast("bigint").alias("offset"), F.lit(False).alias("done"))
+def _ipv6_walk(o: Column, base: Column) -> Column:
+    """Struct (protocol, offset) of the payload after at most eight extension headers."""
+    start = F.struct(octet(o, base + 6).alias("protocol"), (base + 40).cast("int").alias("offset"), F.lit(False).alias("done"))
 
     def step(state: Column, _: Column) -> Column:
         protocol, offset = state["protocol"], state["offset"]
-        walkable = ~state["done"] & protocol.isin(EXTENSION_HEADERS) & (offset + 2 <= F.length(packet))
-        units = uint(packet, offset.cast("int") + 1, 1)
+        units = octet(o, offset + 1)
+        walkable = ~state["done"] & protocol.isin(EXTENSION_HEADERS) & units.isNotNull()
         length = (
             F.when(protocol == FRAGMENT, F.lit(8).cast("bigint"))
             .when(protocol == AUTHENTICATION, (units + 2) * 4)
             .otherwise((units + 1) * 8)
         )
         moved = F.struct(
-            uint(packet, offset.cast("int"), 1).alias("protocol"), (offset + length).alias("offset"), F.lit(False).alias("done")
+            octet(o, offset).alias("protocol"), (offset + length).cast("int").alias("offset"), F.lit(False).alias("done")
         )
         stopped = F.struct(protocol.alias("protocol"), offset.alias("offset"), F.lit(True).alias("done"))
-        return F.when(walkable, moved).otherwise(stopped)
+        return F.when(F.coalesce(walkable, F.lit(False)), moved).otherwise(stopped)
 
-    extended = uint(packet, 6, 1).isin(EXTENSION_HEADERS)
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSION_HEADERS)), start, step)
-    return F.when(extended, walked).otherwise(start)
+    return F.when(octet(o, base + 6).isin(EXTENSION_HEADERS), walked).otherwise(start)
 
 
 def packet_columns(rows: DataFrame, header: str) -> DataFrame:
-    """Add src_addr, dst_addr, protocol, src_port, dst_port, tcp_flags of a sampled Ethernet header."""
-    h = F.col(header)
+    """Add src_addr, dst_addr, protocol, src_port, dst_port, tcp_flags of a sampled Ethernet header, given as an array of
+    octets."""
+    o, size = F.col(header), F.size(F.col(header))
     c = F.col
-    tagged = rows.withColumn("_eth", F.when(F.length(h) >= 14, _vlan_walk(h)))
-    packet = tagged.withColumn("_packet", F.expr(f"substring({header}, _eth.offset + 1)"))
-    p = c("_packet")
-    ihl = low_bits(uint(p, 0, 1), 4) * 4
-    is_v4 = (c("_eth.ethertype") == IPV4_TYPE) & (F.length(p) >= 20) & (ihl >= 20) & (F.length(p) >= ihl)
-    outer = packet.withColumn("_v4", F.coalesce(is_v4, F.lit(False))).withColumn("_ihl", ihl.cast("int"))
-    tunnelled = c("_v4") & (uint(p, 9, 1) == TUNNELLED_IPV6)
-    inner = outer.withColumn(
-        "_six",
-        F.when(c("_eth.ethertype") == IPV6_TYPE, p).when(tunnelled, F.expr("substring(_packet, _ihl + 1)")),
-    ).withColumn("_v6", F.coalesce(F.length("_six") >= 40, F.lit(False)))
-    walked = inner.withColumn("_ext", F.when(c("_v6"), _ipv6_walk(c("_six"))))
-    protocol = F.when(c("_v6"), c("_ext.protocol")).when(c("_v4"), uint(p, 9, 1))
-    rest = F.when(c("_v6"), F.expr("substring(_six, int(_ext.offset) + 1)")).when(
-        c("_v4") & ~tunnelled, F.expr("substring(_packet, _ihl + 1)")
-    )
-    layered = walked.withColumn("protocol", protocol).withColumn("_l4", rest)
-    tcp = (c("protocol") == TCP) & (F.length("_l4") >= 14)
-    udp = (c("protocol") == UDP) & (F.length("_l4") >= 4)
-    source = F.when(c("_v6"), net.ipv6_from_bytes(cut(c("_six"), 8, 16))).when(c("_v4"), net.ipv4_from_bytes(p, 12))
-    target = F.when(c("_v6"), net.ipv6_from_bytes(cut(c("_six"), 24, 16))).when(c("_v4"), net.ipv4_from_bytes(p, 16))
+    framed = rows.withColumn("_eth", F.when(size >= 14, _vlan_walk(o)))
+    p = c("_eth.offset")
+    ihl = low_bits(octet(o, p), 4) * 4
+    is_v4 = (c("_eth.ethertype") == IPV4_TYPE) & (size - p >= 20) & (ihl >= 20) & (size - p >= ihl)
+    outer = framed.withColumns({"_p": p, "_v4": F.coalesce(is_v4, F.lit(False)), "_ihl": ihl.cast("int")})
+    tunnelled = c("_v4") & (octet(o, c("_p") + 9) == TUNNELLED_IPV6)
+    inner = F.when(c("_eth.ethertype") == IPV6_TYPE, c("_p")).when(tunnelled, c("_p") + c("_ihl"))
+    based = outer.withColumns({"_tunnel": tunnelled, "_six": inner})
+    based = based.withColumn("_v6", F.coalesce(size - c("_six") >= 40, F.lit(False)))
+    walked = based.withColumn("_ext", F.when(c("_v6"), _ipv6_walk(o, c("_six"))))
+    protocol = F.when(c("_v6"), c("_ext.protocol")).when(c("_v4"), octet(o, c("_p") + 9))
+    rest = F.when(c("_v6"), c("_ext.offset")).when(c("_v4") & ~c("_tunnel"), c("_p") + c("_ihl"))
+    layered = walked.withColumns({"protocol": protocol, "_l4": rest})
+    left = size - c("_l4")
+    tcp = (c("protocol") == TCP) & (left >= 14)
+    udp = (c("protocol") == UDP) & (left >= 4)
+
+    def address(in_v6: int, in_v4: int) -> Column:
+        six = net.ipv6_from_octets(o, c("_six") + in_v6)
+        return F.when(c("_v6"), six).when(c("_v4"), net.ipv4_from_octets(o, c("_p") + in_v4))
+
     decoded = F.struct(
-        source.alias("src_addr"),
-        target.alias("dst_addr"),
+        address(8, 12).alias("src_addr"),
+        address(24, 16).alias("dst_addr"),
         F.col("protocol"),
-        F.when(tcp | udp, uint(c("_l4"), 0, 2)).alias("src_port"),
-        F.when(tcp | udp, uint(c("_l4"), 2, 2)).alias("dst_port"),
-        F.when(tcp, uint(c("_l4"), 13, 1)).alias("tcp_flags"),
+        F.when(tcp | udp, number(o, c("_l4"), 2)).alias("src_port"),
+        F.when(tcp | udp, number(o, c("_l4") + 2, 2)).alias("dst_port"),
+        F.when(tcp, octet(o, c("_l4") + 13)).alias("tcp_flags"),
     )
     # a generator, so that later filters on the result are not rewritten into the whole decoding chain
     return layered.select(*rows.columns, F.inline(F.array(decoded)))
@@ -183,23 +181,25 @@ def packet_columns(rows: DataFrame, header: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------- BGP records
 
 
-def gateway_columns(record: Column) -> Column:
-    """Struct (next_hop, src_as, dst_as, as_path) of an extended-gateway record; a short record keeps what it had."""
-    size = F.length(record)
-    family = uint(record, 0, 4)
-    address = F.when(family == 1, 4).when(family == 2, 16)
-    src_as = uint(record, address + 8, 4)
-    count = F.least(uint(record, address + 16, 4), F.lit(MAX_PATH_SEGMENTS))
+def with_gateway(rows: DataFrame, record: str) -> DataFrame:
+    """Add ``_bgp``: struct (next_hop, src_as, dst_as, as_path) of an extended-gateway record, given as an array of
+    octets; a short record keeps what it had."""
+    o, size = F.col(record), F.size(F.col(record))
+    family = number(o, 0, 4)
+    sized = rows.withColumn("_a", F.when(family == 1, 4).when(family == 2, 16))
+    address = F.col("_a")
+    count = F.least(number(o, address + 16, 4), F.lit(MAX_PATH_SEGMENTS))
+    counted = sized.withColumn("_segments", count.cast("int"))
     start = F.struct(
-        (address + 20).cast("bigint").alias("offset"),
+        (address + 20).alias("offset"),
         F.array().cast("array<bigint>").alias("path"),
-        (uint(record, address + 16, 4).isNotNull()).alias("whole"),
+        F.col("_segments").isNotNull().alias("whole"),
     )
 
-    def segment(state: Column, number: Column) -> Column:
+    def segment(state: Column, _: Column) -> Column:
         offset = state["offset"]
-        active = state["whole"] & (number <= count) & (offset < size)
-        length = F.least(uint(record, offset.cast("int") + 4, 4), F.lit(MAX_SEGMENT_LENGTH))
+        active = state["whole"] & (offset < size)
+        length = F.least(number(o, offset + 4, 4), F.lit(MAX_SEGMENT_LENGTH))
         left = size - offset - 8
         fitting = F.least(length, F.floor(left / 4))
         # a list that ends exactly with the record is kept, one that breaks off inside a number is not
@@ -207,39 +207,42 @@ def gateway_columns(record: Column) -> Column:
         numbers = F.when(
             F.coalesce(fitting, F.lit(0)) > 0,
             F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.greatest(fitting, F.lit(1)) - 1),
-                lambda i: uint(record, (offset + 8 + i * 4).cast("int"), 4),
+                F.sequence(F.lit(0), F.greatest(fitting, F.lit(1)).cast("int") - 1),
+                lambda i: number(o, offset + 8 + i * 4, 4),
             ),
         ).otherwise(F.array().cast("array<bigint>"))
         moved = F.struct(
-            (offset + 8 + F.coalesce(fitting, F.lit(0)) * 4).alias("offset"),
+            (offset + 8 + F.coalesce(fitting, F.lit(0)) * 4).cast("int").alias("offset"),
             F.concat(state["path"], numbers).alias("path"),
             whole.alias("whole"),
         )
-        return F.when(active, moved).otherwise(state)
-
-    numbers = F.sequence(F.lit(1), F.greatest(F.coalesce(count, F.lit(1)), F.lit(1)).cast("int"))
-    walked = F.aggregate(numbers, start, segment)
-
-    def with_path(state: Column) -> Column:
-        path = F.when(state["whole"] & (F.size(state["path"]) > 0), state["path"])
-        return F.struct(
-            net.ip_from_bytes(cut(record, 4, address)).alias("next_hop"),
-            src_as.alias("src_as"),
-            F.try_element_at(path, F.lit(-1)).alias("dst_as"),
-            F.array_join(F.transform(path, lambda v: v.cast("string")), " ").alias("as_path"),
-        )
+        return F.when(F.coalesce(active, F.lit(False)), moved).otherwise(state)
 
-    return F.when(record.isNotNull(), net.let(walked, with_path))
+    numbers = F.sequence(F.lit(1), F.greatest(F.coalesce("_segments", F.lit(1)), F.lit(1)))
+    walked = counted.withColumn("_path", F.when(o.isNotNull(), F.aggregate(numbers, start, segment)))
+    kept = F.when(F.col("_path.whole") & (F.size("_path.path") > 0), F.col("_path.path"))
+    pathed = walked.withColumn("_path", kept)
+    hop = F.when(address == 4, net.ipv4_from_octets(o, 4)).when(address == 16, net.ipv6_from_octets(o, 4))
+    decoded = F.struct(
+        hop.alias("next_hop"),
+        number(o, address + 8, 4).alias("src_as"),
+        F.try_element_at("_path", F.lit(-1)).alias("dst_as"),
+        F.array_join(F.transform("_path", lambda v: v.cast("string")), " ").alias("as_path"),
+    )
+    return pathed.withColumn("_bgp", F.when(o.isNotNull(), decoded)).drop("_a", "_segments", "_path")
 
 
 # ------------------------------------------------------------------------------------------------------ flow samples
 
+#: Longest fixed part of a sample.
+SAMPLE_HEAD = 44
+
 
 def flow_samples(sample_rows: DataFrame) -> DataFrame:
     """``flow_samples`` rows of formats 1 and 3. A sample whose record list breaks off gives no row."""
     rows = sample_rows.where(F.col("format").isin(FLOW_SAMPLE, FLOW_SAMPLE_EXPANDED))
-    body = F.col("body")
+    rows = rows.withColumn("_o", octets(cut(F.col("body"), 0, SAMPLE_HEAD)))
+    o = F.col("_o")
     plain = F.col("format") == FLOW_SAMPLE
     base = F.when(plain, 8).otherwise(12)
     header = rows.select(
@@ -248,11 +251,11 @@ def flow_samples(sample_rows: DataFrame) -> DataFrame:
         "agent",
         "sequence",
         "sample_no",
-        uint(body, base, 4).alias("sampling_rate"),
-        uint(body, base + 8, 4).alias("drops"),
-        F.when(plain, low_bits(uint(body, base + 12, 4), 30)).otherwise(uint(body, base + 16, 4)).alias("input_if_index"),
-        F.when(plain, low_bits(uint(body, base + 16, 4), 30)).otherwise(uint(body, base + 24, 4)).alias("output_if_index"),
-        uint(body, F.when(plain, base + 20).otherwise(base + 28), 4).alias("_count"),
+        number(o, base, 4).alias("sampling_rate"),
+        number(o, base + 8, 4).alias("drops"),
+        F.when(plain, low_bits(number(o, base + 12, 4), 30)).otherwise(number(o, base + 16, 4)).alias("input_if_index"),
+        F.when(plain, low_bits(number(o, base + 16, 4), 30)).otherwise(number(o, base + 24, 4)).alias("output_if_index"),
+        number(o, F.when(plain, base + 20).otherwise(base + 28), 4).alias("_count"),
         F.when(plain, base + 24).otherwise(base + 32).alias("_start"),
         "body",
     )
@@ -261,15 +264,17 @@ def flow_samples(sample_rows: DataFrame) -> DataFrame:
     def last_of(tag: int) -> Column:
         return F.try_element_at(F.filter("_w.items", lambda i: i["tag"] == tag), F.lit(-1))["body"]
 
-    raw = last_of(RAW_HEADER)
-    kept = walked.withColumn("_raw", raw).withColumn("_bgp", gateway_columns(last_of(GATEWAY)))
-    size = uint(F.col("_raw"), 12, 4)
-    fits = F.length("_raw") >= 16 + size
-    ethernet = uint(F.col("_raw"), 0, 4) == ETHERNET
-    kept = kept.withColumn("_frame", F.when(fits, uint(F.col("_raw"), 4, 4))).withColumn(
-        "_header", F.when(fits & ethernet, cut(F.col("_raw"), 16, size.cast("int")))
-    )
-    decoded = packet_columns(kept, "_header").where(filters.has_address())
+    listed = walked.drop("body").withColumns({"_raw": octets(last_of(RAW_HEADER)), "_gateway": octets(last_of(GATEWAY))})
+    raw = F.col("_raw")
+    fits = F.size(raw) >= 16 + number(raw, 12, 4)
+    ethernet = number(raw, 0, 4) == ETHERNET
+    framed = listed.withColumns(
+        {
+            "_frame": F.when(fits, number(raw, 4, 4)),
+            "_header": F.when(fits & ethernet, F.slice(raw, F.lit(17), number(raw, 12, 4).cast("int"))),
+        }
+    ).drop("_w", "_raw")
+    decoded = packet_columns(with_gateway(framed, "_gateway"), "_header").where(filters.has_address())
     rate, frame = F.col("sampling_rate"), F.coalesce("_frame", F.lit(0))
     sampled = (frame > 0) & (rate > 1)
     return decoded.select(
@@ -320,23 +325,24 @@ def interface_counters(sample_rows: DataFrame) -> DataFrame:
     records = walked.select(
         "arrival_no", "recv_ts", "agent", "sample_no", "_source", F.posexplode("_w.items").alias("record_no", "_i")
     ).where(F.col("_i.tag") == IF_COUNTERS)
-    r = F.col("_i.body")
-    own = uint(r, 0, 4)
-    return records.where(F.length(r) >= 84).select(
+    records = records.where(F.length("_i.body") >= 84).withColumn("_o", octets(cut(F.col("_i.body"), 0, 84)))
+    r = F.col("_o")
+    own = number(r, 0, 4)
+    return records.select(
         "arrival_no",
         "sample_no",
         "record_no",
         F.col("recv_ts").alias("timestamp"),
         F.col("agent").alias("sampler_address"),
         F.when(own == 0, F.col("_source")).otherwise(own).alias("if_index"),
-        uint(r, 4, 4).alias("if_type"),
-        uint(r, 8, 8).alias("if_speed"),
-        uint(r, 16, 4).alias("if_direction"),
-        uint(r, 20, 4).alias("if_status"),
-        uint(r, 24, 8).alias("in_octets"),
-        uint(r, 44, 4).alias("in_discards"),
-        uint(r, 48, 4).alias("in_errors"),
-        uint(r, 56, 8).alias("out_octets"),
-        uint(r, 76, 4).alias("out_discards"),
-        uint(r, 80, 4).alias("out_errors"),
+        number(r, 4, 4).alias("if_type"),
+        number(r, 8, 8).alias("if_speed"),
+        number(r, 16, 4).alias("if_direction"),
+        number(r, 20, 4).alias("if_status"),
+        number(r, 24, 8).alias("in_octets"),
+        number(r, 44, 4).alias("in_discards"),
+        number(r, 48, 4).alias("in_errors"),
+        number(r, 56, 8).alias("out_octets"),
+        number(r, 76, 4).alias("out_discards"),
+        number(r, 80, 4).alias("out_errors"),
     )

@@ -63,7 +63,7 @@ def fdb_mac(suffix: Column, *, with_vlan: bool) -> tuple[Column, Column]:
     shaped = (F.size(parts) == (7 if with_vlan else 6)) & F.forall(
         numbers, lambda n: F.coalesce(n.between(0, 255), F.lit(False))
     )
-    digits = F.array_join(F.transform(numbers, lambda n: F.lpad(F.lower(F.hex(n)), 2, "0")), ":")
+    digits = F.array_join(F.transform(numbers, lambda n: F.lpad(net.hex_digits(n), 2, "0")), ":")
     vlan = _part(parts, 0).try_cast("int") if with_vlan else F.lit(0)
     return F.when(shaped & vlan.isNotNull(), digits), vlan
 
