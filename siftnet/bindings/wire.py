@@ -498,7 +498,7 @@ SELECT l_orderkey AS arrival_no, {dotted(f'{IP10} + l_orderkey % 65536')} AS sam
   CASE WHEN bgp THEN l_linenumber || ' 65001 ' || l_partkey END AS as_path FROM l""",
 )
 def sflow_flows(spark, sf_dir):
-    return plan.sflow_flows(sflow_datagrams(spark, sf_dir)).drop("timestamp", "sample_no", "sequence_number", "flow_source")
+    return plan.sflow_flows(sflow_datagrams(spark, sf_dir)).drop("timestamp", "recv_ts", "sample_no", "sequence_number", "flow_source")
 
 
 @query(

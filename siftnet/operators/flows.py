@@ -265,6 +265,7 @@ def v5_flows(records: DataFrame) -> DataFrame:
     rows = records.withColumn("_t", times).select(
         "arrival_no",
         "record_no",
+        "recv_ts",
         F.col("exporter").alias("sampler_address"),
         F.col("sequence").alias("sequence_number"),
         "sampling_rate",
@@ -348,6 +349,7 @@ def template_flows(records: DataFrame) -> DataFrame:
         "arrival_no",
         "set_order",
         "record_no",
+        "recv_ts",
         c("exporter").alias("sampler_address"),
         c("sequence").alias("sequence_number"),
         "sampling_rate",

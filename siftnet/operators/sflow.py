@@ -280,6 +280,7 @@ def flow_samples(sample_rows: DataFrame) -> DataFrame:
     return decoded.select(
         "arrival_no",
         "sample_no",
+        "recv_ts",
         F.col("recv_ts").alias("timestamp"),
         F.col("agent").alias("sampler_address"),
         F.col("sequence").alias("sequence_number"),

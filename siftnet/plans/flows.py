@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftnet.operators import datagrams, dedup, flows, lookups, sequence, sflow
+from siftnet.operators import datagrams, dedup, flows, lookups, segments, sequence, sflow
 from siftnet.session import checkpointed
 
 
@@ -45,19 +45,24 @@ def flow_samples(
     policy: str = "off",
     overrides: DataFrame | None = None,
 ) -> DataFrame:
-    """The canonical flow table of both listeners: decoded, scaled, resolved to devices and deduplicated."""
+    """The canonical flow table of both listeners: decoded, scaled, resolved to devices and deduplicated.
+
+    Both captures carry arrival numbers from one sequence.
+    """
     rows = (
         v5_flows(netflow)
         .unionByName(template_flows(netflow, overrides), allowMissingColumns=True)
         .unionByName(sflow_flows(sflow_datagrams), allowMissingColumns=True)
     )
-    # several flows share a datagram; their order inside it does not matter to deduplication, but it must be unique
-    numbered = rows.withColumn("device_id", F.lit(0).cast("bigint"))
-    resolved = lookups.stamp(numbered, devices, addresses, probe_id=probe_id, ip="sampler_address")
+    unresolved = rows.withColumn("device_id", F.lit(0).cast("bigint"))
+    resolved = lookups.stamp(unresolved, devices, addresses, probe_id=probe_id, ip="sampler_address")
     keyed = resolved.withColumn("dedup_key", dedup.dedup_key(F.col("device_id"), F.col("sampler_address"))).withColumn(
         "family", dedup.export_family(F.col("flow_source"))
     )
-    return flows.flow_samples(dedup.deduplicate(keyed, policy, ts="timestamp"))
+    # flows of one datagram share its arrival number and receive time, so their order does not matter; a segment counts
+    # datagrams, each with some 30 flows
+    kept = dedup.deduplicate(keyed, policy, ts="recv_ts", span=segments.SEGMENT_SPAN // 32)
+    return flows.flow_samples(kept)
 
 
 def parse_events(captured: DataFrame) -> DataFrame:

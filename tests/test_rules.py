@@ -272,6 +272,27 @@ def test_sflow_tunnel_and_broken_samples(spark, rows):
     ]
 
 
+def test_both_listeners_end_to_end(spark, rows):
+    record = bytes([172, 16, 0, 1, 172, 16, 0, 2, 0, 0, 0, 0]) + struct.pack(">HHIIIIHH", 1, 2, 3, 400, 1000, 2000, 1234, 443) + bytes([0, 2, 6, 0]) + bytes(8)
+    netflow = struct.pack(">HHIIIIBBH", 5, 1, 2000, T0, 0, 1, 0, 0, 0) + record
+    ip = struct.pack(">BBHHHBBH", 0x45, 0, 100, 0, 0, 64, 17, 0) + bytes([172, 16, 0, 3, 172, 16, 0, 4]) + struct.pack(">HH", 53, 53)
+    frame = bytes(12) + struct.pack(">H", 0x0800) + ip
+    raw = struct.pack(">IIII", 1, 90, 0, len(frame)) + frame
+    sample = struct.pack(">IIIIIIII", 1, 2, 1, 0, 0, 1, 2, 1) + struct.pack(">II", 1, len(raw)) + raw
+    first = datagram_frame(spark, [netflow]).withColumn("exporter", F.lit("10.0.0.1"))
+    second = datagram_frame(spark, [b"", sflow_packet([(1, sample)])]).where("arrival_no = 1")
+    devices = spark.createDataFrame([(5, 0, "10.0.0.1")], "id bigint, list_no bigint, ip_address string")
+    addresses = spark.createDataFrame([], "device_id bigint, write_no bigint, ip_address string")
+
+    def table(policy):
+        result = plan.flow_samples(first, second, devices, addresses, probe_id=3, policy=policy)
+        return rows(result, "device_id", "probe_id", "flow_source", "src_addr", "bytes", "drops")
+
+    v5, sampled = (5, 3, 1, "172.16.0.1", 400, 0), (5, 3, 0, "172.16.0.3", 90, 0)
+    assert table("off") == [sampled, v5]
+    assert table("prefer-netflow") == [v5]
+
+
 # ------------------------------------------------------------------------------------------------- texts and tables
 
 
