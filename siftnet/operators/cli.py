@@ -115,8 +115,7 @@ def process_snapshots(captures: DataFrame) -> DataFrame:
 
 
 def interface_errors(captures: DataFrame) -> DataFrame:
-    """One row per ``name:`` block. Only ``rx`` lines are read; the out-counters stay 0, as in the source texts' parser
-    this follows."""
+    """One row per ``name:`` block. Only ``rx`` lines carry counters that are read; the out-counters stay 0."""
     header = r"(?i:name:)[ \t]*\S"
     rows = captures.select(
         *[c for c in captures.columns if c != "output"], F.posexplode(blocks(F.col("output"), header)).alias("block_no", "_b")

@@ -60,21 +60,25 @@ def scan(
     rows = with_segment(df, arrival, span)
     group = [*keys, SEGMENT]
 
+    # plain values, not structs, so that numbers and times are aggregated by hash
     order = F.col(arrival)
     summaries: list[Column] = []
     for name, value in prev.items():
-        summaries.append(F.max_by(F.struct(value.alias("v")), order).alias("_s_" + name))
+        summaries.append(F.max_by(value, order).alias("_s_" + name))
     for name, value in {**last, **last_before}.items():
         # max_by skips rows whose ordering value is null
-        summaries.append(F.max_by(F.struct(value.alias("v")), F.when(value.isNotNull(), order)).alias("_s_" + name))
+        summaries.append(F.max_by(value, F.when(value.isNotNull(), order)).alias("_s_" + name))
     for name, value in {**running_max, **max_before}.items():
         summaries.append(F.max(value).alias("_s_" + name))
     for name, value in running_sum.items():
         summaries.append(F.sum(value).alias("_s_" + name))
 
-    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    by_segment = across(keys)
+    earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
     carried: list[Column] = []
-    for name in [*prev, *last, *last_before]:
+    for name in prev:
+        carried.append(F.lag("_s_" + name).over(by_segment).alias("_c_" + name))
+    for name in [*last, *last_before]:
         carried.append(F.last("_s_" + name, ignorenulls=True).over(earlier).alias("_c_" + name))
     for name in [*running_max, *max_before]:
         carried.append(F.max("_s_" + name).over(earlier).alias("_c_" + name))
@@ -82,19 +86,19 @@ def scan(
         carried.append(F.sum("_s_" + name).over(earlier).alias("_c_" + name))
     carry = rows.groupBy(*group).agg(*summaries).select(*group, *carried)
 
-    inside = Window.partitionBy(*group).orderBy(arrival)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = inside(keys, arrival)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = local.rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(carry, group, "left")
 
     out: dict[str, Column] = {}
     for name, value in prev.items():
-        here = F.lag(F.struct(value.alias("v")), 1).over(inside)
-        out[name] = F.coalesce(here, F.col("_c_" + name))["v"]
+        first = F.lag(F.lit(1)).over(local).isNull()
+        out[name] = F.when(first, F.col("_c_" + name)).otherwise(F.lag(value).over(local))
     for name, value in last.items():
-        out[name] = F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col("_c_" + name)["v"])
+        out[name] = F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col("_c_" + name))
     for name, value in last_before.items():
-        out[name] = F.coalesce(F.last(value, ignorenulls=True).over(before), F.col("_c_" + name)["v"])
+        out[name] = F.coalesce(F.last(value, ignorenulls=True).over(before), F.col("_c_" + name))
     for name, value in running_max.items():
         out[name] = F.greatest(F.max(value).over(upto), F.col("_c_" + name))
     for name, value in max_before.items():
