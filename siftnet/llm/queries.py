@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SUBSTRINGS_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
 h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
 f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
@@ -37,7 +37,7 @@ l AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
 k AS (
   SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(l.gone), 0) AS n_removed,
          CASE WHEN l.gone IS NULL THEN d.w
-              ELSE list_transform(list_filter(range(1, len(d.w) + 1), i -> NOT list_contains(l.gone, i)), i -> d.w[i]) END AS kept
+              ELSE list_transform(list_filter(range(1, len(d.w) + 1), lambda i: NOT list_contains(l.gone, i)), lambda i: d.w[i]) END AS kept
   FROM d LEFT JOIN l USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
