@@ -10,7 +10,7 @@ without survivors ends the search.
 * Later levels look at the windows that contain a surviving shorter one, and only at those.
 * The last level decides by 96 bits of the window's hash.
 
-Whole copies of an earlier text are recognised by the hash of their words and take no part in the levels: what they hold,
+Whole copies of an earlier text are recognised by the hash of their words and are not extended: what they hold,
 their first copy holds. Texts cross the network once, by doc_id; all levels read that one shuffle.
 
 Rows and edge cases: null or blank texts have no words; rows with a null doc_id are left as they are and remove nothing;
@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftnet.llm.words import Words, per_chunk, run_hashes, signed, split, window_hashes, without
+from siftnet.llm.words import Words, long_ids, per_chunk, run_hashes, signed, split, window_hashes, without
+from siftnet.session import checkpointed
 
 ADDED = ("n_words", "n_removed", "kept_sha256")
 #: Shortest length that a level begins with.
@@ -102,18 +103,23 @@ def _covered(words: Words, values: np.ndarray, short: int, length: int, keep: li
     return at[total[at + reach + 1] > total[at]]
 
 
-def _kept(rows: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    column = rows.column(name)
-    return [np.zeros(0, np.uint64) if v is None else np.array(v, np.int64).view(np.uint64) for v in column.to_pylist()]
+def _hashes(rows: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """Lists of hashes, null as empty."""
+    return [np.zeros(0, np.uint64) if v is None else np.array(v, np.int64).view(np.uint64) for v in rows.column(name).to_pylist()]
 
 
-def _next_level(texts: DataFrame, alive: DataFrame, short: int, length: int, dense: bool) -> DataFrame:
-    """(h, g, doc_id): windows of ``length`` words that extend surviving ones."""
+def _is_copy(rows: pa.RecordBatch) -> list[bool]:
+    return [v is not None and t in v for t, v in zip(rows.column("_text").to_pylist(), rows.column("_copies").to_pylist())]
+
+
+def _next_level(texts: DataFrame, marks: DataFrame, short: int, length: int, dense: bool) -> DataFrame:
+    """(h, g, doc_id): windows of ``length`` words that extend surviving ones, without those of whole copies."""
 
     def extended(rows, data, bounds):
         words = split(data, bounds)
         a, b = _values(words)
-        at = _covered(words, a, short, length, _kept(rows, "alive"), dense)
+        alive = [np.zeros(0, np.uint64) if copy else kept for copy, kept in zip(_is_copy(rows), _hashes(rows, "_alive"))]
+        at = _covered(words, a, short, length, alive, dense)
         h, g = run_hashes(a, at, at + length, 0), run_hashes(b, at, at + length, 1)
         owner = words.owner()[at] if len(at) else np.zeros(0, np.int64)
         order = np.lexsort((h, owner))
@@ -125,15 +131,15 @@ def _next_level(texts: DataFrame, alive: DataFrame, short: int, length: int, den
             {"h": signed(h[pick]), "g": (g[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids[owner[pick]].astype(np.int64)}
         )
 
-    return per_chunk(texts.join(alive, "doc_id"), "h long, g int, doc_id long", extended)
+    return per_chunk(texts.join(marks, "doc_id"), "h long, g int, doc_id long", extended)
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
+def _by_document(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.collect_set("h").alias(name))
 
 
 def _whole_copies(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, _text): texts of ``window`` words or more whose word sequence a smaller doc_id has too."""
+    """(doc_id, _copies): hashes of a document's texts of ``window`` words or more whose word sequence a smaller doc_id has."""
 
     def sequence(rows, data, bounds):
         words = split(data, bounds)
@@ -149,9 +155,9 @@ def _whole_copies(texts: DataFrame, window: int) -> DataFrame:
             }
         )
 
-    all_ = per_chunk(texts.select("doc_id", "_text", "text"), "doc_id long, _text long, a long, b long", sequence)
-    first = all_.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return all_.join(first, ["a", "b"]).where("doc_id > first").select("doc_id", "_text", F.lit(True).alias("_copy")).distinct()
+    sequences = per_chunk(texts, "doc_id long, _text long, a long, b long", sequence)
+    first = sequences.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return sequences.join(first, ["a", "b"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("_text").alias("_copies"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED_WORDS, keep_text: bool = True) -> DataFrame:
@@ -160,33 +166,32 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED_WORDS, ke
     Adds n_words, n_removed and kept_sha256 (of the kept words joined by one space). With ``keep_text``, ``text`` becomes the
     kept words joined by one space where words were removed and stays as it was elsewhere; without it, ``text`` goes.
     """
-    docs = without(docs, *ADDED, "_text", "_copy", "_repeated")
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_text", F.xxhash64("text")).repartition("doc_id")
+    docs = long_ids(without(docs, *ADDED, "_text", "_copies", "_alive", "_repeated"))
+    # every use of this table takes all of its columns: the joins on doc_id below then share one shuffle of the texts
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_text", F.xxhash64("text"))
     texts = named.select("doc_id", "_text", "text")
+    copies = checkpointed(_whole_copies(texts, window))
 
-    copies = _whole_copies(texts, window)
-    own = texts.join(copies, ["doc_id", "_text"], "left_anti").select("doc_id", "text")
     steps = lengths(window, seed)
     if len(steps) == 1:
         steps = [window, window]
-    rows = _first_level(own, steps[0], window)
+    rows = _first_level(texts, steps[0], window)
     repeated = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     alive = rows.join(repeated.select("h"), "h")
     for level, (short, length) in enumerate(zip(steps, steps[1:])):
-        rows = _next_level(own, _by_document(alive), short, length, dense=level > 0)
+        marks = _by_document(alive, "_alive").join(copies, "doc_id", "left")
+        rows = _next_level(named, marks, short, length, dense=level > 0)
         repeated = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         alive = rows.join(repeated, ["h", "g"])
-    removed = _by_document(alive.where("doc_id > first")).withColumnRenamed("alive", "_repeated")
+    removed = _by_document(alive.where("doc_id > first"), "_repeated")
 
-    marked = named.join(copies, ["doc_id", "_text"], "left").join(removed, "doc_id", "left")
+    marked = named.join(removed.join(copies, "doc_id", "full"), "doc_id", "left")
     unnamed = docs.where(F.col("doc_id").isNull()).withColumn("_text", F.lit(0).cast("long"))
-    marked = marked.unionByName(unnamed, allowMissingColumns=True).drop("_text")
-    return _cut(marked, window, keep_text)
+    return _cut(marked.unionByName(unnamed, allowMissingColumns=True), window, keep_text)
 
 
 def _cut(marked: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    kept_columns = [f for f in marked.schema.fields if f.name not in ("_copy", "_repeated") and (keep_text or f.name != "text")]
+    kept_columns = [f for f in marked.schema.fields if f.name not in ("_text", "_copies", "_repeated") and (keep_text or f.name != "text")]
     schema = T.StructType(
         [*kept_columns, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     )
@@ -196,8 +201,7 @@ def _cut(marked: DataFrame, window: int, keep_text: bool) -> DataFrame:
         values = words.hashes(0)
         starts, h = window_hashes(words, values, window)
         keep = np.ones(len(values) + 1, bool)
-        copy = rows.column("_copy").to_pylist()
-        repeated = _kept(rows, "_repeated")
+        copy, repeated = _is_copy(rows), _hashes(rows, "_repeated")
         for i, (lo, hi) in enumerate(zip(words.firsts[:-1], words.firsts[1:])):
             if copy[i]:
                 keep[lo:hi] = False
