@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from siftnet.llm import substrings
+from siftnet.llm import ann, decontaminate, fixity, langid, licenses, neardup, packing, substrings, token_counts, toxicity
+from siftnet.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +50,146 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, window=50, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op1_inverted_multi_index")
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id % 20 = 0", neighbours=20)
+
+
+LICENSES_SQL = r"""
+WITH t(label, notice) AS (VALUES __TEMPLATES__),
+t2 AS (SELECT label, string_split(notice, ' ') AS tw FROM t),
+t3 AS (SELECT label, list_distinct(tw) AS tw FROM t2),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+p AS (
+  SELECT doc_id, w, len(w) AS n_words, label, i FROM w LEFT JOIN LATERAL (
+    SELECT CASE WHEN w.w[j - 1] = 'mit' THEN 'mit' WHEN w.w[j - 1] = 'apache' THEN 'apache' ELSE 'gpl' END AS label,
+           CASE WHEN w.w[j - 1] IN ('mit', 'apache') THEN j - 2 ELSE j - 3 END AS i
+    FROM (SELECT unnest(range(2, len(w.w) + 1)) AS j)
+    WHERE w.w[j] = 'license' AND (w.w[j - 1] IN ('mit', 'apache') OR (w.w[j - 1] = 'public' AND j > 2 AND w.w[j - 2] = 'general'))) ON true),
+b AS (
+  SELECT doc_id, any_value(n_words) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM p GROUP BY doc_id),
+l AS (SELECT doc_id, n, list_distinct(string_split_regex(line, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS lw
+      FROM (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(lower(text), chr(10)), 1) AS n FROM d)
+      WHERE regexp_matches(line, 'licen|permitted|mozilla|copyright')),
+m AS (SELECT doc_id, n, label, len(list_intersect(tw, lw)) AS common, len(tw) AS size FROM l, t3),
+g AS (SELECT * FROM m WHERE common * 100 >= size * 90 QUALIFY common = max(common) OVER (PARTITION BY doc_id, n)),
+x AS (SELECT doc_id, label, CAST(common AS DOUBLE) / size AS share FROM g
+      UNION ALL SELECT doc_id, label, 1.0 FROM p WHERE label IS NOT NULL),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM x GROUP BY doc_id)
+SELECT b.doc_id, b.n_words, b.n_base, b.first_word, b.last_word, b.base_labels, coalesce(y.labels, '') AS labels, coalesce(y.score, 0.0) AS score
+FROM b LEFT JOIN y USING (doc_id)
+""".replace("__TEMPLATES__", ", ".join(f"('{label}', '{notice}')" for label, notice in licenses.TEMPLATES.items()))
+
+
+@query("op3_license_scan", LICENSES_SQL)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def archives(pages: DataFrame) -> DataFrame:
+    """Pages as WARC records of archives of 1,000 pages, at the offsets that they have there: archive, offset, content, page_id."""
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    record = F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), size,
+        F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")), F.lit("\r\n\r\n"),
+    )
+    rows = pages.where("page_id IS NOT NULL").select("page_id", "url", record.alias("content"))
+    rows = rows.withColumn("archive", F.floor(F.col("page_id") / 1000).cast("long"))
+    order = Window.partitionBy("archive").orderBy("page_id", "url", F.sha2("content", 256)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("archive", F.coalesce(F.sum(F.octet_length("content").cast("long")).over(order), F.lit(0)).alias("offset"), "content", "page_id")
+
+
+ARCHIVES_SQL = r"""
+r AS (
+  SELECT page_id, url, page_id // 1000 AS archive,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+         || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+         || chr(13) || chr(10) || chr(13) || chr(10) AS content
+  FROM pages WHERE page_id IS NOT NULL),
+o AS (
+  SELECT archive, page_id, content, CAST(coalesce(sum(strlen(content)) OVER (
+           PARTITION BY archive ORDER BY page_id, url, sha256(content) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)"""
+
+FIXITY_SQL = f"""
+WITH {ARCHIVES_SQL},
+a AS (SELECT archive, "offset", content FROM o WHERE page_id % 101 <> 7),
+b AS (SELECT archive, "offset", CASE WHEN page_id % 89 = 5 THEN left(content, length(content) - 1) || '#' ELSE content END AS content
+      FROM o WHERE page_id % 97 <> 11)
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a."offset", b."offset") AS "offset",
+       CASE WHEN b.content IS NULL THEN 'missing' WHEN a.content IS NULL THEN 'extra' ELSE 'corrupt' END AS kind,
+       CAST(strlen(a.content) AS BIGINT) AS length_a, CAST(strlen(b.content) AS BIGINT) AS length_b,
+       sha256(a.content) AS digest_a, sha256(b.content) AS digest_b
+FROM a FULL JOIN b ON a.archive = b.archive AND a."offset" = b."offset" WHERE a.content IS DISTINCT FROM b.content
+"""
+
+
+@query("op4_merkle_fixity", FIXITY_SQL)
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives, against a replica in which pages are corrupt, lost or extra by rule."""
+    stored = archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    damaged = F.when(F.col("page_id") % 89 == 5, F.expr("concat(left(content, length(content) - 1), '#')")).otherwise(F.col("content"))
+    first = stored.where("page_id % 101 <> 7").drop("page_id")
+    second = stored.where("page_id % 97 <> 11").withColumn("content", damaged).drop("page_id")
+    return fixity.audit(first, second).select("archive", "offset", "kind", "length_a", "length_b", "digest_a", "digest_b")
+
+
+@query("op5_language_spans")
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.items_of(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty on every call, so that a run's cost does not depend on earlier ones."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), cache, by_words=True, limit=2048)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op8_benchmark_leaks")
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_toxic_passages")
+def op9_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxic_passages(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x WHERE r.root < l.y),
+g AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept FROM d JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op10_min_max_dedup", NEAR_SQL)
+def op10_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
