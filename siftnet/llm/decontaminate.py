@@ -23,6 +23,8 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,18 +217,34 @@ class Index:
         return sorted(out)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, n_edits): every place where a document holds an item."""
-    docs = long_ids(docs.select("doc_id", "text"))
+def _blocks(benchmark: DataFrame, percent: int, block_items: int) -> Iterator[Index]:
+    """The benchmark's items in blocks of about ``block_items``, one in the driver at a time."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // block_items))
-    found = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = Index([(r["item_id"], r["text"]) for r in mine.collect()], percent)
-        part = _search(docs, index)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield Index([(r["item_id"], r["text"]) for r in mine.collect()], percent)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, n_edits): every place where a document holds an item."""
+    docs = long_ids(docs.select("doc_id", "text"))
+    return reduce(DataFrame.unionByName, [_search(docs, index) for index in _blocks(benchmark, percent, block_items)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Texts are filtered where they are read and never shuffled."""
+    for index in _blocks(benchmark, percent, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batch, data, bounds, shared=shared):
+            held = shared.value
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in held.matches(data, bounds)] if held.ids else []] = False
+            return batch.filter(pa.array(keep))
+
+        docs = per_chunk(docs, docs.schema, clean)
+    return docs
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
