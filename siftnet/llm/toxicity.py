@@ -1,9 +1,10 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Fit, on a bounded sample of labelled rows (``SAMPLE_ROWS`` documents, chosen by hash of doc_id, labels with crc32(doc_id) mod 5 = 0 left
-out): three quarters of the sample give each token its log-odds between toxic and clean documents, with a Dirichlet prior
-proportional to the token's overall frequency. A token scores its log-odds where they are at least ``BOUND`` standard deviations above 0;
-every token pays a constant, so a scan drifts down outside toxic passages. The last quarter calibrates.
+out): three quarters of the sample give each feature of a token, the whole word and its beginnings of some lengths, its log-odds
+between toxic and clean documents, with a Dirichlet prior proportional to its overall frequency. A token scores the largest log-odds of
+its features that are at least ``BOUND`` standard deviations above 0; every token pays a constant, so a scan drifts down outside
+toxic passages. The last quarter calibrates.
 
 Score, on every whole text: one linear scan finds all maximal segments. A segment's score becomes a p-value by the extreme-value law
 1 - exp(-K * words * exp(-lambda * score)); lambda solves the balance equation of the background token scores, K is its
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftnet.llm.words import per_chunk, signed, split, without
+from siftnet.llm.words import Words, per_chunk, run_hashes, signed, split, without
 
 #: Most labelled documents that the model is fitted on.
 SAMPLE_ROWS = 20_000
 #: Pseudo-counts of the Dirichlet prior as a share of all counts; least standard deviations above 0; cost of every token.
 PRIOR, BOUND, DRIFT = 0.1, 4.0, 0.5
+#: Lengths in bytes of the beginnings of words that are features besides the whole words.
+BEGINNINGS = (5, 6, 7, 8)
 #: Largest chance, in a clean document, of a segment that still counts.
 SIGNIFICANT = 0.05
 ADDED = ("held_out", "score", "predicted", "passages")
@@ -48,7 +51,7 @@ _PASSAGES = T.ArrayType(
 
 @dataclass(frozen=True)
 class Model:
-    """Hashes of the tokens with a positive score (ascending) and their scores; the extreme-value law; the logistic curve."""
+    """Hashes of the features with a positive score (ascending) and their scores; the extreme-value law; the logistic curve."""
 
     tokens: np.ndarray
     scores: np.ndarray
@@ -104,44 +107,77 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) > 0).alias("fit"))
 
 
-def _lookup(model_tokens: np.ndarray, model_scores: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens that the model scores, and their scores."""
-    if not len(model_tokens) or not len(hashes):
+def _features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words, hashes): the whole words, and their beginnings where they are longer; lengths enter the hash."""
+    values = words.data.astype(np.uint64) + np.uint64(1)
+    found = [(np.arange(len(words.starts)), words.hashes())]
+    for length in BEGINNINGS:
+        longer = np.flatnonzero(words.ends - words.starts > length)
+        starts = words.starts[longer]
+        found.append((longer, run_hashes(values, starts, starts + length) ^ np.uint64(length)))
+    return found
+
+
+def _lookup(features: np.ndarray, scores: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that the model scores, and their scores: the largest of a word's features."""
+    if not len(features) or not len(words.starts):
         return np.zeros(0, np.int64), np.zeros(0)
-    at = np.minimum(np.searchsorted(model_tokens, hashes), len(model_tokens) - 1)
-    places = np.flatnonzero(model_tokens[at] == hashes)
-    return places, model_scores[at[places]]
+    best = np.zeros(len(words.starts))
+    for numbers, hashes in _features(words):
+        at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+        hit = features[at] == hashes
+        best[numbers[hit]] = np.maximum(best[numbers[hit]], scores[at[hit]])
+    places = np.flatnonzero(best)
+    return places, best[places]
 
 
-def _log_odds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the scoring tokens, their scores, and the share of a clean document's tokens that each is."""
+def _log_odds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the scoring features, ascending, and their scores."""
 
     def count(batch, data, bounds):
         words = split(data, bounds, lower=True, separator=TOKEN_END)
-        toxic = batch.column("toxic").to_numpy()[words.owner()]
-        rows, places = np.unique(np.stack([words.owner().astype(np.uint64), words.hashes()]), axis=1, return_index=True)
-        return pa.record_batch({"h": signed(np.ascontiguousarray(rows[1])), "toxic": toxic[places].astype(np.int32)})
+        owner, toxic = words.owner(), batch.column("toxic").to_numpy()
+        pairs = [np.stack([owner[numbers].astype(np.uint64), hashes]) for numbers, hashes in _features(words)]
+        rows = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.record_batch({"h": signed(np.ascontiguousarray(rows[1])), "toxic": toxic[rows[0].astype(np.int64)].astype(np.int32)})
 
     counted = per_chunk(sample.where("fit"), "h long, toxic int", count)
-    per_token = counted.groupBy("h").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
-    n1, n0 = per_token.agg(F.sum("y1"), F.sum("y0")).first()
+    per_feature = counted.groupBy("h").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
+    n1, n0 = per_feature.agg(F.sum("y1"), F.sum("y0")).first()
     if not n1 or not n0:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0)
     mass = PRIOR * (n1 + n0)
     prior = F.lit(PRIOR) * (F.col("y1") + F.col("y0"))
-    scored = per_token.withColumn("prior", prior).select(
+    scored = per_feature.withColumn("prior", prior).select(
         "h",
-        "y0",
         (
             F.log((F.col("y1") + F.col("prior")) / (n1 + mass - F.col("y1") - F.col("prior")))
             - F.log((F.col("y0") + F.col("prior")) / (n0 + mass - F.col("y0") - F.col("prior")))
         ).alias("odds"),
         F.sqrt(1 / (F.col("y1") + F.col("prior")) + 1 / (F.col("y0") + F.col("prior"))).alias("deviation"),
     )
-    found = scored.where((F.col("odds") >= BOUND * F.col("deviation")) & (F.col("odds") > DRIFT)).select("h", F.col("odds").alias("score"), "y0").collect()
+    # few features of a bounded sample stand out; those are the model
+    found = scored.where((F.col("odds") >= BOUND * F.col("deviation")) & (F.col("odds") > DRIFT)).collect()
     h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r["score"] for r in found])[order] - DRIFT, np.array([r["y0"] / n0 for r in found])[order]
+    return h[order], np.array([r["odds"] for r in found])[order] - DRIFT
+
+
+def _background(sample: DataFrame, features: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each score among the words of clean documents, and the scores."""
+
+    def count(batch, data, bounds):
+        words = split(data, bounds, lower=True, separator=TOKEN_END)
+        value, n = np.unique(np.append(_lookup(features, scores, words)[1], 0.0), return_counts=True)
+        n[0] += len(words.starts) - n.sum()
+        return pa.record_batch({"value": value, "n": n.astype(np.int64)})
+
+    rows = per_chunk(sample.where("fit AND toxic = 0"), "value double, n long", count).groupBy("value").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in rows) or 1
+    kept = [r for r in rows if r["value"] > 0]
+    # scores never met in clean text still have some share of it
+    shares = [max(r["n"] / total, 1e-9) for r in kept] + [1e-9] * len(scores)
+    return np.array(shares), np.array([r["value"] for r in kept] + scores.tolist())
 
 
 def balance(shares: np.ndarray, scores: np.ndarray, drift: float = DRIFT) -> float:
@@ -177,17 +213,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = _sample(docs, labels)
-    tokens, scores, shares = _log_odds(sample)
-    # a token never seen in clean text still has some share of it
-    shares = np.maximum(shares, 1e-7)
+    tokens, scores = _log_odds(sample)
     empty = Model(tokens, scores)
     if not len(tokens):
         return empty
-    scale = balance(shares, scores)
+    scale = balance(*_background(sample, tokens, scores))
 
     def strongest(batch, data, bounds):
         words = split(data, bounds, lower=True, separator=TOKEN_END)
-        places, values = _lookup(tokens, scores, words.hashes())
+        places, values = _lookup(tokens, scores, words)
         edges = np.searchsorted(places, words.firsts)
         found = [[s for _, _, s in segments(places[a:b], values[a:b])] for a, b in zip(edges[:-1], edges[1:])]
         return pa.record_batch({"toxic": batch.column("toxic"), "n": words.counts.astype(np.int64), "found": pa.array(found, pa.list_(pa.float64()))})
@@ -218,7 +252,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rate(batch, data, bounds):
         words = split(data, bounds, lower=True, separator=TOKEN_END)
-        places, values = _lookup(model.tokens, model.scores, words.hashes())
+        places, values = _lookup(model.tokens, model.scores, words)
         edges = np.searchsorted(places, words.firsts)
         none = model.score(0.0)
         scores, passages = [none] * len(words.counts), [[]] * len(words.counts)
