@@ -4,11 +4,13 @@
   make 96 values. Bands of four values put documents with a Jaccard similarity of 0.8 into a common bucket with a probability
   of 1 - (1 - 0.8**4)**24 > 0.999995.
 * Documents with equal shingle sets are one node; only nodes enter buckets. Copies, however many, cost one row each.
-* Buckets are not expanded into pairs. Each member is compared with its bucket's hub; verified links form components. Where
-  a bucket still holds several components, new hubs are tried as long as that is cheaper, and at last every member outside the
-  bucket's largest component is compared with the members of other components. Two members of one bucket are left uncompared
-  only if they are connected already, so no component is missed.
-* Links are confirmed on the full sets of 64-bit shingle hashes, by integers: 100 * common >= percent * union.
+* Nodes that share buckets, directly or through others, are a family. All candidate pairs lie inside families, so each node's set
+  is sent once, to its family, where links are confirmed on the full sets by integers: 100 * common >= percent * union. Only a
+  component per node comes out, never pairs.
+* A family of more than ``FAMILY_SHINGLES`` shingles is never gathered in a task. There each member is compared with the hubs of its
+  buckets; verified links form components. Where a bucket still holds several, new hubs are tried as long as that is cheaper,
+  and at last every member outside its bucket's largest component is compared with the members of other components. Two
+  members of one bucket are left uncompared only if they are connected already, so no component is missed.
 
 Rows and edge cases: texts that are null or without words have an empty set and link with nothing; fewer words than a shingle
 make the whole sequence one shingle; rows with a null doc_id link with nothing, have a null component and are kept; rows that
@@ -18,17 +20,20 @@ share a doc_id are one document and may differ in n_shingles.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftnet.llm.components import components
-from siftnet.llm.words import mix, per_chunk, run_hashes, signed, small_batches, split
+from siftnet.llm.words import long_ids, mix, per_chunk, run_hashes, signed, small_batches, split
 from siftnet.session import checkpointed
 
 #: Rows of four values; 24 bands need 48 permutations.
 BAND_ROWS, BANDS = 4, 24
-#: Comparisons per bucket row that the last, exact step may take before another round of hubs is tried first.
+#: Most shingles of a family that one task takes: 16 MB of hashes.
+FAMILY_SHINGLES = 2_000_000
+#: In larger families: comparisons per bucket row that the last, exact step may take before another round of hubs is tried first.
 CROSS_FACTOR, HUB_ROUNDS = 4, 6
 
 
@@ -100,9 +105,10 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def pack(batch, data, bounds):
         hashes, firsts = shingle_sets(data, bounds, shingle)
         packed = [hashes[lo:hi].tobytes() for lo, hi in zip(firsts[:-1], firsts[1:])]
-        return pa.record_batch({"node": batch.column("doc_id"), "items": pa.array(packed, pa.binary())})
+        columns = {name: batch.column(name) for name in ("family", "shingles")}
+        return pa.record_batch({"node": batch.column("doc_id"), "items": pa.array(packed, pa.binary())} | columns)
 
-    return per_chunk(docs, "node long, items binary", pack)
+    return per_chunk(docs, "node long, items binary, family long, shingles long", pack)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,20 +136,68 @@ def _similar_size(percent: int):
     return F.col("n") * 100 >= F.col("n2") * percent, F.col("n2") * 100 >= F.col("n") * percent
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (columns doc_id and text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed_docs = checkpointed(signatures(docs, shingle, bands, rows))
-    filled = signed_docs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"))
-    nodes = filled.join(classes, ["a", "b", "n"]).where("doc_id = node").select("node", "n", "bands")
+def link_family(sets: list[np.ndarray], percent: int, names: np.ndarray) -> np.ndarray:
+    """For each of the sets (ascending hashes) the smallest number of a set that it is linked with, over any number of links.
 
-    in_band = nodes.select("node", "n", F.explode("bands").alias("band")).distinct()
-    shared = in_band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = checkpointed(in_band.join(shared.select("band"), "band"))
-    candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = checkpointed(_sets(docs.where("doc_id IS NOT NULL").join(candidates, "doc_id"), shingle))
+    Sets of one name (ascending), the versions of a document, are linked from the start.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    ends = np.repeat(np.append(starts[1:], len(values)), np.diff(np.append(starts, len(values))))
+    # places of each set's shingles in the posting lists; the later sets of a list follow in it
+    place = np.argsort(of, kind="stable")
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    root = np.searchsorted(names, names)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        mine = place[firsts[i] : firsts[i + 1]]
+        many = ends[mine] - mine - 1
+        mine, many = mine[many > 0], many[many > 0]
+        if not len(mine):
+            continue
+        at = np.repeat(mine + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(of[at], minlength=len(sets))
+        later = np.flatnonzero(common)
+        for j in later[100 * common[later] >= percent * (sizes[i] + sizes[later] - common[later])].tolist():
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return np.array([find(i) for i in range(len(sets))])
+
+
+def _families(members: DataFrame) -> DataFrame:
+    """(node, family, shingles): nodes that share a bucket with another one, and their family's size."""
+    hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
+    stars = members.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    family = components(stars).select("node", F.col("component").alias("family"))
+    nodes = members.groupBy("node").agg(F.max("n").alias("n")).join(family, "node", "left")
+    nodes = nodes.withColumn("family", F.coalesce("family", "node"))
+    sizes = nodes.groupBy("family").agg(F.sum("n").alias("shingles"))
+    return checkpointed(nodes.join(sizes, "family").select("node", "family", "shingles"))
+
+
+def _in_families(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of sets with their family."""
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", kind="stable")
+        nodes = rows["node"].to_numpy()
+        smallest = link_family([np.frombuffer(x, np.uint64) for x in rows["items"]], percent, nodes)
+        return pd.DataFrame({"node": nodes, "component": nodes[smallest]})
 
+    return sets.groupBy("family").applyInPandas(link, "node long, component long").where("node <> component").distinct()
+
+
+def _by_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of families of any size."""
     tested, links, found = None, None, None
     for turn in range(HUB_ROUNDS + 1):
         if found is None:
@@ -184,11 +238,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         found = components(links)
         if last:
             break
+    return found
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (columns doc_id and text)."""
+    docs = long_ids(docs.select("doc_id", "text"))
+    signed_docs = checkpointed(signatures(docs, shingle, bands, rows))
+    filled = signed_docs.where("n > 0 AND doc_id IS NOT NULL")
+    classes = checkpointed(filled.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node")))
+    nodes = filled.join(classes, ["a", "b", "n"]).where("doc_id = node").select("node", "n", "bands")
+
+    in_band = nodes.select("node", "n", F.explode("bands").alias("band")).distinct()
+    shared = in_band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = checkpointed(in_band.join(shared.select("band"), "band"))
+    families = _families(members)
+
+    # families grow with the documents, so they are never broadcast, however few there are
+    placed = families.withColumnRenamed("node", "doc_id").hint("merge")
+    sets = _sets(docs.where("doc_id IS NOT NULL").join(placed, "doc_id"), shingle)
+    found = checkpointed(_in_families(sets.where(F.col("shingles") <= FAMILY_SHINGLES), percent))
+    large = families.where(F.col("shingles") > FAMILY_SHINGLES).select("node")
+    if not large.isEmpty():
+        found = found.union(_by_hubs(members.join(large, "node", "left_semi"), checkpointed(sets.join(large, "node", "left_semi")), percent))
 
     node_of = signed_docs.join(classes, ["a", "b", "n"], "left").select("doc_id", "n", "node")
-    component = F.coalesce("component", "node", "doc_id")
     named = node_of.join(found, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")
     )
-    # a document given in several versions is in one component, the smallest of theirs
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
