@@ -24,7 +24,7 @@ import math
 import random
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from siftnet.llm.words import long_ids, mix, per_chunk, run_hashes, split
 
 #: Chance that a window at the largest distance becomes a candidate; sampled places per hash; most repetitions.
 RECALL, PLACES, MOST_REPETITIONS = 0.995, 3, 64
+#: Windows embedded at once.
+SLICE_ROWS = 512
 BLOCK_ITEMS, LEAST_WORDS = 20_000, 5
 #: Words end at ASCII bytes that are neither letters nor digits.
 WORD_END = np.ones(256, bool)
@@ -47,28 +49,44 @@ def word_hashes(text: str) -> np.ndarray:
     return split(data, np.array([0, len(data)]), lower=True, separator=WORD_END).hashes()
 
 
-def walk(sequences: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings of equal-width rows of word hashes; past its length a row reads 0."""
+def walk(sequences: np.ndarray, lengths: np.ndarray, steps: int, repetitions: int) -> np.ndarray:
+    """CGK embeddings (step x row x repetition) of rows of word hashes, each repetition by walks of its own; past its length a
+    row reads 0."""
     n, width = sequences.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.zeros((n, steps), np.uint64)
+    at, rows = np.zeros((n, repetitions), np.int64), np.arange(n)[:, None]
+    out = np.zeros((steps, n, repetitions), np.uint64)
+    turns = mix(np.arange(1, steps * repetitions + 1, dtype=np.uint64)).reshape(steps, repetitions) | np.uint64(1)
     for t in range(steps):
-        inside = at < lengths
-        word = np.where(inside, sequences[rows, np.minimum(at, width - 1)], np.uint64(0))
-        out[:, t] = word
-        at += inside & ((mix(word ^ np.uint64(seed * 1_000_003 + t + 1)) >> np.uint64(40)) & np.uint64(1)).astype(bool)
+        word = sequences[rows, np.minimum(at, width - 1)]
+        inside = at < lengths[:, None]
+        out[t] = word * inside
+        # the top bit of a product with a random odd number says whether the pointer moves
+        at += ((word * turns[t]) >> np.uint64(63)).astype(np.int64) & inside
     return out
 
 
-def sampled(steps: int, seed: int) -> np.ndarray:
-    return np.array(sorted(random.Random(seed * 7919 + steps).sample(range(steps), min(PLACES, steps))))
-
-
-def lsh_hash(embedded: np.ndarray, seed: int) -> np.ndarray:
-    h = np.full(len(embedded), seed + 1, np.uint64)
-    for place in sampled(embedded.shape[1], seed):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + embedded[:, place])
-    return h
+@cache
+def sampled(size: int, repetitions: int) -> np.ndarray:
+    """Places (repetition x PLACES) of the embedding of items of a size that a repetition looks at."""
+    steps = 3 * size
+    return np.array([sorted(random.Random(seed * 7919 + steps).sample(range(steps), PLACES)) for seed in range(repetitions)])
+
+
+def lsh_hashes(sequences: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, repetitions: int) -> np.ndarray:
+    """Hash (row x repetition) of the sampled places; size and repetition enter it. Rows go in slices of similar size."""
+    out = np.zeros((len(sequences), repetitions), np.uint64)
+    order = np.argsort(sizes, kind="stable")
+    numbers = np.arange(repetitions)
+    for lo in range(0, len(order), SLICE_ROWS):
+        part = order[lo : lo + SLICE_ROWS]
+        width = int(sizes[part[-1]])
+        embedded = walk(sequences[part, :width], lengths[part], 3 * width, repetitions)
+        places = np.stack([sampled(int(size), repetitions) for size in sizes[part]])
+        h = mix((sizes[part][:, None] * MOST_REPETITIONS + numbers + 1).astype(np.uint64))
+        for place in range(PLACES):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + embedded[places[:, :, place], np.arange(len(part))[:, None], numbers])
+        out[part] = h
+    return out
 
 
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
@@ -97,10 +115,19 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return row[len(b)]
 
 
+def _padded(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one width, 0 past their ends, and their lengths."""
+    lengths = np.array([len(x) for x in lists])
+    rows = np.zeros((len(lists), int(lengths.max())), np.uint64)
+    for row, values in zip(rows, lists):
+        row[: len(values)] = values
+    return rows, lengths
+
+
 def repetitions(items: list[np.ndarray], percent: int, recall: float = RECALL) -> int:
     """Repetitions that reach the recall, by how often hashes of items and of copies with most edits agree."""
     rng = random.Random(11)
-    agreed = tried = 0
+    pairs, sizes = [], []
     for words in rng.sample(items, min(len(items), 200)):
         k = len(words) * (100 - percent) // 100
         copy = words.tolist()
@@ -112,16 +139,22 @@ def repetitions(items: list[np.ndarray], percent: int, recall: float = RECALL) -
                 copy.insert(at, rng.getrandbits(64))
             elif len(copy) > 1:
                 copy.pop(at)
-        copy = copy[: len(words)]
-        pair = np.zeros((2, len(words)), np.uint64)
-        pair[0], pair[1, : len(copy)] = words, copy
-        for seed in range(16):
-            h = lsh_hash(walk(pair, np.array([len(words), len(copy)]), 3 * len(words), seed), seed)
-            agreed, tried = agreed + int(h[0] == h[1]), tried + 1
-    rate = min(max(agreed / max(tried, 1), 0.02), 0.999)
+        pairs += [words.tolist(), copy[: len(words)]]
+        sizes += [len(words)] * 2
+    rows, lengths = _padded(pairs)
+    h = lsh_hashes(rows, lengths, np.array(sizes), 16)
+    rate = min(max(float((h[::2] == h[1::2]).mean()), 0.02), 0.999)
     return min(MOST_REPETITIONS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - rate))))
 
 
+def _matching(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (number in ``asked``, number in ``known``) of equal values; ``known`` is ascending."""
+    left = np.searchsorted(known, asked, "left")
+    hit = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == asked)
+    many = np.searchsorted(known, asked[hit], "right") - left[hit]
+    return np.repeat(hit, many), np.repeat(left[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 class Index:
     """A block of items: their pieces by length, and their LSH hashes by size and repetition."""
 
@@ -142,34 +175,23 @@ class Index:
             rows.sort()
             hashes = np.array([r[0] for r in rows], np.uint64)
             self.pieces[length] = (hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for n, w in enumerate(self.words):
-            self.by_size[len(w)].append(n)
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        for size, numbers in self.by_size.items():
-            rows = np.stack([self.words[n] for n in numbers])
-            self.tables[size] = []
-            for seed in range(self.repetitions):
-                table: dict[int, list[int]] = defaultdict(list)
-                for n, h in zip(numbers, lsh_hash(walk(rows, np.full(len(rows), size), 3 * size, seed), seed).tolist()):
-                    table[h].append(n)
-                self.tables[size].append(dict(table))
+        self.sizes = np.array([len(w) for w in self.words])
+        if found:
+            h = lsh_hashes(*_padded(self.lists), self.sizes, self.repetitions).ravel()
+            order = np.argsort(h, kind="stable")
+            self.hashes, self.of_hash = h[order], order // self.repetitions
 
     def windows(self, values: np.ndarray, firsts: np.ndarray, owner: np.ndarray) -> dict[int, np.ndarray]:
         """By size: the starts of the windows that hold a piece of an item of that size, moved by at most its edits."""
         starts: dict[int, list[np.ndarray]] = defaultdict(list)
         ends = firsts[1:][owner] if len(owner) else owner
-        sizes, edits = np.array([len(w) for w in self.words]), np.array(self.edits)
+        sizes, edits = self.sizes, np.array(self.edits)
         for length, (hashes, numbers, offsets) in self.pieces.items():
             at = np.arange(len(values))
             at = at[at + length <= ends]
             h = run_hashes(values, at, at + length)
-            left = np.searchsorted(hashes, h, "left")
-            hit = np.flatnonzero((left < len(hashes)) & (hashes[np.minimum(left, len(hashes) - 1)] == h))
-            right = np.searchsorted(hashes, h[hit], "right")
-            many = right - left[hit]
-            row = np.repeat(left[hit], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            place, number = np.repeat(at[hit], many), numbers[row]
+            hit, row = _matching(hashes, h)
+            place, number = at[hit], numbers[row]
             begin, size, k = place - offsets[row], sizes[number], edits[number]
             for s in np.unique(size):
                 mine = np.flatnonzero(size == s)
@@ -181,39 +203,40 @@ class Index:
                 starts[int(s)].append(moved[moved + (s - k[mine[0]]) <= high])
         return {s: np.unique(np.concatenate(parts)) for s, parts in starts.items()}
 
-    def candidates(self, values: np.ndarray, size: int, starts: np.ndarray, ends: np.ndarray) -> dict[int, set[int]]:
-        """Items by window start that agree with it in some repetition."""
-        lengths = np.minimum(ends[starts] - starts, size)
-        at = np.minimum(starts[:, None] + np.arange(size), len(values) - 1)
-        rows = np.where(np.arange(size) < lengths[:, None], values[at], np.uint64(0))
-        found: dict[int, set[int]] = defaultdict(set)
-        for seed, table in enumerate(self.tables[size]):
-            for start, h in zip(starts.tolist(), lsh_hash(walk(rows, lengths, 3 * size, seed), seed).tolist()):
-                if h in table:
-                    found[start].update(table[h])
-        return found
+    def candidates(self, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (by number) and items of their size that agree in some repetition."""
+        lengths = np.minimum(ends[starts] - starts, sizes)
+        steps = np.arange(int(sizes.max()))
+        rows = np.where(steps < lengths[:, None], values[np.minimum(starts[:, None] + steps, len(values) - 1)], np.uint64(0))
+        h = lsh_hashes(rows, lengths, sizes, self.repetitions).ravel()
+        window, number = _matching(self.hashes, h)
+        pairs = np.unique(np.stack([window // self.repetitions, self.of_hash[number]]), axis=1)
+        return pairs[0], pairs[1]
 
     def matches(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits): the closest window of each stretch of a text that matches an item."""
         words = split(data, bounds, lower=True, separator=WORD_END)
         values, owner = words.hashes(), words.owner()
         ends = words.firsts[1:][owner] if len(owner) else owner
+        found = self.windows(values, words.firsts, owner)
+        starts = np.concatenate([np.zeros(0, np.int64), *found.values()])
+        if not len(starts):
+            return []
+        sizes = np.repeat(list(found), [len(x) for x in found.values()])
+        close: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for w, n in zip(*(x.tolist() for x in self.candidates(values, starts, sizes, ends))):
+            start = int(starts[w])
+            d = edit_distance(values[start : min(start + int(sizes[w]), int(ends[start]))].tolist(), self.lists[n], self.edits[n])
+            if d <= self.edits[n]:
+                close[int(owner[start]), n].append((start - int(words.firsts[owner[start]]), d))
         out = []
-        for size, starts in self.windows(values, words.firsts, owner).items():
-            close: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for start, numbers in self.candidates(values, size, starts, ends).items():
-                window = values[start : min(start + size, int(ends[start]))].tolist()
-                for n in numbers:
-                    d = edit_distance(window, self.lists[n], self.edits[n])
-                    if d <= self.edits[n]:
-                        close[int(owner[start]), n].append((start - int(words.firsts[owner[start]]), d))
-            for (text, n), places in close.items():
-                places.sort()
-                while places:
-                    stretch = [p for p in places if p[0] < places[0][0] + size]
-                    places = places[len(stretch) :]
-                    first, d = min(stretch, key=lambda p: (p[1], p[0]))
-                    out.append((text, n, first, d))
+        for (text, n), places in close.items():
+            places.sort()
+            while places:
+                stretch = [p for p in places if p[0] < places[0][0] + len(self.lists[n])]
+                places = places[len(stretch) :]
+                first, d = min(stretch, key=lambda p: (p[1], p[0]))
+                out.append((text, n, first, d))
         return sorted(out)
 
 
