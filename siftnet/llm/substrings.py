@@ -4,9 +4,9 @@ Windows of ``window`` words that repeat across documents are found by lengths th
 window. Only windows whose shorter part repeats in another document at one length are extended to twice that length; a level
 without survivors ends the search.
 
-* Level 1 does not look at every window: each document keeps, of every ``window - length + 1`` consecutive short windows, the
-  one with the smallest hash. Equal long windows choose equal short ones, so no repeat of ``window`` words is missed, and about
-  one position in fourteen is shuffled.
+* Level 1 does not look at every window: of the short windows inside each window of level 2, a document keeps the one with the
+  smallest hash. Equal long windows choose equal short ones, so no repeat of level 2's length is missed, and about one
+  position in fourteen is shuffled.
 * Later levels look at the windows that contain a surviving shorter one, and only at those.
 * The last level decides by 96 bits of the window's hash.
 
@@ -66,14 +66,14 @@ def minima(values: np.ndarray, starts: np.ndarray, owner: np.ndarray, span: int)
     return np.unique(at[whole])
 
 
-def _first_level(texts: DataFrame, length: int, window: int) -> DataFrame:
+def _first_level(texts: DataFrame, length: int, following: int) -> DataFrame:
     """(h, doc_id): the chosen short windows of each document."""
 
     def chosen(rows, data, bounds):
         words = split(data, bounds)
         starts, h = window_hashes(words, words.hashes(0), length)
         owner = words.owner()
-        at = minima(h, starts, owner, window - length + 1)
+        at = minima(h, starts, owner, following - length + 1)
         pairs = np.unique(np.stack([owner[starts[at]], signed(h[at])]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
         ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
         return pa.record_batch({"h": pairs[1], "doc_id": ids[pairs[0]].astype(np.int64)})
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = SEED_WORDS, ke
     steps = lengths(window, seed)
     if len(steps) == 1:
         steps = [window, window]
-    rows = _first_level(texts, steps[0], window)
+    rows = _first_level(texts, steps[0], steps[1])
     repeated = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     alive = rows.join(repeated.select("h"), "h")
     for level, (short, length) in enumerate(zip(steps, steps[1:])):
