@@ -250,7 +250,7 @@ def pollable_devices(spark, sf_dir):
 
 def _backlog(spark, sf_dir):
     kind = "case event_type when 'view' then 'flows' when 'click' then 'flow-counters' when 'purchase' then 'disk-usage' when 'signup' then 'command-results' else 'topology-entries' end"
-    rows = events(spark, sf_dir).select("arrival_no", (F.col("device_id") % 25).cast("int").alias("probe_id"), F.expr(kind).alias("kind"))
+    rows = events(spark, sf_dir).select("arrival_no", (F.col("device_id") % 30).cast("int").alias("probe_id"), F.expr(kind).alias("kind"))
     probes = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("probe_id"), (F.col("n_regionkey") + 1).alias("negotiated_schema")
     )
@@ -258,10 +258,10 @@ def _backlog(spark, sf_dir):
 
 
 _BACKLOG_SQL = f"""WITH {EVENTS_SQL}, b AS (
-  SELECT arrival_no, n_regionkey + 1 AS v, CASE event_type WHEN 'view' THEN 'flows' WHEN 'click' THEN 'flow-counters' WHEN 'purchase' THEN 'disk-usage'
+  SELECT arrival_no, coalesce(n_regionkey + 1, 1) AS v, CASE event_type WHEN 'view' THEN 'flows' WHEN 'click' THEN 'flow-counters' WHEN 'purchase' THEN 'disk-usage'
     WHEN 'signup' THEN 'command-results' ELSE 'topology-entries' END AS kind,
     CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS need
-  FROM e JOIN nation ON n_nationkey = device_id % 25)
+  FROM e LEFT JOIN nation ON n_nationkey = device_id % 30)
 """
 
 
@@ -399,7 +399,7 @@ def value_coercion(spark, sf_dir):
 @query(
     "version_texts",
     """SELECT p_partkey, 'OPNsense ' || p_size || '.1' AS opnsense, 'pfSense ' || p_size || '.2-RELEASE' AS pfsense, 'Linux ' || p_brand AS firewalla,
-  'ASA 9.' || p_size || '(4)' AS cisco_asa, (p_name || ' ' || p_type || repeat('-', 80))[1:80] AS generic, 'FreeBSD ' || p_size AS plain FROM part""",
+  'ASA 9.' || p_size || '(4)' AS cisco_asa, p_name || ' ' || p_type || repeat('-', 80) AS generic, 'FreeBSD ' || p_size AS plain FROM part""",
 )
 def version_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(
@@ -597,10 +597,12 @@ def sampling_overrides(spark, sf_dir):
 
 @query(
     "line_source",
-    "SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0 GROUP BY doc_id",
+    "SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text || CASE WHEN doc_id % 100 = 0 THEN repeat('x', 70000) ELSE '' END, chr(10))) AS line FROM documents) WHERE length(line) > 0 GROUP BY doc_id",
 )
 def line_source(spark, sf_dir):
-    rows = readers.split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # some chunks end in an unterminated line beyond 64 KiB
+    text = F.expr("concat(text, if(doc_id % 100 = 0, repeat('x', 70000), ''))")
+    rows = readers.split_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("chars"))
 
 
@@ -662,7 +664,7 @@ def routed_envelopes(spark, sf_dir):
 
 @query(
     "batch_chunks",
-    "SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 1000 AS chunk_no FROM events",
+    "SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 5000 AS chunk_no FROM events",
 )
 def batch_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "event_id")

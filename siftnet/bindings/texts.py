@@ -161,7 +161,7 @@ def bridge_hosts(spark, sf_dir):
     "bridge_names",
     """WITH n AS (SELECT p_partkey // 16 AS device_id, 'br' || (p_size % 12) AS name, min(p_partkey) AS first FROM part WHERE p_size % 5 <> 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY first) AS rn FROM n)
-SELECT device_id, string_agg(name, ',' ORDER BY rn) AS linux, string_agg(name, ',' ORDER BY rn) AS freebsd FROM r WHERE rn <= 8 GROUP BY device_id""",
+SELECT device_id, string_agg(name, ',' ORDER BY rn) AS linux, string_agg(name, ',' ORDER BY rn) AS freebsd FROM r GROUP BY device_id""",
 )
 def bridge_names(spark, sf_dir):
     name = "if(p_size % 5 = 0, 'bad;name', concat('br', p_size % 12))"

@@ -219,13 +219,15 @@ def customers(spark, sf_dir):
 
 @query(
     "fortinet_ha_members",
-    """SELECT c_custkey AS device_id, CASE c_nationkey % 4 WHEN 2 THEN 'activeActive' ELSE 'activePassive' END AS system_mode, c_nationkey AS group_id, c_mktsegment AS group_name,
+    """SELECT c_custkey AS device_id, CASE WHEN c_nationkey % 5 = 4 THEN '' WHEN c_nationkey % 4 = 2 THEN 'activeActive' ELSE 'activePassive' END AS system_mode,
+  CASE WHEN c_nationkey % 5 <> 4 THEN c_nationkey END AS group_id, CASE WHEN c_nationkey % 5 <> 4 THEN c_mktsegment END AS group_name,
   i AS member_index, c_name || i AS member_serial, CAST(c_nationkey AS DOUBLE) AS cpu_usage, CASE WHEN c_nationkey % 3 = 1 THEN 'in-sync' ELSE 'out-of-sync' END AS sync_status
-FROM customer, (SELECT unnest([1, 2]) AS i) WHERE c_nationkey % 4 IN (2, 3)""",
+FROM customer, (SELECT unnest([1, 2]) AS i) WHERE c_nationkey % 5 = 4 OR c_nationkey % 4 IN (2, 3)""",
 )
 def fortinet_ha_members(spark, sf_dir):
     rows = customers(spark, sf_dir)
-    cluster = pdus(rows, oids.FORTINET_HA, {"mode": ("Integer", "c_nationkey % 4"), "group_id": ("Integer", "c_nationkey"), "group_name": ("OctetString", "c_mktsegment")}, index=None)
+    # a fifth of the polls lacks the cluster scalars
+    cluster = pdus(rows.where("c_nationkey % 5 <> 4"), oids.FORTINET_HA, {"mode": ("Integer", "c_nationkey % 4"), "group_id": ("Integer", "c_nationkey"), "group_name": ("OctetString", "c_mktsegment")}, index=None)
     for i in (1, 2):
         cells = {"member_serial": ("OctetString", f"concat(c_name, '{i}')"), "cpu_usage": ("Gauge32", "c_nationkey"), "sync": ("Integer", "c_nationkey % 3")}
         cluster = cluster.unionByName(pdus(rows, oids.FORTINET_HA_MEMBER, cells, index=str(i)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftnet.bindings.registry import EVENTS_SQL, events, query, table
@@ -263,16 +264,18 @@ def template_verdicts(spark, sf_dir):
 
 @query(
     "template_cap",
-    """SELECT s_nationkey AS domain, s_suppkey AS template_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 3 AS admitted FROM supplier""",
+    """SELECT s_nationkey AS domain, s_suppkey AS template_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) % 4 <> 0 AS admitted FROM supplier""",
 )
 def template_cap(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(
+    """Each domain announces a template every ten minutes; three live at once, and every fourth finds no room."""
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = table(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(order)).select(
         F.lit("e").alias("exporter"), F.col("s_nationkey").alias("domain"), F.col("s_suppkey").alias("template_id"),
-        F.col("s_suppkey").alias("set_order"), F.lit(None).cast("string").alias("verdict"),
-    )
-    again = s.withColumn("set_order", F.col("set_order") + 1_000_000_000)
-    admitted = datagrams.capped_templates(s.unionByName(again), cap=3)
-    return admitted.select("domain", "template_id", "admitted").distinct()
+        (F.col("n") * 1000 + F.col("s_nationkey")).cast("bigint").alias("set_order"), F.timestamp_seconds(F.col("n") * 600).alias("recv_ts"),
+        F.lit(None).cast("string").alias("verdict"),
+    )
+    admitted = datagrams.capped_templates(s, cap=3)
+    return admitted.select("domain", "template_id", "admitted")
 
 
 # ------------------------------------------------------------------------------------------------------- semantics

@@ -141,8 +141,11 @@ def _starts(frame: pd.DataFrame, group: list[str]) -> list[int]:
     changed = np.zeros(len(frame), dtype=bool)
     changed[0] = True
     for name in group:
-        values = frame[name].to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
+        values = frame[name]
+        different = values.to_numpy()[1:] != values.to_numpy()[:-1]
+        none = values.isna().to_numpy()
+        # nulls are equal to each other, although not a number is not
+        changed[1:] |= different & ~(none[1:] & none[:-1])
     return np.flatnonzero(changed).tolist()
 
 
@@ -164,6 +167,7 @@ def _replay(rows: DataFrame, keys: list[str], arrival: str, span: int, transitio
         for frame in batches:
             entering = []
             for *key, parts in frame[[*keys, "_parts"]].itertuples(index=False, name=None):
+                key = [None if v != v else v for v in key]
                 if key != current:
                     current, state = key, NEVER
                 entering.append(state)
@@ -178,7 +182,7 @@ def _replay(rows: DataFrame, keys: list[str], arrival: str, span: int, transitio
         return frame.loc[keep, [*keys, arrival]]
 
     accepted_type = T.StructType([*(rows.schema[k] for k in keys), rows.schema[arrival]])
-    return _per_group(narrow.join(entering, group), group, arrival, accepted_type, accepted)
+    return _per_group(segments.carried_in(narrow, entering, keys), group, arrival, accepted_type, accepted)
 
 
 def accept_spaced(
@@ -250,7 +254,8 @@ def token_bucket(
 
 
 def _flag(events: DataFrame, kept: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    flagged = events.join(kept.withColumn("accepted", F.lit(True)), [*keys, arrival], "left")
+    # arrival numbers are unique, so they identify a row whatever its key holds
+    flagged = events.join(kept.select(arrival, F.lit(True).alias("accepted")), arrival, "left")
     return flagged.select(*events.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 

@@ -40,8 +40,7 @@ RAIL = r"^dev\.ina2xx\.(\d+)\.(bus_voltage|current|power|label)$"
 FAN = r"^dev\.emc2302\.(\d+)\.fan(\d+)\.(rpm|fault)$"
 TEMPERATURE_PREFIX = "hw.temperature."
 CONFIG_HEADER = "#config-version="
-# Bridges looked at per capture, and the words of a process table's own header.
-MAX_BRIDGES = 8
+# The words of a process table's own header.
 PROCESS_HEADERS = ["process", "CPU", "MEM", "node"]
 
 
@@ -381,15 +380,15 @@ def arp_text(captures: DataFrame) -> DataFrame:
 
 
 def bridge_names(output: Column) -> Column:
-    """Distinct safe names after ``name=`` in order, at most eight."""
+    """Distinct safe names after ``name=`` in order."""
     named = F.filter(lines(output, pager=False), lambda line: line.contains("name="))
     names = F.transform(named, lambda line: F.regexp_extract(line, r"^.*?name=\s*(\S+)", 1))
-    return F.slice(F.array_distinct(F.filter(names, lambda n: n.rlike(SAFE_NAME))), 1, MAX_BRIDGES)
+    return F.array_distinct(F.filter(names, lambda n: n.rlike(SAFE_NAME)))
 
 
 def freebsd_bridge_names(output: Column) -> Column:
     names = F.filter(F.transform(lines(output, pager=False), lambda line: F.trim(line)), lambda n: n.rlike(SAFE_NAME))
-    return F.slice(F.array_distinct(names), 1, MAX_BRIDGES)
+    return F.array_distinct(names)
 
 
 def bridge_hosts(captures: DataFrame) -> DataFrame:

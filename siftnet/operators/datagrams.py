@@ -7,8 +7,10 @@ lengths found in the data (sets, templates, records) run as Arrow functions.
 
 from __future__ import annotations
 
+import heapq
 import struct
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,6 @@ VARIABLE_LENGTH = 65535
 ENTERPRISE_BIT = 0x8000
 MAX_RECORD_LENGTH = 2048
 MAX_FIELD_LENGTH = 64
-MAX_TEMPLATES_PER_DOMAIN = 256
 TEMPLATE_IDLE_SECONDS = 1800
 #: Sets per datagram are bounded by 64 KiB / 4, so this orders sets inside the arrival order of datagrams.
 SETS_PER_DATAGRAM = 1 << 14
@@ -302,7 +303,7 @@ def min_record_length(fields: Column) -> Column:
 
 
 def template_verdict(fields: Column) -> Column:
-    """Why a template is refused, null if it is usable."""
+    """What is odd about a template: no length at all (unusable), or unusually long (reported, and decoded like any other)."""
     shortest = min_record_length(fields)
     wide = F.exists(fields, lambda f: (f["length"] != VARIABLE_LENGTH) & (f["length"] > MAX_FIELD_LENGTH))
     return F.when(shortest == 0, "template_zero_min_len").when(
@@ -326,16 +327,45 @@ def templates(set_rows: DataFrame) -> DataFrame:
     return announced.unionByName(events)
 
 
-def capped_templates(announced: DataFrame, *, cap: int = MAX_TEMPLATES_PER_DOMAIN) -> DataFrame:
-    """Add ``admitted``: usable, and among the first ``cap`` template ids its domain ever announced. Redefinition of
-    an admitted id is always allowed."""
-    usable = announced.where(F.col("template_id").isNotNull() & F.col("verdict").isNull())
-    first = usable.groupBy("exporter", "domain", "template_id").agg(F.min("set_order").alias("_first"))
-    ranked = segments.scan(
-        first, ["exporter", "domain"], "_first", running_sum={"_rank": F.lit(1)}, span=segments.SEGMENT_SPAN * SETS_PER_DATAGRAM
+def usable_templates(announced: DataFrame) -> DataFrame:
+    """Announced templates that records can be cut by: all but those without any length."""
+    return announced.where(F.col("template_id").isNotNull() & ~F.col("verdict").eqNullSafe("template_zero_min_len"))
+
+
+def capped_templates(announced: DataFrame, *, cap: int, idle_seconds: float = TEMPLATE_IDLE_SECONDS) -> DataFrame:
+    """Usable templates with ``admitted``: whether a cache of ``cap`` live templates per domain would hold them.
+
+    An opt-in report; no default plan caps anything. A template lives from an announcement until it was not announced again for
+    ``idle_seconds``; lives are found with segmented scans. A life is admitted while fewer than ``cap`` admitted ones of its
+    domain go on, and a redefinition belongs to its life. Only lives, not announcements, meet per domain.
+    """
+    usable = usable_templates(announced)
+    keys, domain = ["exporter", "domain", "template_id"], ["exporter", "domain"]
+    span = segments.SEGMENT_SPAN * SETS_PER_DATAGRAM
+    idle = int(idle_seconds * 1_000_000)
+    before = segments.scan(usable, keys, "set_order", prev={"_before": F.unix_micros("recv_ts")}, span=span)
+    begins = F.coalesce(F.unix_micros("recv_ts") - F.col("_before") > idle, F.lit(True))
+    lived = segments.scan(before.withColumn("_begins", begins.cast("bigint")), keys, "set_order", running_sum={"_life": F.col("_begins")}, span=span)
+    lived = segments.finish(lived.drop("_before", "_begins"))
+    lives = lived.groupBy(*keys, "_life").agg(
+        F.min("set_order").alias("_from"), F.min(F.unix_micros("recv_ts")).alias("_start"), F.max(F.unix_micros("recv_ts")).alias("_last")
     )
-    admitted = ranked.select("exporter", "domain", "template_id", (F.col("_rank") <= cap).alias("admitted"))
-    return usable.join(admitted, ["exporter", "domain", "template_id"])
+
+    def admit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_from", kind="stable")
+        ends: list[int] = []
+        admitted = []
+        for start, last in zip(frame["_start"].tolist(), frame["_last"].tolist()):
+            while ends and ends[0] < start:
+                heapq.heappop(ends)
+            admitted.append(len(ends) < cap)
+            if admitted[-1]:
+                heapq.heappush(ends, last + idle)
+        return frame.assign(admitted=admitted)[[*keys, "_life", "admitted"]]
+
+    kept = T.StructType([*(lives.schema[k] for k in [*keys, "_life"]), T.StructField("admitted", T.BooleanType())])
+    judged = lives.groupBy(*domain).applyInPandas(admit, kept)
+    return lived.join(judged, [*keys, "_life"]).drop("_life")
 
 
 def touch_gaps(
@@ -582,7 +612,7 @@ def records(decoded: DataFrame) -> DataFrame:
             value = F.lpad(F.hex(value), 16, "0")
         elif kinds[name] == "s":
             printable = F.split_part(value.cast("string"), F.lit("\x00"), F.lit(1))
-            value = F.trim(F.substring(printable, 1, 64))
+            value = F.trim(printable)
         else:
             value = net.ip_from_bytes(value)
         columns.append(value.alias(name))

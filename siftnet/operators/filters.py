@@ -75,12 +75,15 @@ def ssh_pollable() -> Column:
 def supported_kinds(rows: DataFrame, probes: DataFrame, *, kind: str = "kind") -> tuple[DataFrame, DataFrame]:
     """Split rows by whether their probe's negotiated schema knows the kind: (kept, discarded count by kind).
 
+    Every row lands on one side: a probe that is not in ``probes``, or has no version there, counts as the lowest version.
     The kind table is ten fixed rows, hence the broadcast.
     """
     spark = rows.sparkSession
     minimum = F.broadcast(spark.createDataFrame(list(KIND_MIN_SCHEMA.items()), f"{kind} string, min_schema int"))
-    judged = rows.join(probes.select("probe_id", "negotiated_schema"), "probe_id").join(minimum, kind, "left")
-    ok = F.col("negotiated_schema") >= F.coalesce("min_schema", F.lit(1))
+    versions = probes.groupBy("probe_id").agg(F.max("negotiated_schema").alias("negotiated_schema"))
+    judged = rows.join(versions, "probe_id", "left").join(minimum, kind, "left")
+    lowest = min(KIND_MIN_SCHEMA.values())
+    ok = F.coalesce("negotiated_schema", F.lit(lowest)) >= F.coalesce("min_schema", F.lit(lowest))
     kept = judged.where(ok).select(*rows.columns)
     discarded = judged.where(~ok).groupBy(kind).agg(F.count("*").alias("discarded"))
     return kept, discarded

@@ -27,10 +27,7 @@ VLAN_TYPES = [0x8100, 0x88A8, 0x9100]
 IPV4_TYPE, IPV6_TYPE = 0x0800, 0x86DD
 EXTENSION_HEADERS = [0, 43, 44, 51, 60, 135]
 FRAGMENT, AUTHENTICATION, TUNNELLED_IPV6 = 44, 51, 41
-MAX_EXTENSION_HEADERS = 8
 TCP, UDP = 6, 17
-MAX_PATH_SEGMENTS, MAX_SEGMENT_LENGTH = 64, 256
-MAX_COUNTER_RECORDS = 256
 
 _ITEMS = T.StructType(
     [
@@ -118,7 +115,7 @@ def _vlan_walk(o: Column) -> Column:
 
 
 def _ipv6_walk(o: Column, base: Column) -> Column:
-    """Struct (protocol, offset) of the payload after at most eight extension headers."""
+    """Struct (protocol, offset) of the payload after the extension headers, each of eight bytes or more."""
     start = F.struct(octet(o, base + 6).alias("protocol"), (base + 40).cast("int").alias("offset"), F.lit(False).alias("done"))
 
     def step(state: Column, _: Column) -> Column:
@@ -136,7 +133,7 @@ def _ipv6_walk(o: Column, base: Column) -> Column:
         stopped = F.struct(protocol.alias("protocol"), offset.alias("offset"), F.lit(True).alias("done"))
         return F.when(F.coalesce(walkable, F.lit(False)), moved).otherwise(stopped)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSION_HEADERS)), start, step)
+    walked = F.aggregate(F.sequence(F.lit(1), F.floor(F.size(o) / 8).cast("int") + 1), start, step)
     return F.when(octet(o, base + 6).isin(EXTENSION_HEADERS), walked).otherwise(start)
 
 
@@ -188,7 +185,8 @@ def with_gateway(rows: DataFrame, record: str) -> DataFrame:
     family = number(o, 0, 4)
     sized = rows.withColumn("_a", F.when(family == 1, 4).when(family == 2, 16))
     address = F.col("_a")
-    count = F.least(number(o, address + 16, 4), F.lit(MAX_PATH_SEGMENTS))
+    # a segment takes eight bytes or more, so the record's length bounds their number
+    count = F.least(number(o, address + 16, 4), F.floor(size / 8) + 1)
     counted = sized.withColumn("_segments", count.cast("int"))
     start = F.struct(
         (address + 20).alias("offset"),
@@ -199,7 +197,7 @@ def with_gateway(rows: DataFrame, record: str) -> DataFrame:
     def segment(state: Column, _: Column) -> Column:
         offset = state["offset"]
         active = state["whole"] & (offset < size)
-        length = F.least(number(o, offset + 4, 4), F.lit(MAX_SEGMENT_LENGTH))
+        length = number(o, offset + 4, 4)
         left = size - offset - 8
         fitting = F.least(length, F.floor(left / 4))
         # a list that ends exactly with the record is kept, one that breaks off inside a number is not
@@ -318,7 +316,7 @@ def interface_counters(sample_rows: DataFrame) -> DataFrame:
         "agent",
         "sample_no",
         F.when(plain, low_bits(uint(body, 4, 4), 24)).otherwise(uint(body, 8, 4)).alias("_source"),
-        F.least(uint(body, F.when(plain, 8).otherwise(12), 4), F.lit(MAX_COUNTER_RECORDS)).alias("_count"),
+        uint(body, F.when(plain, 8).otherwise(12), 4).alias("_count"),
         F.when(plain, 12).otherwise(16).alias("_start"),
         "body",
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators import segments
 
-# Fixed value: topology rows kept per device and snapshot.
+# Fixed value: the number of topology rows per device and snapshot that receivers accept. Nothing is capped unless a caller asks.
 TOPOLOGY_ROW_CAP = 4000
 
 
@@ -28,22 +28,42 @@ def cap_rows(
     kind: str = "entry_type",
     first_kind: str = "arp",
     order: str = "entry_no",
-    cap: int = TOPOLOGY_ROW_CAP,
+    cap: int,
     span: int = segments.SEGMENT_SPAN,
 ) -> DataFrame:
-    """Keep at most ``cap`` rows per key, rows of ``first_kind`` before the others, each in source order."""
-    totals = rows.groupBy(*keys).agg(F.count_if(F.col(kind) == first_kind).alias("_first_total"))
-    is_first = F.col(kind) == first_kind
-    ranked = segments.scan(
-        rows.withColumn("_is_first", is_first), [*keys, "_is_first"], order, running_sum={"_rank": F.lit(1)}, span=span
+    """Keep at most ``cap`` rows per key, rows of ``first_kind`` before the others, each in source order.
+
+    The key's number of first rows is found on the segment summaries and comes back with the carried ranks, so rows meet
+    nothing by their key alone.
+    """
+    is_first = F.coalesce(F.col(kind) == first_kind, F.lit(False))
+    local, earlier = segments.inside(keys, order), segments.across(keys)
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    whole = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = segments.two_level(
+        rows.withColumn("_is_first", is_first),
+        keys,
+        order,
+        local={"_first": F.sum(F.col("_is_first").cast("bigint")).over(upto), "_other": F.sum((~F.col("_is_first")).cast("bigint")).over(upto)},
+        summary={"_firsts": F.count_if("_is_first"), "_others": F.count_if(~F.col("_is_first"))},
+        carry=[
+            {
+                "_firsts_before": F.coalesce(F.sum("_firsts").over(before), F.lit(0)),
+                "_others_before": F.coalesce(F.sum("_others").over(before), F.lit(0)),
+                "_firsts_total": F.sum("_firsts").over(whole),
+            }
+        ],
+        span=span,
+    )
+    position = F.when(F.col("_is_first"), F.col("_first") + F.col("_firsts_before")).otherwise(
+        F.col("_other") + F.col("_others_before") + F.col("_firsts_total")
     )
-    placed = ranked.join(totals, keys)
-    position = F.when(F.col("_is_first"), F.col("_rank")).otherwise(F.col("_rank") + F.col("_first_total"))
-    return segments.finish(placed.where(position <= cap).drop("_is_first", "_rank", "_first_total"))
+    return ranked.where(position <= cap).select(*rows.columns)
 
 
 def cap_report(
-    rows: DataFrame, *, keys: list[str], kind: str = "entry_type", first_kind: str = "arp", cap: int = TOPOLOGY_ROW_CAP
+    rows: DataFrame, *, keys: list[str], kind: str = "entry_type", first_kind: str = "arp", cap: int
 ) -> DataFrame:
     """Kept and dropped rows per key."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(kind) == first_kind).alias("first_n"))

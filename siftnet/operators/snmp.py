@@ -45,7 +45,7 @@ def cells(pdus: DataFrame, columns: dict[str, str]) -> DataFrame:
     for column, prefix in columns.items():
         match = F.col("oid").startswith(prefix + ".")
         name = F.when(match, column).otherwise(name)
-        suffix = F.when(match, F.substring(F.col("oid"), F.lit(len(prefix) + 2), F.lit(1000))).otherwise(suffix)
+        suffix = F.when(match, F.substr(F.col("oid"), F.lit(len(prefix) + 2))).otherwise(suffix)
     return rows.withColumn("_column", name).withColumn("_suffix", suffix)
 
 
@@ -448,7 +448,8 @@ def cisco_processors(pdus: DataFrame) -> DataFrame:
 
 
 def fortinet_ha(pdus: DataFrame) -> DataFrame:
-    """Cluster members with the cluster scalars copied onto each; a standalone device has none."""
+    """Cluster members with the cluster scalars copied onto each; a standalone device has none. Members of a poll without the
+    scalars keep an empty mode."""
     mode = number(F.col("mode"))
     cluster = scalars(pdus, oids.FORTINET_HA).select(
         *POLL,
@@ -459,9 +460,10 @@ def fortinet_ha(pdus: DataFrame) -> DataFrame:
     members = pivot(pdus, oids.FORTINET_HA_MEMBER)
     sync = number(F.col("sync"))
     numbers = ["network_usage", "session_count", "packet_count", "byte_count"]
-    return members.join(cluster, POLL).where("system_mode <> 'standalone'").select(
+    system_mode = F.coalesce("system_mode", F.lit(""))
+    return members.join(cluster, POLL, "left").where(system_mode != "standalone").select(
         *POLL,
-        "system_mode",
+        system_mode.alias("system_mode"),
         "group_id",
         "group_name",
         F.col("idx").alias("member_index"),
@@ -577,34 +579,33 @@ def version_text(vendor: str, descr: Column) -> Column:
     """Version out of the system description, by vendor."""
     clean = F.trim(descr)
     words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
-    first80 = F.substring(descr, 1, 80)
     first_and_third = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(2)))
     if vendor == "fortigate":
         return descr
     if vendor == "opnsense":
         at = F.instr(F.lower(descr), "opnsense")
-        tail = F.filter(F.split(F.substring(descr, at, F.lit(100000)), r"\s+"), lambda w: w != "")
+        tail = F.filter(F.split(F.substr(descr, at), r"\s+"), lambda w: w != "")
         named = F.concat_ws(" ", F.lit("OPNsense"), F.get(tail, F.lit(1)))
-        return F.when(descr == "", "").when(at > 0, named).when(F.size(words) >= 3, first_and_third).otherwise(first80)
+        return F.when(descr == "", "").when(at > 0, named).when(F.size(words) >= 3, first_and_third).otherwise(descr)
     if vendor == "pfsense":
         at = F.instr(F.lower(descr), "pfsense")
-        tail = F.filter(F.split(F.substring(descr, at, F.lit(100000)), r"\s+"), lambda w: w != "")
+        tail = F.filter(F.split(F.substr(descr, at), r"\s+"), lambda w: w != "")
         release = F.get(F.filter(tail, lambda w: w.rlike(r"-CE-|-RELEASE|2\.|24\.")), F.lit(0))
         word = F.coalesce(release, F.get(tail, F.lit(1)))
         return (
             F.when(descr == "", "")
             .when((at > 0) & word.isNotNull(), F.concat(F.lit("pfSense "), word))
             .when(F.size(words) >= 3, first_and_third)
-            .otherwise(first80)
+            .otherwise(descr)
         )
     if vendor == "firewalla":
         linux = (F.size(words) >= 3) & (F.lower(F.get(words, F.lit(0))) == "linux")
-        return F.when(linux, F.concat(F.lit("Linux "), F.get(words, F.lit(2)))).otherwise(first80)
+        return F.when(linux, F.concat(F.lit("Linux "), F.get(words, F.lit(2)))).otherwise(descr)
     if vendor == "cisco_asa":
         at = F.array_position(F.transform(words, F.lower), "version").cast("int")
         following = F.when(at > 0, F.get(words, at))
-        return F.when(following.isNotNull(), F.concat(F.lit("ASA "), following)).otherwise(F.substring(clean, 1, 80))
-    return F.substring(clean, 1, 80)
+        return F.when(following.isNotNull(), F.concat(F.lit("ASA "), following)).otherwise(clean)
+    return clean
 
 
 def _ticks() -> Column:

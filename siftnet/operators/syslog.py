@@ -113,7 +113,7 @@ def parsed(lines: DataFrame) -> DataFrame:
         token(5).alias("message_id"),
         structured.alias("structured_data"),
         token(7).alias("message"),
-        F.when(structured != "", device_hint(token(2), structured)).otherwise(0).cast("bigint").alias("device_hint"),
+        F.when(F.get("_t", F.lit(6)) != "-", device_hint(token(2), structured)).otherwise(0).cast("bigint").alias("device_hint"),
     )
 
 

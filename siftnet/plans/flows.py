@@ -22,8 +22,8 @@ def decoded_template_sets(captured: DataFrame) -> DataFrame:
     """v9/IPFIX data sets with their template applied."""
     # decoding is read by the templates, their idle times and the records: do it once, and cut the plan there
     sets = checkpointed(datagrams.sets(datagrams.framed(captured)))
-    admitted = checkpointed(datagrams.capped_templates(datagrams.templates(sets)).where("admitted"))
-    return datagrams.decoded_sets(datagrams.with_templates(datagrams.data_sets(sets), admitted))
+    announced = checkpointed(datagrams.usable_templates(datagrams.templates(sets)))
+    return datagrams.decoded_sets(datagrams.with_templates(datagrams.data_sets(sets), announced))
 
 
 def template_flows(captured: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

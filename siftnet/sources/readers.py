@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftnet import schemas
-from siftnet.operators import cli, snmp, syslog
+from siftnet.operators import cli, snmp
 
 RAW = {
     "datagrams": schemas.RAW_DATAGRAMS,
@@ -27,28 +27,29 @@ def stream_raw(spark: SparkSession, path: str, table: str, *, files_per_trigger:
     return spark.readStream.schema(RAW[table]).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def datagrams_from_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """Datagrams from a topic (value = payload, key = exporter address); the offset gives the arrival order within its
-    partition."""
-    rows = spark.readStream.format("kafka").options(**options).load()
+def datagrams_from_kafka(spark: SparkSession, options: dict[str, str], partitions: int) -> DataFrame:
+    """Datagrams from a topic of ``partitions`` partitions (value = payload, key = exporter address)."""
+    return topic_records(spark.readStream.format("kafka").options(**options).load(), partitions)
+
+
+def topic_records(rows: DataFrame, partitions: int) -> DataFrame:
+    """Topic rows as datagrams. The topic must be keyed by exporter: all datagrams of one exporter are then in one partition, whose
+    offsets are their receive order, and that is the only order that the operators use. Numbers are unique over all
+    partitions; between exporters they mean nothing. A partition number outside 0..partitions-1 is an error."""
+    inside = F.col("partition").between(0, partitions - 1)
+    number = F.when(inside, F.col("offset") * partitions + F.col("partition"))
     return rows.select(
         F.col("timestamp").alias("recv_ts"),
-        (F.col("offset") * 4096 + F.col("partition")).alias("arrival_no"),
+        F.coalesce(number, F.raise_error(F.lit("more topic partitions than stated")).cast("bigint")).alias("arrival_no"),
         F.col("key").cast("string").alias("exporter"),
         F.col("value").alias("payload"),
     )
 
 
 def split_lines(chunks: DataFrame, *, text: str = "text") -> DataFrame:
-    """Received chunks to lines: split at line feeds, empty lines dropped, an unterminated tail dropped once it reaches
-    the size cap."""
-    rows = chunks.select(
-        *[c for c in chunks.columns if c != text],
-        F.size(F.split(text, "\n")).alias("_n"),
-        F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
-    )
-    runaway = (F.col("line_no") == F.col("_n") - 1) & (F.octet_length("line") >= syslog.MAX_LINE)
-    return rows.where((F.length("line") > 0) & ~runaway).drop("_n")
+    """Received chunks to lines: split at line feeds, empty lines dropped, an unterminated tail kept whatever its length."""
+    rows = chunks.select(*[c for c in chunks.columns if c != text], F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return rows.where(F.length("line") > 0)
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,26 +8,23 @@ from pyspark.sql import functions as F
 from siftnet.functions.text import content_key
 from siftnet.operators import segments, snapshots
 
-# Fixed value: largest batch.
-MAX_BATCH = 1000
+# Fixed value: rows of a batch unless another number is asked for.
+BATCH_ROWS = 1000
 
 
-def batch_size(requested: int) -> int:
-    """Requested size clamped to 1..1000."""
-    return max(1, min(requested, MAX_BATCH))
-
-
-def chunked(rows: DataFrame, *, keys: list[str], order: str, size: int = MAX_BATCH, span: int = segments.SEGMENT_SPAN) -> DataFrame:
-    """Add ``chunk_no``: consecutive chunks of at most ``size`` rows per key, in order."""
+def chunked(rows: DataFrame, *, keys: list[str], order: str, size: int = BATCH_ROWS, span: int = segments.SEGMENT_SPAN) -> DataFrame:
+    """Add ``chunk_no``: consecutive chunks of at most ``size`` rows (one at least) per key, in order."""
     numbered = segments.scan(rows, keys, order, running_sum={"_n": F.lit(1)}, span=span)
     return segments.finish(
-        numbered.withColumn("chunk_no", F.floor((F.col("_n") - 1) / F.lit(batch_size(size))).cast("bigint")).drop("_n")
+        numbered.withColumn("chunk_no", F.floor((F.col("_n") - 1) / F.lit(max(1, size))).cast("bigint")).drop("_n")
     )
 
 
-def write_table(rows: DataFrame, path: str, *, partition_by: list[str] | None = None, size: int = MAX_BATCH) -> None:
-    """Append as Parquet with bounded file sizes."""
-    writer = rows.write.mode("append").option("maxRecordsPerFile", size)
+def write_table(rows: DataFrame, path: str, *, partition_by: list[str] | None = None, rows_per_file: int = 0) -> None:
+    """Append as Parquet. Chunks are data (:func:`chunked`), not files: partitions are balanced by bytes before the write, split
+    where they are too large, and only a caller who names ``rows_per_file`` gets a bound on rows."""
+    balanced = rows.hint("rebalance", *(partition_by or []))
+    writer = balanced.write.mode("append").option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

@@ -350,8 +350,8 @@ def test_topology(spark, rows):
 @pytest.mark.parametrize("arp, fdb, kept, dropped", [(10, 20, 30, 0), (1000, 4000, 4000, 1000), (4005, 3, 4000, 8)])
 def test_cap(spark, arp, fdb, kept, dropped):
     frame = spark.range(arp + fdb).selectExpr("1 as device_id", "id as entry_no", f"if(id < {fdb}, 'fdb', 'arp') as entry_type")
-    report = snapshots.cap_report(frame, keys=["device_id"]).first()
-    rows_kept = snapshots.cap_rows(frame, keys=["device_id"])
+    report = snapshots.cap_report(frame, keys=["device_id"], cap=snapshots.TOPOLOGY_ROW_CAP).first()
+    rows_kept = snapshots.cap_rows(frame, keys=["device_id"], cap=snapshots.TOPOLOGY_ROW_CAP)
     assert (report["kept"], report["dropped"], rows_kept.count()) == (kept, dropped, kept)
     assert rows_kept.where("entry_type = 'arp'").count() == min(arp, 4000)
 

@@ -39,6 +39,26 @@ def test_scan(spark, skewed, rows, span):
     assert rows(build(span)) == rows(build(segments.SEGMENT_SPAN))
 
 
+@pytest.mark.parametrize("span", [1, 4, 100])
+def test_null_keys(spark, rows, span):
+    frame = spark.range(40).selectExpr(
+        "id as arrival_no", "if(id % 3 = 0, null, id % 2) as device_id", "if(id % 5 < 3, null, 'x') as port", "timestamp_seconds(id * 7 + id % 4) as ts", "id % 4 as k"
+    )
+    keys = ["device_id", "port"]
+
+    def scanned(width):
+        return segments.finish(segments.scan(frame, keys, "arrival_no", prev={"p": F.col("k")}, running_sum={"n": F.lit(1)}, span=width)).drop("ts")
+
+    def accepted(width):
+        return admission.accept_spaced(frame, keys=keys, gap_seconds=20, span=width).select("arrival_no", "accepted")
+
+    for build in (scanned, accepted):
+        assert rows(build(span)) == rows(build(segments.SEGMENT_SPAN))
+    most = scanned(span).groupBy(*keys).agg(F.max("n").alias("most"), F.count("*").alias("all"))
+    assert most.where("most <> all").count() == 0
+    assert accepted(span).where("accepted").join(frame, "arrival_no").select(*keys).distinct().count() == frame.select(*keys).distinct().count()
+
+
 @pytest.mark.parametrize("span", SPANS)
 def test_operators(spark, skewed, rows, span):
     wide = segments.SEGMENT_SPAN
