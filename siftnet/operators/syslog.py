@@ -91,7 +91,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     body = F.when(F.col("_glued"), F.split("line", " ", 8)).otherwise(
         F.concat(F.slice(tokens, 1, 1), F.slice(tokens, 3, 7))
     )
-    rows = rows.withColumn("_t", body)
+    # a generator binds the words once: filters on columns made of them are not rewritten into splits of the line
+    rows = rows.select("*", F.explode(F.array(body)).alias("_t"))
 
     def token(at: int) -> Column:
         return F.coalesce(F.get("_t", F.lit(at)), F.lit(""))
