@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftnet.functions import net
 from siftnet.functions.binary import low_bits
-from siftnet.operators import asof, datagrams, filters, lookups, segments
+from siftnet.operators import asof, datagrams, filters, segments
 from siftnet.schemas import conform
 
 # Fixed values.
@@ -223,7 +223,7 @@ def with_sampling_rate(
     rates = [F.col("_sampler_rate"), F.col("_domain_rate"), F.lit(1)]
     if overrides is not None:
         pinned = overrides.select("exporter", F.col("rate").alias("_override"))
-        rows = rows.join(lookups.small(pinned), "exporter", "left")
+        rows = rows.join(pinned, "exporter", "left")
         rates.insert(0, F.col("_override"))
     rated = rows.withColumn("sampling_rate", F.coalesce(*rates).cast("bigint"))
     return segments.finish(rated.drop("_order", "_domain_rate", "_sampler_rate", "_override"))

@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest dimension, in rows, that is broadcast by name. Bigger ones are left to the optimizer.
-BROADCAST_ROWS = 100_000
-
 # Addresses that never identify a device.
 UNUSABLE_ADDRESSES = ["", "0.0.0.0", "127.0.0.1"]
 
 
-def small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the dimension stays within ``rows``; reads at most that many."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
-
-
 def device_addresses(devices: DataFrame, addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(management dimension: first listed device wins, interface dimension: last write wins)."""
     management = (
@@ -44,7 +36,7 @@ def resolve_device(
     dimension = management.join(interface, "_ip", "full").select(
         F.col("_ip").alias(ip), F.coalesce("_management_id", "_interface_id").alias("_resolved")
     )
-    joined = rows.drop(out).join(small(dimension), ip, "left")
+    joined = rows.drop(out).join(dimension, ip, "left")
     return joined.withColumn(out, F.coalesce("_resolved", F.lit(0)).cast("bigint")).drop("_resolved")
 
 
