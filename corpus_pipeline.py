@@ -45,7 +45,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, whole or with up to a fifth of its words edited, go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return _keeping_columns(docs, lambda d: decontaminate.without_leaks(d, benchmark))
+    return _keeping_columns(docs, lambda d: decontaminate.without_leaks(d, benchmark, free_end=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Benchmark decontamination under word edit distance.
 
-A document is contaminated by an item of m words if one of its windows of m words is within k = floor(m * (100 - percent) / 100)
-word edits of it. Words are lower-cased runs of ASCII letters and digits and of bytes beyond ASCII, so case and punctuation don't count.
+A document is contaminated by an item of m words if one of its windows is within k = floor(m * (100 - percent) / 100) word edits
+of it. With ``free_end`` these are windows of every size from m - k to m + k words; without it windows of m words, in which the
+words that an insertion pushes out, or a deletion pulls in, are paid as well. Words are lower-cased runs of ASCII letters and digits and of bytes beyond ASCII, so case and punctuation don't count.
 
 1. Windows that cannot match are left out without loss: of k + 1 consecutive pieces of an item one is untouched by k edits, so only
    windows that hold a piece, moved by at most k words, are embedded. This looks at every position of every text.
@@ -10,7 +11,7 @@ word edits of it. Words are lower-cased runs of ASCII letters and digits and of
 3. Bit-sampling LSH: a repetition hashes a few sampled places of its own walk; window and item are a candidate pair if they agree
    in any. The number of repetitions is set per run so that a window at the largest distance is found with probability
    ``RECALL``, measured on edited copies of the items.
-4. Candidates are verified by the exact edit distance.
+4. Candidates are verified by the exact edit distance; with ``free_end`` to the best end within the m + k words from their start.
 
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, each sent to all tasks; the texts are read once a block.
 
@@ -89,13 +90,14 @@ def lsh_hashes(sequences: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, re
     return out
 
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Word edit distance, or most + 1 if it is larger; only the diagonal band of that width is filled."""
-    if a == b:
+def edit_distance(a: list[int], b: list[int], most: int, free_end: bool = False) -> int:
+    """Word edit distance, or most + 1 if it is larger; only the diagonal band of that width is filled. With ``free_end`` the
+    distance of ``a`` to the closest beginning of ``b``."""
+    if a == (b[: len(a)] if free_end else b):
         return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
     big = most + 1
+    if len(a) - len(b) > most or (len(b) - len(a) > most and not free_end):
+        return big
     row = [j if j <= most else big for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         low, high = max(1, i - most), min(len(b), i + most)
@@ -112,7 +114,7 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
         if min(new[low - 1 : high + 1]) > most:
             return big
         row = new
-    return row[len(b)]
+    return min(row) if free_end else row[len(b)]
 
 
 def _padded(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +215,7 @@ class Index:
         pairs = np.unique(np.stack([window // self.repetitions, self.of_hash[number]]), axis=1)
         return pairs[0], pairs[1]
 
-    def matches(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def matches(self, data: np.ndarray, bounds: np.ndarray, free_end: bool) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits): the closest window of each stretch of a text that matches an item."""
         words = split(data, bounds, lower=True, separator=WORD_END)
         values, owner = words.hashes(), words.owner()
@@ -225,9 +227,10 @@ class Index:
         sizes = np.repeat(list(found), [len(x) for x in found.values()])
         close: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for w, n in zip(*(x.tolist() for x in self.candidates(values, starts, sizes, ends))):
-            start = int(starts[w])
-            d = edit_distance(values[start : min(start + int(sizes[w]), int(ends[start]))].tolist(), self.lists[n], self.edits[n])
-            if d <= self.edits[n]:
+            start, most = int(starts[w]), self.edits[n]
+            reach = int(sizes[w]) + (most if free_end else 0)
+            d = edit_distance(self.lists[n], values[start : min(start + reach, int(ends[start]))].tolist(), most, free_end)
+            if d <= most:
                 close[int(owner[start]), n].append((start - int(words.firsts[owner[start]]), d))
         out = []
         for (text, n), places in close.items():
@@ -249,13 +252,13 @@ def _blocks(benchmark: DataFrame, percent: int, block_items: int) -> Iterator[In
         yield Index([(r["item_id"], r["text"]) for r in mine.collect()], percent)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, n_edits): every place where a document holds an item."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS, free_end: bool = False) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, n_edits): every place where a document holds an item; n_words are the item's."""
     docs = long_ids(docs.select("doc_id", "text"))
-    return reduce(DataFrame.unionByName, [_search(docs, index) for index in _blocks(benchmark, percent, block_items)])
+    return reduce(DataFrame.unionByName, [_search(docs, index, free_end) for index in _blocks(benchmark, percent, block_items)])
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, block_items: int = BLOCK_ITEMS, free_end: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no item. Texts are filtered where they are read and never shuffled."""
     for index in _blocks(benchmark, percent, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -263,19 +266,19 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, bloc
         def clean(batch, data, bounds, shared=shared):
             held = shared.value
             keep = np.ones(batch.num_rows, bool)
-            keep[[r[0] for r in held.matches(data, bounds)] if held.ids else []] = False
+            keep[[r[0] for r in held.matches(data, bounds, free_end)] if held.ids else []] = False
             return batch.filter(pa.array(keep))
 
         docs = per_chunk(docs, docs.schema, clean)
     return docs
 
 
-def _search(docs: DataFrame, index: Index) -> DataFrame:
+def _search(docs: DataFrame, index: Index, free_end: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batch, data, bounds):
         held = shared.value
-        rows = held.matches(data, bounds) if held.ids else []
+        rows = held.matches(data, bounds, free_end) if held.ids else []
         return pa.record_batch(
             {
                 "doc_id": batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),

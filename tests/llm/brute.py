@@ -95,3 +95,23 @@ def leaked(rows, items, percent=80, least=5):
                     found.add((i, item))
                     break
     return found
+
+
+def leaked_at_any_length(rows, items, percent=80, least=5):
+    """(doc_id, item_id) pairs with a window of any size from m - k to m + k words within the item's k edits."""
+    found = set()
+    for i, text in rows:
+        w = bench_words(text)
+        for item, phrase in items:
+            m = bench_words(phrase)
+            k = len(m) * (100 - percent) // 100
+            if len(m) < least:
+                continue
+            for p in range(max(0, len(w) - (len(m) - k) + 1)):
+                near = w[p : p + len(m) + k]
+                if len(set(m) & set(near)) < len(set(m)) - k:
+                    continue
+                if any(edit_distance(near[:n], m) <= k for n in range(len(m) - k, len(near) + 1)):
+                    found.add((i, item))
+                    break
+    return found

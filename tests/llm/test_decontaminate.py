@@ -73,3 +73,54 @@ def test_edge_cases(spark):
     assert found(spark, [], items)[0] == set() and found(spark, rows, [])[0] == set()
     kept = decontaminate.without_leaks(spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", n_edits int"), spark.createDataFrame(items, ITEMS))
     assert sorted((r.doc_id, r.n_edits) for r in kept.collect()) == [(1, 1), (2, 1), (5, 1)]
+
+
+def test_edit_distance_with_a_free_end():
+    rng = random.Random(3)
+    for _ in range(500):
+        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        most = rng.randint(0, 6)
+        want = min(brute.edit_distance(a, b[:n]) for n in range(len(b) + 1))
+        assert decontaminate.edit_distance(a, b, most, free_end=True) == min(want, most + 1)
+
+
+def test_insertions_and_deletions_are_paid_once(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(16, 59)))) for i in range(20)]
+    rows = []
+    for i in range(120):
+        m = items[i % 20][1].split()
+        k = len(m) // 5
+        n = rng.randint(k // 2 + 1, k + i % 2)
+        for _ in range(n):
+            at = rng.randrange(1, len(m) - 1)
+            m[at : at + i // 2 % 2] = [] if i // 2 % 2 else [f"more{rng.randrange(999)}"]
+        rows.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + m + rng.choices(vocabulary, k=rng.randint(0, 30)))))
+    rows.append((120, " ".join(vocabulary)))
+    want = brute.leaked_at_any_length(rows, items)
+    got, out = found(spark, rows, items, free_end=True)
+    assert got <= want
+    assert len(want) > 60 and len(got) >= 0.98 * len(want) and len(brute.leaked(rows, items)) < 0.8 * len(want)
+    for r in out:
+        words, phrase = brute.bench_words(dict(rows)[r.doc_id])[r.first_word :], brute.bench_words(dict(items)[r.item_id])
+        k = len(phrase) // 5
+        assert min(brute.edit_distance(words[:n], phrase) for n in range(len(phrase) - k, len(phrase) + k + 1)) == r.n_edits
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = decontaminate.without_leaks(docs, spark.createDataFrame(items, ITEMS), free_end=True)
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in got}
+
+
+def test_the_query_and_the_pipeline_find_scattered_insertions(spark, tmp_path):
+    import corpus_pipeline
+    from siftnet.llm import queries
+
+    item = [f"w{i}" for i in range(40)]
+    text = " ".join(["a b c"] + item[:12] + ["x0"] + item[12:16] + ["x1"] + item[16:20] + ["x2"] + item[20:24] + ["x3"] + item[24:28] + ["x4"] + item[28:] + ["d e f"])
+    cut = " ".join(["a b c"] + item[:12] + item[13:16] + item[17:20] + item[21:24] + item[25:28] + item[29:] + ["d e f g h i j k l"])
+    docs = spark.createDataFrame([(1, text), (2, cut), (3, "clean")], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in queries.op8_benchmark_leaks(spark, str(tmp_path)).select("doc_id", "item_id", "n_edits").collect()}
+    assert got == {(1, 7, 5), (2, 7, 5)}
+    assert [r.doc_id for r in corpus_pipeline.remove_leaks(spark, docs, str(tmp_path)).collect()] == [3]
