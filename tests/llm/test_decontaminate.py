@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from siftnet.llm import decontaminate
 from tests.llm import brute
 
@@ -124,3 +126,43 @@ def test_the_query_and_the_pipeline_find_scattered_insertions(spark, tmp_path):
     got = {tuple(r) for r in queries.op8_benchmark_leaks(spark, str(tmp_path)).select("doc_id", "item_id", "n_edits").collect()}
     assert got == {(1, 7, 5), (2, 7, 5)}
     assert [r.doc_id for r in corpus_pipeline.remove_leaks(spark, docs, str(tmp_path)).collect()] == [3]
+
+
+def test_distances_of_many_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        m, n = rng.randint(1, 14), rng.randint(1, 20)
+        most, values = rng.randint(0, min(6, m)), np.array([rng.randrange(3) for _ in range(40)], np.uint64)
+        items = np.array([[rng.randrange(3) for _ in range(m)] for _ in range(n)], np.uint64)
+        starts = np.array([rng.randrange(40) for _ in range(n)])
+        ends = np.array([rng.randint(s, 40) for s in starts])
+        for free_end in (False, True):
+            until = np.minimum(ends, starts + m + most * free_end)
+            want = [decontaminate.edit_distance(i.tolist(), values[a:b].tolist(), most, free_end) for i, a, b in zip(items, starts, until)]
+            assert decontaminate.distances(items, values, starts, ends, most, free_end).tolist() == want
+
+
+def test_recall_of_long_items_beside_short_ones(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(16, 30)))) for i in range(200)]
+    items += [(1000 + i, " ".join(rng.choices(vocabulary, k=400))) for i in range(10)]
+    rows = []
+    for i in range(200):
+        m = items[200 + i % 10][1].split()
+        # the largest distance, one edit in each run of five words, all net insertions or deletions, or none
+        for at in range(len(m) - 5, -1, -5):
+            m[at + 1 : at + 2] = [["x"], [m[at + 1], "x"], [], ["x"]][i % 3 if i % 4 else 0]
+        rows.append((i, " ".join(rng.choices(vocabulary, k=20) + m + rng.choices(vocabulary, k=20))))
+    got, _ = found(spark, rows, items, free_end=True)
+    assert {(i, 1000 + i % 10) for i in range(200)} >= got and len(got) >= 0.99 * 200
+
+
+def test_sizes_beyond_the_most_repetitions_are_verified_without_lsh(spark, monkeypatch):
+    rng = random.Random(10)
+    items = [(i, " ".join(rng.choices([f"v{j}" for j in range(60)], k=size))) for i, size in enumerate([5, 9, 20, 20, 33, 48, 60])]
+    rows = [(i, " ".join(edited(rng, items[i % 7][1].split(), rng.randint(0, 13)) + ["end"] * (i % 5))) for i in range(150)]
+    monkeypatch.setattr(decontaminate, "LEVELS", ())
+    want = brute.leaked_at_any_length(rows, items)
+    assert len(want) > 30 and found(spark, rows, items, free_end=True)[0] == want
+    assert found(spark, rows, items)[0] == brute.leaked(rows, items)
