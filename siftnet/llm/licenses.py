@@ -10,8 +10,8 @@ the template's words. The join is exact and filters as follows:
 * length: a block with fewer than ``need`` template words is left out;
 * position: from the place of the shared word in both orders, a pair that cannot reach ``need`` any more is left out.
 
-The remaining pairs are verified on the full sets. A block that matches several templates is labelled with those it shares
-most words with. The templates are a fixed table of a few rows, which is what is broadcast; texts are never shuffled.
+The remaining pairs are verified on the full sets. A block that matches several templates is labelled with all of
+them but those whose shared words are a part of another's (cc-by in a notice of cc-by-sa). The templates are a fixed table of a few rows, which is what is broadcast; texts are never shuffled.
 
 Besides, phrases are counted in the words of whole texts; they give the base labels.
 
@@ -103,13 +103,14 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, per
     pairs = shared.join(F.broadcast(index), "word").where(F.size("held") >= F.col("need")).where(first & (reach >= F.col("need")))
     common = F.size(F.array_intersect("template", "held"))
     matched = pairs.withColumn("common", common).where(F.col("common") >= F.col("need"))
-    best = matched.select(
-        "doc_id", "text_key", "held", F.struct("common", (F.col("common") / F.size("template")).alias("score"), "label").alias("m")
-    )
-    per_block = best.groupBy("doc_id", "text_key", "held").agg(F.collect_set("m").alias("all"), F.max("m.common").alias("most"))
-    return per_block.select("doc_id", "text_key", F.explode(F.filter("all", lambda m: m["common"] == F.col("most"))).alias("m")).select(
-        "doc_id", "text_key", "m.label", "m.score"
-    )
+    match = F.struct((F.col("common") / F.size("template")).alias("score"), "label", F.array_intersect("template", "held").alias("words"))
+    per_block = matched.select("doc_id", "text_key", "held", match.alias("m")).groupBy("doc_id", "text_key", "held").agg(F.collect_set("m").alias("all"))
+
+    def inside(m: Column, other: Column) -> Column:
+        return (F.size(m["words"]) < F.size(other["words"])) & (F.size(F.array_except(m["words"], other["words"])) == 0)
+
+    own = F.filter("all", lambda m: ~F.exists("all", lambda other: inside(m, other)))
+    return per_block.select("doc_id", "text_key", F.explode(own).alias("m")).select("doc_id", "text_key", "m.label", "m.score")
 
 
 def phrase_places(words: Column, phrase: str) -> Column:

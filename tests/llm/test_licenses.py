@@ -54,3 +54,17 @@ def test_clashing_columns_and_empty_table(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_all_notices_of_a_line_are_labelled(spark):
+    notice = licenses.TEMPLATES
+    texts = {
+        "Licensed under CC BY 4.0. This work is licensed under the GNU General Public License, version 3.": "cc-by,gpl",
+        f"{notice['bsd']}. {notice['cc-by-sa']}": "bsd,cc-by-sa",
+        f"{notice['mit']} or {notice['apache']}": "apache,mit",
+        f"{notice['cc0']}; {notice['mpl']}; {notice['cc-by-nc']}": "cc-by-nc,cc0,mpl",
+        notice["cc-by-sa"]: "cc-by-sa",
+        notice["cc-by"]: "cc-by",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert [r.labels for r in licenses.scan(df).orderBy("doc_id").collect()] == list(texts.values())
