@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftnet.llm import ann, decontaminate, fixity, langid, licenses, neardup, packing, substrings, token_counts, toxicity
+from siftnet.llm import ann, decontaminate, fixity, langid, licenses, neardup, packing, periodic, substrings, token_counts, toxicity
 from siftnet.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,56 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, d.doc_id = g.co
 @query("op10_min_max_dedup", NEAR_SQL)
 def op10_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The texts of the query: of documents whose h = crc32(doc_id) is a multiple of 10, the words from place a on repeat the p from there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_w"), F.expr("crc32(cast(doc_id as string)) div 10").alias("_g"))
+    n = F.size("_w")
+    placed = chosen.withColumn("_a", F.when(n > 0, F.expr("cast(_g % size(_w) as int)")))
+    placed = placed.withColumn("_p", F.expr("cast(1 + (size(_w) - _a) div (3 + _g % 8) as int)"))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("_w"), place(i))), " ")
+    return placed.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+PERIODS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+t AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM g),
+p AS (SELECT doc_id, n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM t),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+c AS (SELECT doc_id, q, min(i) AS lo, count(*) + q AS size FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (
+  SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.q < c.q AND o.lo <= c.lo AND o.lo + o.size >= c.lo + c.size)),
+f AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(lo, size, q), (-size, lo, q)) AS best,
+         string_agg(lo || ',' || size || ',' || q || chr(10), '' ORDER BY lo, q) AS listed FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(lo + q, lo + size)) AS i FROM r) GROUP BY doc_id),
+k AS (
+  SELECT t.doc_id, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(0, n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END AS w
+  FROM t LEFT JOIN x USING (doc_id))
+SELECT k.doc_id, coalesce(n_runs, 0) AS n_runs, best.lo AS start, CAST(best.size AS BIGINT) AS length, best.q AS period,
+       CAST(1000 * best.size // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(array_to_string(w, ' ')) AS collapsed_sha256
+FROM k LEFT JOIN f USING (doc_id)
+"""
+
+
+@query("op13_periodic_runs", PERIODS_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    rows = found.withColumn("_b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_b.start")).alias("start"), F.col("_b.length").alias("length"), (-F.col("_b.period")).alias("period"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return rows.withColumn("exponent_milli", F.expr("1000 * length div period"))

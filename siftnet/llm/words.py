@@ -63,6 +63,19 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASES[1 - family]))
 
 
+class RunHasher:
+    """The hashes of :func:`run_hashes` for many calls over the same values."""
+
+    def __init__(self, values: np.ndarray, family: int = 0):
+        up, self.down = _POWERS[family].get(len(values) + 1)
+        self.salt = np.uint64(BASES[1 - family])
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values.astype(np.uint64, copy=False) * up[: len(values)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * self.salt)
+
+
 @dataclass
 class Words:
     """The words of a run of texts: byte places, and for each text the number of its first word."""
@@ -104,6 +117,19 @@ def split(data: np.ndarray, bounds: np.ndarray, lower: bool = False, separator:
     return Words(data, starts, ends, np.searchsorted(starts, bounds))
 
 
+def word_array(words: Words, separator: np.ndarray = SPACE) -> pa.Array:
+    """The words as an Arrow array of their bytes. All bytes that are no separators belong to words."""
+    offsets = np.zeros(len(words.starts) + 1, np.int64)
+    np.cumsum(words.ends - words.starts, out=offsets[1:])
+    content = words.data[~separator[words.data]]
+    return pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(offsets), pa.py_buffer(content)])
+
+
+def word_ids(words: Words, separator: np.ndarray = SPACE) -> np.ndarray:
+    """A number for each word, equal for equal words."""
+    return word_array(words, separator).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def window_hashes(words: Words, values: np.ndarray, length: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every run of ``length`` words that lies inside one text."""
     owner_end = np.repeat(words.firsts[1:], words.counts)

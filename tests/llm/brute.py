@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 
 def ascii_lower(text: str) -> str:
@@ -115,3 +116,41 @@ def leaked_at_any_length(rows, items, percent=80, least=5):
                     found.add((i, item))
                     break
     return found
+
+
+def periodic(words, least=6, exponent=4):
+    """(start, length, smallest period) of every run, by trying all periods."""
+    n, out = len(words), []
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, exponent * q):
+                inside = words[i : j + q]
+                if not any(inside[r:] == inside[:-r] for r in range(1, q)):
+                    out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def repeated_tail(doc_id, text):
+    """The words that op13_periodic_runs looks at."""
+    words = [w.decode() for w in (text or "").encode().split()]
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return [words[i if i < a else a + (i - a) % p] for i in range(n)]
+
+
+def periodic_digests(words):
+    runs = periodic(words)
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+    gone = {i for s, size, q in runs for i in range(s + q, s + size)}
+    listed = "".join(f"{s},{size},{q}\n" for s, size, q in runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    digests = tuple(hashlib.sha256(t.encode()).hexdigest() for t in (listed, kept))
+    return (len(runs), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None, *digests)
