@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftnet.llm import ann, decontaminate, fixity, langid, licenses, neardup, packing, periodic, substrings, token_counts, toxicity
+from siftnet.llm import ann, decontaminate, divergence, fixity, langid, licenses, neardup, packing, periodic, quality, substrings, token_counts, toxicity
 from siftnet.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,91 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
     return rows.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(n) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gt AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+u AS (
+  SELECT gt.lang, gt.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT) AS HUGEINT) // CAST(total + 5 * v.v AS HUGEINT) AS p
+  FROM gt JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = k.term),
+l AS (
+  SELECT lang, term, 1 + CAST(1000000000 * CAST(n + 5 AS HUGEINT) AS HUGEINT) // CAST(sum(n) OVER (PARTITION BY lang) + 5 * v AS HUGEINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM u a JOIN u b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT u.lang, u.source, 'term', term, CAST(p - q AS BIGINT) FROM u JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def _class_counts_sql(text: str) -> str:
+    """SQL list of the class sizes of quality.CLASSES: each by what its removal shortens."""
+    lefts = [text]
+    for pattern in quality.CLASSES.values():
+        quoted = pattern.replace("'", "''")
+        lefts.append(f"regexp_replace({lefts[-1]}, '{quoted}', '', 'g')")
+    sizes = [f"length({left})" for left in lefts]
+    return "[" + ", ".join([f"{a} - {b}" for a, b in zip(sizes, sizes[1:])] + [sizes[-1]]) + "]"
+
+
+def _part_sql(p: str, q: str) -> str:
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)"
+
+
+QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t,
+         {_class_counts_sql("coalesce(text, '')")} AS c FROM documents),
+p AS (SELECT r, i, md5(array_to_string(w[i:i + 7], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)),
+u AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
+n AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM u) GROUP BY r),
+m AS (
+  SELECT d.*, len(w) AS n_words, length(coalesce(text, '')) - c[2] AS word_chars, c[6] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(t) AS n_terms, list_sum(c) AS total FROM d LEFT JOIN n USING (r)),
+lc AS (SELECT lang, [{", ".join(f"sum(c[{i + 1}])" for i in range(len(quality.CLASS_NAMES)))}] AS c, sum(total) AS total FROM m GROUP BY lang),
+x AS (SELECT r, lang, unnest(t) AS term FROM m),
+lt AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term),
+ls AS (SELECT lang, sum(n) AS terms FROM lt GROUP BY lang),
+top AS (SELECT lang, term, n / terms AS q FROM lt JOIN ls USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= {quality.COMMON_WORDS}),
+xc AS (SELECT r, term, count(*) AS n FROM x GROUP BY r, term),
+wb AS (
+  SELECT m.r, coalesce(xc.n, 0) / m.n_terms AS p, q FROM m JOIN top ON top.lang = m.lang LEFT JOIN xc ON xc.r = m.r AND xc.term = top.term
+  WHERE m.n_terms >= {quality.LEAST_TERMS}),
+ws AS (SELECT r, sum({_part_sql("p", "q")}) AS inner_, 1 - sum(p) AS p, greatest(1 - sum(q), 0) AS q FROM wb GROUP BY r),
+wd AS (SELECT r, sqrt((inner_ + {_part_sql("p", "q")}) / 2) AS word_distance FROM ws),
+cd AS (
+  SELECT r, sqrt(sum({_part_sql("p", "q")}) / 2) AS class_distance
+  FROM (SELECT r, unnest(m.c) / m.total AS p, unnest(lc.c) / lc.total AS q FROM m JOIN lc USING (lang) WHERE m.total > 0) GROUP BY r),
+j AS (
+  SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, coalesce(terms, 0) >= {quality.LEAST_REFERENCE} AS enough
+  FROM m LEFT JOIN ls USING (lang) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (NOT enough OR coalesce(class_distance, 0) <= {quality.MOST_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {quality.MOST_WORD_DISTANCE}) AS kept
+FROM j
+"""
+
+
+@query("op12_distribution_divergence", QUALITY_SQL)
+def op12_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.select("doc_id", *quality.MEASURES, "base_failed", "kept")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 
@@ -154,3 +155,41 @@ def periodic_digests(words):
     kept = " ".join(w for i, w in enumerate(words) if i not in gone)
     digests = tuple(hashlib.sha256(t.encode()).hexdigest() for t in (listed, kept))
     return (len(runs), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None, *digests)
+
+
+def divergence(rows, min_docs, top=50, smooth=5, scale=10**9):
+    """Rows (lang, source, part, item, value, rank) from rows (text, lang, source)."""
+    counts, docs_with, groups = {}, {}, {}
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        groups.setdefault(lang, set()).add(source)
+        found = [ascii_lower(t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        for term in found:
+            key = (lang, source, term)
+            counts[key] = counts.get(key, 0) + 1
+        for term in set(found):
+            docs_with[lang, term] = docs_with.get((lang, term), 0) + 1
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for (of, t), n in docs_with.items() if of == lang and n >= min_docs)
+
+        def usage(of):
+            n = {t: sum(counts.get((lang, s, t), 0) for s in of) for t in kept}
+            total = sum(n.values()) + smooth * len(kept)
+            return {t: 1 + scale * (n[t] + smooth) // total for t in kept}
+
+        p, q = {s: usage([s]) for s in sources}, usage(sources)
+        for source in sources:
+            pairs = [(sum(abs(p[source][t] - p[o][t]) for t in kept), o) for o in sources if o != source]
+            terms = [(p[source][t] - q[t], t) for t in kept if counts.get((lang, source, t)) and p[source][t] > q[t]]
+            for part, listed, most in (("pair", pairs, None), ("term", terms, top)):
+                listed.sort(key=lambda e: (-e[0], e[1].encode()))
+                out += [(lang, source, part, item, value, i + 1) for i, (value, item) in enumerate(listed[:most])]
+    return sorted(out)
+
+
+def repeated_words(words, window=8):
+    seen = {}
+    for i in range(len(words) - window + 1):
+        seen.setdefault(tuple(words[i : i + window]), []).append(i)
+    return len({k for at in seen.values() if len(at) > 1 for i in at for k in range(i, i + window)})
