@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftnet.bindings.registry import EVENTS_SQL, events, query, table
-from siftnet.operators import datagrams, flows, segments, sflow
+from siftnet.operators import datagrams, flows, segments, sequence, sflow
 from siftnet.plans import flows as plan
+from siftnet.session import checkpointed
 
 IP10, IP11 = 10 * 2**24, 11 * 2**24
 
@@ -27,9 +28,8 @@ def dotted(expr: str) -> str:
 
 def landed(rows):
     """Payloads as a landed table holds them: values, not the expressions that made them. Without this step the
-    optimizer would copy the making of a payload into every filter on it."""
-    keys = [c for c in rows.columns if c != "payload"]
-    return rows.groupBy(*keys).agg(F.max("payload").alias("payload"))
+    optimizer would copy the making of a payload into every filter on it, and every pass over the table would make it anew."""
+    return checkpointed(rows)
 
 
 def joined(parts):
@@ -42,8 +42,8 @@ def joined(parts):
 UPTIME = 4_000_000_000
 
 
-def v5_datagrams(spark, sf_dir):
-    """One datagram per order, one record per line; every second header claims a record too many."""
+def v5_datagrams(spark, sf_dir, chosen="true"):
+    """One datagram per order (of those ``chosen`` by key), one record per line; every second header claims a record too many."""
     record = packed(
         (f"{IP10} + l_partkey", 4),
         (f"{IP11} + l_suppkey", 4),
@@ -74,7 +74,7 @@ def v5_datagrams(spark, sf_dir):
         ("l_orderkey % 4", 2),
         ("16384 + l_orderkey % 3", 2),
     )
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(record).alias("r"))
+    lines = table(spark, sf_dir, "lineitem").where(chosen).select("l_orderkey", F.expr(record).alias("r"))
     orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs"), F.count("*").alias("n"))
     seconds = F.expr("1000000002 + l_orderkey + if(l_orderkey % 10 = 0, 3600, 0)")
     return orders.select(
@@ -161,10 +161,10 @@ VALUES = {
 }
 
 
-def template_datagrams(spark, sf_dir):
+def template_datagrams(spark, sf_dir, chosen="true"):
     """One datagram per order with one data record. Urgent orders announce the layout that their exporter uses from
     then on; even exporters speak v9, odd ones IPFIX."""
-    o = table(spark, sf_dir, "orders").select(
+    o = table(spark, sf_dir, "orders").where(chosen).select(
         F.col("o_orderkey").alias("arrival_no"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
         (F.col("o_custkey") % 25).alias("exporter_no"),
     )
@@ -278,6 +278,106 @@ def template_cap(spark, sf_dir):
     return admitted.select("domain", "template_id", "admitted")
 
 
+@query(
+    "template_sequence_loss",
+    _TEMPLATE_SQL.rstrip()
+    + """, h AS (SELECT *, x % 2 = 0 AS v9, x % 2 = 0 OR announced > 0 AS countable FROM o),
+b AS (SELECT *, lag(o_orderkey) OVER w AS before, lag(countable) OVER w AS counted, (o_orderkey - lag(o_orderkey) OVER w - 1 + 4294967296) % 4294967296 AS delta
+  FROM h WINDOW w AS (PARTITION BY x ORDER BY o_orderkey)),
+e AS (SELECT *, CASE WHEN before IS NOT NULL AND counted AND delta > 0 THEN CASE WHEN delta >= 16777216 THEN 'seq_resync' ELSE 'seq_gap' END END AS event FROM b)
+SELECT o_orderkey AS arrival_no, '198.51.100.' || x AS exporter, CASE WHEN v9 THEN 9 ELSE 10 END AS version, event, CASE WHEN event = 'seq_gap' THEN delta ELSE 0 END AS lost_units FROM e""",
+)
+def template_sequence_loss(spark, sf_dir):
+    """Export loss from real headers: v9 counts datagrams, IPFIX the records that its templates let through."""
+    captured = template_datagrams(spark, sf_dir)
+    headers = datagrams.export_headers(datagrams.framed(captured, bodies=False), plan.decoded_template_sets(captured))
+    return sequence.sequence_events(headers).select("arrival_no", "exporter", "version", "event", "lost_units")
+
+
+# Fields of a wide layout per protocol, as (element, enterprise, length, parts of the value): nearly every element that is mapped.
+V6_HEAD = ("2306139568115548160", 8)
+WIDE = {
+    9: [
+        (27, 0, 16, [V6_HEAD, ("l_partkey % 65535 + 1", 8)]), (28, 0, 16, [V6_HEAD, ("l_suppkey % 65535 + 1", 8)]), (1, 0, 4, [("l_partkey", 4)]),
+        (2, 0, 4, [("l_suppkey", 4)]), (4, 0, 1, [("6", 1)]), (5, 0, 1, [("l_linenumber * 4", 1)]), (6, 0, 1, [("18", 1)]), (7, 0, 2, [("l_partkey % 65536", 2)]),
+        (11, 0, 2, [("l_linenumber + 8000", 2)]), (10, 0, 2, [("l_linenumber", 2)]), (14, 0, 4, [("l_suppkey", 4)]), (62, 0, 16, [V6_HEAD, ("9", 8)]),
+        (16, 0, 4, [("l_partkey", 4)]), (17, 0, 4, [("l_suppkey", 4)]), (22, 0, 4, [("100000 - l_linenumber * 50", 4)]), (21, 0, 4, [("100000 - l_linenumber * 10", 4)]),
+        (23, 0, 8, [("l_partkey * 2", 8)]), (24, 0, 3, [("l_suppkey * 2", 3)]), (58, 0, 2, [("l_linenumber", 2)]), (59, 0, 2, [("l_linenumber + 100", 2)]),
+        (136, 0, 1, [("l_linenumber % 5", 1)]), (225, 0, 4, [(f"{IP10} + 1", 4)]), (226, 0, 4, [(f"{IP10} + 2", 4)]), (227, 0, 2, [("l_linenumber + 1", 2)]),
+        (228, 0, 2, [("l_linenumber + 2", 2)]), (233, 0, 1, [("1", 1)]), (9999, 0, 3, [("7", 3)]), (56701, 0, 12, [("concat('app', l_linenumber)", 0), ("0", 8)]),
+    ],
+    10: [
+        (8, 0, 4, [(f"{IP10} + l_partkey", 4)]), (82, 0, 65535, [("if(l_suppkey % 3 = 0, 255, l_linenumber)", 1), ("if(l_suppkey % 3 = 0, 300, null)", 2), ("if(l_suppkey % 3 = 0, repeat('x', 300), repeat('y', l_linenumber))", 0)]),
+        (12, 0, 4, [(f"{IP11} + l_suppkey", 4)]), (231, 0, 8, [("floor(l_extendedprice)", 8)]), (1, 29305, 4, [("l_suppkey", 4)]), (2, 29305, 2, [("l_linenumber", 2)]),
+        (4, 0, 1, [("if(l_returnflag = 'A', 1, 17)", 1)]), (7, 0, 2, [("l_partkey % 65536", 2)]), (11, 0, 2, [("53", 2)]), (32, 0, 2, [("771", 2)]), (15, 0, 4, [("if(l_linestatus = 'F', 0, 3405803777)", 4)]),
+        (62, 0, 16, [("0", 8), ("0", 8)]), (281, 0, 16, [V6_HEAD, ("l_linenumber", 8)]), (282, 0, 4, [("1", 4)]), (150, 0, 4, [("1000000000 + l_orderkey", 4)]),
+        (151, 0, 4, [("1000000001 + l_orderkey", 4)]), (40003, 0, 2, [("l_linenumber", 2)]), (302, 0, 4, [("l_linenumber", 4)]), (2, 9, 4, [("99", 4)]),
+    ],
+}
+
+
+def wide_datagrams(spark, sf_dir):
+    """One datagram per order with its template and a record per line; even orders come as v9, odd ones as IPFIX."""
+
+    def value(expr: str, width: int) -> str:
+        return b(expr, width) if width else f"cast({expr} as binary)"
+
+    def record(version: int) -> str:
+        parts = [f"coalesce({value(*part)}, unhex(''))" for _, _, _, given in WIDE[version] for part in given]
+        return "concat(" + ", ".join(parts) + ")"
+
+    def template(version: int) -> str:
+        specs = [("300", 2), (str(len(WIDE[version])), 2)]
+        for ie, enterprise, length, _ in WIDE[version]:
+            specs += [(str(ie + (32768 if enterprise else 0)), 2), (str(length), 2)] + ([(str(enterprise), 4)] if enterprise else [])
+        return packed(("0" if version == 9 else "2", 2), (str(4 + sum(width for _, width in specs)), 2), *specs)
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(f"if(l_orderkey % 2 = 0, {record(9)}, {record(10)})").alias("r"))
+    orders = lines.groupBy("l_orderkey").agg(joined(F.array_sort(F.collect_list("r"))).alias("data"))
+    body = f"concat(if(l_orderkey % 2 = 0, {template(9)}, {template(10)}), {b('300', 2)}, {b('length(data) + 4', 2)}, data)"
+    rows = orders.withColumn("body", F.expr(body))
+    v9 = packed(("9", 2), ("1", 2), ("100000", 4), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
+    ipfix = packed(("10", 2), ("length(body) + 16", 2), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
+    made = rows.select(
+        F.col("l_orderkey").alias("arrival_no"), F.timestamp_seconds(F.col("l_orderkey") + 1000000002).alias("recv_ts"),
+        F.concat(F.lit("203.0.113."), (F.col("l_orderkey") % 10).cast("string")).alias("exporter"),
+        F.expr(f"concat(if(l_orderkey % 2 = 0, {v9}, {ipfix}), body)").alias("payload"),
+    )
+    return landed(made)
+
+
+@query(
+    "wide_template_flows",
+    f"""WITH l AS (SELECT *, l_orderkey % 2 = 0 AS v9, 1000000002000 + l_orderkey * 1000 AS ms, l_returnflag = 'A' AND l_orderkey % 2 = 1 AS icmp,
+    '2001:db8::' || printf('%x', l_partkey % 65535 + 1) AS a6, '2001:db8::' || printf('%x', l_suppkey % 65535 + 1) AS b6,
+    {dotted(f'{IP10} + l_partkey')} AS a4, {dotted(f'{IP11} + l_suppkey')} AS b4 FROM lineitem),
+f AS (SELECT *, unnest([false, true]) AS r FROM l)
+SELECT l_orderkey AS arrival_no, '203.0.113.' || (l_orderkey % 10) AS sampler_address, CASE WHEN v9 THEN 2 ELSE 3 END AS flow_source, r AS reverse,
+  CASE WHEN v9 THEN CASE WHEN r THEN l_partkey * 2 ELSE l_partkey END WHEN r THEN l_suppkey ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS bytes,
+  CASE WHEN v9 THEN CASE WHEN r THEN l_suppkey * 2 ELSE l_suppkey END WHEN r THEN l_linenumber ELSE 0 END AS packets,
+  CASE WHEN v9 THEN CASE WHEN r THEN b6 ELSE a6 END WHEN r THEN b4 ELSE a4 END AS src_addr, CASE WHEN v9 THEN CASE WHEN r THEN a6 ELSE b6 END WHEN r THEN a4 ELSE b4 END AS dst_addr,
+  CASE WHEN icmp THEN 0 WHEN r THEN CASE WHEN v9 THEN l_linenumber + 8000 ELSE 53 END ELSE l_partkey % 65536 END AS src_port,
+  CASE WHEN icmp THEN 0 WHEN r THEN l_partkey % 65536 ELSE CASE WHEN v9 THEN l_linenumber + 8000 ELSE 53 END END AS dst_port,
+  CASE WHEN icmp THEN 771 END AS icmp_type_code, CASE WHEN v9 THEN 6 WHEN icmp THEN 1 ELSE 17 END AS protocol,
+  CASE WHEN v9 THEN 18 END AS tcp_flags, CASE WHEN v9 THEN l_linenumber * 4 END AS tos,
+  CASE WHEN v9 THEN CASE WHEN r THEN l_suppkey ELSE l_linenumber END END AS input_if_index, CASE WHEN v9 THEN CASE WHEN r THEN l_suppkey ELSE l_partkey END END AS src_as,
+  CASE WHEN v9 THEN CASE WHEN r THEN l_linenumber + 100 ELSE l_linenumber END END AS src_vlan,
+  CASE WHEN v9 THEN '2001:db8::9' WHEN l_linestatus <> 'F' THEN '203.0.113.1' END AS next_hop,
+  CASE WHEN v9 THEN CASE WHEN r THEN '10.0.0.2' ELSE '10.0.0.1' END WHEN NOT r THEN '2001:db8::' || l_linenumber END AS post_nat_src_addr,
+  CASE WHEN v9 THEN CASE WHEN r THEN l_linenumber + 2 ELSE l_linenumber + 1 END WHEN NOT r THEN l_linenumber END AS post_nat_src_port,
+  CASE WHEN v9 THEN 1 END AS firewall_event, CASE WHEN v9 THEN l_linenumber % 5 END AS flow_end_reason, CASE WHEN v9 THEN 'app' || l_linenumber END AS app_name,
+  CASE WHEN v9 THEN ms - l_linenumber * 50 ELSE ms - 2000 END * 1000 AS start_us, CASE WHEN v9 THEN ms - l_linenumber * 10 ELSE ms - 1000 END * 1000 AS end_us FROM f""",
+)
+def wide_template_flows(spark, sf_dir):
+    """Layouts of nearly every element: IPv6, translation, both directions, variable length, enterprise numbers, application names."""
+    rows = plan.template_flows(wide_datagrams(spark, sf_dir))
+    return rows.select(
+        "arrival_no", "sampler_address", "flow_source", "reverse", "bytes", "packets", "src_addr", "dst_addr", "src_port", "dst_port", "icmp_type_code", "protocol",
+        "tcp_flags", "tos", "input_if_index", "src_as", "src_vlan", "next_hop", "post_nat_src_addr", "post_nat_src_port", "firewall_event", "flow_end_reason", "app_name",
+        F.unix_micros("flow_start").alias("start_us"), F.unix_micros("flow_end").alias("end_us"),
+    )
+
+
 # ------------------------------------------------------------------------------------------------------- semantics
 
 
@@ -448,7 +548,7 @@ def sampling_rate_resolution(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------------------- sFlow
 
 
-def sflow_datagrams(spark, sf_dir):
+def sflow_datagrams(spark, sf_dir, chosen="true"):
     """One datagram per order: a flow sample and a counter sample per line. Flag N is TCP in IPv4, A is UDP behind a VLAN
     tag, R is TCP in IPv6 behind a hop-by-hop header."""
     ethernet = packed(("1", 6), ("2", 6))
@@ -460,7 +560,7 @@ def sflow_datagrams(spark, sf_dir):
         f"when 'A' then concat({ethernet}, {b('33024', 2)}, {b('5', 2)}, {b('2048', 2)}, {ipv4}, {ports}) "
         f"else concat({ethernet}, {b('34525', 2)}, {ipv6}, {ports}) end"
     )
-    lines = table(spark, sf_dir, "lineitem").withColumn("h", F.expr(frame))
+    lines = table(spark, sf_dir, "lineitem").where(chosen).withColumn("h", F.expr(frame))
     raw = f"concat({b('1', 4)}, {b('floor(l_quantity)', 4)}, {b('4', 4)}, {b('length(h)', 4)}, h)"
     gateway = packed(("1", 4), (f"{IP10} + 9", 4), ("64500", 4), ("l_suppkey", 4), ("1", 4), ("2", 4), ("2", 4), ("1", 4), ("l_linenumber", 4), ("1", 4), ("2", 4), ("65001", 4), ("l_partkey", 4))
     lines = lines.withColumn("raw", F.expr(raw)).withColumn("gw", F.expr(f"if(l_linestatus = 'O', {gateway}, unhex(''))"))
@@ -514,3 +614,88 @@ FROM lineitem""",
 def sflow_interface_counters(spark, sf_dir):
     rows = sflow.interface_counters(sflow.samples(sflow_datagrams(spark, sf_dir)))
     return rows.drop("timestamp", "sample_no", "record_no")
+
+
+# -------------------------------------------------------------------------------------------------------- both listeners
+
+# Orders by turns: v5, template-based, and sFlow (or, for the events, datagrams that are none of them).
+V5_TURN, TEMPLATE_TURN, THIRD_TURN = ("{key} % 3 = " + str(i) for i in range(3))
+
+
+def netflow_capture(spark, sf_dir):
+    return landed(v5_datagrams(spark, sf_dir, V5_TURN.format(key="l_orderkey"))).unionByName(template_datagrams(spark, sf_dir, TEMPLATE_TURN.format(key="o_orderkey")))
+
+
+_END_SQL = (
+    _V5_SQL.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 3 = 0").rstrip()
+    + ", "
+    + _TEMPLATE_SQL.replace("FROM orders", "FROM orders WHERE o_orderkey % 3 = 1").removeprefix("WITH ").replace("d AS (", "td AS (").replace("FROM d)", "FROM td)").rstrip()
+    + f""", f AS (
+  SELECT l_orderkey % 20 AS device, '192.0.2.' || (l_orderkey % 20) AS sampler_address, l_orderkey * 3 % 4294967296 AS sequence_number, rate AS sampling_rate,
+    {dotted(f'{IP10} + l_partkey')} AS src_addr, {dotted(f'{IP11} + l_suppkey')} AS dst_addr, CASE WHEN icmp THEN 0 ELSE l_partkey % 65536 END AS src_port,
+    CASE WHEN icmp THEN 0 ELSE l_linenumber * 256 + 3 END AS dst_port, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 6 ELSE 17 END AS protocol,
+    CAST(floor(l_extendedprice) AS BIGINT) * rate AS bytes, CAST(floor(l_quantity) AS BIGINT) * rate AS packets, l_linenumber AS input_if_index, l_suppkey % 65536 AS output_if_index,
+    l_linenumber AS tcp_flags, 0 AS drops, l_partkey % 65536 AS src_as, '' AS as_path, CASE WHEN l_linestatus <> 'F' THEN '10.0.0.1' ELSE '' END AS next_hop, 1 AS flow_source, end_ms * 1000 AS end_us FROM d
+  UNION ALL
+  SELECT x, '198.51.100.' || x, o_orderkey, rate, {dotted(f'{IP10} + o_custkey')}, {dotted(f'{IP11} + o_orderkey % 65536')}, o_orderkey % 65536, 443, 6,
+    CAST(floor(o_totalprice) AS BIGINT) * rate, (o_custkey + 1) * rate, 0, 0, 0, 0, 0, '', '', CASE WHEN x % 2 = 0 THEN 2 ELSE 3 END, (1000000001500 + o_orderkey * 1000) * 1000 FROM r
+  UNION ALL
+  SELECT NULL, {dotted(f'{IP10} + l_orderkey % 65536')}, l_orderkey % 4294967296, l_suppkey % 4,
+    CASE WHEN l_returnflag = 'R' THEN '2001:db8::' || printf('%x', l_partkey % 65535 + 1) ELSE {dotted(f'{IP10} + l_partkey')} END,
+    CASE WHEN l_returnflag = 'R' THEN '2001:db8::' || printf('%x', l_suppkey % 65535 + 1) ELSE {dotted(f'{IP11} + l_suppkey')} END,
+    l_partkey % 65536, l_linenumber + 8000, CASE WHEN l_returnflag = 'A' THEN 17 ELSE 6 END, CAST(floor(l_quantity) AS BIGINT) * greatest(l_suppkey % 4, 1), greatest(l_suppkey % 4, 1),
+    l_linenumber, l_suppkey, CASE WHEN l_returnflag <> 'A' THEN 18 ELSE 0 END, l_linenumber, CASE WHEN l_linestatus = 'O' THEN l_suppkey ELSE 0 END,
+    CASE WHEN l_linestatus = 'O' THEN l_linenumber || ' 65001 ' || l_partkey ELSE '' END, CASE WHEN l_linestatus = 'O' THEN '10.0.0.9' ELSE '' END, 0, NULL
+  FROM lineitem WHERE l_orderkey % 3 = 2)
+"""
+)
+
+
+@query(
+    "flow_samples_end_to_end",
+    _END_SQL
+    + """SELECT coalesce(CASE WHEN flow_source = 1 THEN m.n_nationkey ELSE i.n_nationkey END + 100, 0) AS device_id, 7 AS probe_id, sampler_address, sequence_number, sampling_rate, src_addr, dst_addr,
+  src_port, dst_port, protocol, bytes, packets, input_if_index, output_if_index, tcp_flags, drops, src_as, as_path, next_hop, flow_source, end_us
+FROM f LEFT JOIN nation m ON m.n_nationkey = device AND m.n_regionkey < 4 LEFT JOIN nation i ON i.n_nationkey = device AND i.n_regionkey > 0""",
+)
+def flow_samples_end_to_end(spark, sf_dir):
+    """The product: v5, v9, IPFIX and sFlow captures decoded, scaled, given their devices and deduplicated into the canonical table."""
+    nations = table(spark, sf_dir, "nation").withColumn("id", (F.col("n_nationkey") + 100).cast("bigint"))
+    devices = nations.where("n_regionkey < 4").select("id", F.lit(0).cast("bigint").alias("list_no"), F.concat(F.lit("192.0.2."), F.col("n_nationkey").cast("string")).alias("ip_address"))
+    addresses = nations.where("n_regionkey > 0").select(
+        F.col("id").alias("device_id"), F.lit(0).cast("bigint").alias("write_no"), F.concat(F.lit("198.51.100."), F.col("n_nationkey").cast("string")).alias("ip_address")
+    )
+    sampled = sflow_datagrams(spark, sf_dir, THIRD_TURN.format(key="l_orderkey"))
+    rows = plan.flow_samples(netflow_capture(spark, sf_dir), sampled, devices, addresses, probe_id=7, policy="prefer-netflow")
+    return rows.select(
+        "device_id", "probe_id", "sampler_address", "sequence_number", "sampling_rate", "src_addr", "dst_addr", "src_port", "dst_port", "protocol", "bytes", "packets",
+        "input_if_index", "output_if_index", "tcp_flags", "drops", "src_as", "as_path", "next_hop", "flow_source", F.unix_micros("flow_end").alias("end_us"),
+    )
+
+
+def _lost(rows: str, keys: str, order: str, sequence_no: str, increment: str, countable: str) -> str:
+    """SQL rows (event) of the sequence gaps of datagrams."""
+    delta = f"(({sequence_no} - lag({sequence_no}) OVER w - lag({increment}) OVER w) % 4294967296 + 4294967296) % 4294967296"
+    return f"""SELECT CASE WHEN delta >= 16777216 THEN 'seq_resync' ELSE 'seq_gap' END AS event
+  FROM (SELECT lag({countable}) OVER w AS counted, {delta} AS delta FROM {rows} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})) WHERE counted AND delta > 0"""
+
+
+@query(
+    "parse_events",
+    _TEMPLATE_SQL.replace("FROM orders", "FROM orders WHERE o_orderkey % 3 = 1").rstrip()
+    + f""", v AS (SELECT l_orderkey AS k, count(*) + l_orderkey % 2 AS declared FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey),
+e AS (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'unknown_version' ELSE 'malformed' END AS event FROM orders WHERE o_orderkey % 3 = 2
+  UNION ALL SELECT 'malformed' FROM v WHERE k % 2 = 1
+  UNION ALL SELECT 'data_before_template' FROM o WHERE announced = 0
+  UNION ALL {_lost("v", "k % 20, k % 4", "k", "k * 3", "declared", "true")}
+  UNION ALL {_lost("o", "x", "o_orderkey", "o_orderkey", "1", "x % 2 = 0 OR announced > 0")})
+SELECT event, count(*) AS total FROM e GROUP BY event""",
+)
+def parse_events(spark, sf_dir):
+    """Everything the decoders refused or missed, of a capture that holds v5, template-based and foreign datagrams."""
+    foreign = table(spark, sf_dir, "orders").where(THIRD_TURN.format(key="o_orderkey")).select(
+        F.col("o_orderkey").alias("arrival_no"), F.timestamp_seconds(F.col("o_orderkey") + 1000000000).alias("recv_ts"), F.lit("192.0.2.200").alias("exporter"),
+        F.expr(f"if(o_orderkey % 2 = 0, {b('7', 2)}, {b('9', 1)})").alias("payload"),
+    )
+    return plan.parse_events(netflow_capture(spark, sf_dir).unionByName(foreign))

@@ -1,71 +1,86 @@
 """As-of lookup of slowly changing facts.
 
-Facts such as templates or sampling rates are announced over and over but rarely change. Only their changes are kept;
-they form a small interval table that is joined to the rows by range, so the rows themselves are not shuffled. Where
-changes are too many to broadcast, the facts and the rows are merged into one timeline and scanned in segments instead.
+Facts such as templates or sampling rates are announced over and over but rarely change. The times for which each value holds form
+an index of intervals, cut at the borders of segments of the arrival order: a row finds its value by equality on (key, segment) and a
+comparison with the few intervals there. The value that enters a segment is carried into it, so no row looks further back.
+
+* A segment holds at most ``span`` rows and facts of all keys together, since arrival numbers are unique. Work is therefore bounded per
+  segment, and grows in proportion to rows and facts, also for one key that has most of both.
+* The index has an interval per change and one per (key, segment) that has rows. Spark sends it to all tasks while it is small and
+  splits skewed keys otherwise; payloads of the rows are shuffled only in the second case.
+* Everything is one plan: nothing is counted, written or run while it is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.operators import segments
-from siftnet.session import checkpointed
 
-#: Most intervals that are broadcast.
-BROADCAST_INTERVALS = 200_000
+#: Most arrival numbers of one segment of the index.
+INDEX_SPAN = 1 << 16
+#: Segments of a key that are scanned together for the value carried into each.
+CARRY_SPAN = 1 << 20
 
+CELL = "_cell"
 
-def changes(facts: DataFrame, keys: list[str], order: str, value: str, *, span: int = segments.SEGMENT_SPAN) -> DataFrame:
-    """Facts that differ from their key's previous one (the first always does)."""
-    scanned = segments.scan(facts, keys, order, prev={"_earlier": F.struct(F.col(value).alias("v"))}, span=span)
+
+def changes(facts: DataFrame, keys: Sequence[str], order: str, value: str, cell: str = CELL) -> DataFrame:
+    """Facts that differ from the previous one of their key and segment; the first of a segment always does."""
+    place = Window.partitionBy(*keys, cell).orderBy(order)
+    told = facts.withColumn("_earlier", F.lag(F.struct(F.col(value).alias("v"))).over(place))
     changed = F.col("_earlier").isNull() | ~F.col(value).eqNullSafe(F.col("_earlier.v"))
-    kept = [segments.SEGMENT] if segments.SEGMENT in facts.columns else []
-    return scanned.where(changed).select(*keys, order, value, *kept)
+    return told.where(changed).drop("_earlier")
+
+
+def intervals(places: DataFrame, facts: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """The index: ``keys``, segment, ``_from`` (null: from before the segment), ``_to`` (null: beyond it) and ``value``.
+
+    Both inputs carry their segment. Only segments of ``places``, those that hold rows, get the value carried into them.
+    """
+    place = [*keys, CELL]
+    changed = changes(facts.select(*place, order, value), keys, order, value)
+    following = F.lead(order).over(Window.partitionBy(*place).orderBy(order))
+    inside = changed.select(*place, F.col(order).alias("_from"), following.alias("_to"), value)
+
+    held = F.struct(F.col(value).alias("v"))
+    ends = changed.groupBy(*place).agg(F.max_by(held, order).alias("_last"), F.min(order).alias("_to"))
+    asked = places.select(*place).distinct()
+    nothing = [F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in ("_last", "_to")]
+    told = ends.withColumn("_asked", F.lit(False)).unionByName(asked.select(*place, *nothing, F.lit(True).alias("_asked")))
+    merged = told.groupBy(*place).agg(F.first("_last", ignorenulls=True).alias("_last"), F.min("_to").alias("_to"), F.bool_or("_asked").alias("_asked"))
+    entering = segments.finish(segments.scan(merged, keys, CELL, last_before={"_enters": F.col("_last")}, span=CARRY_SPAN))
+    carried = entering.where("_asked and _enters is not null").select(*place, F.lit(None).cast(inside.schema["_from"].dataType).alias("_from"), "_to", F.col("_enters.v").alias(value))
+    return inside.unionByName(carried)
 
 
 def latest(
     rows: DataFrame,
     facts: DataFrame,
     *,
-    keys: list[str],
+    keys: Sequence[str],
     order: str,
     value: str,
-    span: int = segments.SEGMENT_SPAN,
-    limit: int = BROADCAST_INTERVALS,
+    arrival: str | None = None,
+    places: DataFrame | None = None,
+    span: int = INDEX_SPAN,
 ) -> DataFrame:
     """Add ``value``: that of the key's newest fact whose order is not after the row's; null without one.
 
-    ``facts`` hold ``keys``, ``order`` and ``value``. Their changes are written to the checkpoint folder, counted, and
-    broadcast when there are at most ``limit``.
+    ``facts`` hold ``keys``, ``order`` and ``value``; nulls in a key are equal to each other. ``arrival`` is the number whose runs of
+    ``span`` make the segments and that grows with ``order`` (``order`` itself if not given); all inputs have it. ``places`` are rows with
+    ``keys`` and ``arrival`` that cover those of ``rows``, for callers that have them without computing all of ``rows`` again.
     """
-    changed = checkpointed(changes(facts, keys, order, value, span=span))
-    if changed.limit(limit + 1).count() > limit:
-        return _merged(rows, changed, keys, order, value, span)
-    following = F.lead(order).over(Window.partitionBy(*keys).orderBy(order))
-    intervals = changed.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(order).alias("_from"), following.alias("_to"), F.col(value)
-    )
-    same = F.lit(True)
+    cell = F.expr(f"`{arrival or order}` div {span}")
+    told, asked = facts.withColumn(CELL, cell), rows.withColumn(CELL, cell)
+    index = intervals(asked if places is None else places.withColumn(CELL, cell), told, keys, order, value)
+    theirs = {c: f"_i_{c}" for c in [*keys, CELL]}
+    index = index.withColumnsRenamed(theirs).withColumnRenamed(value, "_i_value")
+    match = F.col(CELL) == F.col(theirs[CELL])
     for key in keys:
-        same = same & (F.col(key) == F.col(f"_k_{key}"))
-    within = (F.col(order) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(order) < F.col("_to")))
-    joined = rows.join(F.broadcast(intervals), same & within, "left")
-    return joined.select(*rows.columns, value)
-
-
-def _merged(rows: DataFrame, facts: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
-    """The same result from one ordered scan; a fact precedes the rows of its own order."""
-    kept = [segments.SEGMENT] if segments.SEGMENT in rows.columns else []
-    head = [*keys, order, *kept]
-    payload = [c for c in rows.columns if c not in head]
-    told = facts.select(*head, F.lit(0).alias("_kind"), F.struct(value).alias("_fact"), F.lit(None).alias("_row"))
-    asked = rows.select(
-        *head, F.lit(1).alias("_kind"), F.lit(None).alias("_fact"), F.struct(*payload).alias("_row")
-    )
-    timeline = segments.with_segment(told.unionByName(asked), order, span)
-    placed = timeline.withColumn("_place", F.struct(order, "_kind"))
-    known = segments.scan(placed, keys, "_place", last={"_known": F.col("_fact")}).where("_kind = 1")
-    columns = [F.col(c) if c in head else F.col(f"_row.{c}").alias(c) for c in rows.columns]
-    return known.select(*columns, F.col(f"_known.{value}").alias(value))
+        match = match & F.col(key).eqNullSafe(F.col(theirs[key]))
+    match = match & (F.col("_from").isNull() | (F.col(order) >= F.col("_from"))) & (F.col("_to").isNull() | (F.col(order) < F.col("_to")))
+    return asked.join(index, match, "left").select(*rows.columns, F.col("_i_value").alias(value))

@@ -1,15 +1,18 @@
 """Flow datagrams: dispatch by content, NetFlow v5 records, and the set framing shared by NetFlow v9 and IPFIX.
 
 Input rows are captured datagrams: ``arrival_no`` (unique BIGINT), ``recv_ts``, ``exporter`` (source address) and
-``payload`` (BINARY). Fixed layouts are decoded with Spark expressions. Only the three walks whose step depends on
-lengths found in the data (sets, templates, records) run as Arrow functions.
+``payload`` (BINARY). Fixed layouts are decoded with Spark expressions. The three walks whose step depends on lengths found in
+the data (sets, templates, records) work on whole Arrow batches: all payloads are walked in step, and the records of one layout
+are read column by column (:mod:`siftnet.functions.ragged`).
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 
 from siftnet.functions import net
 from siftnet.functions.binary import cut, low_bits, uint
+from siftnet.functions.ragged import Payloads, items, numbers, slices, spread, unsigned
 from siftnet.operators import asof, segments
 from siftnet.operators.dedup import FLOW_SOURCE_IPFIX, FLOW_SOURCE_NETFLOW_V5, FLOW_SOURCE_NETFLOW_V9
 
@@ -128,20 +132,27 @@ _SETS = T.StructType(
 )
 
 
+def _sets_of(payload: pa.Array, start: pa.Array, end: pa.Array, last_body: int) -> pa.Array:
+    payloads = Payloads.of(payload)
+    begin, bound = (payloads.starts + v.to_numpy(zero_copy_only=False) for v in (start, end))
+    found = items(payloads, begin, bound, None, width=2, whole=True)
+    kind = _arrow_type(_SETS)
+    bodies = slices(payloads.data, found.starts, found.ends - found.starts, found.tag <= last_body)
+    columns = [pa.array(found.number, pa.int32()), pa.array(found.tag, pa.int32()), bodies]
+    per_payload = np.searchsorted(found.owner, np.arange(len(payload) + 1)).astype(np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(per_payload), pa.StructArray.from_arrays(columns, fields=list(kind.field(0).type.value_type)))
+    return pa.StructArray.from_arrays([listed, pa.array(found.broken)], fields=list(kind))
+
+
 @F.arrow_udf(_SETS)
 def _split_sets(payload: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
-    out = []
-    for data, offset, bound in zip(payload.to_pylist(), start.to_pylist(), end.to_pylist()):
-        sets, broken = [], False
-        while offset + SET_HEADER <= bound:
-            set_id, length = struct.unpack_from(">HH", data, offset)
-            if length < SET_HEADER or offset + length > bound:
-                broken = True
-                break
-            sets.append({"set_no": len(sets), "set_id": set_id, "body": data[offset + SET_HEADER : offset + length]})
-            offset += length
-        out.append({"sets": sets, "broken": broken})
-    return pa.array(out, _arrow_type(_SETS))
+    return _sets_of(payload, start, end, 0xFFFF)
+
+
+@F.arrow_udf(_SETS)
+def _split_set_heads(payload: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+    """The same without the bodies of data sets."""
+    return _sets_of(payload, start, end, FIRST_DATA_SET - 1)
 
 
 def _arrow_type(spark_type: T.DataType) -> pa.DataType:
@@ -159,8 +170,9 @@ def _arrow_type(spark_type: T.DataType) -> pa.DataType:
     }[type(spark_type)]
 
 
-def framed(datagrams: DataFrame) -> DataFrame:
-    """v9 and IPFIX datagrams with header fields, ``sets`` and ``event``.
+def framed(datagrams: DataFrame, *, bodies: bool = True) -> DataFrame:
+    """v9 and IPFIX datagrams with header fields, ``sets`` and ``event``. Without ``bodies``, those of data sets are left out: what
+    remains is a few bytes a set.
 
     The v9 header count is not used. An IPFIX message ends at its own length or the datagram's, whichever is shorter.
     """
@@ -181,7 +193,7 @@ def framed(datagrams: DataFrame) -> DataFrame:
         header.alias("_start"),
         F.when(readable, message).otherwise(0).alias("_end"),
     )
-    split = rows.withColumn("_split", _split_sets("payload", "_start", "_end"))
+    split = rows.withColumn("_split", (_split_sets if bodies else _split_set_heads)("payload", "_start", "_end"))
     return split.select(
         *[c for c in split.columns if c not in {"_split", "_start", "_end", "payload"}],
         F.col("_split.sets").alias("sets"),
@@ -289,8 +301,14 @@ def _template_set(body: bytes, version: int, options: bool) -> dict:
 
 @F.arrow_udf(_TEMPLATES)
 def _parse_templates(body: pa.Array, version: pa.Array, options: pa.Array) -> pa.Array:
-    parsed = [_template_set(*row) for row in zip(body.to_pylist(), version.to_pylist(), options.to_pylist())]
-    return pa.array(parsed, _arrow_type(_TEMPLATES))
+    """Exporters repeat their announcements all the time, so each distinct body is read once."""
+    encoded = body.dictionary_encode()
+    protocol, kind = version.to_numpy(zero_copy_only=False).astype(np.int64), options.to_numpy(zero_copy_only=False)
+    keys = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 64 + protocol * 2 + kind
+    distinct, place = np.unique(keys, return_inverse=True)
+    bodies = encoded.dictionary.to_pylist()
+    parsed = [_template_set(bodies[key // 64], key % 64 // 2, bool(key % 2)) for key in distinct.tolist()]
+    return pa.array(parsed, _arrow_type(_TEMPLATES)).take(pa.array(place))
 
 
 def min_record_length(fields: Column) -> Column:
@@ -405,28 +423,31 @@ def with_templates(
     set_rows: DataFrame,
     announced: DataFrame,
     *,
+    uses: DataFrame | None = None,
     idle_seconds: float | None = TEMPLATE_IDLE_SECONDS,
     span: int = segments.SEGMENT_SPAN * SETS_PER_DATAGRAM,
+    index_span: int = asof.INDEX_SPAN * SETS_PER_DATAGRAM,
 ) -> DataFrame:
     """Data sets with the newest template of their (exporter, domain, id) received before them.
 
     Adds ``fields``, ``is_options`` and ``event`` (``data_before_template`` where there is none). A template that was
     neither announced nor used for more than ``idle_seconds`` is dead until it is announced again; a use refreshes it.
 
-    Announcements and expiries become one small table of changes; the set bodies are not shuffled.
+    Announcements and expiries become one small index of intervals; the set bodies are not shuffled. ``uses`` are the heads of the same
+    sets, for callers that have them at hand: they are read for idle times and for the index.
     """
     keys = ["exporter", "domain", "template_id"]
-    layout = F.struct("fields", "is_options")
-    facts = announced.select(*keys, "set_order", layout.alias("template"))
+    facts = announced.select(*keys, "set_order", F.struct("fields", "is_options").alias("template"))
     rows = set_rows.withColumnRenamed("set_id", "template_id")
+    heads = (rows if uses is None else uses.withColumnRenamed("set_id", "template_id")).select(*keys, "set_order", "recv_ts")
     if idle_seconds is not None:
-        touches = announced.select(*keys, "set_order", "recv_ts").unionByName(rows.select(*keys, "set_order", "recv_ts"))
+        touches = announced.select(*keys, "set_order", "recv_ts").unionByName(heads)
         gaps = touch_gaps(touches, keys=keys, idle_seconds=idle_seconds, span=span)
         # a gap that ends with an announcement revives the template at once
         deaths = gaps.join(announced.select(*keys, "set_order"), [*keys, "set_order"], "left_anti")
         gone = F.lit(None).cast(facts.schema["template"].dataType)
         facts = facts.unionByName(deaths.select(*keys, "set_order", gone.alias("template")))
-    matched = asof.latest(rows, facts, keys=keys, order="set_order", value="template", span=span)
+    matched = asof.latest(rows, facts, keys=keys, order="set_order", value="template", places=heads, span=index_span)
     return matched.select(
         *rows.columns,
         F.col("template.fields").alias("fields"),
@@ -517,106 +538,174 @@ def element_slots() -> dict[tuple[int, int], tuple[int, str, int]]:
     return slots
 
 
-_RECORDS = T.StructType(
-    [
-        T.StructField(
-            "records",
-            T.ArrayType(
-                T.ArrayType(
-                    T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("value", T.BinaryType())])
-                )
-            ),
-        ),
-        T.StructField("truncated", T.BooleanType()),
-    ]
-)
-
-
-def _cut_record(body: bytes, offset: int, layout: list[tuple[int, tuple | None]]) -> tuple[list[dict], int] | None:
-    """Wanted fields of the record at ``offset`` and the offset after it; None if the record is cut short."""
-    values = []
+KINDS = {name: kind for name, (kind, _) in ELEMENTS.items()} | {name: kind for name, kind in ENTERPRISE_ELEMENTS}
+
+
+class _Cells:
+    """Where the columns of the records of one layout stand in the data: per column the place, the length and whether it counts."""
+
+    def __init__(self, payloads: Payloads, records: int):
+        self.data, self.records = payloads.data, records
+        self.places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def put(self, target: tuple[int, str, int], start: np.ndarray, length: int | np.ndarray) -> None:
+        """A field of every record. It replaces an earlier one of its column where it is usable."""
+        slot, kind, width = target
+        length = np.broadcast_to(np.asarray(length, np.int64), self.records)
+        valid, usable = np.ones(self.records, bool), None
+        if kind in "ut":
+            usable = (length >= 1) & (length <= 8)
+        elif kind == "n":
+            usable = length == width
+            inside = np.where(usable, start, 0)[:, None] + np.arange(width)
+            usable = usable & self.data[np.minimum(inside, len(self.data) - 1)].any(axis=1)
+        elif kind in "46a":
+            valid = length == width
+        before = self.places.get(slot)
+        if usable is not None:
+            if before is None:
+                before = (np.zeros(self.records, np.int64), np.zeros(self.records, np.int64), np.zeros(self.records, bool))
+            start, length, valid = (np.where(usable, new, old) for new, old in zip((start, length, valid), before))
+        self.places[slot] = (start, length, valid)
+
+    def column(self, slot: int) -> pa.Array:
+        name = COLUMNS[slot]
+        if slot not in self.places:
+            return pa.nulls(self.records, pa.int64() if KINDS[name] == "u" else pa.binary())
+        start, length, valid = self.places[slot]
+        if KINDS[name] != "u":
+            return slices(self.data, start, length, valid)
+        same = self.records and (length == length[0]).all()
+        value = unsigned(self.data, start, int(length[0]) if same else length)
+        return numbers(value, valid & (value >= 0))
+
+
+def _fixed_records(payloads: Payloads, at: np.ndarray, ends: np.ndarray, layout: list) -> tuple[np.ndarray, np.ndarray, _Cells]:
+    """Records of one length: as many as fit, one behind the other."""
+    size = sum(length for length, _ in layout)
+    owner, number = spread((ends - at) // size)
+    start = at[owner] + number * size
+    cells = _Cells(payloads, len(owner))
     for length, target in layout:
-        if length == VARIABLE_LENGTH:
-            if offset >= len(body):
-                return None
-            length = body[offset]
-            offset += 1
-            if length == 255:
-                if offset + 2 > len(body):
-                    return None
-                (length,) = struct.unpack_from(">H", body, offset)
-                offset += 2
-        if offset + length > len(body):
-            return None
         if target is not None:
-            slot, kind, width = target
-            value = body[offset : offset + length]
-            if kind in "ut":
-                usable = 1 <= length <= 8
-            elif kind == "n":
-                usable = length == width and any(value)
-            else:
-                usable = True
-                if kind in "46a" and length != width:
-                    value = None
-            if usable:
-                values.append({"slot": slot, "value": value})
-        offset += length
-    return values, offset
-
-
-@F.arrow_udf(_RECORDS)
-def _cut_records(body: pa.Array, fields: pa.Array) -> pa.Array:
+            cells.put(target, start, length)
+        start = start + length
+    return owner, number, cells
+
+
+def _variable_records(payloads: Payloads, at: np.ndarray, ends: np.ndarray, layout: list) -> tuple[np.ndarray, np.ndarray, _Cells, np.ndarray]:
+    """Records with variable-length fields: the n-th records of all sets are read in step. Also tells which sets broke off."""
+    shortest = sum(1 if length == VARIABLE_LENGTH else length for length, _ in layout)
+    last = len(payloads.data) - 1
+    active, offset, broken, found = np.arange(len(at)), at.copy(), np.zeros(len(at), bool), []
+    while True:
+        active = active[ends[active] - offset[active] >= shortest]
+        if not len(active):
+            break
+        place, end, whole, fields = offset[active], ends[active], np.ones(len(active), bool), []
+        for length, target in layout:
+            if length == VARIABLE_LENGTH:
+                short = payloads.data[np.minimum(place, last)].astype(np.int64)
+                long = short == 255
+                whole &= place + np.where(long, 3, 1) <= end
+                length = np.where(long, unsigned(payloads.data, place + 1, 2), short)
+                place = place + np.where(long, 3, 1)
+            whole &= place + length <= end
+            if target is not None:
+                fields.append((target, place, np.broadcast_to(length, len(active))))
+            place = np.where(whole, place + length, end)
+        broken[active[~whole]] = True
+        found.append((active[whole], np.full(int(whole.sum()), len(found)), [(t, p[whole], n[whole]) for t, p, n in fields]))
+        offset[active] = place
+        active = active[whole]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), _Cells(payloads, 0), broken
+    owner, number = (np.concatenate([f[i] for f in found]) for i in range(2))
+    cells = _Cells(payloads, len(owner))
+    for i, (target, _, _) in enumerate(found[0][2]):
+        cells.put(target, *(np.concatenate([f[2][i][part] for f in found]) for part in (1, 2)))
+    return owner, number, cells, broken
+
+
+def _layouts(fields: pa.Array) -> Iterator[tuple[list[tuple[int, tuple | None]], np.ndarray]]:
+    """The distinct layouts of a batch, as lengths with the column each field goes to, and the rows of each."""
     slots = element_slots()
-    out = []
-    for data, layout_fields in zip(body.to_pylist(), fields.to_pylist()):
-        records, truncated, offset = [], False, 0
-        layout = [(f["length"], slots.get((f["pen"], f["ie"]))) for f in layout_fields or []]
-        shortest = sum(1 if length == VARIABLE_LENGTH else length for length, _ in layout)
-        while layout and len(data) - offset >= shortest:
-            cut_here = _cut_record(data, offset, layout)
-            if cut_here is None:
-                truncated = True
-                break
-            values, offset = cut_here
-            records.append(values)
-        out.append({"records": records, "truncated": truncated})
-    return pa.array(out, _arrow_type(_RECORDS))
+    bounds, flat = fields.offsets.to_numpy(), fields.values
+    specs = np.stack([flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("ie", "length", "pen")], axis=1)
+    rows: dict[bytes, list[int]] = {}
+    for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        rows.setdefault(specs[a:b].tobytes(), []).append(row)
+    for key, members in rows.items():
+        layout = [(length, slots.get((pen, ie))) for ie, length, pen in np.frombuffer(key, np.int64).reshape(-1, 3).tolist()]
+        if sum(length for length, _ in layout):
+            yield layout, np.array(members)
+
+
+@F.arrow_udf(T.StructType([T.StructField("records", T.IntegerType()), T.StructField("truncated", T.BooleanType())]))
+def _count_variable(body: pa.Array, fields: pa.Array) -> pa.Array:
+    """Records of the sets with variable-length fields; the others are not given."""
+    counts, truncated = np.zeros(len(body), np.int32), np.zeros(len(body), bool)
+    given = np.flatnonzero(fields.is_valid().to_numpy(zero_copy_only=False))
+    if len(given):
+        payloads = Payloads.of(body)
+        for layout, rows in _layouts(fields.take(pa.array(given))):
+            sets = given[rows]
+            owner, _, _, broken = _variable_records(payloads, payloads.starts[sets], payloads.ends[sets], [(n, None) for n, _ in layout])
+            counts[sets], truncated[sets] = np.bincount(owner, minlength=len(sets)), broken
+    return pa.StructArray.from_arrays([pa.array(counts), pa.array(truncated)], names=["records", "truncated"])
 
 
 def decoded_sets(matched: DataFrame) -> DataFrame:
-    """Data sets with their template applied: ``records`` and ``event`` (``malformed`` if the set was cut short)."""
-    rows = matched.withColumn("_cut", _cut_records("body", "fields"))
+    """What decoding makes of each data set: the number of ``records``, and ``event`` (``malformed`` if the set was cut short).
+
+    Records of a fixed length need no decoding to be counted, and padding is no fault.
+    """
+    variable = F.exists("fields", lambda f: f["length"] == VARIABLE_LENGTH)
+    walked = _count_variable(F.when(variable, F.col("body")), F.when(variable, F.col("fields")))
+    rows = matched.withColumn("_walk", walked)
+    fixed = F.expr("length(body)") / min_record_length(F.col("fields"))
     return rows.select(
-        *[c for c in rows.columns if c not in {"_cut", "body", "fields", "event"}],
-        F.col("_cut.records").alias("records"),
-        F.coalesce("event", F.when(F.col("_cut.truncated"), "malformed")).alias("event"),
+        *[c for c in matched.columns if c not in {"body", "fields", "event"}],
+        F.coalesce(F.when(variable, F.col("_walk.records")).otherwise(F.floor(fixed)), F.lit(0)).cast("int").alias("records"),
+        F.coalesce("event", F.when(variable & F.col("_walk.truncated"), "malformed")).alias("event"),
     )
 
 
-def records(decoded: DataFrame) -> DataFrame:
-    """One row per data record with one typed column per entry of :data:`COLUMNS`.
+def records(matched: DataFrame) -> DataFrame:
+    """One row per data record of the sets that have a template, with one typed column per entry of :data:`COLUMNS`."""
+    rows = matched.where("fields is not null").drop("event")
+    context = [f for f in rows.schema.fields if f.name not in {"body", "fields"}]
+    schema = T.StructType(
+        [
+            *context,
+            T.StructField("record_no", T.IntegerType()),
+            *[T.StructField(c, T.LongType() if KINDS[c] == "u" else T.BinaryType()) for c in COLUMNS],
+        ]
+    )
 
-    The field list becomes a map with the last occurrence winning, so each column is one map access.
-    """
-    context = [c for c in decoded.columns if c not in {"records", "event"}]
-    rows = decoded.select(*context, F.posexplode("records").alias("record_no", "_fields"))
-    rows = rows.withColumn("_map", F.map_from_entries("_fields")).drop("_fields")
-    kinds = {c: kind for c, (kind, _) in ELEMENTS.items()} | {"rev_bytes": "u", "rev_packets": "u"}
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = Payloads.of(batch.column("body"))
+            for layout, sets in _layouts(batch.column("fields")):
+                at, ends = payloads.starts[sets], payloads.ends[sets]
+                fixed = all(length != VARIABLE_LENGTH for length, _ in layout)
+                owner, number, cells = (_fixed_records if fixed else _variable_records)(payloads, at, ends, layout)[:3]
+                of_set = pa.array(sets[owner])
+                given = {f.name: batch.column(f.name).take(of_set) for f in context}
+                yield pa.record_batch(given | {"record_no": pa.array(number, pa.int32())} | {c: cells.column(i) for i, c in enumerate(COLUMNS)})
+
+    cut_rows = rows.mapInArrow(decode, schema)
     columns = []
-    for slot, name in enumerate(COLUMNS):
-        value = F.col("_map")[F.lit(slot)]
-        if kinds[name] == "u":
-            value = F.conv(F.hex(value), 16, 10).try_cast("bigint")
-        elif kinds[name] == "t":
+    for name in COLUMNS:
+        value, kind = F.col(name), KINDS[name]
+        if kind == "t":
             value = F.lpad(F.hex(value), 16, "0")
-        elif kinds[name] == "s":
-            printable = F.split_part(value.cast("string"), F.lit("\x00"), F.lit(1))
-            value = F.trim(printable)
-        else:
+        elif kind == "s":
+            value = F.trim(F.split_part(value.cast("string"), F.lit("\x00"), F.lit(1)))
+        elif kind != "u":
             value = net.ip_from_bytes(value)
         columns.append(value.alias(name))
-    return rows.select(*context, "record_no", *columns)
+    return cut_rows.select(*[f.name for f in context], "record_no", *columns)
 
 
 FLOW_SOURCE_BY_VERSION = {
@@ -635,7 +724,7 @@ def export_headers(framed_rows: DataFrame, decoded: DataFrame) -> DataFrame:
     """Headers for ``sequence.sequence_events``: v9 counts datagrams, IPFIX counts decoded data records and is
     uncountable when a set was broken, cut short or had no template."""
     per_datagram = decoded.groupBy("arrival_no").agg(
-        F.sum(F.size("records")).alias("_records"), F.bool_and(F.col("event").isNull()).alias("_complete")
+        F.sum("records").alias("_records"), F.bool_and(F.col("event").isNull()).alias("_complete")
     )
     joined = framed_rows.where("readable").join(per_datagram, "arrival_no", "left")
     v9 = F.col("version") == VERSION_V9

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftnet.functions import net
 from siftnet.functions.binary import low_bits
-from siftnet.operators import asof, datagrams, filters, segments
+from siftnet.operators import asof, datagrams, filters
 from siftnet.schemas import conform
 
 # Fixed values.
@@ -184,41 +184,56 @@ def options_rate() -> Column:
     return F.when(rate.between(1, MAX_RATE), rate.cast("bigint"))
 
 
+#: Elements whose presence lets a record teach a rate.
+RATE_ELEMENTS = [34, 50, 305, 306]
+
+
+def teaches_rate(fields: Column, is_options: Column) -> Column:
+    """Whether records of a layout can teach a sampling rate: all that have a rate element, of data records those with element 34."""
+    told = F.exists(fields, lambda f: f["ie"].isin(RATE_ELEMENTS) & (is_options | (f["ie"] == 34)))
+    return F.coalesce(told, F.lit(False))
+
+
+def rate_facts(records: DataFrame) -> DataFrame:
+    """What records teach about sampling rates: ``exporter``, ``domain``, ``sampler_id``, ``arrival_no``, ``set_order``, ``record_no``,
+    ``learned`` (by an options record) and ``in_data`` (element 34 in a data record)."""
+    learned = F.when(F.col("is_options"), options_rate())
+    in_data = F.when(~F.col("is_options") & F.col("interval_34").between(1, MAX_RATE), F.col("interval_34"))
+    place = ("exporter", "domain", "sampler_id", "arrival_no", "set_order", "record_no")
+    return records.select(*place, learned.alias("learned"), in_data.alias("in_data")).where("learned is not null or in_data is not null")
+
+
 def with_sampling_rate(
     records: DataFrame,
     overrides: DataFrame | None = None,
     *,
-    span: int = segments.SEGMENT_SPAN // 32,
+    facts: DataFrame | None = None,
+    places: DataFrame | None = None,
+    span: int = asof.INDEX_SPAN,
 ) -> DataFrame:
     """Data records with their ``sampling_rate``; options records are consumed.
 
     Order of preference: operator override of the exporter, latest rate of the record's sampler, latest rate of the
     domain, 1. Rates are learned in arrival order; element 34 in a data record teaches the domain before that record is
-    scaled. ``overrides``: ``exporter``, ``rate``. Only records that teach a rate are ordered, and of these only changes
-    are kept (see :mod:`siftnet.operators.asof`). Segments count datagrams here, each holding some 30 records.
+    scaled. ``overrides``: ``exporter``, ``rate``. Only what records teach is ordered, and of that only changes
+    are kept (see :mod:`siftnet.operators.asof`).
+
+    ``facts`` (:func:`rate_facts` of the same records) and ``places`` (``exporter``, ``domain``, ``arrival_no`` of the same datagrams) are for
+    callers that have them at hand; else they are read off the records.
     """
-    learned = F.when(F.col("is_options"), options_rate())
-    in_data = F.when(~F.col("is_options") & F.col("interval_34").between(1, MAX_RATE), F.col("interval_34"))
-    teaching = records.select(
-        "exporter",
-        "domain",
-        "sampler_id",
-        "arrival_no",
-        F.struct("set_order", "record_no").alias("_order"),
-        learned.alias("_learned"),
-        in_data.alias("_in_data"),
-    ).where("_learned is not null or _in_data is not null")
-    teaching = segments.with_segment(teaching, "arrival_no", span)
-    for_domain = F.coalesce(F.when(F.col("sampler_id").isNull(), F.col("_learned")), F.col("_in_data"))
-    domain_rates = teaching.withColumn("_domain_rate", for_domain).where("_domain_rate is not null")
-    sampler_rates = teaching.where("sampler_id is not null and _learned is not null").withColumn(
-        "_sampler_rate", F.col("_learned")
-    )
+    told = (rate_facts(records) if facts is None else facts).withColumn("_order", F.struct("set_order", "record_no"))
+    for_domain = F.coalesce(F.when(F.col("sampler_id").isNull(), F.col("learned")), F.col("in_data"))
+    domain_rates = told.withColumn("_domain_rate", for_domain).where("_domain_rate is not null")
+    sampler_rates = told.where("sampler_id is not null and learned is not null").withColumnRenamed("learned", "_sampler_rate")
     rows = records.where(~F.col("is_options")).withColumn("_order", F.struct("set_order", "record_no"))
-    rows = segments.with_segment(rows, "arrival_no", span)
-    rows = asof.latest(rows, domain_rates, keys=["exporter", "domain"], order="_order", value="_domain_rate")
+    domain = ["exporter", "domain"]
+    covered = (rows if places is None else places).select(*domain, "arrival_no")
+    rows = asof.latest(rows, domain_rates, keys=domain, order="_order", value="_domain_rate", arrival="arrival_no", places=covered, span=span)
+    # a domain has few samplers: each may be met wherever its domain is
+    cells = covered.groupBy(*domain, F.expr(f"arrival_no div {span}")).agg(F.min("arrival_no").alias("arrival_no"))
+    of_samplers = cells.join(sampler_rates.select(*domain, "sampler_id").distinct(), domain)
     rows = asof.latest(
-        rows, sampler_rates, keys=["exporter", "domain", "sampler_id"], order="_order", value="_sampler_rate"
+        rows, sampler_rates, keys=[*domain, "sampler_id"], order="_order", value="_sampler_rate", arrival="arrival_no", places=of_samplers, span=span
     )
     rates = [F.col("_sampler_rate"), F.col("_domain_rate"), F.lit(1)]
     if overrides is not None:
@@ -226,7 +241,7 @@ def with_sampling_rate(
         rows = rows.join(pinned, "exporter", "left")
         rates.insert(0, F.col("_override"))
     rated = rows.withColumn("sampling_rate", F.coalesce(*rates).cast("bigint"))
-    return segments.finish(rated.drop("_order", "_domain_rate", "_sampler_rate", "_override"))
+    return rated.drop("_order", "_domain_rate", "_sampler_rate", "_override")
 
 
 def live_rates(rates: DataFrame, templates: DataFrame) -> DataFrame:

@@ -1,21 +1,24 @@
 """sFlow v5 datagrams: flow samples, sampled packet headers, BGP records and interface counters.
 
-The datagram is a list of (tag, length, body) items, and so is every sample inside it. One Arrow function walks such a
-list; everything below it has offsets known from fields already read and is decoded with Spark expressions.
+The datagram is a list of (tag, length, body) items, and so is every sample inside it. Datagrams become decoded samples in one pass
+over Arrow batches: the lists of all datagrams are walked in step, then headers and records of all samples are read field by
+field (:mod:`siftnet.functions.ragged`).
 """
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftnet.functions import net
-from siftnet.functions.binary import cut, low_bits, number, octet, octets, uint
-from siftnet.operators import filters
+from siftnet.functions.binary import uint
+from siftnet.functions.ragged import Items, Payloads, items, numbers, slices, spread
 from siftnet.operators.flows import scaled
 
 # Fixed values of the wire format.
@@ -29,263 +32,255 @@ EXTENSION_HEADERS = [0, 43, 44, 51, 60, 135]
 FRAGMENT, AUTHENTICATION, TUNNELLED_IPV6 = 44, 51, 41
 TCP, UDP = 6, 17
 
-_ITEMS = T.StructType(
-    [
-        T.StructField(
-            "items",
-            T.ArrayType(
-                T.StructType([T.StructField("tag", T.LongType()), T.StructField("body", T.BinaryType())])
-            ),
-        ),
-        T.StructField("broken", T.BooleanType()),
-    ]
-)
-_ARROW_ITEMS = pa.struct(
-    [("items", pa.list_(pa.struct([("tag", pa.int64()), ("body", pa.binary())]))), ("broken", pa.bool_())]
-)
-
-
-@F.arrow_udf(_ITEMS)
-def _walk(data: pa.Array, start: pa.Array, count: pa.Array) -> pa.Array:
-    """Up to ``count`` items from ``start``; ``broken`` if one does not fit."""
-    out = []
-    for payload, offset, left in zip(data.to_pylist(), start.to_pylist(), count.to_pylist()):
-        items, broken = [], payload is None or offset is None
-        while not broken and left and offset < len(payload):
-            if offset + 8 > len(payload):
-                broken = True
-                break
-            tag, length = struct.unpack_from(">II", payload, offset)
-            offset += 8
-            if offset + length > len(payload):
-                broken = True
-                break
-            items.append({"tag": tag, "body": payload[offset : offset + length]})
-            offset += length
-            left -= 1
-        out.append({"items": items, "broken": broken})
-    return pa.array(out, _ARROW_ITEMS)
+LOW_30, LOW_24 = (1 << 30) - 1, (1 << 24) - 1
+IF_COUNTERS_LENGTH = 84
 
 
 def samples(datagrams: DataFrame) -> DataFrame:
-    """One row per sample that arrived whole: agent, datagram sequence, ``sample_no``, ``format`` and ``body``."""
+    """The sFlow v5 datagrams among ``datagrams``: ``arrival_no``, ``recv_ts``, ``payload``."""
     data = F.col("payload")
-    family = uint(data, 4, 4)
-    address = F.when(family == 1, 4).when(family == 2, 16)
-    rows = datagrams.where((uint(data, 0, 4) == VERSION) & address.isNotNull()).select(
-        "arrival_no",
-        "recv_ts",
-        "payload",
-        net.ip_from_bytes(cut(data, 8, address)).alias("agent"),
-        uint(data, address + 12, 4).alias("sequence"),
-        uint(data, address + 20, 4).alias("_count"),
-        (address + 24).alias("_start"),
-    )
-    walked = rows.where("agent is not null and _count is not null").withColumn("_w", _walk("payload", "_start", "_count"))
-    listed = walked.select("arrival_no", "recv_ts", "agent", "sequence", F.posexplode("_w.items").alias("sample_no", "_i"))
+    return datagrams.where((uint(data, 0, 4) == VERSION) & uint(data, 4, 4).isin(1, 2)).select("arrival_no", "recv_ts", "payload")
+
+
+@dataclass
+class _Samples:
+    """Samples of the wanted formats in one batch: the datagram of each, and where its fields stand."""
+
+    payloads: Payloads
+    found: Items
+    plain: np.ndarray
+    agent: np.ndarray
+    agent_length: np.ndarray
+    sequence: np.ndarray
+
+    def field(self, plain_at: int, expanded_at: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """A number of each sample, by the places it has in plain and in expanded samples."""
+        return self.payloads.number(self.found.starts + np.where(self.plain, plain_at, expanded_at), width, self.found.ends)
+
+    def records(self, count_at: tuple[int, int]) -> Items:
+        """The records of all samples, behind their number."""
+        count, known = self.field(*count_at)
+        start = self.found.starts + np.where(self.plain, count_at[0], count_at[1]) + 4
+        return items(self.payloads, np.where(known, start, self.found.ends), self.found.ends, np.where(known, count, 0), width=4, whole=False)
+
+    def context(self, batch: pa.RecordBatch, at: np.ndarray) -> dict[str, pa.Array]:
+        """Columns of the datagram and the sample, for the samples numbered ``at``."""
+        owner = self.found.owner[at]
+        of_datagram = pa.array(owner)
+        return {
+            "arrival_no": batch.column("arrival_no").take(of_datagram),
+            "recv_ts": batch.column("recv_ts").take(of_datagram),
+            "agent": slices(self.payloads.data, self.agent[owner], self.agent_length[owner]),
+            "sequence": pa.array(self.sequence[owner]),
+            "sample_no": pa.array(self.found.number[at], pa.int32()),
+        }
+
+
+def _samples(batch: pa.RecordBatch, plain: int, expanded: int) -> _Samples:
+    payloads = Payloads.of(batch.column("payload"))
+    starts, ends = payloads.starts, payloads.ends
+    length = np.where(payloads.number(starts + 4, 4, ends)[0] == 1, 4, 16)
+    sequence, _ = payloads.number(starts + length + 12, 4, ends)
+    # a datagram that ends before its number of samples has none
+    count, known = payloads.number(starts + length + 20, 4, ends)
+    found = items(payloads, starts + length + 24, ends, np.where(known, count, 0), width=4, whole=False)
     # the upper 20 bits of the tag are the enterprise; only 0 is decoded
-    return listed.where(F.col("_i.tag").between(1, 4)).select(
-        "arrival_no",
-        "recv_ts",
-        "agent",
-        "sequence",
-        "sample_no",
-        F.col("_i.tag").cast("int").alias("format"),
-        F.col("_i.body").alias("body"),
-    )
+    wanted = found[(found.tag == plain) | (found.tag == expanded)]
+    return _Samples(payloads, wanted, wanted.tag == plain, starts + 8, length, sequence)
+
+
+def _decoder(decode: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield decode(batch)
+
+    return run
+
+
+CONTEXT = "arrival_no long, recv_ts timestamp, agent binary, sequence long, sample_no int"
 
 
 # ----------------------------------------------------------------------------------------------------- packet headers
 
 
-def _vlan_walk(o: Column) -> Column:
-    """Struct (ethertype, offset) after all stacked tags; ethertype null if the header ends inside a tag."""
-    start = F.struct(number(o, 12, 2).alias("ethertype"), F.lit(14).alias("offset"))
-    tags = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(o) / 4).cast("int")))
-
-    def step(state: Column, _: Column) -> Column:
-        tagged = F.coalesce(state["ethertype"].isin(VLAN_TYPES), F.lit(False))
-        following = number(o, state["offset"] + 2, 2)
-        moved = F.struct(following.alias("ethertype"), (state["offset"] + 4).alias("offset"))
-        return F.when(tagged, moved).otherwise(state)
-
-    # most frames carry no tag, and then nothing is walked
-    tagged = F.coalesce(number(o, 12, 2).isin(VLAN_TYPES), F.lit(False))
-    return F.when(tagged, F.aggregate(tags, start, step)).otherwise(start)
-
-
-def _ipv6_walk(o: Column, base: Column) -> Column:
-    """Struct (protocol, offset) of the payload after the extension headers, each of eight bytes or more."""
-    start = F.struct(octet(o, base + 6).alias("protocol"), (base + 40).cast("int").alias("offset"), F.lit(False).alias("done"))
-
-    def step(state: Column, _: Column) -> Column:
-        protocol, offset = state["protocol"], state["offset"]
-        units = octet(o, offset + 1)
-        walkable = ~state["done"] & protocol.isin(EXTENSION_HEADERS) & units.isNotNull()
-        length = (
-            F.when(protocol == FRAGMENT, F.lit(8).cast("bigint"))
-            .when(protocol == AUTHENTICATION, (units + 2) * 4)
-            .otherwise((units + 1) * 8)
-        )
-        moved = F.struct(
-            octet(o, offset).alias("protocol"), (offset + length).cast("int").alias("offset"), F.lit(False).alias("done")
-        )
-        stopped = F.struct(protocol.alias("protocol"), offset.alias("offset"), F.lit(True).alias("done"))
-        return F.when(F.coalesce(walkable, F.lit(False)), moved).otherwise(stopped)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.floor(F.size(o) / 8).cast("int") + 1), start, step)
-    return F.when(octet(o, base + 6).isin(EXTENSION_HEADERS), walked).otherwise(start)
-
-
-def packet_columns(rows: DataFrame, header: str) -> DataFrame:
-    """Add src_addr, dst_addr, protocol, src_port, dst_port, tcp_flags of a sampled Ethernet header, given as an array of
-    octets."""
-    o, size = F.col(header), F.size(F.col(header))
-    c = F.col
-    framed = rows.withColumn("_eth", F.when(size >= 14, _vlan_walk(o)))
-    p = c("_eth.offset")
-    ihl = low_bits(octet(o, p), 4) * 4
-    is_v4 = (c("_eth.ethertype") == IPV4_TYPE) & (size - p >= 20) & (ihl >= 20) & (size - p >= ihl)
-    outer = framed.withColumns({"_p": p, "_v4": F.coalesce(is_v4, F.lit(False)), "_ihl": ihl.cast("int")})
-    tunnelled = c("_v4") & (octet(o, c("_p") + 9) == TUNNELLED_IPV6)
-    inner = F.when(c("_eth.ethertype") == IPV6_TYPE, c("_p")).when(tunnelled, c("_p") + c("_ihl"))
-    based = outer.withColumns({"_tunnel": tunnelled, "_six": inner})
-    based = based.withColumn("_v6", F.coalesce(size - c("_six") >= 40, F.lit(False)))
-    walked = based.withColumn("_ext", F.when(c("_v6"), _ipv6_walk(o, c("_six"))))
-    protocol = F.when(c("_v6"), c("_ext.protocol")).when(c("_v4"), octet(o, c("_p") + 9))
-    rest = F.when(c("_v6"), c("_ext.offset")).when(c("_v4") & ~c("_tunnel"), c("_p") + c("_ihl"))
-    layered = walked.withColumns({"protocol": protocol, "_l4": rest})
-    left = size - c("_l4")
-    tcp = (c("protocol") == TCP) & (left >= 14)
-    udp = (c("protocol") == UDP) & (left >= 4)
-
-    def address(in_v6: int, in_v4: int) -> Column:
-        six = net.ipv6_from_octets(o, c("_six") + in_v6)
-        return F.when(c("_v6"), six).when(c("_v4"), net.ipv4_from_octets(o, c("_p") + in_v4))
-
-    decoded = F.struct(
-        address(8, 12).alias("src_addr"),
-        address(24, 16).alias("dst_addr"),
-        F.col("protocol"),
-        F.when(tcp | udp, number(o, c("_l4"), 2)).alias("src_port"),
-        F.when(tcp | udp, number(o, c("_l4") + 2, 2)).alias("dst_port"),
-        F.when(tcp, octet(o, c("_l4") + 13)).alias("tcp_flags"),
-    )
-    # a generator, so that later filters on the result are not rewritten into the whole decoding chain
-    return layered.select(*rows.columns, F.inline(F.array(decoded)))
+@dataclass
+class _Packets:
+    """Addresses (place and length, 0 if absent), protocol, ports and flags of sampled headers, with what is known of each."""
+
+    source: np.ndarray
+    target: np.ndarray
+    address_length: np.ndarray
+    protocol: tuple[np.ndarray, np.ndarray]
+    ports: tuple[np.ndarray, np.ndarray]
+    with_ports: np.ndarray
+    flags: tuple[np.ndarray, np.ndarray]
+
+
+def _behind_tags(p: Payloads, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ethertype, place behind it) after all stacked VLAN tags; type -1 if the header ends inside a tag."""
+    kind, known = p.number(start + 12, 2, end)
+    kind = np.where(known & (end - start >= 14), kind, -1)
+    place = start + 14
+    while True:
+        tagged = np.flatnonzero(np.isin(kind, VLAN_TYPES))
+        if not len(tagged):
+            return kind, place
+        following, known = p.number(place[tagged] + 2, 2, end[tagged])
+        kind[tagged], place[tagged] = np.where(known, following, -1), place[tagged] + 4
+
+
+def _behind_extensions(p: Payloads, base: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(protocol, place) of an IPv6 payload behind its extension headers, each of eight bytes or more."""
+    protocol, _ = p.number(base + 6, 1, end)
+    place, active = base + 40, np.arange(len(base))
+    while len(active):
+        active = active[np.isin(protocol[active], EXTENSION_HEADERS)]
+        units, known = p.number(place[active] + 1, 1, end[active])
+        active, units = active[known], units[known]
+        kind = protocol[active]
+        length = np.where(kind == FRAGMENT, 8, np.where(kind == AUTHENTICATION, (units + 2) * 4, (units + 1) * 8))
+        protocol[active] = p.data[place[active]]
+        place[active] += length
+    return protocol, place
+
+
+def _packets(p: Payloads, start: np.ndarray, end: np.ndarray) -> _Packets:
+    """Sampled Ethernet headers, each between ``start`` and ``end``; an absent one is empty."""
+    kind, network = _behind_tags(p, start, end)
+    first, _ = p.number(network, 1, end)
+    header = (first & 15) * 4
+    v4 = (kind == IPV4_TYPE) & (end - network >= 20) & (header >= 20) & (end - network >= header)
+    carried, _ = p.number(network + 9, 1, end)
+    tunnel = v4 & (carried == TUNNELLED_IPV6)
+    six = np.where(tunnel, network + header, network)
+    v6 = (tunnel | (kind == IPV6_TYPE)) & (end - six >= 40)
+    protocol, transport = np.where(v4, carried, 0), np.where(v4 & ~tunnel, network + header, end)
+    at = np.flatnonzero(v6)
+    protocol[at], transport[at] = _behind_extensions(p, six[at], end[at])
+    left = end - transport
+    tcp, udp = (protocol == TCP) & (left >= 14), (protocol == UDP) & (left >= 4)
+    source, target = (np.where(v6, six + in_v6, network + in_v4) for in_v6, in_v4 in ((8, 12), (24, 16)))
+    ports = tuple(p.number(transport + shift, 2, end)[0] for shift in (0, 2))
+    flags, _ = p.number(transport + 13, 1, end)
+    return _Packets(source, target, np.where(v6, 16, np.where(v4, 4, 0)), (protocol, v4 | v6), ports, tcp | udp, (flags, tcp))
 
 
 # ------------------------------------------------------------------------------------------------------- BGP records
 
 
-def with_gateway(rows: DataFrame, record: str) -> DataFrame:
-    """Add ``_bgp``: struct (next_hop, src_as, dst_as, as_path) of an extended-gateway record, given as an array of
-    octets; a short record keeps what it had."""
-    o, size = F.col(record), F.size(F.col(record))
-    family = number(o, 0, 4)
-    sized = rows.withColumn("_a", F.when(family == 1, 4).when(family == 2, 16))
-    address = F.col("_a")
-    # a segment takes eight bytes or more, so the record's length bounds their number
-    count = F.least(number(o, address + 16, 4), F.floor(size / 8) + 1)
-    counted = sized.withColumn("_segments", count.cast("int"))
-    start = F.struct(
-        (address + 20).alias("offset"),
-        F.array().cast("array<bigint>").alias("path"),
-        F.col("_segments").isNotNull().alias("whole"),
-    )
-
-    def segment(state: Column, _: Column) -> Column:
-        offset = state["offset"]
-        active = state["whole"] & (offset < size)
-        length = number(o, offset + 4, 4)
-        left = size - offset - 8
-        fitting = F.least(length, F.floor(left / 4))
-        # a list that ends exactly with the record is kept, one that breaks off inside a number is not
-        whole = length.isNotNull() & ((fitting == length) | (left % 4 == 0))
-        numbers = F.when(
-            F.coalesce(fitting, F.lit(0)) > 0,
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(fitting, F.lit(1)).cast("int") - 1),
-                lambda i: number(o, offset + 8 + i * 4, 4),
-            ),
-        ).otherwise(F.array().cast("array<bigint>"))
-        moved = F.struct(
-            (offset + 8 + F.coalesce(fitting, F.lit(0)) * 4).cast("int").alias("offset"),
-            F.concat(state["path"], numbers).alias("path"),
-            whole.alias("whole"),
-        )
-        return F.when(F.coalesce(active, F.lit(False)), moved).otherwise(state)
-
-    numbers = F.sequence(F.lit(1), F.greatest(F.coalesce("_segments", F.lit(1)), F.lit(1)))
-    walked = counted.withColumn("_path", F.when(o.isNotNull(), F.aggregate(numbers, start, segment)))
-    kept = F.when(F.col("_path.whole") & (F.size("_path.path") > 0), F.col("_path.path"))
-    pathed = walked.withColumn("_path", kept)
-    hop = F.when(address == 4, net.ipv4_from_octets(o, 4)).when(address == 16, net.ipv6_from_octets(o, 4))
-    decoded = F.struct(
-        hop.alias("next_hop"),
-        number(o, address + 8, 4).alias("src_as"),
-        F.try_element_at("_path", F.lit(-1)).alias("dst_as"),
-        F.array_join(F.transform("_path", lambda v: v.cast("string")), " ").alias("as_path"),
-    )
-    return pathed.withColumn("_bgp", F.when(o.isNotNull(), decoded)).drop("_a", "_segments", "_path")
+def _gateways(p: Payloads, start: np.ndarray, end: np.ndarray) -> dict[str, pa.Array]:
+    """next_hop, src_as, dst_as and as_path of extended-gateway records; a short record keeps what it had, an absent one is empty.
+
+    Path segments of all records are read in step. A list that ends exactly with the record is kept, one that breaks off inside a
+    number is not.
+    """
+    family, _ = p.number(start, 4, end)
+    length = np.where(family == 1, 4, np.where(family == 2, 16, 0))
+    hop = (length > 0) & (start + 4 + length <= end)
+    own, has_own = p.number(start + length + 8, 4, end)
+    count, counted = p.number(start + length + 16, 4, end)
+    whole = counted & (length > 0)
+    place, left, active, pieces = start + length + 20, count.copy(), np.flatnonzero(whole & (count > 0)), []
+    step = 0
+    while len(active):
+        active = active[(place[active] < end[active]) & (left[active] > 0)]
+        listed, known = p.number(place[active] + 4, 4, end[active])
+        room = end[active] - place[active] - 8
+        fitting = np.where(known, np.minimum(listed, room // 4), 0)
+        good = known & ((fitting == listed) | (room % 4 == 0))
+        whole[active[~good]] = False
+        owner, inside = spread(fitting)
+        pieces.append((active[owner], np.full(len(owner), step), inside, place[active][owner] + 8 + 4 * inside))
+        place[active] += 8 + 4 * fitting
+        left[active] -= 1
+        active = active[good]
+        step += 1
+    owner, step_no, inside, at = (np.concatenate(c) for c in zip(*pieces)) if pieces else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((inside, step_no, owner))
+    order = order[whole[owner[order]]]
+    owner, path = owner[order], p.number(at[order], 4, np.full(len(order), len(p.data)))[0]
+    bounds = np.searchsorted(owner, np.arange(len(start) + 1))
+    some = bounds[1:] > bounds[:-1]
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(path).cast(pa.string())), " ")
+    last = path[np.maximum(bounds[1:] - 1, 0)] if len(path) else np.zeros(len(start), np.int64)
+    return {
+        "next_hop": slices(p.data, start + 4, length, hop),
+        "src_as": numbers(own, has_own & (length > 0)),
+        "dst_as": numbers(last, some),
+        "as_path": pc.if_else(pa.array(some), texts, pa.scalar(None, pa.string())),
+    }
 
 
 # ------------------------------------------------------------------------------------------------------ flow samples
 
-#: Longest fixed part of a sample.
-SAMPLE_HEAD = 44
+_FLOWS = (
+    f"{CONTEXT}, sampling_rate long, drops long, input_if_index long, output_if_index long, frame long, src_addr binary, dst_addr binary, "
+    "protocol long, src_port long, dst_port long, tcp_flags long, next_hop binary, src_as long, dst_as long, as_path string"
+)
+
+
+def _decode_flows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = _samples(batch, FLOW_SAMPLE, FLOW_SAMPLE_EXPANDED)
+    p = found.payloads
+    records = found.records((28, 40))
+    whole = np.flatnonzero(~records.broken & found.field(28, 40)[1])
+
+    def last_of(tag: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each sample's last record of this tag; empty without one."""
+        start, end = np.zeros(len(records.broken), np.int64), np.zeros(len(records.broken), np.int64)
+        of_tag = records[records.tag == tag]
+        start[of_tag.owner], end[of_tag.owner] = of_tag.starts, of_tag.ends
+        return start[whole], end[whole]
+
+    start, end = last_of(RAW_HEADER)
+    protocol, _ = p.number(start, 4, end)
+    frame, _ = p.number(start + 4, 4, end)
+    size, known = p.number(start + 12, 4, end)
+    fits = known & (start + 16 + size <= end)
+    ethernet = fits & (protocol == ETHERNET)
+    packets = _packets(p, np.where(ethernet, start + 16, 0), np.where(ethernet, start + 16 + size, 0))
+
+    def of_sample(plain_at: int, expanded_at: int, mask: int = -1) -> pa.Array:
+        value, held = (v[whole] for v in found.field(plain_at, expanded_at))
+        return numbers(np.where(found.plain[whole], value & mask, value), held)
+
+    has_address = packets.address_length > 0
+    return pa.record_batch(
+        found.context(batch, whole)
+        | {
+            "sampling_rate": of_sample(8, 12),
+            "drops": of_sample(16, 20),
+            "input_if_index": of_sample(20, 28, LOW_30),
+            "output_if_index": of_sample(24, 36, LOW_30),
+            "frame": numbers(frame, fits),
+            "src_addr": slices(p.data, packets.source, packets.address_length, has_address),
+            "dst_addr": slices(p.data, packets.target, packets.address_length, has_address),
+            "protocol": numbers(*packets.protocol),
+            "src_port": numbers(packets.ports[0], packets.with_ports),
+            "dst_port": numbers(packets.ports[1], packets.with_ports),
+            "tcp_flags": numbers(*packets.flags),
+        }
+        | _gateways(p, *last_of(GATEWAY))
+    )
 
 
 def flow_samples(sample_rows: DataFrame) -> DataFrame:
     """``flow_samples`` rows of formats 1 and 3. A sample whose record list breaks off gives no row."""
-    rows = sample_rows.where(F.col("format").isin(FLOW_SAMPLE, FLOW_SAMPLE_EXPANDED))
-    rows = rows.withColumn("_o", octets(cut(F.col("body"), 0, SAMPLE_HEAD)))
-    o = F.col("_o")
-    plain = F.col("format") == FLOW_SAMPLE
-    base = F.when(plain, 8).otherwise(12)
-    header = rows.select(
-        "arrival_no",
-        "recv_ts",
-        "agent",
-        "sequence",
-        "sample_no",
-        number(o, base, 4).alias("sampling_rate"),
-        number(o, base + 8, 4).alias("drops"),
-        F.when(plain, low_bits(number(o, base + 12, 4), 30)).otherwise(number(o, base + 16, 4)).alias("input_if_index"),
-        F.when(plain, low_bits(number(o, base + 16, 4), 30)).otherwise(number(o, base + 24, 4)).alias("output_if_index"),
-        number(o, F.when(plain, base + 20).otherwise(base + 28), 4).alias("_count"),
-        F.when(plain, base + 24).otherwise(base + 32).alias("_start"),
-        "body",
-    )
-    walked = header.where("_count is not null").withColumn("_w", _walk("body", "_start", "_count")).where("not _w.broken")
-
-    def last_of(tag: int) -> Column:
-        return F.try_element_at(F.filter("_w.items", lambda i: i["tag"] == tag), F.lit(-1))["body"]
-
-    listed = walked.drop("body").withColumns({"_raw": octets(last_of(RAW_HEADER)), "_gateway": octets(last_of(GATEWAY))})
-    raw = F.col("_raw")
-    fits = F.size(raw) >= 16 + number(raw, 12, 4)
-    ethernet = number(raw, 0, 4) == ETHERNET
-    framed = listed.withColumns(
-        {
-            "_frame": F.when(fits, number(raw, 4, 4)),
-            "_header": F.when(fits & ethernet, F.slice(raw, F.lit(17), number(raw, 12, 4).cast("int"))),
-        }
-    ).drop("_w", "_raw")
-    decoded = packet_columns(with_gateway(framed, "_gateway"), "_header").where(filters.has_address())
-    rate, frame = F.col("sampling_rate"), F.coalesce("_frame", F.lit(0))
+    # the sFlow gate, on addresses that are still bytes
+    rows = sample_rows.mapInArrow(_decoder(_decode_flows), _FLOWS).where("src_addr is not null or dst_addr is not null")
+    rate, frame = F.col("sampling_rate"), F.coalesce("frame", F.lit(0))
     sampled = (frame > 0) & (rate > 1)
-    return decoded.select(
+    return rows.select(
         "arrival_no",
         "sample_no",
         "recv_ts",
         F.col("recv_ts").alias("timestamp"),
-        F.col("agent").alias("sampler_address"),
+        net.ip_from_bytes(F.col("agent")).alias("sampler_address"),
         F.col("sequence").alias("sequence_number"),
         "sampling_rate",
         F.lit(0).alias("flow_source"),
-        "src_addr",
-        "dst_addr",
+        net.ip_from_bytes(F.col("src_addr")).alias("src_addr"),
+        net.ip_from_bytes(F.col("dst_addr")).alias("dst_addr"),
         "src_port",
         "dst_port",
         "protocol",
@@ -295,53 +290,51 @@ def flow_samples(sample_rows: DataFrame) -> DataFrame:
         "input_if_index",
         "output_if_index",
         "drops",
-        F.col("_bgp.next_hop").alias("next_hop"),
-        F.col("_bgp.src_as").alias("src_as"),
-        F.col("_bgp.dst_as").alias("dst_as"),
-        F.col("_bgp.as_path").alias("as_path"),
+        net.ip_from_bytes(F.col("next_hop")).alias("next_hop"),
+        "src_as",
+        "dst_as",
+        "as_path",
     )
 
 
 # -------------------------------------------------------------------------------------------------- interface counters
 
 
+# Columns of the generic interface record, by offset and width.
+IF_FIELDS = {
+    "if_type": (4, 4), "if_speed": (8, 8), "if_direction": (16, 4), "if_status": (20, 4), "in_octets": (24, 8), "in_discards": (44, 4),
+    "in_errors": (48, 4), "out_octets": (56, 8), "out_discards": (76, 4), "out_errors": (80, 4),
+}
+_COUNTERS = f"{CONTEXT}, record_no int, if_index long, " + ", ".join(f"{name} long" for name in IF_FIELDS)
+
+
+def _decode_counters(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = _samples(batch, COUNTER_SAMPLE, COUNTER_SAMPLE_EXPANDED)
+    p = found.payloads
+    records = found.records((8, 12))
+    records = records[(records.tag == IF_COUNTERS) & (records.ends - records.starts >= IF_COUNTERS_LENGTH)]
+    source, held = found.field(4, 8)
+    source = np.where(found.plain, source & LOW_24, source)
+    own, _ = p.number(records.starts, 4, records.ends)
+    columns = {name: numbers(*p.number(records.starts + at, width, records.ends)) for name, (at, width) in IF_FIELDS.items()}
+    return pa.record_batch(
+        found.context(batch, records.owner)
+        | {
+            "record_no": pa.array(records.number, pa.int32()),
+            "if_index": numbers(np.where(own == 0, source[records.owner], own), (own != 0) | held[records.owner]),
+        }
+        | columns
+    )
+
+
 def interface_counters(sample_rows: DataFrame) -> DataFrame:
     """``interface_counters`` rows of formats 2 and 4. The record's interface wins over the sample's unless it is 0."""
-    rows = sample_rows.where(F.col("format").isin(COUNTER_SAMPLE, COUNTER_SAMPLE_EXPANDED))
-    body = F.col("body")
-    plain = F.col("format") == COUNTER_SAMPLE
-    header = rows.select(
-        "arrival_no",
-        "recv_ts",
-        "agent",
-        "sample_no",
-        F.when(plain, low_bits(uint(body, 4, 4), 24)).otherwise(uint(body, 8, 4)).alias("_source"),
-        uint(body, F.when(plain, 8).otherwise(12), 4).alias("_count"),
-        F.when(plain, 12).otherwise(16).alias("_start"),
-        "body",
-    )
-    walked = header.where("_count is not null").withColumn("_w", _walk("body", "_start", "_count"))
-    records = walked.select(
-        "arrival_no", "recv_ts", "agent", "sample_no", "_source", F.posexplode("_w.items").alias("record_no", "_i")
-    ).where(F.col("_i.tag") == IF_COUNTERS)
-    records = records.where(F.length("_i.body") >= 84).withColumn("_o", octets(cut(F.col("_i.body"), 0, 84)))
-    r = F.col("_o")
-    own = number(r, 0, 4)
-    return records.select(
+    return sample_rows.mapInArrow(_decoder(_decode_counters), _COUNTERS).select(
         "arrival_no",
         "sample_no",
         "record_no",
         F.col("recv_ts").alias("timestamp"),
-        F.col("agent").alias("sampler_address"),
-        F.when(own == 0, F.col("_source")).otherwise(own).alias("if_index"),
-        number(r, 4, 4).alias("if_type"),
-        number(r, 8, 8).alias("if_speed"),
-        number(r, 16, 4).alias("if_direction"),
-        number(r, 20, 4).alias("if_status"),
-        number(r, 24, 8).alias("in_octets"),
-        number(r, 44, 4).alias("in_discards"),
-        number(r, 48, 4).alias("in_errors"),
-        number(r, 56, 8).alias("out_octets"),
-        number(r, 76, 4).alias("out_discards"),
-        number(r, 80, 4).alias("out_errors"),
+        net.ip_from_bytes(F.col("agent")).alias("sampler_address"),
+        "if_index",
+        *IF_FIELDS,
     )

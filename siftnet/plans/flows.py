@@ -1,8 +1,8 @@
 """From landed datagrams to the flow table: the end-to-end plan.
 
-v5 and sFlow need no shuffle before deduplication. v9/IPFIX sets and records are not shuffled either: templates and
-sampling rates become small change tables that are broadcast behind a size check. Deduplication shuffles by device key
-and segment.
+v5 and sFlow need no shuffle before deduplication. v9/IPFIX sets and records are not shuffled either while the indexes of templates and
+sampling rates are small. Payloads are read once for the heads of their sets, and once or twice to be decoded; only heads and learned
+rates are written in between. Deduplication shuffles by device key and segment.
 """
 
 from __future__ import annotations
@@ -18,17 +18,30 @@ def v5_flows(captured: DataFrame) -> DataFrame:
     return flows.v5_flows(datagrams.v5_records(datagrams.v5_headers(captured)))
 
 
+def set_heads(captured: DataFrame) -> DataFrame:
+    """All v9/IPFIX sets without the bodies of data sets: a few bytes a set, read several times, so written once."""
+    return checkpointed(datagrams.sets(datagrams.framed(captured, bodies=False)))
+
+
+def matched_sets(captured: DataFrame, heads: DataFrame) -> DataFrame:
+    """v9/IPFIX data sets with their template."""
+    announced = datagrams.usable_templates(datagrams.templates(heads))
+    return datagrams.with_templates(
+        datagrams.data_sets(datagrams.sets(datagrams.framed(captured))), announced, uses=datagrams.data_sets(heads)
+    )
+
+
 def decoded_template_sets(captured: DataFrame) -> DataFrame:
-    """v9/IPFIX data sets with their template applied."""
-    # decoding is read by the templates, their idle times and the records: do it once, and cut the plan there
-    sets = checkpointed(datagrams.sets(datagrams.framed(captured)))
-    announced = checkpointed(datagrams.usable_templates(datagrams.templates(sets)))
-    return datagrams.decoded_sets(datagrams.with_templates(datagrams.data_sets(sets), announced))
+    """What decoding makes of each v9/IPFIX data set."""
+    return datagrams.decoded_sets(matched_sets(captured, set_heads(captured)))
 
 
 def template_flows(captured: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    records = checkpointed(datagrams.records(decoded_template_sets(captured)))
-    return flows.template_flows(flows.with_sampling_rate(records, overrides))
+    heads = set_heads(captured)
+    matched = matched_sets(captured, heads)
+    # two lookups read what records teach: a small table
+    facts = checkpointed(flows.rate_facts(datagrams.records(matched.where(flows.teaches_rate(F.col("fields"), F.col("is_options"))))))
+    return flows.template_flows(flows.with_sampling_rate(datagrams.records(matched), overrides, facts=facts, places=heads))
 
 
 def sflow_flows(captured: DataFrame) -> DataFrame:
@@ -67,11 +80,9 @@ def flow_samples(
 
 def parse_events(captured: DataFrame) -> DataFrame:
     """Counts of everything the decoders refused, by event."""
-    dispatched = datagrams.dispatch(captured)
-    framed = datagrams.framed(captured)
-    sets = datagrams.sets(framed)
-    announced = datagrams.templates(sets)
-    decoded = decoded_template_sets(captured)
+    heads = set_heads(captured)
+    framed = datagrams.framed(captured, bodies=False).drop("sets")
+    decoded = datagrams.decoded_sets(matched_sets(captured, heads))
     v5 = datagrams.v5_headers(captured)
     losses = sequence.sequence_events(
         v5.where(F.length("payload") >= datagrams.V5_HEADER)
@@ -81,12 +92,12 @@ def parse_events(captured: DataFrame) -> DataFrame:
         )
         .unionByName(datagrams.export_headers(framed, decoded))
     )
-    events = (
-        dispatched.select("event")
+    refused = (
+        datagrams.dispatch(captured).select("event")
         .unionByName(v5.select("event"))
         .unionByName(framed.select("event"))
-        .unionByName(announced.select(F.col("verdict").alias("event")))
+        .unionByName(datagrams.templates(heads).select(F.col("verdict").alias("event")))
         .unionByName(decoded.select("event"))
         .unionByName(losses.select("event"))
-    )
-    return events.where("event is not null").groupBy("event").agg(F.count("*").alias("total"))
+    )
+    return refused.where("event is not null").groupBy("event").agg(F.count("*").alias("total"))

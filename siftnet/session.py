@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # One rule decides duplicates in key=value text and in field maps: the last wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Payloads may be long: batches to Python are bounded in bytes, not only in rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # Names and keywords are ASCII; the locale-aware case mapping costs seconds of start-up for nothing.
     "spark.sql.icu.caseMappings.enabled": "false",
 }

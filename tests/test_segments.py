@@ -113,15 +113,45 @@ def test_admission_against_brute_force(spark, skewed, rows, span):
         assert rows(got, "arrival_no", "accepted") == sorted(bucket(events, rate, per, burst), key=repr)
 
 
-@pytest.mark.parametrize("span", SPANS)
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_as_of_both_ways(spark, skewed, rows, span, limit):
-    """The broadcast intervals and the scan they fall back to agree."""
-    facts = skewed.where("k = 4").selectExpr("device_id", "arrival_no", "s % 3 as rate")
-    asked = skewed.where("k <> 4").select("device_id", "arrival_no", "outcome")
-    got = asof.latest(asked, facts, keys=["device_id"], order="arrival_no", value="rate", span=span, limit=limit)
-    want = asof.latest(asked, facts, keys=["device_id"], order="arrival_no", value="rate")
-    assert rows(got, "arrival_no", "rate") == rows(want, "arrival_no", "rate")
+@pytest.mark.parametrize("span", [1, 7, 100, 1 << 16])
+def test_as_of_against_brute_force(spark, skewed, rows, span):
+    """Also facts that repeat, take effect at a row's own order, or say that nothing holds, and null keys."""
+    frame = skewed.withColumn("device_id", F.expr("if(device_id = 2, null, device_id)")).withColumn("rate", F.expr("if(s % 7 = 0, null, s % 3)"))
+    facts = frame.where("k = 4 or arrival_no % 50 = 0").select("device_id", "arrival_no", "rate")
+    asked = frame.where("k <> 4").select("device_id", "arrival_no", "outcome")
+    got = asof.latest(asked, facts, keys=["device_id"], order="arrival_no", value="rate", span=span)
+    assert got.columns == ["device_id", "arrival_no", "outcome", "rate"]
+    known, expected = {}, []
+    told = {r.arrival_no: r for r in facts.collect()}
+    for r in frame.select("device_id", "arrival_no", "k").orderBy("arrival_no").collect():
+        if r.arrival_no in told:
+            known[r.device_id] = told[r.arrival_no].rate
+        if r.k != 4:
+            expected.append((r.arrival_no, known.get(r.device_id)))
+    assert rows(got, "arrival_no", "rate") == sorted(expected, key=repr)
+    # other places that cover the rows' change nothing
+    wide = frame.select("device_id", "arrival_no")
+    again = asof.latest(asked, facts, keys=["device_id"], order="arrival_no", value="rate", places=wide, span=span)
+    assert rows(again, "arrival_no", "rate") == rows(got, "arrival_no", "rate")
+
+
+def test_as_of_runs_nothing_while_it_is_built(spark):
+    group = "as-of-plan"
+    spark.sparkContext.setJobGroup(group, "none may run")
+    facts = spark.range(100).selectExpr("id % 3 as key", "id as arrival_no", "id as rate")
+    asof.latest(facts.drop("rate"), facts, keys=["key"], order="arrival_no", value="rate")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 0
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_as_of_index_grows_with_changes(spark):
+    """Rows of a key meet the intervals of their own segment only, however many changes the key has."""
+    for n in (20_000, 40_000):
+        facts = spark.range(n).selectExpr("1 as key", "id * 2 as arrival_no", "id as rate").withColumn(asof.CELL, F.expr("arrival_no div 1000"))
+        asked = facts.drop("rate")
+        index = asof.intervals(asked, facts, ["key"], "arrival_no", "rate")
+        per_cell = index.groupBy(asof.CELL).count().agg(F.max("count"), F.count("*")).first()
+        assert tuple(per_cell) == (501, n * 2 // 1000)
 
 
 @pytest.mark.parametrize("span", SPANS)
