@@ -26,6 +26,8 @@ from siftnet.session import checkpointed
 
 #: Bins of the common-word histogram beside that of all other terms.
 COMMON_WORDS = 64
+#: Longs of the bit mask that sets aside terms that are not common.
+MASK_WORDS = 16
 #: Fewest terms of a text, and of a language, from which their common words are compared.
 LEAST_TERMS, LEAST_REFERENCE = 50, 1000
 #: Largest distances of a text that is kept.
@@ -40,7 +42,7 @@ CLASSES = {"lower": "[a-z]+", "space": SPACES, "upper": "[A-Z]+", "digit": "[0-9
 CLASS_NAMES = [*CLASSES, "other"]
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*MEASURES, "base_failed", "class_distance", "word_distance", "kept")
-HELPERS = ("_text", "_words", "_classes", "_terms", "_lang", "_common", "_shares", "_class_shares", "_reference")
+HELPERS = ("_text", "_words", "_classes", "_terms", "_lang", "_common", "_shares", "_class_shares", "_reference", "_mask")
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
@@ -72,11 +74,17 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         # in most texts no window comes twice, and then nothing is sorted
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, twice)).otherwise(F.lit(0).cast("long"))
 
-    def windows(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hashes) - (window - 1))
-        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window))), among)
+    def joined(hashes: Column, length: int) -> Column:
+        """Hashes of windows of ``window`` words, of those of ``length`` words; by doubling, and an overlap for what remains."""
+        if length == window:
+            return among(hashes)
+        step = min(length, window - length)
+        longer = F.transform(
+            F.slice(hashes, F.lit(1), F.size(hashes) - step), lambda h, i: F.xxhash64(h, F.get(hashes, i + step))
+        )
+        return let(longer, lambda found: joined(found, length + step))
 
-    return F.when(F.size(words) > window, let(F.transform(words, lambda w: F.xxhash64(w)), windows)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) > window, let(F.transform(words, lambda w: F.xxhash64(w)), lambda found: joined(found, 1))).otherwise(F.lit(0).cast("long"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -119,7 +127,24 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
     common_words = listed.select(
         "_lang", "_reference", F.col("l.term").alias("_common"), F.transform("l.n", lambda n: n / F.col("_reference")).alias("_shares")
     )
-    return shares.join(common_words, "_lang", "left")
+    return shares.join(common_words.withColumn("_mask", bit_mask(F.col("_common"))), "_lang", "left")
+
+
+def _bit(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(64 * MASK_WORDS)).cast("int")
+
+
+def bit_mask(terms_: Column) -> Column:
+    """A set of terms as bits: most other terms are told apart by one look."""
+    bits = F.transform(terms_, _bit)
+    word = lambda k: F.aggregate(
+        F.filter(bits, lambda b: F.shiftright(b, 6) == k), F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63))))
+    )
+    return F.transform(F.sequence(F.lit(0), F.lit(MASK_WORDS - 1)), word)
+
+
+def _in_mask(term: Column, mask: Column) -> Column:
+    return let(_bit(term), lambda b: F.call_function("shiftright", F.get(mask, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -142,7 +167,7 @@ def class_distance(counts: Column, shares: Column) -> Column:
     return F.when(total > 0, distance(_sum(F.zip_with(counts, shares, lambda n, q: _part(n / total, q)))))
 
 
-def word_distance(found: Column, common: Column, shares: Column) -> Column:
+def word_distance(found: Column, common: Column, shares: Column, mask: Column) -> Column:
     """Distance of the common words among the terms ``found``; all other terms share a bin."""
     n = F.size(found).cast("double")
 
@@ -164,7 +189,8 @@ def word_distance(found: Column, common: Column, shares: Column) -> Column:
         present = F.when(size > 0, let(firsts, bins)).otherwise(0.0)
         return distance(present + all_shares + _part((n - size) / n, F.greatest(1 - all_shares, F.lit(0.0))))
 
-    places = F.filter(F.transform(found, lambda t: F.array_position(common, t)), lambda c: c > 0)
+    likely = F.filter(found, lambda t: _in_mask(t, mask))
+    places = F.filter(F.transform(likely, lambda t: F.array_position(common, t)), lambda c: c > 0)
     return F.when(n > 0, let(F.sort_array(places), among))
 
 
@@ -180,7 +206,7 @@ def judged(
     enough = F.coalesce(F.col("_reference") >= least_reference, F.lit(False))
     apart = F.when(enough, class_distance(F.col("_classes"), F.col("_class_shares")))
     of_words = let(
-        terms(F.col("_text")), lambda found: F.when(F.size(found) >= least_terms, word_distance(found, F.col("_common"), F.col("_shares")))
+        terms(F.col("_text")), lambda found: F.when(F.size(found) >= least_terms, word_distance(found, F.col("_common"), F.col("_shares"), F.col("_mask")))
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = rows.select(
