@@ -303,7 +303,7 @@ WIDE = {
         (11, 0, 2, [("l_linenumber + 8000", 2)]), (10, 0, 2, [("l_linenumber", 2)]), (14, 0, 4, [("l_suppkey", 4)]), (62, 0, 16, [V6_HEAD, ("9", 8)]),
         (16, 0, 4, [("l_partkey", 4)]), (17, 0, 4, [("l_suppkey", 4)]), (22, 0, 4, [("100000 - l_linenumber * 50", 4)]), (21, 0, 4, [("100000 - l_linenumber * 10", 4)]),
         (23, 0, 8, [("l_partkey * 2", 8)]), (24, 0, 3, [("l_suppkey * 2", 3)]), (58, 0, 2, [("l_linenumber", 2)]), (59, 0, 2, [("l_linenumber + 100", 2)]),
-        (136, 0, 1, [("l_linenumber % 5", 1)]), (225, 0, 4, [(f"{IP10} + 1", 4)]), (226, 0, 4, [(f"{IP10} + 2", 4)]), (227, 0, 2, [("l_linenumber + 1", 2)]),
+        (136, 0, 1, [("l_linenumber % 5", 1)]), (225, 0, 4, [(f"{IP10} + 1", 4)]), (226, 0, 4, [(f"{IP10} + 2", 4)]), (40003, 0, 2, [("l_linenumber + 1", 2)]),
         (228, 0, 2, [("l_linenumber + 2", 2)]), (233, 0, 1, [("1", 1)]), (9999, 0, 3, [("7", 3)]), (56701, 0, 12, [("concat('app', l_linenumber)", 0), ("0", 8)]),
     ],
     10: [
@@ -311,7 +311,7 @@ WIDE = {
         (12, 0, 4, [(f"{IP11} + l_suppkey", 4)]), (231, 0, 8, [("floor(l_extendedprice)", 8)]), (1, 29305, 4, [("l_suppkey", 4)]), (2, 29305, 2, [("l_linenumber", 2)]),
         (4, 0, 1, [("if(l_returnflag = 'A', 1, 17)", 1)]), (7, 0, 2, [("l_partkey % 65536", 2)]), (11, 0, 2, [("53", 2)]), (32, 0, 2, [("771", 2)]), (15, 0, 4, [("if(l_linestatus = 'F', 0, 3405803777)", 4)]),
         (62, 0, 16, [("0", 8), ("0", 8)]), (281, 0, 16, [V6_HEAD, ("l_linenumber", 8)]), (282, 0, 4, [("1", 4)]), (150, 0, 4, [("1000000000 + l_orderkey", 4)]),
-        (151, 0, 4, [("1000000001 + l_orderkey", 4)]), (40003, 0, 2, [("l_linenumber", 2)]), (302, 0, 4, [("l_linenumber", 4)]), (2, 9, 4, [("99", 4)]),
+        (151, 0, 4, [("1000000001 + l_orderkey", 4)]), (227, 0, 2, [("l_linenumber", 2)]), (302, 0, 4, [("l_linenumber", 4)]), (2, 9, 4, [("99", 4)]),
     ],
 }
 
