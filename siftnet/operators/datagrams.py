@@ -627,6 +627,16 @@ def _variable_records(payloads: Payloads, at: np.ndarray, ends: np.ndarray, layo
     return owner, number, cells, broken
 
 
+def cut_columns(body: pa.Array, fields: pa.Array, names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]]:
+    """Of each layout among the sets: the set and number of every record, and the given columns."""
+    payloads = Payloads.of(body)
+    for layout, sets in _layouts(fields):
+        at, ends = payloads.starts[sets], payloads.ends[sets]
+        fixed = all(length != VARIABLE_LENGTH for length, _ in layout)
+        owner, number, cells = (_fixed_records if fixed else _variable_records)(payloads, at, ends, layout)[:3]
+        yield sets[owner], number, {name: cells.column(COLUMNS.index(name)) for name in names}
+
+
 def _layouts(fields: pa.Array) -> Iterator[tuple[list[tuple[int, tuple | None]], np.ndarray]]:
     """The distinct layouts of a batch, as lengths with the column each field goes to, and the rows of each."""
     slots = element_slots()
@@ -671,8 +681,24 @@ def decoded_sets(matched: DataFrame) -> DataFrame:
     )
 
 
-def records(matched: DataFrame) -> DataFrame:
-    """One row per data record of the sets that have a template, with one typed column per entry of :data:`COLUMNS`."""
+def _so_far(owner: np.ndarray, number: np.ndarray, values: pa.Array, most: int) -> pa.Array:
+    """The last value from 1 to ``most`` of each record's set, up to the record."""
+    order = np.lexsort((number, owner))
+    value = values.fill_null(0).to_numpy()[order]
+    usable = (value >= 1) & (value <= most)
+    place = np.maximum.accumulate(np.where(usable, np.arange(len(value)), -1))
+    held = place >= 0
+    held[held] = owner[order][place[held]] == owner[order][held]
+    out, known = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    out[order], known[order] = np.where(held, value[place], 0), held
+    return numbers(out, known)
+
+
+def records(matched: DataFrame, *, so_far: tuple[str, int] | None = None) -> DataFrame:
+    """One row per data record of the sets that have a template, with one typed column per entry of :data:`COLUMNS`.
+
+    ``so_far`` names a number column and its largest usable value: ``<column>_so_far`` is then its last usable value in the set.
+    """
     rows = matched.where("fields is not null").drop("event")
     context = [f for f in rows.schema.fields if f.name not in {"body", "fields"}]
     schema = T.StructType(
@@ -680,19 +706,18 @@ def records(matched: DataFrame) -> DataFrame:
             *context,
             T.StructField("record_no", T.IntegerType()),
             *[T.StructField(c, T.LongType() if KINDS[c] == "u" else T.BinaryType()) for c in COLUMNS],
+            *([T.StructField(f"{so_far[0]}_so_far", T.LongType())] if so_far else []),
         ]
     )
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = Payloads.of(batch.column("body"))
-            for layout, sets in _layouts(batch.column("fields")):
-                at, ends = payloads.starts[sets], payloads.ends[sets]
-                fixed = all(length != VARIABLE_LENGTH for length, _ in layout)
-                owner, number, cells = (_fixed_records if fixed else _variable_records)(payloads, at, ends, layout)[:3]
-                of_set = pa.array(sets[owner])
+            for owner, number, cut_here in cut_columns(batch.column("body"), batch.column("fields"), COLUMNS):
+                of_set = pa.array(owner)
                 given = {f.name: batch.column(f.name).take(of_set) for f in context}
-                yield pa.record_batch(given | {"record_no": pa.array(number, pa.int32())} | {c: cells.column(i) for i, c in enumerate(COLUMNS)})
+                if so_far:
+                    cut_here[f"{so_far[0]}_so_far"] = _so_far(owner, number, cut_here[so_far[0]], so_far[1])
+                yield pa.record_batch(given | {"record_no": pa.array(number, pa.int32())} | cut_here)
 
     cut_rows = rows.mapInArrow(decode, schema)
     columns = []
@@ -705,7 +730,7 @@ def records(matched: DataFrame) -> DataFrame:
         elif kind != "u":
             value = net.ip_from_bytes(value)
         columns.append(value.alias(name))
-    return cut_rows.select(*[f.name for f in context], "record_no", *columns)
+    return cut_rows.select(*[f.name for f in context], "record_no", *columns, *([f"{so_far[0]}_so_far"] if so_far else []))
 
 
 FLOW_SOURCE_BY_VERSION = {

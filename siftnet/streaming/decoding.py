@@ -1,8 +1,9 @@
-"""A stream of NetFlow v9 and IPFIX datagrams decoded by the templates it announces.
+"""A stream of NetFlow v9 and IPFIX datagrams decoded by the templates it announces, and scaled by the sampling rates it teaches.
 
 Templates are state, and one exporter may send a third of everything, so an exporter's sets are dealt over slices: a data set goes to one
 slice of its (exporter, domain); announcements go to all of them, as does the first and last use of a template in each idle time, taken
-per Arrow batch before the shuffle. Every slice so knows every template and when it was last used, while bodies are spread.
+per Arrow batch before the shuffle. Every slice so knows every template and when it was last used, while bodies are spread. Sampling
+rates are dealt out in the same way, as the last word of each set.
 
 Sources must deliver arrival order across micro-batches, as landed files and topics do.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from siftnet.operators import datagrams
+from siftnet.operators import datagrams, flows
 
 #: Slices that the sets of one (exporter, domain) are dealt over.
 SLICES = 16
@@ -28,6 +29,7 @@ DELAY = "10 minutes"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 ANNOUNCED, USED, DATA = 0, 1, 2
+SET, RATE = 0, 1
 _FIELD = np.dtype([("ie", "i4"), ("length", "i4"), ("pen", "i8")])
 
 
@@ -38,9 +40,7 @@ def packed_fields(fields: Iterable[dict]) -> bytes:
     return np.array([(f["ie"], f["length"], f["pen"]) for f in fields], _FIELD).tobytes()
 
 
-@F.arrow_udf(T.ArrayType(datagrams._FIELD))
-def unpacked_fields(layout: pa.Array) -> pa.Array:
-    """Layouts as :func:`datagrams.templates` gives them, of packed ones."""
+def _unpacked(layout: pa.Array) -> pa.Array:
     filled = layout.fill_null(b"").cast(pa.binary())
     _, offsets, values = filled.buffers()
     bounds = np.frombuffer(offsets, np.int32)[filled.offset : filled.offset + len(filled) + 1].astype(np.int64)
@@ -48,7 +48,13 @@ def unpacked_fields(layout: pa.Array) -> pa.Array:
     flat = np.frombuffer(data, _FIELD)
     columns = [pa.array(np.ascontiguousarray(flat[n])) for n in _FIELD.names]
     listed = pa.ListArray.from_arrays(pa.array(((bounds - bounds[0]) // _FIELD.itemsize).astype(np.int32)), pa.StructArray.from_arrays(columns, names=list(_FIELD.names)))
-    return pa.compute.if_else(layout.is_valid(), listed, pa.scalar(None, listed.type))
+    return pa.compute.if_else(layout.is_valid(), listed, pa.scalar(None, listed.type)) if layout.null_count else listed
+
+
+@F.arrow_udf(T.ArrayType(datagrams._FIELD))
+def unpacked_fields(layout: pa.Array) -> pa.Array:
+    """Layouts as :func:`datagrams.templates` gives them, of packed ones."""
+    return _unpacked(layout)
 
 
 # -------------------------------------------------------------------------------------------------------------- routing
@@ -178,7 +184,7 @@ class Templates(StatefulProcessor):
         if latest and not list(self.handle.listTimers()):
             self.handle.registerTimer((latest + self.idle) // 1000 + 1)
         out = frame[frame["kind"] == DATA]
-        yield out[self.columns].assign(is_options=out["is_options"].fillna(False).astype(bool))
+        yield out[self.columns].assign(is_options=[v is True or v == 1 for v in out["is_options"]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -196,21 +202,145 @@ class Templates(StatefulProcessor):
         pass
 
 
-def matched_sets(
-    captured: DataFrame, *, slices: int = SLICES, idle_seconds: float = datagrams.TEMPLATE_IDLE_SECONDS, delay: str = DELAY
-) -> DataFrame:
-    """The streaming form of :func:`datagrams.with_templates` over the sets of captured datagrams: data sets with their template."""
+def _matched(captured: DataFrame, slices: int, idle_seconds: float, delay: str) -> DataFrame:
+    """Data sets with the packed ``layout`` of their template."""
     captured.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     sets = datagrams.sets(datagrams.framed(captured))
     dealt = routed(sets, slices=slices, idle_seconds=idle_seconds).withWatermark("recv_ts", delay)
     fields = [f for f in dealt.schema.fields if f.name not in ("kind", "slice")]
     names = [f.name for f in fields]
-    matched = dealt.groupBy("exporter", "domain", "slice").transformWithStateInPandas(
+    return dealt.groupBy("exporter", "domain", "slice").transformWithStateInPandas(
         Templates(names, idle_seconds), outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime"
     )
-    return matched.withColumn("fields", unpacked_fields("layout")).withColumn("event", F.when(F.col("layout").isNull(), "data_before_template")).drop("layout")
+
+
+def _with_fields(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("fields", unpacked_fields("layout")).withColumn("event", F.when(F.col("layout").isNull(), "data_before_template")).drop("layout")
+
+
+def matched_sets(
+    captured: DataFrame, *, slices: int = SLICES, idle_seconds: float = datagrams.TEMPLATE_IDLE_SECONDS, delay: str = DELAY
+) -> DataFrame:
+    """The streaming form of :func:`datagrams.with_templates` over the sets of captured datagrams: data sets with their template."""
+    return _with_fields(_matched(captured, slices, idle_seconds, delay))
 
 
 def records(captured: DataFrame, **options) -> DataFrame:
     """Data records of a stream of datagrams, as :func:`datagrams.records` gives them."""
     return datagrams.records(matched_sets(captured, **options))
+
+
+# --------------------------------------------------------------------------------------------------------------- rates
+
+_TOLD = ["sampler_id", "interval_34", "random_50", "interval_305", "space_306"]
+
+
+def _taught(batch: pa.RecordBatch, fields: pa.Array) -> pd.DataFrame:
+    """(row, sampler, rate): what each set teaches, by :func:`flows.options_rate` or by element 34 in data; sampler -1 is the domain."""
+    found = []
+    for row, number, columns in datagrams.cut_columns(batch.column("body"), fields, _TOLD):
+        told = pd.DataFrame({name: columns[name].to_pandas(integer_object_nulls=True) for name in _TOLD}, dtype="object").assign(row=row, number=number)
+        found.append(told.loc[told[_TOLD[1:]].notna().any(axis=1)])
+    told = pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*_TOLD, "row", "number"])
+    options = batch.column("is_options").to_numpy(zero_copy_only=False)[told["row"].to_numpy(dtype=np.int64)].astype(bool)
+
+    def rate(sampler, plain, random, interval, space) -> int | None:
+        if interval is not None:
+            return (interval + space) // interval if space is not None and interval > 0 else interval
+        return random if random is not None else plain
+
+    values = told[_TOLD].astype(object).where(told[_TOLD].notna(), None).itertuples(index=False, name=None)
+    rates = [rate(*v) if with_scope else v[1] for v, with_scope in zip(values, options)]
+    told["rate"] = [r if r is not None and 1 <= r <= flows.MAX_RATE else 0 for r in rates]
+    told["sampler"] = np.where(options, told["sampler_id"].where(told["sampler_id"].notna(), -1), -1).astype(np.int64)
+    told = told[told["rate"] > 0].sort_values(["row", "number"], kind="stable")
+    # only the last word of a set on each sampler counts for later sets
+    return told.drop_duplicates(["row", "sampler"], keep="last")[["row", "sampler", "rate"]].astype(np.int64)
+
+
+def _rates_routed(matched: DataFrame, slices: int) -> DataFrame:
+    """Data sets for one slice each, and what sets teach for all slices of their (exporter, domain)."""
+    context = list(matched.schema.fields)
+    schema = T.StructType([*context, *T.StructType.fromDDL("kind int, slice int, sampler long, rate long").fields])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.compute.and_(pa.compute.invert(batch.column("is_options")), batch.column("layout").is_valid()))
+            n = own.num_rows
+            added = {
+                "kind": pa.array(np.full(n, SET, np.int32)), "slice": pa.array((own.column("arrival_no").to_numpy() % slices).astype(np.int32)),
+                "sampler": pa.array(np.zeros(n, np.int64)), "rate": pa.array(np.zeros(n, np.int64)),
+            }
+            yield pa.record_batch({f.name: own.column(f.name) for f in context} | added)
+
+            usable = batch.filter(batch.column("layout").is_valid())
+            told = _taught(usable, _unpacked(usable.column("layout")))
+            if not len(told):
+                continue
+            heads = pd.DataFrame({n: usable.column(n).to_pylist() for n in ("exporter", "domain", "set_order", "arrival_no")}).iloc[told["row"]].reset_index(drop=True)
+            heads["sampler"], heads["rate"] = told["sampler"].to_numpy(), told["rate"].to_numpy()
+            # repeats stay: another batch may hold sets between these
+            copies = heads.loc[heads.index.repeat(slices)]
+            given = {n: pa.array(copies[n], usable.schema.field(n).type) for n in ("exporter", "domain", "set_order", "arrival_no")}
+            given |= {
+                "is_options": pa.array(np.zeros(len(copies), bool)), "kind": pa.array(np.full(len(copies), RATE, np.int32)),
+                "slice": pa.array(np.tile(np.arange(slices, dtype=np.int32), len(heads))), "sampler": pa.array(copies["sampler"].to_numpy()), "rate": pa.array(copies["rate"].to_numpy()),
+            }
+            yield pa.record_batch({f.name: given[f.name] if f.name in given else pa.nulls(len(copies), usable.schema.field(f.name).type) for f in schema.fields})
+
+    return matched.mapInArrow(deal, schema)
+
+
+class Rates(StatefulProcessor):
+    """The sampling rates of one slice of an (exporter, domain): of each sampler, and of the domain under -1."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rates = handle.getMapState("rates", "sampler long", "rate long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # what a set teaches holds for the sets behind it
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["set_order", "kind"], kind="stable", ignore_index=True)
+        known = {int(s): int(r) for (s,), (r,) in self.rates.iterator()}
+        told = frame["kind"].to_numpy() == RATE
+        domain, samplers, written = [], [], set()
+        text = None
+        for is_rate, sampler, rate in zip(told, frame["sampler"].tolist(), frame["rate"].tolist()):
+            if is_rate:
+                known[int(sampler)] = int(rate)
+                written.add(int(sampler))
+                text = None
+            elif text is None:
+                text = ",".join(f"{s}:{r}" for s, r in sorted(known.items()) if s >= 0)
+            domain.append(known.get(-1, 0))
+            samplers.append(text)
+        for sampler in written:
+            self.rates.updateValue((sampler,), (known[sampler],))
+        out = frame.assign(domain_rate=np.array(domain, np.int64), sampler_rates=samplers)[~told]
+        yield out[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def template_flows(
+    captured: DataFrame, overrides: DataFrame | None = None, *, slices: int = SLICES, idle_seconds: float = datagrams.TEMPLATE_IDLE_SECONDS, delay: str = DELAY
+) -> DataFrame:
+    """The streaming form of :func:`siftnet.plans.flows.template_flows`: datagrams to flows, with templates and rates learned on the way."""
+    dealt = _rates_routed(_matched(captured, slices, idle_seconds, delay), slices)
+    fields = [f for f in dealt.schema.fields if f.name not in ("kind", "slice", "sampler", "rate")]
+    output = T.StructType([*fields, T.StructField("domain_rate", T.LongType()), T.StructField("sampler_rates", T.StringType())])
+    entered = dealt.groupBy("exporter", "domain", "slice").transformWithStateInPandas(
+        Rates([f.name for f in output.fields]), outputStructType=output, outputMode="Append", timeMode="None"
+    )
+    cut = datagrams.records(_with_fields(entered), so_far=("interval_34", flows.MAX_RATE))
+    of_sampler = F.try_element_at(F.str_to_map("sampler_rates", F.lit(","), F.lit(":")), F.col("sampler_id").cast("string")).try_cast("bigint")
+    of_domain = F.nullif("domain_rate", F.lit(0).cast("bigint"))
+    rates = [of_sampler, F.col("interval_34_so_far"), of_domain, F.lit(1)]
+    if overrides is not None:
+        cut = cut.join(overrides.select("exporter", F.col("rate").alias("_override")), "exporter", "left")
+        rates.insert(0, F.col("_override"))
+    rated = cut.withColumn("sampling_rate", F.coalesce(*rates).cast("bigint"))
+    return flows.template_flows(rated.drop("domain_rate", "sampler_rates", "interval_34_so_far", "_override"))

@@ -70,6 +70,36 @@ def test_micro_batches_equal_the_batch(spark, tmp_path, parts):
     assert sorted((tuple(r) for r in got), key=repr) == expected and len(expected) > 100
 
 
+def test_flows_with_learned_rates_equal_the_batch(spark, tmp_path):
+    """Domain rates in options and in data, rates of samplers, and an override."""
+    rng, rows, clock = random.Random(9), [], T0
+    template = set_of(0, struct.pack(">HH", 300, 4) + struct.pack(">HHHHHHHH", 8, 4, 48, 1, 1, 4, 34, 4))
+    plain = set_of(0, struct.pack(">HH", 301, 2) + struct.pack(">HHHH", 8, 4, 1, 4))
+    options = set_of(1, struct.pack(">HHH", 500, 4, 8) + struct.pack(">HHHHHH", 1, 4, 48, 1, 50, 2))
+    packets = set_of(1, struct.pack(">HHH", 501, 4, 8) + struct.pack(">HHHHHH", 1, 4, 305, 2, 306, 2))
+    for i in range(160):
+        clock += rng.randint(0, 9)
+        body = template + plain + options + packets if i % 40 < 3 else b""
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.1:
+                body += set_of(500, struct.pack(">IBH", 0, rng.randint(0, 2), rng.choice([0, 7, 100])))
+            elif kind < 0.2:
+                body += set_of(501, struct.pack(">IHH", 0, rng.choice([0, 1, 4]), rng.randint(0, 40)))
+            elif kind < 0.6:
+                body += set_of(301, b"".join(struct.pack(">II", 0x0A000000 + rng.randint(1, 9), rng.randint(1, 99)) for _ in range(rng.randint(0, 5))))
+            else:
+                body += set_of(300, b"".join(struct.pack(">IBII", 0x0A000000 + rng.randint(1, 9), rng.randint(0, 3), rng.randint(1, 99), rng.choice([0, 0, 0, 0, 3, 50])) for _ in range(rng.randint(0, 5))))
+        exporter = "192.0.2.1" if rng.random() < 0.6 else f"192.0.2.{rng.randint(2, 3)}"
+        rows.append((i, exporter, bytearray(struct.pack(">HHIIII", 9, 2, 1000, clock, i, 0) + body), clock))
+    overrides = spark.createDataFrame([("192.0.2.3", 1000)], "exporter string, rate bigint")
+    columns = ["arrival_no", "set_order", "record_no", "sampler_address", "src_addr", "sampling_rate", "bytes", "flow_end"]
+    expected = sorted((tuple(r) for r in plan.template_flows(frame(spark, rows), overrides).select(*columns).collect()), key=repr)
+    got = streamed(spark, tmp_path, rows, 4, lambda stream: decoding.template_flows(stream, overrides, slices=3).select(*columns))
+    assert sorted((tuple(r) for r in got), key=repr) == expected
+    assert len({r[5] for r in expected}) > 10 and len(expected) > 400
+
+
 def test_sets_without_template_and_expired_ones(spark, tmp_path):
     template = set_of(0, struct.pack(">HH", 300, 1) + struct.pack(">HH", 8, 4))
     data = set_of(300, bytes([10, 0, 0, 1]))
