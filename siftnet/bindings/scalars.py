@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftnet.bindings.registry import EVENTS_SQL, events, query, spread, table
 from siftnet.functions import net, text
 from siftnet.operators import dedup, filters, flows, lookups, snmp, syslog
+from siftnet.session import shared_folder
 from siftnet.sources import readers, sinks
 
 
@@ -692,3 +695,37 @@ def replay_safe_batches(spark, sf_dir):
 def snapshot_sink(spark, sf_dir):
     history = table(spark, sf_dir, "orders")
     return sinks.current_snapshot(history, keys=["o_custkey"], ts="o_orderdate").select("o_custkey", "o_orderkey")
+
+
+@query(
+    "replay_safe_table",
+    """WITH l AS (SELECT l_suppkey AS probe_id, substr(sha256(l_orderkey || '/' || l_partkey), 1, 32) AS batch_key, DATE '2024-01-01' + CAST(l_partkey % 10 AS INTEGER) AS d, l_orderkey % 3 AS again FROM lineitem GROUP BY ALL)
+SELECT probe_id, batch_key, 0 AS batch, CAST(d AS VARCHAR) AS day FROM l
+UNION ALL SELECT probe_id, batch_key, 2, CAST(d + 40 AS VARCHAR) FROM l WHERE again = 2""",
+)
+def replay_safe_table(spark, sf_dir):
+    """Three deliveries, 20 days apart, written by the sink with a horizon of 30 days; the second is retried. The third repeats what is
+    forgotten by then."""
+    path = f"{shared_folder(spark).rstrip('/')}/replay-safe-{uuid.uuid4().hex}"
+    write = sinks.replay_safe_writer(path, horizon_days=30)
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("probe_id"), F.expr("concat(l_orderkey, '/', l_partkey)").alias("payload"), "l_orderkey", F.expr("timestamp'2024-01-01' + make_dt_interval(l_partkey % 10)").alias("t")
+    )
+    for number in (0, 1, 1, 2):
+        again = lines.where(F.col("l_orderkey") % 3 >= number)
+        write(again.select("probe_id", "payload", F.expr(f"t + interval {20 * number} days").alias("recv_ts")), number)
+    return spark.read.parquet(f"{path}/rows").select("probe_id", "batch_key", "batch", F.col("day").cast("string").alias("day"))
+
+
+@query(
+    "snapshot_table",
+    """SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey)""",
+)
+def snapshot_table(spark, sf_dir):
+    """The history of every customer in four deliveries, the newest of which comes second; each replaces what is older."""
+    path = f"{shared_folder(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    write = sinks.snapshot_writer(path, keys=["o_custkey"], ts="o_orderdate", buckets=8)
+    history = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    for number, months in enumerate(("1, 5, 9", "4, 8, 12", "2, 6, 10", "3, 7, 11")):
+        write(history.where(f"month(o_orderdate) in ({months})"), number)
+    return sinks.read_snapshots(spark, path, history.schema).select("o_custkey", "o_orderkey")

@@ -3,7 +3,10 @@
 Both rules are sequential: whether a row is accepted depends on which earlier rows were. They are evaluated exactly and
 still in parallel. Each (key, segment) is turned into its *transition function* (state entering the segment -> state
 leaving it), the functions are applied one after another per key on summaries only, and every segment is then replayed
-with the state that really enters it. No task holds more than one segment of rows, whatever share one source has.
+with the state that really enters it. No task holds more than one segment of rows, whatever share one source has. Keys of one
+segment, which most are, have nothing to carry and skip the first two steps.
+
+Minimum spacing follows each row's next acceptable row by binary lifting: jumps over 1, 2, 4, ... acceptances, for all rows at once.
 """
 
 from __future__ import annotations
@@ -39,23 +42,35 @@ def spacing_transition(clock: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndar
     record = np.r_[True, clock[1:] > peak[:-1]]
     reach = clock[record]
     following = np.searchsorted(reach, reach + gap, side="left")
-    leave = reach.copy()
-    for i in range(len(reach) - 1, -1, -1):
-        if following[i] < len(reach):
-            leave[i] = leave[following[i]]
+    # the last acceptance of the chain that begins at each row: the chain's end stays where it is
+    last = np.where(following < len(reach), np.minimum(following, len(reach) - 1), np.arange(len(reach)))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    leave = reach[last]
     keep = np.r_[leave[1:] != leave[:-1], True]
     return reach[keep], leave[keep]
 
 
 def spaced_rows(clock: np.ndarray, gap: int, entering: int) -> np.ndarray:
     """Which rows of a segment are accepted, given the last acceptance before it."""
+    n = len(clock)
     peak = np.maximum.accumulate(clock)
-    accepted = np.zeros(len(clock), dtype=bool)
-    at = 0 if entering == NEVER else int(np.searchsorted(peak, entering + gap, side="left"))
-    while at < len(clock):
-        accepted[at] = True
-        at = max(at + 1, int(np.searchsorted(peak, clock[at] + gap, side="left")))
-    return accepted
+    first = 0 if entering == NEVER else int(np.searchsorted(peak, entering + gap, side="left"))
+    # the row accepted after each row, were that one accepted; place n is the end
+    jump = np.append(np.maximum(np.searchsorted(peak, clock + gap, side="left"), np.arange(1, n + 1)), n)
+    accepted = np.zeros(n + 1, dtype=bool)
+    accepted[first] = True
+    while True:
+        chain = np.flatnonzero(accepted[:n])
+        ahead = jump[chain]
+        if (ahead == n).all():
+            return accepted[:n]
+        # the rows within 2^k acceptances, and those 2^k further
+        accepted[ahead] = True
+        jump = jump[jump]
 
 
 # ------------------------------------------------------------------------------------------------- token bucket
@@ -160,7 +175,13 @@ def _replay(rows: DataFrame, keys: list[str], arrival: str, span: int, transitio
         return pd.DataFrame([[*key, parts]], columns=[*group, "_parts"])
 
     summary_type = T.StructType([*key_fields, T.StructField("_parts", T.ArrayType(T.ArrayType(T.LongType())))])
-    summaries = _per_group(narrow, group, arrival, summary_type, summarise)
+    cut = narrow.groupBy(*keys).agg(F.min(segments.SEGMENT).alias("_first"), F.max(segments.SEGMENT).alias("_last")).where("_first < _last")
+    names = {k: f"_k_{k}" for k in keys}
+    same = F.lit(True)
+    for key, name in names.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    several = narrow.join(cut.select(*keys).withColumnsRenamed(names), same, "left_semi")
+    summaries = _per_group(several, group, arrival, summary_type, summarise)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, NEVER
@@ -182,7 +203,8 @@ def _replay(rows: DataFrame, keys: list[str], arrival: str, span: int, transitio
         return frame.loc[keep, [*keys, arrival]]
 
     accepted_type = T.StructType([*(rows.schema[k] for k in keys), rows.schema[arrival]])
-    return _per_group(segments.carried_in(narrow, entering, keys), group, arrival, accepted_type, accepted)
+    entered = segments.carried_in(narrow, entering, keys).withColumn("_entering", F.coalesce("_entering", F.lit(NEVER)))
+    return _per_group(entered, group, arrival, accepted_type, accepted)
 
 
 def accept_spaced(

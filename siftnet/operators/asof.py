@@ -1,12 +1,12 @@
 """As-of lookup of slowly changing facts.
 
 Facts such as templates or sampling rates are announced over and over but rarely change. The times for which each value holds form
-an index of intervals, cut at the borders of segments of the arrival order: a row finds its value by equality on (key, segment) and a
-comparison with the few intervals there. The value that enters a segment is carried into it, so no row looks further back.
+an index of intervals, cut at the borders of cells of the arrival order: a row finds its value by equality on (key, cell) and a
+comparison with the few intervals there. The value that enters a cell is carried into it, so no row looks further back.
 
-* A segment holds at most ``span`` rows and facts of all keys together, since arrival numbers are unique. Work is therefore bounded per
-  segment, and grows in proportion to rows and facts, also for one key that has most of both.
-* The index has an interval per change and one per (key, segment) that has rows. Spark sends it to all tasks while it is small and
+* A cell holds at most ``span`` rows and facts of all keys together, since arrival numbers are unique. Work is therefore bounded per
+  cell, and grows in proportion to rows and facts, also for one key that has most of both.
+* The index has an interval per change and one per (key, cell) that has rows. Spark sends it to all tasks while it is small and
   splits skewed keys otherwise; payloads of the rows are shuffled only in the second case.
 * Everything is one plan: nothing is counted, written or run while it is built.
 """
@@ -20,41 +20,57 @@ from pyspark.sql import functions as F
 
 from siftnet.operators import segments
 
-#: Most arrival numbers of one segment of the index.
+#: Most arrival numbers of one cell of the index.
 INDEX_SPAN = 1 << 16
-#: Segments of a key that are scanned together for the value carried into each.
-CARRY_SPAN = 1 << 20
+#: Cells of a key that are scanned together for the value carried into each.
+CARRY_CELLS = 1 << 8
 
 CELL = "_cell"
 
 
-def changes(facts: DataFrame, keys: Sequence[str], order: str, value: str, cell: str = CELL) -> DataFrame:
-    """Facts that differ from the previous one of their key and segment; the first of a segment always does."""
-    place = Window.partitionBy(*keys, cell).orderBy(order)
-    told = facts.withColumn("_earlier", F.lag(F.struct(F.col(value).alias("v"))).over(place))
-    changed = F.col("_earlier").isNull() | ~F.col(value).eqNullSafe(F.col("_earlier.v"))
-    return told.where(changed).drop("_earlier")
-
-
 def intervals(places: DataFrame, facts: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """The index: ``keys``, segment, ``_from`` (null: from before the segment), ``_to`` (null: beyond it) and ``value``.
+    """The index: ``keys``, cell, ``_from`` (null: from before the cell), ``_to`` (null: beyond it) and ``value``.
 
-    Both inputs carry their segment. Only segments of ``places``, those that hold rows, get the value carried into them.
+    Both inputs carry their cell. Facts and one marker per (key, cell) of ``places`` make one timeline, which is shuffled once; markers
+    come first in their cell and stand for the value carried into it. Cells without a marker are of no use to any row.
     """
     place = [*keys, CELL]
-    changed = changes(facts.select(*place, order, value), keys, order, value)
-    following = F.lead(order).over(Window.partitionBy(*place).orderBy(order))
-    inside = changed.select(*place, F.col(order).alias("_from"), following.alias("_to"), value)
+    told = facts.select(*place, order, F.struct(F.col(value).alias("v")).alias("_held"))
+    marker = [F.lit(None).cast(told.schema[c].dataType).alias(c) for c in (order, "_held")]
+    timeline = told.unionByName(places.select(*place).distinct().select(*place, *marker))
+    timeline = timeline.withColumn(segments.SEGMENT, F.expr(f"{CELL} div {CARRY_CELLS}")).repartition(*keys, segments.SEGMENT)
+    placed = timeline.withColumn("_at", F.struct(CELL, order))
+    known = segments.scan(placed, keys, "_at", last={"_known": F.col("_held")})
+
+    in_cell = Window.partitionBy(*keys, segments.SEGMENT, CELL)
+    ordered = in_cell.orderBy("_at")
+    first = F.lag(F.lit(1)).over(ordered).isNull()
+    changed = F.col("_known").isNotNull() & (first | ~F.col("_known").eqNullSafe(F.lag("_known").over(ordered)))
+    told_apart = known.withColumns({"_changed": changed, "_asked": F.bool_or(F.col(order).isNull()).over(in_cell)})
+    kept = told_apart.where("_changed and _asked").withColumn("_to", F.lead(order).over(ordered))
+    return kept.select(*place, F.col(order).alias("_from"), "_to", F.col("_known.v").alias(value))
+
+
+def index(
+    facts: DataFrame, places: DataFrame, *, keys: Sequence[str], order: str, value: str, arrival: str | None = None, span: int = INDEX_SPAN
+) -> DataFrame:
+    """The intervals for rows in ``places`` (rows with ``keys`` and ``arrival``); see :func:`latest`. It is small, and may serve several lookups."""
+    cell = F.expr(f"`{arrival or order}` div {span}")
+    return intervals(places.withColumn(CELL, cell), facts.withColumn(CELL, cell), keys, order, value)
 
-    held = F.struct(F.col(value).alias("v"))
-    ends = changed.groupBy(*place).agg(F.max_by(held, order).alias("_last"), F.min(order).alias("_to"))
-    asked = places.select(*place).distinct()
-    nothing = [F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in ("_last", "_to")]
-    told = ends.withColumn("_asked", F.lit(False)).unionByName(asked.select(*place, *nothing, F.lit(True).alias("_asked")))
-    merged = told.groupBy(*place).agg(F.first("_last", ignorenulls=True).alias("_last"), F.min("_to").alias("_to"), F.bool_or("_asked").alias("_asked"))
-    entering = segments.finish(segments.scan(merged, keys, CELL, last_before={"_enters": F.col("_last")}, span=CARRY_SPAN))
-    carried = entering.where("_asked and _enters is not null").select(*place, F.lit(None).cast(inside.schema["_from"].dataType).alias("_from"), "_to", F.col("_enters.v").alias(value))
-    return inside.unionByName(carried)
+
+def looked_up(
+    rows: DataFrame, intervals_: DataFrame, *, keys: Sequence[str], order: str, value: str, arrival: str | None = None, span: int = INDEX_SPAN
+) -> DataFrame:
+    """``rows`` with the ``value`` that an :func:`index` of the same span holds for them."""
+    theirs = {c: f"_i_{c}" for c in [*keys, CELL]}
+    known = intervals_.withColumnsRenamed(theirs).withColumnRenamed(value, "_i_value")
+    match = F.col(CELL) == F.col(theirs[CELL])
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(theirs[key]))
+    match = match & (F.col("_from").isNull() | (F.col(order) >= F.col("_from"))) & (F.col("_to").isNull() | (F.col(order) < F.col("_to")))
+    asked = rows.withColumn(CELL, F.expr(f"`{arrival or order}` div {span}"))
+    return asked.join(known, match, "left").select(*rows.columns, F.col("_i_value").alias(value))
 
 
 def latest(
@@ -71,16 +87,8 @@ def latest(
     """Add ``value``: that of the key's newest fact whose order is not after the row's; null without one.
 
     ``facts`` hold ``keys``, ``order`` and ``value``; nulls in a key are equal to each other. ``arrival`` is the number whose runs of
-    ``span`` make the segments and that grows with ``order`` (``order`` itself if not given); all inputs have it. ``places`` are rows with
+    ``span`` make the cells and that grows with ``order`` (``order`` itself if not given); all inputs have it. ``places`` are rows with
     ``keys`` and ``arrival`` that cover those of ``rows``, for callers that have them without computing all of ``rows`` again.
     """
-    cell = F.expr(f"`{arrival or order}` div {span}")
-    told, asked = facts.withColumn(CELL, cell), rows.withColumn(CELL, cell)
-    index = intervals(asked if places is None else places.withColumn(CELL, cell), told, keys, order, value)
-    theirs = {c: f"_i_{c}" for c in [*keys, CELL]}
-    index = index.withColumnsRenamed(theirs).withColumnRenamed(value, "_i_value")
-    match = F.col(CELL) == F.col(theirs[CELL])
-    for key in keys:
-        match = match & F.col(key).eqNullSafe(F.col(theirs[key]))
-    match = match & (F.col("_from").isNull() | (F.col(order) >= F.col("_from"))) & (F.col("_to").isNull() | (F.col(order) < F.col("_to")))
-    return asked.join(index, match, "left").select(*rows.columns, F.col("_i_value").alias(value))
+    how = {"keys": keys, "order": order, "value": value, "arrival": arrival, "span": span}
+    return looked_up(rows, index(facts, rows if places is None else places, **how), **how)

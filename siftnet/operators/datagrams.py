@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -386,68 +386,62 @@ def capped_templates(announced: DataFrame, *, cap: int, idle_seconds: float = TE
     return lived.join(judged, [*keys, "_life"]).drop("_life")
 
 
-def touch_gaps(
-    touches: DataFrame, *, keys: list[str], order: str = "set_order", ts: str = "recv_ts", idle_seconds: float, span: int
-) -> DataFrame:
+def touch_gaps(touches: DataFrame, *, keys: list[str], order: str = "set_order", ts: str = "recv_ts", idle_seconds: float) -> DataFrame:
     """Touches more than the idle time after their key's previous one.
 
     Touches are first reduced to the first and last of each idle-time bucket: a gap longer than the bucket never lies
-    inside one, so nothing is lost, and what remains no longer grows with the traffic.
+    inside one, so nothing is lost, and what remains of a key grows with the time covered, not with the traffic.
     """
     idle = int(idle_seconds * 1_000_000)
     bucket = F.expr(f"unix_micros({ts}) div {idle}")
     ends = touches.groupBy(*keys, bucket.alias("_bucket")).agg(
-        F.min(F.struct(F.col(order).alias("o"), F.col(ts).alias("t"))).alias("_first"),
-        F.max(F.struct(F.col(order).alias("o"), F.col(ts).alias("t"))).alias("_last"),
+        F.min(order).alias(order), F.min_by(ts, order).alias(ts), F.max_by(ts, order).alias("_until")
     )
-    ordered = ends.withColumn("_at", F.col("_first.o"))
-    before = segments.scan(ordered, keys, "_at", prev={"_before": F.col("_last.t")}, span=span)
-    gap = F.unix_micros(F.col("_first.t")) - F.unix_micros("_before")
-    return before.where(gap > idle).select(*keys, F.col("_first.o").alias(order), F.col("_first.t").alias(ts))
+    before = F.lag("_until").over(Window.partitionBy(*keys).orderBy(order))
+    gaps = ends.withColumn("_before", before)
+    return gaps.where(F.unix_micros(ts) - F.unix_micros("_before") > idle).select(*keys, order, ts)
 
 
 def idle_expiries(
-    touches: DataFrame,
-    *,
-    keys: list[str],
-    order: str = "set_order",
-    ts: str = "recv_ts",
-    idle_seconds: float = TEMPLATE_IDLE_SECONDS,
-    span: int = segments.SEGMENT_SPAN,
+    touches: DataFrame, *, keys: list[str], order: str = "set_order", ts: str = "recv_ts", idle_seconds: float = TEMPLATE_IDLE_SECONDS
 ) -> DataFrame:
     """Touches (announcements or uses) that found their template expired."""
-    return touch_gaps(touches, keys=keys, order=order, ts=ts, idle_seconds=idle_seconds, span=span)
+    return touch_gaps(touches, keys=keys, order=order, ts=ts, idle_seconds=idle_seconds)
 
 
-def with_templates(
-    set_rows: DataFrame,
-    announced: DataFrame,
-    *,
-    uses: DataFrame | None = None,
-    idle_seconds: float | None = TEMPLATE_IDLE_SECONDS,
-    span: int = segments.SEGMENT_SPAN * SETS_PER_DATAGRAM,
-    index_span: int = asof.INDEX_SPAN * SETS_PER_DATAGRAM,
-) -> DataFrame:
-    """Data sets with the newest template of their (exporter, domain, id) received before them.
+TEMPLATE_KEYS = ["exporter", "domain", "template_id"]
+_AS_OF = {"keys": TEMPLATE_KEYS, "order": "set_order", "value": "template", "span": asof.INDEX_SPAN * SETS_PER_DATAGRAM}
 
-    Adds ``fields``, ``is_options`` and ``event`` (``data_before_template`` where there is none). A template that was
-    neither announced nor used for more than ``idle_seconds`` is dead until it is announced again; a use refreshes it.
 
-    Announcements and expiries become one small index of intervals; the set bodies are not shuffled. ``uses`` are the heads of the same
-    sets, for callers that have them at hand: they are read for idle times and for the index.
+def template_index(announced: DataFrame, uses: DataFrame, *, idle_seconds: float | None = TEMPLATE_IDLE_SECONDS) -> DataFrame:
+    """Which template holds when, for the places of ``uses`` (``exporter``, ``domain``, ``set_id``, ``set_order``, ``recv_ts`` of the data sets).
+
+    A template that was neither announced nor used for more than ``idle_seconds`` is dead until it is announced again; a use refreshes it.
     """
-    keys = ["exporter", "domain", "template_id"]
-    facts = announced.select(*keys, "set_order", F.struct("fields", "is_options").alias("template"))
-    rows = set_rows.withColumnRenamed("set_id", "template_id")
-    heads = (rows if uses is None else uses.withColumnRenamed("set_id", "template_id")).select(*keys, "set_order", "recv_ts")
+    facts = announced.select(*TEMPLATE_KEYS, "set_order", F.struct("fields", "is_options").alias("template"))
+    heads = uses.withColumnRenamed("set_id", "template_id").select(*TEMPLATE_KEYS, "set_order", "recv_ts")
     if idle_seconds is not None:
-        touches = announced.select(*keys, "set_order", "recv_ts").unionByName(heads)
-        gaps = touch_gaps(touches, keys=keys, idle_seconds=idle_seconds, span=span)
+        touches = announced.select(*TEMPLATE_KEYS, "set_order", "recv_ts").unionByName(heads)
+        gaps = touch_gaps(touches, keys=TEMPLATE_KEYS, idle_seconds=idle_seconds)
         # a gap that ends with an announcement revives the template at once
-        deaths = gaps.join(announced.select(*keys, "set_order"), [*keys, "set_order"], "left_anti")
+        deaths = gaps.join(announced.select(*TEMPLATE_KEYS, "set_order"), [*TEMPLATE_KEYS, "set_order"], "left_anti")
         gone = F.lit(None).cast(facts.schema["template"].dataType)
-        facts = facts.unionByName(deaths.select(*keys, "set_order", gone.alias("template")))
-    matched = asof.latest(rows, facts, keys=keys, order="set_order", value="template", places=heads, span=index_span)
+        facts = facts.unionByName(deaths.select(*TEMPLATE_KEYS, "set_order", gone.alias("template")))
+    return asof.index(facts, heads, **_AS_OF)
+
+
+def with_templates(
+    set_rows: DataFrame, announced: DataFrame | None = None, *, index: DataFrame | None = None, idle_seconds: float | None = TEMPLATE_IDLE_SECONDS
+) -> DataFrame:
+    """Data sets with the newest template of their (exporter, domain, id) received before them.
+
+    Adds ``fields``, ``is_options`` and ``event`` (``data_before_template`` where there is none). Which template holds when is a small
+    ``index`` (:func:`template_index`, made of ``announced`` and these sets if not given); the set bodies are not shuffled for it.
+    """
+    if index is None:
+        index = template_index(announced, set_rows, idle_seconds=idle_seconds)
+    rows = set_rows.withColumnRenamed("set_id", "template_id")
+    matched = asof.looked_up(rows, index, **_AS_OF)
     return matched.select(
         *rows.columns,
         F.col("template.fields").alias("fields"),

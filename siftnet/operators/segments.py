@@ -139,25 +139,18 @@ def two_level(
 
 
 def carried_in(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with the columns of their (key, segment) in ``carry``. Nulls in a key are equal to each other, as in grouping.
-
-    The key is compared as a struct: its fields may be null, it never is, so this stays an equality that shares the
-    partitioning of the windows.
-    """
+    """Rows with the columns of their (key, segment) in ``carry``. Nulls in a key are equal to each other, as in grouping."""
     renamed = {k: f"_g_{k}" for k in [*keys, SEGMENT]}
     told = carry.withColumnsRenamed(renamed)
-    theirs = F.struct(*[F.col(renamed[k]).alias(k) for k in keys])
-    same = (key_of(keys) == theirs) & (F.col(SEGMENT) == F.col(renamed[SEGMENT]))
+    same = F.col(SEGMENT) == F.col(renamed[SEGMENT])
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(renamed[key]))
     return rows.join(told, same, "left").drop(*renamed.values())
 
 
-def key_of(keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(k).alias(k) for k in keys])
-
-
 def inside(keys: Sequence[str], arrival: str):
     """Window over one (key, segment) in arrival order."""
-    return Window.partitionBy(key_of(keys), SEGMENT).orderBy(arrival)
+    return Window.partitionBy(*keys, SEGMENT).orderBy(arrival)
 
 
 def across(keys: Sequence[str]):

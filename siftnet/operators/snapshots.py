@@ -15,10 +15,13 @@ def latest_snapshot(rows: DataFrame, *, keys: list[str], ts: str = "timestamp")
     """All rows of the newest snapshot of each key.
 
     The newest time per key is aggregated first (map-side) and joined back on (key, time). The time in the join key
-    spreads a device with many snapshots over many partitions.
+    spreads a device with many snapshots over many partitions. Nulls in a key are equal to each other.
     """
-    newest = rows.groupBy(*keys).agg(F.max(ts).alias(ts))
-    return rows.join(newest, [*keys, ts], "left_semi")
+    newest = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(ts).alias("_newest"))
+    same = F.col(ts) == F.col("_newest")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    return rows.join(newest, same, "left_semi")
 
 
 def cap_rows(

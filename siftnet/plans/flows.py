@@ -1,8 +1,8 @@
 """From landed datagrams to the flow table: the end-to-end plan.
 
 v5 and sFlow need no shuffle before deduplication. v9/IPFIX sets and records are not shuffled either while the indexes of templates and
-sampling rates are small. Payloads are read once for the heads of their sets, and once or twice to be decoded; only heads and learned
-rates are written in between. Deduplication shuffles by device key and segment.
+sampling rates are small. Payloads are read once for the heads of their sets, and once or twice to be decoded; only heads, the template
+index and learned rates are written in between. Deduplication shuffles by device key and segment.
 """
 
 from __future__ import annotations
@@ -25,10 +25,9 @@ def set_heads(captured: DataFrame) -> DataFrame:
 
 def matched_sets(captured: DataFrame, heads: DataFrame) -> DataFrame:
     """v9/IPFIX data sets with their template."""
-    announced = datagrams.usable_templates(datagrams.templates(heads))
-    return datagrams.with_templates(
-        datagrams.data_sets(datagrams.sets(datagrams.framed(captured))), announced, uses=datagrams.data_sets(heads)
-    )
+    announced = checkpointed(datagrams.usable_templates(datagrams.templates(heads)))
+    known = datagrams.template_index(announced, datagrams.data_sets(heads))
+    return datagrams.with_templates(datagrams.data_sets(datagrams.sets(datagrams.framed(captured))), index=checkpointed(known))
 
 
 def decoded_template_sets(captured: DataFrame) -> DataFrame:

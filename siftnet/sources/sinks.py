@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftnet.functions.text import content_key
 from siftnet.operators import segments, snapshots
@@ -40,28 +44,99 @@ def unseen(batches: DataFrame, delivered: DataFrame | None = None, *, owner: str
     return fresh.join(delivered.select(owner, "batch_key"), [owner, "batch_key"], "left_anti")
 
 
-def replay_safe_writer(path: str, *, owner: str = "probe_id"):
-    """``foreachBatch`` function: appends only batches whose key the table does not hold yet.
+def _read(spark: SparkSession, schema: str, base: str, pattern: str = "") -> DataFrame:
+    """The table under ``base``, or those of its folders that match; empty where there is none yet."""
+    try:
+        return spark.read.schema(schema).option("basePath", base).parquet(base + pattern)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replay_safe_writer(
+    path: str, *, owner: str = "probe_id", ts: str = "recv_ts", horizon_days: int = 7
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: appends batches, but for replays of what was delivered in the ``horizon_days`` before them.
+
+    Two tables, both partitioned by day and batch id: ``rows`` with the batches, ``keys`` with owner and content key only. A call reads the
+    keys of the days that its own rows can be replays of, however long the history is. A batch that is retried after a lost
+    executor overwrites its own partitions and looks only at earlier batches, so it leaves the same rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = [c for c in batch.columns if c != ts]
+        first = keyed(batch).groupBy(owner, "batch_key").agg(F.min(F.struct(ts, *held)).alias("_row"))
+        fresh = first.select("_row.*", "batch_key").withColumn("day", F.to_date(ts))
+        low, high = fresh.agg(F.min("day"), F.max("day")).first()
+        if low is None:
+            return
+        kind = fresh.schema[owner].dataType.simpleString()
+        schema = f"`{owner}` {kind}, batch_key string, day date, batch bigint"
+        days = spark.sql(f"SELECT explode(sequence(date'{low}' - {horizon_days}, date'{high}')) AS d").collect()
+        known = _read(spark, schema, f"{path}/keys", "/day={" + ",".join(str(r.d) for r in days) + "}").where(F.col("batch") < batch_id)
+        theirs = known.select(F.col(owner).alias("_owner"), F.col("batch_key").alias("_key"), F.col("day").alias("_day"))
+        replayed = (
+            F.col(owner).eqNullSafe(F.col("_owner")) & (F.col("batch_key") == F.col("_key"))
+            & F.col("_day").between(F.col("day") - F.expr(f"interval {horizon_days} days"), F.col("day"))
+        )
+        rows = fresh.join(theirs, replayed, "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
+        for name, part in (("rows", rows), ("keys", rows.select(owner, "batch_key", "day", "batch"))):
+            writer = part.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("day", "batch").parquet(f"{path}/{name}")
+
+    return write
+
+
+#: Buckets of keys that a snapshot table is cut into.
+SNAPSHOT_BUCKETS = 64
 
-    Output goes to one folder per batch id and overwrites it, so a batch that is retried after a lost executor leaves
-    the same files.
+
+def snapshot_writer(
+    path: str, *, keys: list[str], ts: str = "timestamp", buckets: int = SNAPSHOT_BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: every key's rows are replaced by its newest snapshot; an older one that comes late changes nothing.
+
+    The table is cut into buckets of keys, and each bucket has versions, one per batch that brought something newer for it. Such a batch
+    writes the whole bucket anew under its own id and leaves all other buckets alone; readers take the last version of
+    each (:func:`read_snapshots`). A retried batch overwrites its own versions and looks only at earlier ones.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            earlier = spark.read.option("recursiveFileLookup", "true").parquet(path)
-            earlier = earlier.where(F.col("batch_id") < batch_id)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            earlier = None
-        rows = unseen(batch, earlier, owner=owner).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        told = snapshots.latest_snapshot(batch, keys=keys, ts=ts).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        held = read_snapshots(spark, path, batch.schema, before=batch_id)
+        newest = held.groupBy(*keys).agg(F.max(ts).alias("_held"))
+        same = F.lit(True)
+        for key in keys:
+            same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+        known = newest.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        newer = told.join(known, same, "left").where(F.col("_held").isNull() | (F.col(ts) > F.col("_held"))).select(told.columns)
+        # as many values as there are buckets, at most
+        touched = [r.bucket for r in newer.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        replaced = newer.select(*keys).distinct().withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        kept = held.where(F.col("bucket").isin(touched)).join(replaced, same, "left_anti")
+        rows = kept.unionByName(newer).withColumn("version", F.lit(batch_id).cast("bigint"))
+        writer = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket", "version").parquet(path)
 
     return write
 
 
+def read_snapshots(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The current rows of a snapshot table, as the batches had them, with their ``bucket``; ``before`` a batch, if one is given."""
+    names = [*schema.names, "bucket"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    rows = _read(spark, f"{ddl}, bucket int, version bigint", path)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(last, ["bucket", "version"], "left_semi").select(names)
+
+
 def current_snapshot(history: DataFrame, *, keys: list[str], ts: str = "timestamp") -> DataFrame:
     """The table a reader of an append-only snapshot history sees: a late, older snapshot never wins."""
     return snapshots.latest_snapshot(history, keys=keys, ts=ts)
