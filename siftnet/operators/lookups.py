@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Addresses that never identify a device.
@@ -85,6 +85,13 @@ def with_fallback(preferred: DataFrame, legacy: DataFrame, *, keys: list[str]) -
     return preferred.unionByName(legacy.join(preferred.select(*keys).distinct(), keys, "left_anti"))
 
 
+def with_preferred(rows: DataFrame, preferred: Column, *, keys: list[str]) -> DataFrame:
+    """The same where both kinds come from one table: it is read once. ``preferred`` tells the kinds apart; nulls in a key are equal."""
+    flagged = rows.withColumn("_preferred", F.coalesce(preferred, F.lit(False)))
+    some = F.bool_or("_preferred").over(Window.partitionBy(*keys))
+    return flagged.withColumn("_some", some).where("_preferred or not _some").drop("_preferred", "_some")
+
+
 def supplement(secondary: DataFrame, cycles: DataFrame, *, table: str) -> DataFrame:
     """Rows of a secondary source for devices whose latest poll cycle succeeded with an empty table.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftnet.functions import net
@@ -28,31 +28,29 @@ def _arp(rows: DataFrame, ip: Column) -> DataFrame:
     found = found.withColumn("mac_address", net.mac_from_bytes(F.col("value_bytes")))
     valid = F.col("if_index").isNotNull() & (F.col("if_index") >= 0) & net.is_ipv4(F.col("ip_address"))
     return found.where(valid & net.is_unicast_mac(F.col("mac_address"))).select(
-        *POLL, F.lit("arp").alias("entry_type"), "pdu_no", "if_index", "mac_address", "ip_address"
+        *POLL, F.lit("arp").alias("entry_type"), "pdu_no", "if_index", "mac_address", "ip_address", "_column"
     )
 
 
-def arp_media(pdus: DataFrame) -> DataFrame:
-    """Index ifIndex.a.b.c.d."""
-    rows = snmp.cells(pdus, {"mac": oids.ARP_MEDIA})
-    parts = _parts(F.col("_suffix"))
-    return _arp(rows.where(F.size(parts) == 5), F.concat_ws(".", F.slice(parts, 2, 4)))
+def _media_ip(parts: Column) -> Column:
+    """Of an index ifIndex.a.b.c.d."""
+    return F.when(F.size(parts) == 5, F.concat_ws(".", F.slice(parts, 2, 4)))
 
 
-def arp_physical(pdus: DataFrame) -> DataFrame:
-    """Index ifIndex.1[.4].a.b.c.d; other address types are skipped."""
-    rows = snmp.cells(pdus, {"mac": oids.ARP_PHYSICAL})
-    parts = _parts(F.col("_suffix"))
+def _physical_ip(parts: Column) -> Column:
+    """Of an index ifIndex.1[.4].a.b.c.d; other address types are skipped."""
     ipv4 = _part(parts, 1) == "1"
     with_length = ipv4 & (F.size(parts) == 7) & (_part(parts, 2) == "4")
     bare = ipv4 & (F.size(parts) == 6)
-    ip = F.when(with_length, F.concat_ws(".", F.slice(parts, 4, 4))).when(bare, F.concat_ws(".", F.slice(parts, 3, 4)))
-    return _arp(rows.where(with_length | bare), ip)
+    return F.when(with_length, F.concat_ws(".", F.slice(parts, 4, 4))).when(bare, F.concat_ws(".", F.slice(parts, 3, 4)))
 
 
 def arp_table(pdus: DataFrame) -> DataFrame:
-    """The older table, and the newer one only for polls where the older gave no usable row."""
-    return lookups.with_fallback(arp_media(pdus), arp_physical(pdus), keys=POLL)
+    """The older table, and the newer one only for polls where the older gave no usable row; both from one scan."""
+    rows = snmp.cells(pdus, {"media": oids.ARP_MEDIA, "physical": oids.ARP_PHYSICAL})
+    parts, older = _parts(F.col("_suffix")), F.col("_column") == "media"
+    found = _arp(rows, F.when(older, _media_ip(parts)).otherwise(_physical_ip(parts)))
+    return lookups.with_preferred(found, older, keys=POLL).drop("_column")
 
 
 def fdb_mac(suffix: Column, *, with_vlan: bool) -> tuple[Column, Column]:
@@ -68,35 +66,38 @@ def fdb_mac(suffix: Column, *, with_vlan: bool) -> tuple[Column, Column]:
     return F.when(shaped & vlan.isNotNull(), digits), vlan
 
 
-def _forwarding(pdus: DataFrame, port_column: str, status_column: str, *, with_vlan: bool) -> DataFrame:
-    """Port rows with their status (missing = learned) in one pivot, then mapped bridge port -> interface."""
-    mac, vlan = fdb_mac(F.col("_suffix"), with_vlan=with_vlan)
-    found = snmp.cells(pdus, {"port": port_column, "status": status_column})
-    is_port = F.col("_column") == "port"
-    rows = found.groupBy(*POLL, "_suffix").agg(
-        snmp.number(F.max_by("value", F.when(is_port, F.col("pdu_no")))).alias("port"),
+def fdb_table(pdus: DataFrame) -> DataFrame:
+    """VLAN-aware rows, and legacy bridge rows only for polls where those gave nothing usable.
+
+    Both forwarding tables and the map of bridge ports to interfaces come from one scan and one shuffle by poll: ports are
+    pivoted with their status (missing = learned), then every entry takes the interface that its poll maps its port to.
+    """
+    columns = {
+        "aware.port": oids.QBRIDGE_FDB_PORT, "aware.status": oids.QBRIDGE_FDB_STATUS, "legacy.port": oids.BRIDGE_FDB_PORT,
+        "legacy.status": oids.BRIDGE_FDB_STATUS, "map.port": oids.BRIDGE_PORT_IF_INDEX,
+    }
+    found = snmp.cells(pdus, columns).select(
+        *POLL, "pdu_no", "value", F.split_part("_column", F.lit("."), F.lit(1)).alias("_table"), F.col("_column").endswith(".port").alias("_is_port"),
+        F.when(F.col("_column") == "map.port", snmp.oid_index(F.col("oid")).cast("string")).otherwise(F.col("_suffix")).alias("_suffix"),
+    )
+    is_port, is_map = F.col("_is_port"), F.col("_table") == "map"
+    rows = found.where("_suffix is not null").repartition(*POLL).groupBy(*POLL, "_table", "_suffix").agg(
+        snmp.number(F.max_by("value", F.when(is_port, F.col("pdu_no")))).alias("_main"),
         snmp.number(F.max_by("value", F.when(~is_port, F.col("pdu_no")))).alias("status"),
         F.max(F.when(is_port, F.col("pdu_no"))).alias("pdu_no"),
     )
-    learned = rows.where("port > 0").where(F.coalesce("status", F.lit(FDB_LEARNED)) == FDB_LEARNED)
-    entries = learned.withColumn("mac_address", mac).withColumn("vlan_id", vlan).where(
-        net.is_unicast_mac(F.col("mac_address"))
-    )
-    mapping = snmp.pivot(pdus, {"if_index": oids.BRIDGE_PORT_IF_INDEX}).select(
-        *POLL, F.col("idx").alias("port"), snmp.number(F.col("if_index")).alias("if_index")
-    )
-    return entries.join(mapping.where("if_index > 0"), [*POLL, "port"]).select(
+    placed = rows.withColumn("port", F.when(is_map, F.col("_suffix").try_cast("bigint")).otherwise(F.col("_main")))
+    mapped = placed.withColumn("if_index", F.max(F.when(is_map, F.col("_main"))).over(Window.partitionBy(*POLL, "port")))
+    learned = mapped.where(~is_map & (F.col("port") > 0) & (F.col("if_index") > 0) & (F.coalesce("status", F.lit(FDB_LEARNED)) == FDB_LEARNED))
+    aware = F.col("_table") == "aware"
+    (mac, vlan), (legacy_mac, legacy_vlan) = (fdb_mac(F.col("_suffix"), with_vlan=with_vlan) for with_vlan in (True, False))
+    entries = learned.withColumns({"mac_address": F.when(aware, mac).otherwise(legacy_mac), "vlan_id": F.when(aware, vlan).otherwise(legacy_vlan)})
+    usable = entries.where(net.is_unicast_mac(F.col("mac_address")))
+    return lookups.with_preferred(usable, aware, keys=POLL).select(
         *POLL, F.lit("fdb").alias("entry_type"), "pdu_no", "if_index", "mac_address", "vlan_id"
     )
 
 
-def fdb_table(pdus: DataFrame) -> DataFrame:
-    """VLAN-aware rows, and legacy bridge rows only for polls where those gave nothing usable."""
-    aware = _forwarding(pdus, oids.QBRIDGE_FDB_PORT, oids.QBRIDGE_FDB_STATUS, with_vlan=True)
-    legacy = _forwarding(pdus, oids.BRIDGE_FDB_PORT, oids.BRIDGE_FDB_STATUS, with_vlan=False)
-    return lookups.with_fallback(aware, legacy, keys=POLL)
-
-
 def lldp_local_ports(pdus: DataFrame) -> DataFrame:
     """Local port number -> name: the description, else the id."""
     ports = snmp.pivot(pdus, oids.LLDP_LOCAL)
