@@ -105,7 +105,7 @@ def snapshot_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        told = snapshots.latest_snapshot(batch, keys=keys, ts=ts).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        told = snapshots.latest_snapshot(batch, keys=keys, ts=ts).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         held = read_snapshots(spark, path, batch.schema, before=batch_id)
         newest = held.groupBy(*keys).agg(F.max(ts).alias("_held"))
         same = F.lit(True)
@@ -114,27 +114,27 @@ def snapshot_writer(
         known = newest.withColumnsRenamed({k: f"_k_{k}" for k in keys})
         newer = told.join(known, same, "left").where(F.col("_held").isNull() | (F.col(ts) > F.col("_held"))).select(told.columns)
         # as many values as there are buckets, at most
-        touched = [r.bucket for r in newer.select("bucket").distinct().collect()]
+        touched = [r._bucket for r in newer.select("_bucket").distinct().collect()]
         if not touched:
             return
         replaced = newer.select(*keys).distinct().withColumnsRenamed({k: f"_k_{k}" for k in keys})
-        kept = held.where(F.col("bucket").isin(touched)).join(replaced, same, "left_anti")
-        rows = kept.unionByName(newer).withColumn("version", F.lit(batch_id).cast("bigint"))
-        writer = rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("bucket", "version").parquet(path)
+        kept = held.where(F.col("_bucket").isin(touched)).join(replaced, same, "left_anti")
+        rows = kept.unionByName(newer).withColumn("_version", F.lit(batch_id).cast("bigint"))
+        writer = rows.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("_bucket", "_version").parquet(path)
 
     return write
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The current rows of a snapshot table, as the batches had them, with their ``bucket``; ``before`` a batch, if one is given."""
-    names = [*schema.names, "bucket"]
+    """The current rows of a snapshot table, as the batches had them, with their ``_bucket``; ``before`` a batch, if one is given."""
+    names = [*schema.names, "_bucket"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    rows = _read(spark, f"{ddl}, bucket int, version bigint", path)
+    rows = _read(spark, f"{ddl}, _bucket int, _version bigint", path)
     if before is not None:
-        rows = rows.where(F.col("version") < before)
-    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(last, ["bucket", "version"], "left_semi").select(names)
+        rows = rows.where(F.col("_version") < before)
+    last = rows.groupBy("_bucket").agg(F.max("_version").alias("_version"))
+    return rows.join(last, ["_bucket", "_version"], "left_semi").select(names)
 
 
 def current_snapshot(history: DataFrame, *, keys: list[str], ts: str = "timestamp") -> DataFrame:
