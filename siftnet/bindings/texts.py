@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftnet.bindings.registry import EVENTS_SQL, events, query, table
 from siftnet.bindings.scalars import ip_expr, ip_sql
+from siftnet.functions import text
 from siftnet.operators import cli, metrics, validation
 from siftnet.operators.validation import Rule, Spec
 
@@ -326,8 +327,8 @@ def last_successful_poll(spark, sf_dir):
     "WITH " + EVENTS_SQL + """, f AS (
   SELECT 'poll_failures' AS family, CAST(device_id AS VARCHAR) AS subject, CASE WHEN k % 3 = 0 THEN 'unknown' ELSE 'vendor' || (k % 3) END AS kind, CASE WHEN k % 4 = 0 THEN 'timeout' ELSE 'refused' END AS reason FROM e WHERE event_type = 'error'
   UNION ALL SELECT 'limiter_drops', event_type, CASE WHEN k % 2 = 0 THEN 'source' ELSE 'total' END, 'unknown' FROM e WHERE event_type IN ('view', 'click')
-  UNION ALL SELECT 'sends', l_shipmode, l_returnflag, 'ok' FROM lineitem WHERE l_linestatus = 'O'
-  UNION ALL SELECT 'failed_sends', l_shipmode, l_returnflag, CASE WHEN l_linenumber = 1 THEN 'permanent' ELSE 'transient' END FROM lineitem WHERE l_linestatus = 'F')
+  UNION ALL SELECT 'sends', CAST(l_linenumber AS VARCHAR), l_returnflag, 'ok' FROM lineitem WHERE l_linestatus = 'O'
+  UNION ALL SELECT 'failed_sends', CAST(l_linenumber AS VARCHAR), l_returnflag, CASE WHEN l_linenumber = 1 THEN 'permanent' ELSE 'transient' END FROM lineitem WHERE l_linestatus = 'F')
 SELECT *, count(*) AS total FROM f GROUP BY ALL""",
 )
 def operational_counter_families(spark, sf_dir):
@@ -341,8 +342,8 @@ def operational_counter_families(spark, sf_dir):
         "limiter_drops": e.where("event_type in ('view', 'click')").select(
             F.col("event_type").alias("subject"), F.expr("if(k % 2 = 0, 'source', 'total')").alias("kind"), F.lit(None).cast("string").alias("reason")
         ),
-        "sends": lines.where("l_linestatus = 'O'").select(F.col("l_shipmode").alias("subject"), F.col("l_returnflag").alias("kind"), F.lit("ok").alias("reason")),
-        "failed_sends": lines.where("l_linestatus = 'F'").select(F.col("l_shipmode").alias("subject"), F.col("l_returnflag").alias("kind"), text.delivery_class(status).alias("reason")),
+        "sends": lines.where("l_linestatus = 'O'").select(F.col("l_linenumber").cast("string").alias("subject"), F.col("l_returnflag").alias("kind"), F.lit("ok").alias("reason")),
+        "failed_sends": lines.where("l_linestatus = 'F'").select(F.col("l_linenumber").cast("string").alias("subject"), F.col("l_returnflag").alias("kind"), text.delivery_class(status).alias("reason")),
     }
     counted = [metrics.counters(rows.withColumn("family", F.lit(name)), labels=["family", "subject", "kind", "reason"]) for name, rows in families.items()]
     return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
