@@ -105,7 +105,7 @@ def random_body(rng, layout, records):
     return out + bytes(rng.randint(0, 3))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_records_equal_a_plain_parser(spark, seed):
     rng = random.Random(seed)
     layouts = [random_layout(rng) for _ in range(12)]
@@ -313,22 +313,17 @@ def sflow_payload(rng):
     return whole[: rng.randint(0, len(whole))] if rng.random() < 0.2 else whole
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_sflow_equals_a_plain_parser(spark, seed):
     rng = random.Random(seed)
     payloads = [b"", b"\0\0\0\5"] + [sflow_payload(rng) for _ in range(250)]
     taken = sflow.samples(frame_of(spark, payloads))
     columns = ["sample_no", "sampling_rate", "drops", "input_if_index", "output_if_index"]
-    got = sorted(
-        (
-            (r.arrival_no, *(r[c] for c in columns), r.protocol, r.src_port, r.dst_port, r.tcp_flags, r.src_as, r.dst_as, r.as_path)
-            for r in sflow.flow_samples(taken).collect()
-        ),
-        key=repr,
-    )
+    decoded = sflow.flow_samples(taken).collect()
+    got = sorted(((r.arrival_no, *(r[c] for c in columns), r.protocol, r.src_port, r.dst_port, r.tcp_flags, r.src_as, r.dst_as, r.as_path) for r in decoded), key=repr)
     expected = sorted(((i, *row[:5], *row[6:]) for i, p in enumerate(payloads) for row in plain_flows(p)), key=repr)
     assert got == expected and len(got) > 50
-    frames = {(r.arrival_no, r.sample_no): (r.bytes, r.packets) for r in sflow.flow_samples(taken).collect()}
+    frames = {(r.arrival_no, r.sample_no): (r.bytes, r.packets) for r in decoded}
     for i, payload in enumerate(payloads):
         for row in plain_flows(payload):
             rate, frame = row[1], row[5]
@@ -350,9 +345,8 @@ def test_sflow_equals_a_plain_parser(spark, seed):
 
 
 def test_nothing_to_decode(spark):
-    empty = frame_of(spark, [])
-    assert plan.template_flows(empty).count() == 0
-    assert plan.sflow_flows(empty).count() == 0
-    assert sflow.interface_counters(sflow.samples(empty)).count() == 0
-    null = spark.createDataFrame([(1, "e", None)], "arrival_no bigint, exporter string, payload binary").withColumn("recv_ts", F.timestamp_seconds(F.lit(T0)))
-    assert plan.template_flows(null).count() == 0 and plan.sflow_flows(null).count() == 0
+    nothing = spark.createDataFrame([(1, "e", None)], "arrival_no bigint, exporter string, payload binary").withColumn("recv_ts", F.timestamp_seconds(F.lit(T0)))
+    rows = nothing.unionByName(frame_of(spark, []))
+    assert plan.template_flows(rows).count() == 0
+    assert plan.sflow_flows(rows).count() == 0
+    assert sflow.interface_counters(sflow.samples(rows)).count() == 0
