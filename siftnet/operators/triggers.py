@@ -30,8 +30,8 @@ def debounce(
 
     A burst ends when more than ``gap_seconds`` pass without an event; events exactly the gap apart stay together, as
     ``session_window`` has it. Bursts are numbered by their first event with an ordered scan and then aggregated with
-    partial aggregation, so neither a hot key nor an endless burst ends up in one task. ``ts`` must not decrease with
-    ``arrival``.
+    partial aggregation, so neither a hot key nor an endless burst ends up in one task. Gaps are taken between
+    neighbours by ``arrival``, also where ``ts`` goes back.
     """
     gap = F.lit(int(gap_seconds * 1_000_000))
     clock = F.unix_micros(F.col(ts))
@@ -51,8 +51,8 @@ def debounce(
         local=local,
         summary={
             "_head": F.min(arrival),
-            "_head_ts": F.min(clock),
-            "_tail_ts": F.max(clock),
+            "_head_ts": F.min_by(clock, arrival),
+            "_tail_ts": F.max_by(clock, arrival),
             "_last_open": F.max("_opens"),
         },
         carry=[

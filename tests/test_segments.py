@@ -169,3 +169,13 @@ def test_cap_and_throughput(spark, skewed, rows, span):
     )
     got = throughput.device_throughput(samples, span=span)
     assert rows(got) == rows(throughput.device_throughput(samples))
+
+
+@pytest.mark.parametrize("span", [1, 3, 1 << 20])
+def test_debounce_of_times_that_go_back(spark, rows, span):
+    seconds = [0, 500, 100, 150, 900, 20, 90, 160, 1000, 950, 940, 1020]
+    frame = spark.createDataFrame(list(enumerate(seconds)), "arrival_no bigint, s bigint").withColumn("device_id", F.lit(1))
+    got = triggers.debounce(frame.withColumn("ts", F.timestamp_seconds("s")), keys=["device_id"], gap_seconds=60, span=span)
+    opens = [i for i, s in enumerate(seconds) if i == 0 or s - seconds[i - 1] > 60]
+    ends = [*opens[1:], len(seconds)]
+    assert rows(got, "first_arrival", "last_arrival", "event_count") == sorted(((a, z - 1, z - a) for a, z in zip(opens, ends)), key=repr)
