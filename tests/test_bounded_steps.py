@@ -10,7 +10,7 @@ def lowest(df, *operators):
     return [max((i for i, line in enumerate(lines) if f" {name}" in line), default=-1) for name in operators]
 
 
-@pytest.mark.parametrize("name", ["sflow_flows"])
+@pytest.mark.parametrize("name", ["sflow_flows", "sflow_interface_counters"])
 def test_sflow_lines_are_dealt_before_they_are_bytes(spark, sf_dir, name):
     grouped, dealt = lowest(QUERIES[name](spark, sf_dir), "ObjectHashAggregate", "Exchange")
     assert -1 < grouped < dealt
