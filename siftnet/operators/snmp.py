@@ -3,7 +3,8 @@
 ``pdus`` has ``device_id``, ``poll_ts``, ``pdu_no`` (order inside the poll), ``oid``, ``pdu_type``, ``value`` (text form)
 and ``value_bytes`` (octet strings). Every table is one conditional aggregation: a prefix filter that Parquet can use,
 the column named by prefix, and ``max_by`` so that the last PDU of a cell wins. That is one shuffle on
-(device, poll, index) with map-side combination.
+(device, poll, index). The PDUs are shuffled before they are combined: text values are aggregated by sorting, and that sort
+must be bounded by a partition of the shuffle, not by what a scan task happens to read.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def pivot(
     """One row per (device, poll, idx) with the text (or bytes) of each column, null where absent."""
     found = cells(pdus, columns)
     keyed = found.withColumn("idx", oid_index(F.col("oid")) if index is None else index).where("idx is not null")
-    return keyed.groupBy(*POLL, "idx").agg(
+    return keyed.repartition(*POLL, "idx").groupBy(*POLL, "idx").agg(
         *[_latest(c, F.col("value_bytes") if c in binary else F.col("value")) for c in columns]
     )
 
@@ -70,7 +71,7 @@ def scalars(pdus: DataFrame, columns: dict[str, str], *, binary: tuple[str, ...]
     for column, oid in columns.items():
         name = F.when(F.col("oid") == oid, column).otherwise(name)
     rows = valid_pdus(pdus).where(F.col("oid").isin(list(columns.values()))).withColumn("_column", name)
-    return rows.groupBy(*POLL).agg(*[_latest(c, F.col("value_bytes") if c in binary else F.col("value")) for c in columns])
+    return rows.repartition(*POLL).groupBy(*POLL).agg(*[_latest(c, F.col("value_bytes") if c in binary else F.col("value")) for c in columns])
 
 
 # ------------------------------------------------------------------------------------------------------ coercion

@@ -1,7 +1,10 @@
 """Steps whose memory and shuffles must be bounded whatever one scan task reads, shown by their plans."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from siftnet.bindings.registry import QUERIES
+from siftnet.operators import oids, snmp
 
 
 def lowest(df, *operators):
@@ -14,3 +17,13 @@ def lowest(df, *operators):
 def test_sflow_lines_are_dealt_before_they_are_bytes(spark, sf_dir, name):
     grouped, dealt = lowest(QUERIES[name](spark, sf_dir), "ObjectHashAggregate", "Exchange")
     assert -1 < grouped < dealt
+
+
+@pytest.mark.parametrize("table, prefix", [(snmp.scalars, oids.SYS_NAME), (snmp.pivot, oids.SYS_NAME.removesuffix(".0"))])
+def test_pdus_are_dealt_before_they_are_sorted(spark, table, prefix):
+    walk = spark.range(10).select(
+        F.col("id").alias("device_id"), F.timestamp_seconds("id").alias("poll_ts"), F.lit(oids.SYS_NAME).alias("oid"), F.lit("OctetString").alias("pdu_type"),
+        F.col("id").cast("string").alias("value"), F.lit(None).cast("binary").alias("value_bytes"), F.col("id").alias("pdu_no"),
+    )
+    sorted_in, dealt = lowest(table(walk, {"hostname": prefix}), "SortAggregate", "Exchange")
+    assert -1 < sorted_in < dealt
