@@ -80,7 +80,7 @@ def v5_datagrams(spark, sf_dir, chosen="true"):
         ("l_orderkey % 4", 2),
         ("16384 + l_orderkey % 3", 2),
     )
-    lines = table(spark, sf_dir, "lineitem").where(chosen).select("l_orderkey", F.expr(record).alias("r"))
+    lines = by_order(table(spark, sf_dir, "lineitem").where(chosen)).select("l_orderkey", F.expr(record).alias("r"))
     orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs"), F.count("*").alias("n"))
     seconds = F.expr("1000000002 + l_orderkey + if(l_orderkey % 10 = 0, 3600, 0)")
     return orders.select(

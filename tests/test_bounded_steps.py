@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftnet.bindings import wire
 from siftnet.bindings.registry import QUERIES
 from siftnet.operators import oids, snmp
 
@@ -19,6 +20,11 @@ def test_sflow_lines_are_dealt_before_they_are_bytes(spark, sf_dir, name):
     assert -1 < grouped < dealt
 
 
+def test_v5_lines_are_dealt_before_they_are_bytes(spark, sf_dir):
+    grouped, dealt = lowest(wire.v5_datagrams(spark, sf_dir), "ObjectHashAggregate", "Exchange")
+    assert -1 < grouped < dealt
+
+
 @pytest.mark.parametrize("table, prefix", [(snmp.scalars, oids.SYS_NAME), (snmp.pivot, oids.SYS_NAME.removesuffix(".0"))])
 def test_pdus_are_dealt_before_they_are_sorted(spark, table, prefix):
     walk = spark.range(10).select(
