@@ -54,6 +54,10 @@ def _read(spark: SparkSession, schema: str, base: str, pattern: str = "") -> Dat
         return spark.createDataFrame([], schema)
 
 
+#: Slots that replays are looked for in; more than a shuffle has partitions.
+REPLAY_SLOTS = 1 << 16
+
+
 def replay_safe_writer(
     path: str, *, owner: str = "probe_id", ts: str = "recv_ts", horizon_days: int = 7
 ) -> Callable[[DataFrame, int], None]:
@@ -61,31 +65,46 @@ def replay_safe_writer(
 
     Two tables, both partitioned by day and batch id: ``rows`` with the batches, ``keys`` with owner and content key only. A call reads the
     keys of the days that its own rows can be replays of, however long the history is. A batch that is retried after a lost
-    executor overwrites its own partitions and looks only at earlier batches, so it leaves the same rows.
+    executor overwrites its own partitions and looks only at earlier batches, so it leaves the same rows. Identical batches of one owner
+    meet in one task, which only streams through them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = [c for c in batch.columns if c != ts]
-        first = keyed(batch).groupBy(owner, "batch_key").agg(F.min(F.struct(ts, *held)).alias("_row"))
-        fresh = first.select("_row.*", "batch_key").withColumn("day", F.to_date(ts))
-        low, high = fresh.agg(F.min("day"), F.max("day")).first()
+        low, high = batch.agg(F.min(F.to_date(ts)), F.max(F.to_date(ts))).first()
         if low is None:
             return
-        kind = fresh.schema[owner].dataType.simpleString()
+        kind = batch.schema[owner].dataType.simpleString()
         schema = f"`{owner}` {kind}, batch_key string, day date, batch bigint"
-        days = spark.sql(f"SELECT explode(sequence(date'{low}' - {horizon_days}, date'{high}')) AS d").collect()
-        known = _read(spark, schema, f"{path}/keys", "/day={" + ",".join(str(r.d) for r in days) + "}").where(F.col("batch") < batch_id)
-        theirs = known.select(F.col(owner).alias("_owner"), F.col("batch_key").alias("_key"), F.col("day").alias("_day"))
-        replayed = (
-            F.col(owner).eqNullSafe(F.col("_owner")) & (F.col("batch_key") == F.col("_key"))
-            & F.col("_day").between(F.col("day") - F.expr(f"interval {horizon_days} days"), F.col("day"))
-        )
-        rows = fresh.join(theirs, replayed, "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
-        for name, part in (("rows", rows), ("keys", rows.select(owner, "batch_key", "day", "batch"))):
-            writer = part.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        days = [str(r.d) for r in spark.sql(f"SELECT explode(sequence(date'{low}' - {horizon_days}, date'{high}')) AS d").collect()]
+        known = _read(spark, schema, f"{path}/keys", "/day={" + ",".join(days) + "}").where(F.col("batch") < batch_id)
+        # one shuffle of both sides: what arrived goes without its key, which is made behind the shuffle, and what is known goes
+        # as a key in bytes
+        slot = lambda key: F.pmod(F.xxhash64(F.col(owner), key), F.lit(REPLAY_SLOTS)).cast("int").alias("_slot")
+        arrived = batch.select(slot(content_key(F.col("payload"))), F.struct(ts, *held).alias("_row"))
+        theirs = known.select(slot(F.col("batch_key")), F.col(owner).alias("_owner"), F.unhex("batch_key").alias("_key"), F.col("day").alias("_day"))
+        dealt = arrived.unionByName(theirs, allowMissingColumns=True).repartition("_slot")
+        new = F.col("_row").isNotNull()
+        groups = dealt.select(
+            "_slot", "_row", "_day",
+            F.when(new, F.col("_row")[owner]).otherwise(F.col("_owner")).alias("_owner"),
+            F.when(new, content_key(F.col("_row.payload"))).otherwise(F.lower(F.hex("_key"))).alias("batch_key"),
+        ).groupBy("_slot", "_owner", "batch_key")
+        first = groups.agg(F.min("_row").alias("_row"), F.collect_set("_day").alias("_days")).where("_row is not null")
+        fresh = first.select("_row.*", "batch_key", "_days").withColumn("day", F.to_date(ts))
+        replayed = F.exists("_days", lambda d: d.between(F.col("day") - F.expr(f"interval {horizon_days} days"), F.col("day")))
+        rows = fresh.where(~F.coalesce(replayed, F.lit(False))).drop("_days").withColumn("batch", F.lit(batch_id).cast("bigint"))
+
+        def put(part: DataFrame, name: str) -> None:
+            writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("day", "batch").parquet(f"{path}/{name}")
 
+        put(rows, "rows")
+        # the keys are columns of what was just written
+        written = ",".join([*days, "__HIVE_DEFAULT_PARTITION__"])
+        put(_read(spark, schema, f"{path}/rows", f"/day={{{written}}}/batch={batch_id}"), "keys")
+
     return write
 
 

@@ -88,3 +88,15 @@ def test_write_table(spark, tmp_path):
     sinks.write_table(rows.where("id < 10"), path, partition_by=["part"])
     assert spark.read.parquet(path).count() == 1010
     assert all(spark.read.parquet(f).count() <= 100 for f in files(path))
+
+
+def test_replay_safe_writer_shuffles_once(spark, tmp_path):
+    """Rows, their search for replays and their keys come from one pass: few stages, whatever is known."""
+    write = sinks.replay_safe_writer(str(tmp_path / "table"))
+    write(deliveries(spark, (1, "a", 0)), 0)
+    context = spark.sparkContext
+    context.setJobGroup("second delivery", "")
+    write(deliveries(spark, (1, "a", 0), (2, "b", 1)), 1)
+    jobs = context.statusTracker().getJobIdsForGroup("second delivery")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 8
