@@ -22,6 +22,29 @@ def packed(*parts: tuple[str, int]) -> str:
     return "concat(" + ", ".join(b(e, w) for e, w in parts) + ")"
 
 
+def digits(*parts: tuple[str, int]) -> str:
+    """SQL text: the bytes of numbers (or texts, of width 0) as one hex text. Neighbours of eight bytes together are made as one number:
+    a conversion for each field would cost more than all the rest of a payload."""
+    words: list[list[tuple[str, int]]] = []
+    for part in parts:
+        if words and part[1] and words[-1][-1][1] and sum(width for _, width in words[-1]) + part[1] <= 8:
+            words[-1].append(part)
+        else:
+            words.append([part])
+
+    def written(word: list[tuple[str, int]]) -> str:
+        if not word[0][1]:
+            return f"hex({word[0][0]})"
+        total, terms = sum(width for _, width in word), []
+        left = total
+        for expr, width in word:
+            left -= width
+            terms.append(f"shiftleft(cast({expr} as bigint), {8 * left})" if left else f"cast({expr} as bigint)")
+        return f"lpad(hex({' | '.join(terms)}), {2 * total}, '0')"
+
+    return "concat(" + ", ".join(written(word) for word in words) + ")"
+
+
 def dotted(expr: str) -> str:
     return f"((({expr}) // 16777216) || '.' || (({expr}) // 65536 % 256) || '.' || (({expr}) // 256 % 256) || '.' || (({expr}) % 256))"
 
@@ -325,29 +348,30 @@ WIDE = {
 def wide_datagrams(spark, sf_dir):
     """One datagram per order with its template and a record per line; even orders come as v9, odd ones as IPFIX."""
 
-    def value(expr: str, width: int) -> str:
-        return b(expr, width) if width else f"cast({expr} as binary)"
-
     def record(version: int) -> str:
-        parts = [f"coalesce({value(*part)}, unhex(''))" for _, _, _, given in WIDE[version] for part in given]
-        return "concat(" + ", ".join(parts) + ")"
+        parts = [part for _, _, _, given in WIDE[version] for part in given]
+        absent = [i for i, (expr, _) in enumerate(parts) if expr.endswith("null)")]
+        cuts = [0, *(j for i in absent for j in (i, i + 1)), len(parts)]
+        runs = [digits(*parts[a:z]) for a, z in zip(cuts, cuts[1:]) if a < z]
+        return "concat(" + ", ".join(f"coalesce({run}, '')" for run in runs) + ")"
 
     def template(version: int) -> str:
         specs = [("300", 2), (str(len(WIDE[version])), 2)]
         for ie, enterprise, length, _ in WIDE[version]:
             specs += [(str(ie + (32768 if enterprise else 0)), 2), (str(length), 2)] + ([(str(enterprise), 4)] if enterprise else [])
-        return packed(("0" if version == 9 else "2", 2), (str(4 + sum(width for _, width in specs)), 2), *specs)
-
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(f"if(l_orderkey % 2 = 0, {record(9)}, {record(10)})").alias("r"))
-    orders = lines.groupBy("l_orderkey").agg(joined(F.array_sort(F.collect_list("r"))).alias("data"))
-    body = f"concat(if(l_orderkey % 2 = 0, {template(9)}, {template(10)}), {b('300', 2)}, {b('length(data) + 4', 2)}, data)"
-    rows = orders.withColumn("body", F.expr(body))
-    v9 = packed(("9", 2), ("1", 2), ("100000", 4), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
-    ipfix = packed(("10", 2), ("length(body) + 16", 2), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
+        return digits(("0" if version == 9 else "2", 2), (str(4 + sum(width for _, width in specs)), 2), *specs)
+
+    # hex texts until the whole payload is one: their order is that of the bytes
+    lines = by_order(table(spark, sf_dir, "lineitem")).select("l_orderkey", F.expr(f"if(l_orderkey % 2 = 0, {record(9)}, {record(10)})").alias("r"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("r")), "").alias("data"))
+    data_set = digits(("300", 2), ("length(data) div 2 + 4", 2))
+    rows = orders.withColumn("body", F.expr(f"concat(if(l_orderkey % 2 = 0, {template(9)}, {template(10)}), {data_set}, data)"))
+    v9 = digits(("9", 2), ("1", 2), ("100000", 4), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
+    ipfix = digits(("10", 2), ("length(body) div 2 + 16", 2), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
     made = rows.select(
         F.col("l_orderkey").alias("arrival_no"), F.timestamp_seconds(F.col("l_orderkey") + 1000000002).alias("recv_ts"),
         F.concat(F.lit("203.0.113."), (F.col("l_orderkey") % 10).cast("string")).alias("exporter"),
-        F.expr(f"concat(if(l_orderkey % 2 = 0, {v9}, {ipfix}), body)").alias("payload"),
+        F.expr(f"unhex(concat(if(l_orderkey % 2 = 0, {v9}, {ipfix}), body))").alias("payload"),
     )
     return landed(made)
 

@@ -77,6 +77,55 @@ def slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, valid: np.
     return pa.Array.from_buffers(pa.binary(), len(starts), [mask, pa.py_buffer(offsets), pa.py_buffer(content)])
 
 
+def addresses(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Addresses of 4 or 16 bytes as text (the form of ``net.ip_from_bytes``); null for other lengths and where not ``valid``."""
+    octets = data[np.minimum(starts[:, None] + np.arange(16), len(data) - 1)]
+    mapped = (lengths == 16) & ~octets[:, :10].any(axis=1) & (octets[:, 10:12] == 255).all(axis=1)
+    short, long = np.flatnonzero(valid & ((lengths == 4) | mapped)), np.flatnonzero(valid & (lengths == 16) & ~mapped)
+    four = np.where(mapped[short, None], octets[short, 12:], octets[short, :4])
+    texts, shown = np.zeros((len(starts), 41), np.uint8), np.zeros((len(starts), 41), bool)
+    texts[short, :15], shown[short, :15] = _quads(four)
+    texts[long], shown[long] = _groups(octets[long])
+    known = np.zeros(len(starts), bool)
+    known[short] = known[long] = True
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(shown.sum(axis=1), out=offsets[1:])
+    mask = pa.py_buffer(np.packbits(known, bitorder="little"))
+    return pa.Array.from_buffers(pa.string(), len(starts), [mask, pa.py_buffer(offsets), pa.py_buffer(texts[shown])])
+
+
+def _quads(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dotted quads: four times three digits with dots between, and which of these characters are shown."""
+    texts, shown = np.full((len(octets), 15), ord("."), np.uint8), np.ones((len(octets), 15), bool)
+    for i in range(4):
+        for place, unit in enumerate((100, 10, 1)):
+            texts[:, 4 * i + place] = octets[:, i] // unit % 10 + ord("0")
+            shown[:, 4 * i + place] = octets[:, i] >= (unit if unit > 1 else 0)
+    return texts, shown
+
+
+def _groups(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """IPv6 texts: eight times a colon and four digits, and a colon; the first longest run of two or more zero groups is shortened."""
+    groups = octets[:, ::2].astype(np.int64) << 8 | octets[:, 1::2]
+    run = np.zeros((len(groups), 9), np.int64)
+    for i in range(8):
+        run[:, i] = np.where(groups[:, i] == 0, run[:, i - 1] + 1, 0)
+    longest, last = run.max(axis=1), run.argmax(axis=1)
+    first = last - longest + 1
+    cut_out = longest >= 2
+    texts, shown = np.full((len(groups), 41), ord(":"), np.uint8), np.zeros((len(groups), 41), bool)
+    for i in range(8):
+        inside = cut_out & (first <= i) & (i <= last)
+        shown[:, 5 * i] = np.where(inside, i == first, i > 0)
+        for place in range(4):
+            unit = 16 ** (3 - place)
+            digit = groups[:, i] // unit % 16
+            texts[:, 5 * i + 1 + place] = np.where(digit < 10, digit + ord("0"), digit - 10 + ord("a"))
+            shown[:, 5 * i + 1 + place] = ~inside & (groups[:, i] >= (unit if unit > 1 else 0))
+    shown[:, 40] = cut_out & (last == 7)
+    return texts, shown
+
+
 def numbers(values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
     return pa.array(values, pa.int64(), mask=None if valid is None else ~valid)
 

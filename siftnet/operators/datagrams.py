@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from siftnet.functions import net
 from siftnet.functions.binary import cut, low_bits, uint
-from siftnet.functions.ragged import Payloads, items, numbers, slices, spread, unsigned
+from siftnet.functions.ragged import Payloads, addresses, items, numbers, slices, spread, unsigned
 from siftnet.operators import asof, segments
 from siftnet.operators.dedup import FLOW_SOURCE_IPFIX, FLOW_SOURCE_NETFLOW_V5, FLOW_SOURCE_NETFLOW_V9
 
@@ -234,7 +234,12 @@ _TEMPLATES = T.StructType(
             "templates",
             T.ArrayType(
                 T.StructType(
-                    [T.StructField("template_id", T.IntegerType()), T.StructField("fields", T.ArrayType(_FIELD))]
+                    [
+                        T.StructField("template_id", T.IntegerType()),
+                        T.StructField("fields", T.ArrayType(_FIELD)),
+                        T.StructField("_shortest", T.IntegerType()),
+                        T.StructField("_wide", T.BooleanType()),
+                    ]
                 )
             ),
         ),
@@ -295,7 +300,10 @@ def _template_set(body: bytes, version: int, options: bool) -> dict:
             events.append("malformed")
             break
         fields, offset = parsed
-        templates.append({"template_id": template_id, "fields": fields})
+        lengths = [f["length"] for f in fields]
+        shortest = sum(1 if n == VARIABLE_LENGTH else n for n in lengths)
+        wide = any(MAX_FIELD_LENGTH < n != VARIABLE_LENGTH for n in lengths)
+        templates.append({"template_id": template_id, "fields": fields, "_shortest": shortest, "_wide": wide})
     return {"templates": templates, "events": events}
 
 
@@ -322,8 +330,11 @@ def min_record_length(fields: Column) -> Column:
 
 def template_verdict(fields: Column) -> Column:
     """What is odd about a template: no length at all (unusable), or unusually long (reported, and decoded like any other)."""
-    shortest = min_record_length(fields)
     wide = F.exists(fields, lambda f: (f["length"] != VARIABLE_LENGTH) & (f["length"] > MAX_FIELD_LENGTH))
+    return _verdict(min_record_length(fields), wide)
+
+
+def _verdict(shortest: Column, wide: Column) -> Column:
     return F.when(shortest == 0, "template_zero_min_len").when(
         (shortest > MAX_RECORD_LENGTH) | wide, "template_quarantined"
     )
@@ -335,7 +346,8 @@ def templates(set_rows: DataFrame) -> DataFrame:
     rows = set_rows.where(is_template_set()).withColumn("is_options", options)
     parsed = rows.withColumn("_p", _parse_templates("body", "version", "is_options"))
     context = ["exporter", "domain", "version", "recv_ts", "arrival_no", "set_order", "is_options"]
-    announced = parsed.select(*context, F.inline("_p.templates")).withColumn("verdict", template_verdict(F.col("fields")))
+    announced = parsed.select(*context, F.inline("_p.templates")).withColumn("verdict", _verdict(F.col("_shortest"), F.col("_wide")))
+    announced = announced.drop("_shortest", "_wide")
     events = parsed.select(*context, F.explode("_p.events").alias("verdict")).select(
         *context,
         F.lit(None).cast("int").alias("template_id"),
@@ -535,6 +547,14 @@ def element_slots() -> dict[tuple[int, int], tuple[int, str, int]]:
 KINDS = {name: kind for name, (kind, _) in ELEMENTS.items()} | {name: kind for name, kind in ENTERPRISE_ELEMENTS}
 
 
+ADDRESS_KINDS = "46an"
+
+
+def column_type(name: str) -> T.DataType:
+    """Type in which records are cut: addresses are text at once."""
+    return T.LongType() if KINDS[name] == "u" else T.StringType() if KINDS[name] in ADDRESS_KINDS else T.BinaryType()
+
+
 class _Cells:
     """Where the columns of the records of one layout stand in the data: per column the place, the length and whether it counts."""
 
@@ -565,8 +585,10 @@ class _Cells:
     def column(self, slot: int) -> pa.Array:
         name = COLUMNS[slot]
         if slot not in self.places:
-            return pa.nulls(self.records, pa.int64() if KINDS[name] == "u" else pa.binary())
+            return pa.nulls(self.records, _arrow_type(column_type(name)))
         start, length, valid = self.places[slot]
+        if KINDS[name] in ADDRESS_KINDS:
+            return addresses(self.data, start, length, valid)
         if KINDS[name] != "u":
             return slices(self.data, start, length, valid)
         same = self.records and (length == length[0]).all()
@@ -699,7 +721,7 @@ def records(matched: DataFrame, *, so_far: tuple[str, int] | None = None) -> Dat
         [
             *context,
             T.StructField("record_no", T.IntegerType()),
-            *[T.StructField(c, T.LongType() if KINDS[c] == "u" else T.BinaryType()) for c in COLUMNS],
+            *[T.StructField(c, column_type(c)) for c in COLUMNS],
             *([T.StructField(f"{so_far[0]}_so_far", T.LongType())] if so_far else []),
         ]
     )
@@ -721,8 +743,6 @@ def records(matched: DataFrame, *, so_far: tuple[str, int] | None = None) -> Dat
             value = F.lpad(F.hex(value), 16, "0")
         elif kind == "s":
             value = F.trim(F.split_part(value.cast("string"), F.lit("\x00"), F.lit(1)))
-        elif kind != "u":
-            value = net.ip_from_bytes(value)
         columns.append(value.alias(name))
     return cut_rows.select(*[f.name for f in context], "record_no", *columns, *([f"{so_far[0]}_so_far"] if so_far else []))
 

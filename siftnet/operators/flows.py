@@ -50,7 +50,8 @@ def ntp_to_ms(value_hex: Column, export_ms: Column, *, micro: bool) -> Column:
             .otherwise(seconds)
         )
 
-    return net.let(raw, in_era) * 1000 + F.shiftright(fraction * 1000, 32)
+    # few records have such a time, and the others need not be taken through the eras
+    return F.when(value_hex.isNotNull(), net.let(raw, in_era) * 1000 + F.shiftright(fraction * 1000, 32))
 
 
 def clamp_times(start_ms: Column, end_ms: Column, recv_ms: Column) -> Column:
@@ -203,12 +204,32 @@ def rate_facts(records: DataFrame) -> DataFrame:
     return records.select(*place, learned.alias("learned"), in_data.alias("in_data")).where("learned is not null or in_data is not null")
 
 
+def rate_indexes(facts: DataFrame, places: DataFrame, *, span: int = asof.INDEX_SPAN) -> tuple[DataFrame, DataFrame]:
+    """Which rate a domain and a sampler have when (:func:`asof.index`), for records of ``places`` (``exporter``, ``domain``, ``arrival_no``).
+
+    Both are as small as what is taught is rare. A caller that writes them lets Spark see that: records then stay where they are.
+    """
+    told = facts.withColumn("_order", F.struct("set_order", "record_no"))
+    for_domain = F.coalesce(F.when(F.col("sampler_id").isNull(), F.col("learned")), F.col("in_data"))
+    domain_rates = told.withColumn("_domain_rate", for_domain).where("_domain_rate is not null")
+    sampler_rates = told.where("sampler_id is not null and learned is not null").withColumnRenamed("learned", "_sampler_rate")
+    domain = _RATE_OF_DOMAIN["keys"]
+    covered = places.select(*domain, "arrival_no")
+    # a domain has few samplers: each may be met wherever its domain is
+    cells = covered.groupBy(*domain, F.expr(f"arrival_no div {span}")).agg(F.min("arrival_no").alias("arrival_no"))
+    of_samplers = cells.join(sampler_rates.select(*domain, "sampler_id").distinct(), domain)
+    return asof.index(domain_rates, covered, **_RATE_OF_DOMAIN, span=span), asof.index(sampler_rates, of_samplers, **_RATE_OF_SAMPLER, span=span)
+
+
+_RATE_OF_DOMAIN = {"keys": ["exporter", "domain"], "order": "_order", "value": "_domain_rate", "arrival": "arrival_no"}
+_RATE_OF_SAMPLER = _RATE_OF_DOMAIN | {"keys": ["exporter", "domain", "sampler_id"], "value": "_sampler_rate"}
+
+
 def with_sampling_rate(
     records: DataFrame,
     overrides: DataFrame | None = None,
     *,
-    facts: DataFrame | None = None,
-    places: DataFrame | None = None,
+    indexes: tuple[DataFrame, DataFrame] | None = None,
     span: int = asof.INDEX_SPAN,
 ) -> DataFrame:
     """Data records with their ``sampling_rate``; options records are consumed.
@@ -218,23 +239,13 @@ def with_sampling_rate(
     scaled. ``overrides``: ``exporter``, ``rate``. Only what records teach is ordered, and of that only changes
     are kept (see :mod:`siftnet.operators.asof`).
 
-    ``facts`` (:func:`rate_facts` of the same records) and ``places`` (``exporter``, ``domain``, ``arrival_no`` of the same datagrams) are for
-    callers that have them at hand; else they are read off the records.
+    ``indexes`` (:func:`rate_indexes` of what these records teach, for the same span) are for callers that have them at hand; else they
+    are made of the records.
     """
-    told = (rate_facts(records) if facts is None else facts).withColumn("_order", F.struct("set_order", "record_no"))
-    for_domain = F.coalesce(F.when(F.col("sampler_id").isNull(), F.col("learned")), F.col("in_data"))
-    domain_rates = told.withColumn("_domain_rate", for_domain).where("_domain_rate is not null")
-    sampler_rates = told.where("sampler_id is not null and learned is not null").withColumnRenamed("learned", "_sampler_rate")
     rows = records.where(~F.col("is_options")).withColumn("_order", F.struct("set_order", "record_no"))
-    domain = ["exporter", "domain"]
-    covered = (rows if places is None else places).select(*domain, "arrival_no")
-    rows = asof.latest(rows, domain_rates, keys=domain, order="_order", value="_domain_rate", arrival="arrival_no", places=covered, span=span)
-    # a domain has few samplers: each may be met wherever its domain is
-    cells = covered.groupBy(*domain, F.expr(f"arrival_no div {span}")).agg(F.min("arrival_no").alias("arrival_no"))
-    of_samplers = cells.join(sampler_rates.select(*domain, "sampler_id").distinct(), domain)
-    rows = asof.latest(
-        rows, sampler_rates, keys=[*domain, "sampler_id"], order="_order", value="_sampler_rate", arrival="arrival_no", places=of_samplers, span=span
-    )
+    of_domains, of_samplers = rate_indexes(rate_facts(records), rows, span=span) if indexes is None else indexes
+    rows = asof.looked_up(rows, of_domains, **_RATE_OF_DOMAIN, span=span)
+    rows = asof.looked_up(rows, of_samplers, **_RATE_OF_SAMPLER, span=span)
     rates = [F.col("_sampler_rate"), F.col("_domain_rate"), F.lit(1)]
     if overrides is not None:
         pinned = overrides.select("exporter", F.col("rate").alias("_override"))

@@ -38,9 +38,11 @@ def decoded_template_sets(captured: DataFrame) -> DataFrame:
 def template_flows(captured: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     heads = set_heads(captured)
     matched = matched_sets(captured, heads)
-    # two lookups read what records teach: a small table
+    # two indexes read what records teach: a small table
     facts = checkpointed(flows.rate_facts(datagrams.records(matched.where(flows.teaches_rate(F.col("fields"), F.col("is_options"))))))
-    return flows.template_flows(flows.with_sampling_rate(datagrams.records(matched), overrides, facts=facts, places=heads))
+    # written, so that their size is known before the records would be shuffled to them
+    of_domains, of_samplers = (checkpointed(index) for index in flows.rate_indexes(facts, heads))
+    return flows.template_flows(flows.with_sampling_rate(datagrams.records(matched), overrides, indexes=(of_domains, of_samplers)))
 
 
 def sflow_flows(captured: DataFrame) -> DataFrame:

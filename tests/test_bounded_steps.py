@@ -1,10 +1,15 @@
 """Steps whose memory and shuffles must be bounded whatever one scan task reads, shown by their plans."""
 
+import ipaddress
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftnet.bindings import wire
 from siftnet.bindings.registry import QUERIES
+from siftnet.functions import net
+from siftnet.functions.ragged import addresses
 from siftnet.operators import oids, snmp
 
 
@@ -33,3 +38,24 @@ def test_pdus_are_dealt_before_they_are_sorted(spark, table, prefix):
     )
     sorted_in, dealt = lowest(table(walk, {"hostname": prefix}), "SortAggregate", "Exchange")
     assert -1 < sorted_in < dealt
+
+
+def test_records_are_not_shuffled_to_rates_nobody_announced(spark, sf_dir):
+    """The indexes of templates and rates are small here, so decoded records stay in the task that decodes them."""
+    decoded, dealt = lowest(QUERIES["wide_template_flows"](spark, sf_dir), "MapInArrow", "Exchange")
+    assert -1 < dealt < decoded or dealt == -1
+
+
+def test_wide_lines_are_dealt_before_they_are_bytes(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(wire, "landed", lambda rows: rows)
+    grouped, dealt = lowest(wire.wide_datagrams(spark, sf_dir), "ObjectHashAggregate", "Exchange")
+    assert -1 < grouped < dealt
+
+
+def test_addresses_of_records_are_written_like_everywhere(spark):
+    texts = ["0.0.0.0", "10.0.200.9", "255.255.255.255", "::", "::1", "1::", "2001:db8::9", "1:0:0:2:0:0:0:3", "1:0:2:0:3:0:4:0", "0:0:1::", "::ffff:1.2.3.4", "a:b0:c00:d000:1:20:300:4000"]
+    packed = [ipaddress.ip_address(t).packed for t in texts] + [b"", b"abc", bytes(17)]
+    lengths = np.array([len(p) for p in packed])
+    written = addresses(np.frombuffer(b"".join(packed), np.uint8), np.cumsum(lengths) - lengths, lengths, np.ones(len(packed), bool)).to_pylist()
+    rows = spark.createDataFrame(list(enumerate(packed)), "no int, b binary")
+    assert written == [r[0] for r in rows.orderBy("no").select(net.ip_from_bytes(F.col("b"))).collect()]
