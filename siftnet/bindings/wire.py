@@ -57,8 +57,9 @@ def landed(rows):
 
 def by_order(lines):
     """Lines dealt by order while they are still a few numbers: the bytes made of them are several times as large and stay in
-    the task that makes them, because grouping by order needs no other shuffle."""
-    return lines.repartition("l_orderkey")
+    the task that makes them, because grouping by order needs no other shuffle. The number of partitions is given: joined to the size of
+    the numbers, they would be too large for the bytes, and the grouping would spill."""
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
 
 
 def joined(parts):

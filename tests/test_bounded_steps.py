@@ -59,3 +59,12 @@ def test_addresses_of_records_are_written_like_everywhere(spark):
     written = addresses(np.frombuffer(b"".join(packed), np.uint8), np.cumsum(lengths) - lengths, lengths, np.ones(len(packed), bool)).to_pylist()
     rows = spark.createDataFrame(list(enumerate(packed)), "no int, b binary")
     assert written == [r[0] for r in rows.orderBy("no").select(net.ip_from_bytes(F.col("b"))).collect()]
+
+
+def test_partitions_of_lines_are_not_joined_to_the_size_of_their_numbers(spark, sf_dir):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert wire.sflow_datagrams(spark, sf_dir).rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
