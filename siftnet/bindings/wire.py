@@ -55,11 +55,11 @@ def landed(rows):
     return checkpointed(rows)
 
 
-def by_order(lines):
-    """Lines dealt by order while they are still a few numbers: the bytes made of them are several times as large and stay in
+def by_order(lines, *, block="l_orderkey"):
+    """Lines dealt by order (or by the ``block`` of orders) while they are still a few numbers: the bytes made of them are several times as large and stay in
     the task that makes them, because grouping by order needs no other shuffle. The number of partitions is given: joined to the size of
     the numbers, they would be too large for the bytes, and the grouping would spill."""
-    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), block)
 
 
 def joined(parts):
@@ -346,6 +346,10 @@ WIDE = {
 }
 
 
+#: Orders that are dealt together.
+BLOCK = 1 << 10
+
+
 def wide_datagrams(spark, sf_dir):
     """One datagram per order with its template and a record per line; even orders come as v9, odd ones as IPFIX."""
 
@@ -362,17 +366,20 @@ def wide_datagrams(spark, sf_dir):
             specs += [(str(ie + (32768 if enterprise else 0)), 2), (str(length), 2)] + ([(str(enterprise), 4)] if enterprise else [])
         return digits(("0" if version == 9 else "2", 2), (str(4 + sum(width for _, width in specs)), 2), *specs)
 
-    # hex texts until the whole payload is one: their order is that of the bytes
-    lines = by_order(table(spark, sf_dir, "lineitem")).select("l_orderkey", F.expr(f"if(l_orderkey % 2 = 0, {record(9)}, {record(10)})").alias("r"))
-    orders = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("r")), "").alias("data"))
-    data_set = digits(("300", 2), ("length(data) div 2 + 4", 2))
-    rows = orders.withColumn("body", F.expr(f"concat(if(l_orderkey % 2 = 0, {template(9)}, {template(10)}), {data_set}, data)"))
+    # a landed table holds runs of arrivals together, so what is found per key and time is reduced where it is read
+    blocks = table(spark, sf_dir, "lineitem").withColumn("block", F.expr(f"l_orderkey div {BLOCK}"))
+    lines = by_order(blocks, block="block").select("block", "l_orderkey", F.expr(f"unhex(if(l_orderkey % 2 = 0, {record(9)}, {record(10)}))").alias("r"))
+    orders = lines.groupBy("block", "l_orderkey").agg(joined(F.sort_array(F.collect_list("r"))).alias("data"))
+    rows = orders.select("l_orderkey", "data", F.expr("octet_length(data)").alias("size"))
     v9 = digits(("9", 2), ("1", 2), ("100000", 4), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
-    ipfix = digits(("10", 2), ("length(body) div 2 + 16", 2), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
+    whole = f"size + 4 + octet_length({template(10)}) div 2 + 16"
+    ipfix = digits(("10", 2), (whole, 2), ("1000000002 + l_orderkey", 4), ("l_orderkey", 4), ("0", 4))
+    head = f"if(l_orderkey % 2 = 0, concat({v9}, {template(9)}), concat({ipfix}, {template(10)}))"
+    data_set = digits(("300", 2), ("size + 4", 2))
     made = rows.select(
         F.col("l_orderkey").alias("arrival_no"), F.timestamp_seconds(F.col("l_orderkey") + 1000000002).alias("recv_ts"),
         F.concat(F.lit("203.0.113."), (F.col("l_orderkey") % 10).cast("string")).alias("exporter"),
-        F.expr(f"unhex(concat(if(l_orderkey % 2 = 0, {v9}, {ipfix}), body))").alias("payload"),
+        F.expr(f"concat(unhex(concat({head}, {data_set})), data)").alias("payload"),
     )
     return landed(made)
 

@@ -48,6 +48,8 @@ class Payloads:
 
 def unsigned(data: np.ndarray, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     """Big-endian numbers of one width or of a width each (up to 8), as signed 64-bit values of the same bits."""
+    if isinstance(width, (int, np.integer)) and width in (1, 2, 4, 8) and len(at) and at.min() >= 0 and at.max() + width <= len(data):
+        return _bytes_at(data, at, int(width)).view(f">u{width}")[:, 0].astype(np.uint64).view(np.int64)
     value = np.zeros(len(at), np.uint64)
     last = len(data) - 1
     if isinstance(width, (int, np.integer)):
@@ -79,51 +81,84 @@ def slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, valid: np.
 
 def addresses(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> pa.Array:
     """Addresses of 4 or 16 bytes as text (the form of ``net.ip_from_bytes``); null for other lengths and where not ``valid``."""
-    octets = data[np.minimum(starts[:, None] + np.arange(16), len(data) - 1)]
-    mapped = (lengths == 16) & ~octets[:, :10].any(axis=1) & (octets[:, 10:12] == 255).all(axis=1)
-    short, long = np.flatnonzero(valid & ((lengths == 4) | mapped)), np.flatnonzero(valid & (lengths == 16) & ~mapped)
-    four = np.where(mapped[short, None], octets[short, 12:], octets[short, :4])
-    texts, shown = np.zeros((len(starts), 41), np.uint8), np.zeros((len(starts), 41), bool)
-    texts[short, :15], shown[short, :15] = _quads(four)
-    texts[long], shown[long] = _groups(octets[long])
-    known = np.zeros(len(starts), bool)
-    known[short] = known[long] = True
+    long, four = valid & (lengths == 16), valid & (lengths == 4)
+    sixteen = np.flatnonzero(long)
+    words = _bytes_at(data, starts[sixteen], 16)
+    mapped = ~words[:, :10].any(axis=1) & (words[:, 10:12] == 255).all(axis=1)
+    texts = np.zeros((len(starts), _GROUPS if len(sixteen) else _QUADS), np.uint8)
+    if mapped.any():
+        texts[sixteen[mapped], :_QUADS] = _quads(words[mapped, 12:])
+        sixteen, words = sixteen[~mapped], words[~mapped]
+    if len(sixteen) == len(starts):
+        texts = _groups(words)
+    elif len(sixteen):
+        texts[sixteen] = _groups(words)
+    if four.all():
+        texts = _quads(_bytes_at(data, starts, 4))
+    elif four.any():
+        texts[four, :_QUADS] = _quads(_bytes_at(data, starts[four], 4))
+    # a character that is not shown is 0
+    shown = texts != 0
     offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(shown.sum(axis=1), out=offsets[1:])
-    mask = pa.py_buffer(np.packbits(known, bitorder="little"))
+    np.cumsum(shown.sum(axis=1, dtype=np.int32), out=offsets[1:])
+    mask = pa.py_buffer(np.packbits(long | four, bitorder="little"))
     return pa.Array.from_buffers(pa.string(), len(starts), [mask, pa.py_buffer(offsets), pa.py_buffer(texts[shown])])
 
 
-def _quads(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dotted quads: four times three digits with dots between, and which of these characters are shown."""
-    texts, shown = np.full((len(octets), 15), ord("."), np.uint8), np.ones((len(octets), 15), bool)
-    for i in range(4):
-        for place, unit in enumerate((100, 10, 1)):
-            texts[:, 4 * i + place] = octets[:, i] // unit % 10 + ord("0")
-            shown[:, 4 * i + place] = octets[:, i] >= (unit if unit > 1 else 0)
-    return texts, shown
+def _bytes_at(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``width`` bytes for each place; all of them lie in the data."""
+    if len(data) < width:
+        return np.zeros((0, width), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(data, width)[starts]
 
 
-def _groups(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_QUADS, _GROUPS = 16, 41
+
+
+def _written(values: int, base: int, digits: int, end: str) -> np.ndarray:
+    """The texts of all numbers below ``values``, four characters each, as one number: digits without leading zeros (0 where not shown)."""
+    number, texts = np.arange(values), np.zeros((values, 4), np.uint8)
+    for place in range(digits):
+        unit = base ** (digits - 1 - place)
+        texts[:, place] = np.where((number >= unit) | (unit == 1), np.frombuffer(b"0123456789abcdef", np.uint8)[number // unit % base], 0)
+    if end:
+        texts[:, digits] = ord(end)
+    return texts.view(np.uint32)[:, 0]
+
+
+_OCTET_TEXT, _GROUP_TEXT = _written(256, 10, 3, "."), _written(65536, 16, 4, "")
+
+
+def _quads(octets: np.ndarray) -> np.ndarray:
+    """Dotted quads: four times three digits and a dot, the last of which is not shown."""
+    texts = _OCTET_TEXT[octets].view(np.uint8)
+    texts[:, -1] = 0
+    return texts
+
+
+def _groups(octets: np.ndarray) -> np.ndarray:
     """IPv6 texts: eight times a colon and four digits, and a colon; the first longest run of two or more zero groups is shortened."""
-    groups = octets[:, ::2].astype(np.int64) << 8 | octets[:, 1::2]
-    run = np.zeros((len(groups), 9), np.int64)
-    for i in range(8):
-        run[:, i] = np.where(groups[:, i] == 0, run[:, i - 1] + 1, 0)
-    longest, last = run.max(axis=1), run.argmax(axis=1)
-    first = last - longest + 1
-    cut_out = longest >= 2
-    texts, shown = np.full((len(groups), 41), ord(":"), np.uint8), np.zeros((len(groups), 41), bool)
-    for i in range(8):
-        inside = cut_out & (first <= i) & (i <= last)
-        shown[:, 5 * i] = np.where(inside, i == first, i > 0)
-        for place in range(4):
-            unit = 16 ** (3 - place)
-            digit = groups[:, i] // unit % 16
-            texts[:, 5 * i + 1 + place] = np.where(digit < 10, digit + ord("0"), digit - 10 + ord("a"))
-            shown[:, 5 * i + 1 + place] = ~inside & (groups[:, i] >= (unit if unit > 1 else 0))
-    shown[:, 40] = cut_out & (last == 7)
-    return texts, shown
+    groups = np.ascontiguousarray(octets).view(">u2").astype(np.int64)
+    texts = np.zeros((len(groups), _GROUPS), np.uint8)
+    pairs = texts[:, :40].reshape(len(groups), 8, 5)
+    pairs[:, 1:, 0] = ord(":")
+    pairs[:, :, 1:] = _GROUP_TEXT[groups].view(np.uint8).reshape(len(groups), 8, 4)
+    zero = groups == 0
+    some = np.flatnonzero((zero[:, 1:] & zero[:, :-1]).any(axis=1))
+    if len(some):
+        run = np.zeros((len(some), 9), np.int64)
+        for i in range(8):
+            run[:, i] = np.where(zero[some, i], run[:, i - 1] + 1, 0)
+        last = run.argmax(axis=1)
+        first = last - run[np.arange(len(some)), last] + 1
+        place = np.arange(8)
+        inside = (first[:, None] <= place) & (place <= last[:, None])
+        cut = pairs[some]
+        cut[inside] = 0
+        cut[np.arange(len(some)), first, 0] = ord(":")
+        texts[some, :40] = cut.reshape(len(some), 40)
+        texts[some, 40] = np.where(last == 7, ord(":"), 0)
+    return texts
 
 
 def numbers(values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:

@@ -13,7 +13,7 @@ comparison with the few intervals there. The value that enters a cell is carried
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,36 @@ def intervals(places: DataFrame, facts: DataFrame, keys: Sequence[str], order: s
     return kept.select(*place, F.col(order).alias("_from"), "_to", F.col("_known.v").alias(value))
 
 
+def changes(
+    facts: DataFrame,
+    *,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    arrival: str | None = None,
+    span: int = INDEX_SPAN,
+    kept: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """``facts`` without repeats that tell nothing new: an :func:`index` of the same span is the same without them.
+
+    Where the facts of a (key, cell) have one value each in a time of its own, the first of each value is enough, and aggregates that start
+    in the scan find it. Only cells whose values alternate keep all their facts. ``kept`` may write the aggregates, which are read twice:
+    Spark then sees how few cells alternate before it would shuffle the facts to them.
+    """
+    place = [*keys, CELL]
+    placed = facts.withColumn(CELL, F.expr(f"`{arrival or order}` div {span}"))
+    runs = placed.groupBy(*place, value).agg(F.min(order).alias(order), F.max(order).alias("_last"))
+    before = F.max("_last").over(Window.partitionBy(*place).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    judged = runs.withColumn("_meets", F.coalesce(F.col(order) <= before, F.lit(False)))
+    judged = kept(judged.withColumn("_meets", F.bool_or("_meets").over(Window.partitionBy(*place))))
+    mixed = judged.where("_meets").select(*[F.col(c).alias(f"_m_{c}") for c in place]).distinct()
+    match = F.lit(True)
+    for c in place:
+        match = match & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    names = [*keys, order, value]
+    return judged.where("not _meets").select(*names).unionByName(placed.join(mixed, match, "left_semi").select(*names))
+
+
 def index(
     facts: DataFrame, places: DataFrame, *, keys: Sequence[str], order: str, value: str, arrival: str | None = None, span: int = INDEX_SPAN
 ) -> DataFrame:

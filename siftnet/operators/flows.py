@@ -341,7 +341,9 @@ def template_flows(records: DataFrame) -> DataFrame:
     """``flow_samples`` rows from rated v9/IPFIX records: the forward flow, and a mirrored one if the record also
     counted the reverse direction."""
     c = F.col
-    rows = with_record_times(emitted(records), receive_ms())
+    timed = with_record_times(emitted(records), receive_ms())
+    # made before the directions are told apart, once for both
+    rows = timed.withColumns({"_start": to_timestamp(c("_t.start_ms")), "_end": to_timestamp(c("_t.end_ms"))})
     is_icmp, type_code = icmp(c("protocol"), c("dst_port"), c("icmp"), ICMP, ICMP6)
     port = {side: F.when(is_icmp, 0).otherwise(c(f"{side}_port")) for side in ("src", "dst")}
     zero = F.struct(F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("packets"))
@@ -388,9 +390,9 @@ def template_flows(records: DataFrame) -> DataFrame:
         "app_name",
         "next_hop",
         type_code.alias("icmp_type_code"),
-        to_timestamp(c("_t.start_ms")).alias("flow_start"),
-        to_timestamp(c("_t.end_ms")).alias("flow_end"),
-        to_timestamp(c("_t.end_ms")).alias("timestamp"),
+        c("_start").alias("flow_start"),
+        c("_end").alias("flow_end"),
+        c("_end").alias("timestamp"),
         F.inline(both),
     )
 

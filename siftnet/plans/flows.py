@@ -1,8 +1,8 @@
 """From landed datagrams to the flow table: the end-to-end plan.
 
 v5 and sFlow need no shuffle before deduplication. v9/IPFIX sets and records are not shuffled either while the indexes of templates and
-sampling rates are small. Payloads are read once for the heads of their sets, and once or twice to be decoded; only heads, the template
-index and learned rates are written in between. Deduplication shuffles by device key and segment.
+sampling rates are small. Payloads are read once for the heads of their sets, and once or twice to be decoded; only heads, distinct template
+sets, the template index and learned rates are written in between. Deduplication shuffles by device key and segment.
 """
 
 from __future__ import annotations
@@ -23,10 +23,18 @@ def set_heads(captured: DataFrame) -> DataFrame:
     return checkpointed(datagrams.sets(datagrams.framed(captured, bodies=False)))
 
 
-def matched_sets(captured: DataFrame, heads: DataFrame) -> DataFrame:
+def template_bodies(heads: DataFrame) -> DataFrame:
+    """What exporters announce: repeats of a few template sets, each read once."""
+    return checkpointed(datagrams.template_bodies(heads))
+
+
+def matched_sets(captured: DataFrame, heads: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """v9/IPFIX data sets with their template."""
-    announced = checkpointed(datagrams.usable_templates(datagrams.templates(heads)))
-    known = datagrams.template_index(announced, datagrams.data_sets(heads))
+    bodies = template_bodies(heads) if bodies is None else bodies
+    announced = datagrams.usable_templates(datagrams.templates(heads, bodies))
+    # the index is made of the digests of what is announced
+    definitions = datagrams.usable_templates(bodies).select("definition", "fields", "is_options").dropDuplicates(["definition"])
+    known = datagrams.template_index(announced, datagrams.data_sets(heads), definitions=definitions, kept=checkpointed)
     return datagrams.with_templates(datagrams.data_sets(datagrams.sets(datagrams.framed(captured))), index=checkpointed(known))
 
 
@@ -37,12 +45,14 @@ def decoded_template_sets(captured: DataFrame) -> DataFrame:
 
 def template_flows(captured: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     heads = set_heads(captured)
-    matched = matched_sets(captured, heads)
+    bodies = template_bodies(heads)
+    matched = matched_sets(captured, heads, bodies)
+    told = datagrams.columns_told(bodies)
     # two indexes read what records teach: a small table
-    facts = checkpointed(flows.rate_facts(datagrams.records(matched.where(flows.teaches_rate(F.col("fields"), F.col("is_options"))))))
+    facts = checkpointed(flows.rate_facts(datagrams.records(matched.where(flows.teaches_rate(F.col("fields"), F.col("is_options"))), told=told)))
     # written, so that their size is known before the records would be shuffled to them
     of_domains, of_samplers = (checkpointed(index) for index in flows.rate_indexes(facts, heads))
-    return flows.template_flows(flows.with_sampling_rate(datagrams.records(matched), overrides, indexes=(of_domains, of_samplers)))
+    return flows.template_flows(flows.with_sampling_rate(datagrams.records(matched, told=told), overrides, indexes=(of_domains, of_samplers)))
 
 
 def sflow_flows(captured: DataFrame) -> DataFrame:
